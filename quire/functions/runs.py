@@ -139,9 +139,13 @@ def coalesce_runs(runs: Column) -> Column:
 
     # one-element arrays hold intermediate results, so each is computed once
     def start_points(all_runs):
-        pairs = F.arrays_zip(all_runs.alias("run"), F.concat(F.array(F.lit(None).cast(RUN)), all_runs).alias("left"))
-        marks = F.transform(pairs, lambda p, i: F.when((i == 0) | opens(p["0"], p["1"]), i))
-        return F.struct(all_runs.alias("runs"), F.filter(marks, lambda i: i.isNotNull() & (i < F.size(all_runs))).alias("starts"))
+        pairs = F.zip_with(
+            all_runs,
+            F.concat(F.array(F.lit(None).cast(RUN)), F.slice(all_runs, F.lit(1), F.size(all_runs) - 1)),
+            lambda run, left: F.struct(run.alias("run"), left.alias("left")),
+        )
+        marks = F.transform(pairs, lambda p, i: F.when((i == 0) | opens(p["run"], p["left"]), i))
+        return F.struct(all_runs.alias("runs"), F.filter(marks, lambda i: i.isNotNull()).alias("starts"))
 
     def gather(b):
         stops = F.concat(F.slice(b["starts"], 2, F.size(b["starts"])), F.array(F.size(b["runs"])))

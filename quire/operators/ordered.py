@@ -168,3 +168,36 @@ def assemble(df: DataFrame, keys: Sequence[str], text: Column, out: str, sep: st
     return part.groupBy(*keys).agg(
         F.array_join(F.sort_array(F.collect_list(F.struct("__seg", "__t")))["__t"], sep).alias(out)
     )
+
+
+def islands(
+    df: DataFrame, tail: Column, head: Column, out: str = "lead", keys: Sequence[str] = ("doc_id",), pos: str = "pos", seg: int = SEG
+) -> DataFrame:
+    """Group consecutive rows; ``out`` is the position of the group's first row.
+
+    A row joins the one before it when that row's ``tail`` equals this row's
+    ``head`` and neither is null. Segment by segment, with one summary row per
+    segment deciding whether its first group continues the previous segment's.
+    """
+    keys = list(keys)
+    up = Window.partitionBy(*keys, "__seg").orderBy(pos)
+    d = df.withColumns({"__seg": segment(pos, seg), "__tail": tail, "__head": head})
+    d = d.withColumns({"__linked": F.coalesce(F.lag("__tail").over(up) == F.col("__head"), F.lit(False))})
+    d = d.withColumn(
+        "__lead", F.last(F.when(~F.col("__linked"), F.col(pos)), True).over(up.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    ends = d.groupBy(*keys, "__seg").agg(
+        F.min(pos).alias("__first"),
+        F.max("__lead").alias("__last_lead"),
+        F.min_by(F.struct("__head"), pos).alias("__h"),
+        F.max_by(F.struct("__tail"), pos).alias("__t"),
+    )
+    along = Window.partitionBy(*keys).orderBy("__seg")
+    ends = ends.withColumn("__glued", F.coalesce(F.lag("__t").over(along)["__tail"] == F.col("__h")["__head"], F.lit(False)))
+    ends = ends.withColumn(
+        "__own", F.when(~F.col("__glued") | (F.col("__last_lead") > F.col("__first")), F.col("__last_lead"))
+    )
+    ends = ends.withColumn("__carried", F.last("__own", True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.where("__glued").select(*keys, "__seg", "__first", "__carried")
+    lead = F.when(F.col("__lead") == F.col("__first"), F.col("__carried"))
+    return d.join(ends, [*keys, "__seg"], "left").withColumn(out, F.coalesce(lead, "__lead")).select(*df.columns, out)

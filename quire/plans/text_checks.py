@@ -259,16 +259,16 @@ def _(spark, sf):
 
 @check(
     "html_fragment_to_md",
-    """SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '</?b>', '**', 'g'), '<[^>]+>', '', 'g') AS out,
-    '*' || lower(url) || '* [' || url || '](' || url || ')' AS linked FROM pages""",
+    """WITH h AS (SELECT page_id, url, replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM pages)
+    SELECT page_id, '**' || t || '** *' || lower(url) || '* [' || url || '](' || url || ')' AS out FROM h""",
 )
 def _(spark, sf):
-    link = F.concat(F.lit("<em>"), F.lower("url"), F.lit('</em> <span><a class="x" href="'), F.col("url"), F.lit('">'), F.col("url"), F.lit("</a></span>"))
-    return table(spark, sf, "pages").select(
-        "page_id",
-        tx.html_fragment_to_md(F.regexp_extract("html", r"<h1>(.*?)</h1>", 1)).alias("out"),
-        tx.html_fragment_to_md(link).alias("linked"),
+    title = F.regexp_extract("html", r"<h1>(.*?)</h1>", 1)
+    fragment = F.concat(
+        F.lit("<strong>"), title, F.lit("</strong> <em>"), F.lower("url"), F.lit('</em> <span><a class="x" href="'), F.col("url"),
+        F.lit('">'), F.col("url"), F.lit("</a></span>"),
     )
+    return table(spark, sf, "pages").select("page_id", tx.html_fragment_to_md(fragment).alias("out"))
 
 
 @check(
