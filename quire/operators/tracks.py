@@ -42,3 +42,143 @@ def keep_first_lines(rows: DataFrame) -> DataFrame:
     lines = rows.select("doc_id", "pos", tx.strip(F.col("text")).alias("text"))
     out = keep_first(lines, ["doc_id"], F.col("text"), ["pos"], [segment("pos")])
     return out.select("doc_id", "seq", "text")
+
+
+# List fields of a chapter reply, and the field each track is deduplicated on.
+TRACK_KEYS = {"people": "name", "geo": "place", "glossary": "term", "chronology": None}
+TRACK_FIELDS = {
+    "people": ("section", "name", "role"),
+    "geo": ("section", "place", "what", "arrival"),
+    "glossary": ("section", "term", "meaning"),
+    "chronology": ("section", "marker", "event"),
+}
+LINE_KEYS = ("interpersonal_stated", "interpersonal_inference", "inconsistencies")
+SLICE = 4096
+
+
+def reply_json(raw: Column) -> Column:
+    """JSON object text of a reply, without fences or prose around it; null when there is none (F-24)."""
+    t = tx.strip(F.regexp_replace(tx.strip(raw), r"\A```(?:json)?", ""))
+    t = tx.strip(F.regexp_replace(t, r"```\z", ""))
+    inner = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+    is_object = lambda c: F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT")
+    whole = F.try_parse_json(t)
+    return F.when(whole.isNotNull(), F.when(is_object(t), t)).otherwise(F.when(is_object(inner), inner))
+
+
+def _list(v: Column, key: str) -> Column:
+    return F.coalesce(F.try_variant_get(v, f"$.{key}", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def track_row(v: Column, track: str) -> Column:
+    """A reply row cut to its track's fields, nulls as ''; null for anything but an object (P-08)."""
+    pairs = [x for f in TRACK_FIELDS[track] for x in (F.lit(f), F.coalesce(F.try_variant_get(v, f"$.{f}", "string"), F.lit("")))]
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.create_map(*pairs))
+
+
+def replies_to_tracks(replies: DataFrame) -> dict[str, DataFrame]:
+    """Chapter replies (doc_id, source_name, chapter_idx, raw) to typed tables (U-02).
+
+    A reply without an object or without a digest is a failure row and gives
+    nothing else.
+    """
+    parsed = replies.withColumn("__v", F.try_parse_json(reply_json(F.col("raw"))))
+    digest = F.try_variant_get("__v", "$.digest_md", "string")
+    has = F.coalesce(F.schema_of_variant(F.variant_get("__v", "$.digest_md", "variant")) == "STRING", F.lit(False)) & (tx.strip(digest) != "")
+    ok = parsed.where(has)
+    error = F.when(F.col("__v").isNull(), "reply contained no JSON object").otherwise("reply had no 'digest_md'")
+    key = ["doc_id", "source_name", "chapter_idx"]
+    rows = None
+    for track in TRACK_KEYS:
+        one = ok.select(*key, F.posexplode(F.transform(_list(F.col("__v"), track), lambda e, t=track: track_row(e, t))).alias("row_idx", "data"))
+        one = one.where(F.col("data").isNotNull()).withColumn("track_type", F.lit(track))
+        rows = one if rows is None else rows.unionByName(one)
+    strings = lambda k: F.transform(
+        _list(F.col("__v"), k), lambda e: F.struct(F.lit(k).alias("kind"), F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string")).alias("text"))
+    )
+    lines = ok.select(*key, F.posexplode(F.concat(*[strings(k) for k in LINE_KEYS])).alias("row_idx", "l")).select(*key, "row_idx", "l.kind", "l.text")
+    anchor = lambda e: F.struct(*[F.coalesce(F.try_variant_get(e, f"$.{f}", "string"), F.lit("")).alias(f) for f in ("section", "attribution", "quote")])
+    anchors = ok.select(*key, F.posexplode(F.transform(_list(F.col("__v"), "anchors"), anchor)).alias("row_idx", "a")).select(*key, "row_idx", "a.*")
+    return {
+        "digests": ok.select(*key, digest.alias("digest_md")),
+        "tracks": rows,
+        "lines": lines.where(F.col("text").isNotNull()),
+        "anchors": anchors,
+        "failures": parsed.where(~has | F.col("__v").isNull()).select(*key, error.alias("error")),
+    }
+
+
+def dedup_tracks(rows: DataFrame) -> DataFrame:
+    """Document tracks: first row per name, place or term; every chronology row; ``seq`` from 0 (A-06)."""
+    key = F.coalesce(*[F.when(F.col("track_type") == t, F.col("data")[f]) for t, f in TRACK_KEYS.items() if f], F.lit(""))
+    order = ["chapter_idx", "row_idx"]
+    bucket = [F.col("chapter_idx"), F.floor(F.col("row_idx") / SLICE)]
+    listed = rows.withColumn("data", F.map_entries("data"))
+    chrono = F.col("track_type") == "chronology"
+    kept = keep_first(listed.withColumn("__key", key), ["doc_id", "source_name", "track_type"], F.col("__key"), order, bucket, exempt=chrono)
+    return kept.withColumn("data", F.map_from_entries("data")).drop("__key")
+
+
+def dedup_reply_lines(lines: DataFrame) -> DataFrame:
+    """Pooled text lines per document and kind, trimmed, first spelling kept (A-07)."""
+    rows = lines.select("doc_id", "kind", "chapter_idx", "row_idx", tx.strip(F.col("text")).alias("text"))
+    return keep_first(rows, ["doc_id", "kind"], F.col("text"), ["chapter_idx", "row_idx"], [F.col("chapter_idx"), F.floor(F.col("row_idx") / SLICE)])
+
+
+def track_counts(tracks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows per document and track, zeros included (A-03)."""
+    counts = tracks.groupBy("doc_id").agg(*[F.count_if(F.col("track_type") == t).alias(t) for t in TRACK_KEYS])
+    return docs.select("doc_id").join(counts, "doc_id", "left").na.fill(0)
+
+
+def master_stats(tracks: DataFrame) -> DataFrame:
+    """Distinct sources, rows, rows per track (A-04)."""
+    return tracks.agg(
+        F.count_distinct("source_name").alias("sources"), F.count("*").alias("rows"), *[F.count_if(F.col("track_type") == t).alias(t) for t in TRACK_KEYS]
+    )
+
+
+def pool_tracks(tables: list[DataFrame]) -> DataFrame:
+    """Union of track rows of many documents; sources are never merged (A-05, X-01)."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def anchor_topk(anchors: DataFrame, k: int = 8) -> DataFrame:
+    """First k anchors per document; each task keeps only k per document before the shuffle (O-09)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id").orderBy("chapter_idx", "row_idx")
+    return anchors.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def consolidate(docs: DataFrame, replies: DataFrame, lines: DataFrame, anchors: DataFrame, k: int = 8) -> DataFrame:
+    """Curated fields of the closing reply, each falling back to the pooled material (U-03).
+
+    ``replies``: doc_id, raw; ``lines``: deduplicated (doc_id, kind, seq, text).
+    """
+    v = F.try_parse_json(reply_json(F.col("raw")))
+    trimmed = lambda key: F.filter(
+        F.transform(_list(F.col("__v"), key), lambda e: F.when(F.schema_of_variant(e) == "STRING", tx.strip(F.try_variant_get(e, "$", "string")))),
+        lambda s: s.isNotNull() & (s != ""),
+    )
+    text = F.when(
+        F.coalesce(F.schema_of_variant(F.try_variant_get("__v", "$.executive_summary", "variant")) == "STRING", F.lit(False)),
+        tx.strip(F.try_variant_get("__v", "$.executive_summary", "string")),
+    )
+    pooled = lines.groupBy("doc_id").agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("kind") == key, F.struct("seq", "text"))))["text"].alias(f"__{key}") for key in LINE_KEYS
+    ])
+    first = anchor_topk(anchors, k).groupBy("doc_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "section", "attribution", "quote"))), lambda a: F.struct(a["section"].alias("section"), a["attribution"].alias("attribution"), a["quote"].alias("quote"))).alias("__anchors")
+    )
+    own = F.transform(_list(F.col("__v"), "anchors"), lambda e: F.struct(*[F.coalesce(F.try_variant_get(e, f"$.{f}", "string"), F.lit("")).alias(f) for f in ("section", "attribution", "quote")]))
+    out = docs.select("doc_id").join(replies.select("doc_id", v.alias("__v")), "doc_id", "left").join(pooled, "doc_id", "left").join(first, "doc_id", "left")
+    none = F.array().cast("array<string>")
+    return out.select(
+        "doc_id", F.coalesce(text, F.lit("")).alias("exec_summary"),
+        *[F.coalesce(F.when(F.size(trimmed(key)) > 0, trimmed(key)), f"__{key}", none).alias(key) for key in LINE_KEYS],
+        F.coalesce(F.when(F.size(own) > 0, own), "__anchors", F.array().cast("array<struct<section:string,attribution:string,quote:string>>")).alias("anchors"),
+    )
