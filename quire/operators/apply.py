@@ -57,7 +57,13 @@ def build_prompts(rows: DataFrame, rules: str, extra_rules: str = "") -> DataFra
     return grouped.select("doc_id", "chunk", F.col("items.block_id").alias("ids"), F.array_join(lines, "\n").alias("prompt"))
 
 
-REPLY = "struct<ok:boolean, error:string, replies:array<struct<block_id:string, text:string>>>"
+REPLY = T.StructType(
+    [
+        T.StructField("ok", T.BooleanType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("replies", T.ArrayType(T.StructType([T.StructField("block_id", T.StringType()), T.StructField("text", T.StringType())]))),
+    ]
+)
 
 
 def json_objects(text: str):

@@ -60,11 +60,14 @@ def phrase_counts(postings: DataFrame, phrases: list[list[str]]) -> DataFrame:
     mine = postings.where(F.col("term").isin(wanted))
     per_field = mine.groupBy("doc_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
 
+    def shifted(places: Column, by: int) -> Column:
+        return F.transform(places, lambda p: p + F.lit(by))
+
     def occurrences(phrase: list[str]) -> Column:
         first = F.coalesce(F.try_element_at("at", F.lit(phrase[0])), F.array().cast("array<int>"))
         for k, term in enumerate(phrase[1:], 1):
             places = F.coalesce(F.try_element_at("at", F.lit(term)), F.array().cast("array<int>"))
-            first = F.transform(F.array_intersect(F.transform(first, lambda p, k=k: p + k), places), lambda p, k=k: p - k)
+            first = shifted(F.array_intersect(shifted(first, k), places), -k)
         return F.size(first)
 
     counts = per_field.select("doc_id", *[occurrences(p).alias(f"f{i}") for i, p in enumerate(phrases)])

@@ -76,6 +76,10 @@ def track_row(v: Column, track: str) -> Column:
     return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.create_map(*pairs))
 
 
+def track_rows(v: Column, track: str) -> Column:
+    return F.transform(_list(v, track), lambda e: track_row(e, track))
+
+
 def replies_to_tracks(replies: DataFrame) -> dict[str, DataFrame]:
     """Chapter replies (doc_id, source_name, chapter_idx, raw) to typed tables (U-02).
 
@@ -90,7 +94,7 @@ def replies_to_tracks(replies: DataFrame) -> dict[str, DataFrame]:
     key = ["doc_id", "source_name", "chapter_idx"]
     rows = None
     for track in TRACK_KEYS:
-        one = ok.select(*key, F.posexplode(F.transform(_list(F.col("__v"), track), lambda e, t=track: track_row(e, t))).alias("row_idx", "data"))
+        one = ok.select(*key, F.posexplode(track_rows(F.col("__v"), track)).alias("row_idx", "data"))
         one = one.where(F.col("data").isNotNull()).withColumn("track_type", F.lit(track))
         rows = one if rows is None else rows.unionByName(one)
     strings = lambda k: F.transform(
@@ -113,9 +117,9 @@ def dedup_tracks(rows: DataFrame) -> DataFrame:
     key = F.coalesce(*[F.when(F.col("track_type") == t, F.col("data")[f]) for t, f in TRACK_KEYS.items() if f], F.lit(""))
     order = ["chapter_idx", "row_idx"]
     bucket = [F.col("chapter_idx"), F.floor(F.col("row_idx") / SLICE)]
-    listed = rows.withColumn("data", F.map_entries("data"))
+    listed = rows.withColumn("__key", key).withColumn("data", F.map_entries("data"))
     chrono = F.col("track_type") == "chronology"
-    kept = keep_first(listed.withColumn("__key", key), ["doc_id", "source_name", "track_type"], F.col("__key"), order, bucket, exempt=chrono)
+    kept = keep_first(listed, ["doc_id", "source_name", "track_type"], F.col("__key"), order, bucket, exempt=chrono)
     return kept.withColumn("data", F.map_from_entries("data")).drop("__key")
 
 

@@ -478,11 +478,11 @@ def _(spark, sf):
 
 
 def _block_replies(spark, sf):
-    """Replies that echo the blocks upper-cased; chunks whose first block is a heading lose their last reply."""
+    """Replies that echo the blocks reversed; chunks whose first block is a heading lose their last reply."""
     rows = _chunk_rows(spark, sf)
     items = F.sort_array(F.collect_list(F.struct("pos", "block_id", "kind", "text")))
     grouped = rows.groupBy("doc_id", "chunk").agg(items.alias("items"))
-    reply = lambda b, i: F.to_json(F.struct(F.format_string("b%03d", i).alias("id"), b["kind"].alias("kind"), F.upper(b["text"]).alias("text")))
+    reply = lambda b, i: F.to_json(F.struct(F.format_string("b%03d", i).alias("id"), b["kind"].alias("kind"), F.reverse(b["text"]).alias("text")))
     all_replies = F.transform("items", reply)
     short = F.get("items", F.lit(0))["kind"] != "p"
     kept = F.when(short, F.slice(all_replies, F.lit(1), F.size(all_replies) - 1)).otherwise(all_replies)
@@ -494,7 +494,7 @@ def _block_replies(spark, sf):
 @check(
     "parse_block_replies",
     f"""{_PROMPT} SELECT doc_id, chunk, arg_min(k, pos) = 'p ' AS ok, CASE WHEN arg_min(k, pos) = 'p ' THEN '' ELSE 'missing polished output for 1 block(s)' END AS error,
-    CAST(CASE WHEN arg_min(k, pos) = 'p ' THEN count(*) ELSE 0 END AS INTEGER) AS n, CASE WHEN arg_min(k, pos) = 'p ' THEN string_agg(upper(line), '|' ORDER BY pos) ELSE '' END AS texts FROM nx GROUP BY ALL""",
+    CAST(CASE WHEN arg_min(k, pos) = 'p ' THEN count(*) ELSE 0 END AS INTEGER) AS n, CASE WHEN arg_min(k, pos) = 'p ' THEN string_agg(reverse(line), '|' ORDER BY pos) ELSE '' END AS texts FROM nx GROUP BY ALL""",
 )
 def _(spark, sf):
     out = _block_replies(spark, sf).withColumn("r", ap.parse_block_replies("raw", "ids"))

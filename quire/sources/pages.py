@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import text as tx
 from quire.sources.tables import RUN
@@ -191,7 +192,7 @@ class ArticleReader(HTMLParser):
             raw = r.get("raw")
             if raw is not None:
                 r["props"]["text" if r["type"] == "footnote" else "caption"] = raw.strip() if r["type"] == "footnote" else raw
-            out.append((page_id, i, parent, depth[i], r["type"], r["level"], r["runs"], list(r["props"].items()), r["cells"]))
+            out.append((page_id, i, parent, depth[i], r["type"], r["level"], r["runs"], r["props"], r["cells"]))
         return out
 
 
@@ -361,7 +362,7 @@ def tokens_of(html: str) -> list[str]:
     return reader.tokens
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def dom_token_array(html: pd.Series) -> pd.Series:
     return html.map(tokens_of)
 
