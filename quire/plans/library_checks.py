@@ -495,9 +495,8 @@ def _(spark, sf):
     return lb.recent_changes(table(spark, sf, "events").select("user_id", "event_id", "event_type"), 20, "user_id", "event_id")
 
 
-def change_log(spark, sf):
-    """Events as log rows: users are documents, signups and clicks are polish edits."""
-    e = table(spark, sf, "events")
+def change_log(e):
+    """Events (a table or a stream) as log rows: users are documents, signups and clicks are polish edits."""
     n = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         F.col("user_id").alias("doc_id"), F.col("event_id").alias("change_id"), F.when(F.col("event_type") == "view", "publish").otherwise("edit").alias("kind"),
@@ -516,7 +515,7 @@ lt AS (SELECT * FROM lg WHERE kind = 'edit' AND summary LIKE 'polish%' QUALIFY r
     f"""WITH {SQL_LOG} SELECT doc_id, change_id, summary, k + 20 AS polishable, k AS blocks_changed, CAST(k % 30 AS INTEGER) AS flagged, greatest(0, 20 - k % 30) AS blocks_unchanged, ts AS ran_at FROM lt""",
 )
 def _(spark, sf):
-    return lb.latest_run(change_log(spark, sf), "polish").drop("kind", "resolved_at", "created_at")
+    return lb.latest_run(change_log(table(spark, sf, "events")), "polish").drop("kind", "resolved_at", "created_at")
 
 
 @check(
@@ -525,7 +524,7 @@ def _(spark, sf):
     CASE WHEN change_id IN (SELECT change_id FROM lt) THEN TIMESTAMP '2024-03-01' WHEN value > 100 THEN ts END AS resolved_at FROM lg""",
 )
 def _(spark, sf):
-    out = lb.resolve_flags(change_log(spark, sf), "polish", F.lit("2024-03-01").cast("timestamp"))
+    out = lb.resolve_flags(change_log(table(spark, sf, "events")), "polish", F.lit("2024-03-01").cast("timestamp"))
     return out.select("doc_id", "change_id", "flagged", "resolved_at")
 
 
