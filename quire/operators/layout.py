@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import runs as rn
 from quire.functions import text as tx
-from quire.operators.ordered import islands, number_rows
+from quire.operators.ordered import grouped_map, islands, number_rows
 from quire.session import cut_lineage
 from quire.sources.tables import RUN
 
@@ -199,30 +199,29 @@ def _clip(text: Column, limit: int = 240) -> Column:
 
 
 def _claim(max_lines: int, gap: float = 10.0):
-    """Give each image, in reading order, its unclaimed candidates chained from the top."""
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for image, rows in pdf.sort_values(["image", "y0", "cand"]).groupby("image", sort=True):
-            chosen, bottom = [], None
-            for r in rows.itertuples(index=False):
-                if r.cand in taken:
-                    continue
-                if len(chosen) == max_lines or (bottom is not None and r.y0 - bottom > gap):
-                    break
-                chosen.append(r)
-                bottom = r.y1
-            taken.update(r.cand for r in chosen)
-            out += [(r.doc_id, r.page, image, r.cand, i, r.text) for i, r in enumerate(chosen)]
-        return pd.DataFrame(out, columns=["doc_id", "page", "image", "cand", "nth", "text"])
+    """Give each image of a page, in reading order, its unclaimed candidates chained from the top."""
+
+    def claim(pdf: pd.DataFrame) -> dict:
+        taken, image, chosen, bottom, out = set(), None, 0, None, []
+        for r in pdf.itertuples(index=False):
+            if r.image != image:
+                image, chosen, bottom = r.image, 0, None
+            if r.cand in taken or chosen < 0:
+                continue
+            if chosen == max_lines or (bottom is not None and r.y0 - bottom > gap):
+                chosen = -1
+                continue
+            out.append((r.doc_id, r.page, image, r.cand, chosen, r.text))
+            taken.add(r.cand)
+            chosen, bottom = chosen + 1, r.y1
+        return dict(zip(("doc_id", "page", "image", "cand", "nth", "text"), zip(*out)))
 
     return claim
 
 
 def _captions(candidates: DataFrame, max_lines: int) -> tuple[DataFrame, DataFrame]:
-    claims = candidates.groupBy("doc_id", "page").applyInPandas(
-        _claim(max_lines), "doc_id long, page int, image int, cand string, nth int, text string"
-    )
+    schema = "doc_id long, page int, image int, cand string, nth int, text string"
+    claims = grouped_map(candidates, ["doc_id", "page"], ["image", "y0", "cand"], _claim(max_lines), schema)
     claims = cut_lineage(claims)
     texts = F.filter(F.sort_array(F.collect_list(F.struct("nth", "text")))["text"], lambda t: t != "")
     captions = claims.groupBy("doc_id", "page", "image").agg(_clip(tx.strip(F.array_join(texts, " "))).alias("caption"))

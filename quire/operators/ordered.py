@@ -9,10 +9,12 @@ never holds more than ``SEG`` rows however long the document is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,3 +203,31 @@ def islands(
     ends = ends.where("__glued").select(*keys, "__seg", "__first", "__carried")
     lead = F.when(F.col("__lead") == F.col("__first"), F.col("__carried"))
     return d.join(ends, [*keys, "__seg"], "left").withColumn(out, F.coalesce(lead, "__lead")).select(*df.columns, out)
+
+
+def grouped_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
+    """Apply ``fn`` to every group, in order, streaming many small groups per batch.
+
+    Rows are hashed by key and sorted inside partitions; a task holds one group
+    at a time, so groups must be small by construction (a page, a segment).
+    """
+    keys = list(keys)
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            turns = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
+            done = [fn(pdf.iloc[a:b]) for a, b in zip(turns, turns[1:])]
+            held = pdf.iloc[turns[-1] :].reset_index(drop=True)
+            if done:
+                yield stack(done)
+        if held is not None:
+            yield stack([fn(held)])
+
+    def stack(parts):
+        return pd.DataFrame({c: [x for p in parts for x in p[c]] for c in parts[0]})
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

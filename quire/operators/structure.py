@@ -11,7 +11,7 @@ from quire.functions import runs as rn
 from quire.functions import text as tx
 from quire.operators.blocks import heading_level, prop
 from quire.operators.ordered import (
-    SEG, assemble, following, islands, latest, number_rows, prev, running, scan, segment,
+    SEG, assemble, following, grouped_map, islands, latest, number_rows, prev, running, scan, segment,
 )
 from quire.session import cut_lineage
 
@@ -153,8 +153,7 @@ def _compose(target: int):
 
 
 def _assign(target: int):
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
+    def assign(pdf: pd.DataFrame) -> dict:
         tokens, heading = pdf["tokens"].to_numpy(), pdf["heading"].to_numpy(dtype=bool)
         held, body, opened = (int(pdf[c].iloc[0]) for c in ("held", "body", "opened"))
         nxt = _breaks(tokens, heading, target)
@@ -164,7 +163,7 @@ def _assign(target: int):
             chunk[j : nxt[j]] = opened
             opened += 1
             j = nxt[j]
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "pos": pdf["pos"], "chunk": chunk})
+        return {"doc_id": pdf["doc_id"], "pos": pdf["pos"], "chunk": chunk}
 
     return assign
 
@@ -188,7 +187,7 @@ def pack_chunks(rows: DataFrame, target: int = 3500, seg: int = SEG) -> DataFram
     )
     states = summaries.groupBy("doc_id").applyInPandas(_compose(target), "doc_id long, seg long, held int, body int, opened int")
     started = narrow.join(states, ["doc_id", "seg"], "left").na.fill({"held": target + 1, "body": 0, "opened": 0})
-    return started.groupBy("doc_id", "seg").applyInPandas(_assign(target), "doc_id long, pos int, chunk int")
+    return grouped_map(started, ["doc_id", "seg"], ["pos"], _assign(target), "doc_id long, pos int, chunk int")
 
 
 def chunk_table(rows: DataFrame, target: int = 3500, max_tokens: int | None = None) -> DataFrame:

@@ -53,7 +53,7 @@ def read_tracks_csv(spark: SparkSession, folder: str, kind: str) -> DataFrame:
 
 def validate_widths(spark: SparkSession, folder: str, kind: str) -> int:
     """Column count of a written track; rows of another width are an error, an empty one is 0 (K-02)."""
-    counts = read_tracks_csv(spark, folder, kind).agg(F.count("*").alias("n"), F.count("_bad").alias("bad")).first()
+    counts = read_tracks_csv(spark, folder, kind).agg(F.count("*").alias("n"), F.count("_bad").alias("bad"), F.count("source")).first()
     if counts["bad"]:
         raise ValueError(f"{kind}: {counts['bad']} rows of the wrong width")
     return len(TRACK_HEADERS[kind]) if counts["n"] else 0
