@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import runs as rn
 from quire.functions import text as tx
 from quire.operators.ordered import following, islands, latest, number_rows, prev, running, scan, segment
 from quire.session import cut_lineage
@@ -416,6 +417,52 @@ def caption_precedence(images: DataFrame, styled: DataFrame, figcaption: DataFra
     return out.select(*images.columns, F.coalesce(*pick, F.lit("")).alias("caption"))
 
 
+def normalise(rows: DataFrame, captions: DataFrame, notes: DataFrame) -> dict[str, DataFrame]:
+    """The whole cleaning pass over extracted drafts, in its fixed order.
+
+    Each step reads its input more than once, so the rows are written out
+    between steps instead of growing one plan.
+    """
+    rows = cut_lineage(demote_extra_h1(strip_front_matter(rows)))
+    rows = cut_lineage(relocate_figures(rows))
+    rows = cut_lineage(drop_caption_duplicates(rows, captions))
+    rows = cut_lineage(clean_text(rows))
+    return renumber_footnotes(rows, notes)
+
+
+def draft_to_blocks(rows: DataFrame, notes: DataFrame, images: DataFrame) -> DataFrame:
+    """Cleaned drafts to block rows (W-16): the h1 is the title and stays out, notes follow their first reference.
+
+    ``images``: doc_id, image, caption, width, height. Positions are dense again.
+    """
+    placed = colocate_footnotes(rows.where(F.col("kind") != "image"), notes)
+    pictures = rows.where(F.col("kind") == "image").join(images, ["doc_id", "image"], "left")
+    none = F.create_map().cast("map<string,string>")
+    caption = F.coalesce("caption", F.lit(""))
+    picture_props = F.create_map(
+        F.lit("asset_id"), F.col("image"), F.lit("sketch_id"), F.lit(""), F.lit("caption"), caption, F.lit("alt_text"), caption,
+        F.lit("approval"), F.lit("pending"), F.lit("display_width"), tx.display_width(F.col("width"), F.col("height")),
+    )
+    text = tx.strip(F.col("text"))
+    words = placed.where((F.col("kind") != "h1") & (text != "")).select(
+        "doc_id", "pos", "slot",
+        F.when(F.col("kind").isin("h2", "h3"), "heading").when(F.col("kind") == "footnote", "footnote").otherwise("paragraph").alias("type"),
+        F.when(F.col("kind").isin("h2", "h3"), F.substring("kind", 2, 1).cast("int")).alias("level"),
+        F.when(F.col("kind") != "footnote", text).otherwise("").alias("text"),
+        F.when(F.col("kind") == "footnote", F.create_map(F.lit("marker"), F.col("n").cast("string"), F.lit("text"), text)).otherwise(none).alias("props"),
+    )
+    shown = pictures.select(
+        "doc_id", "pos", F.lit(0).alias("slot"), F.lit("image").alias("type"), F.lit(None).cast("int").alias("level"), F.lit("").alias("text"), picture_props.alias("props")
+    )
+    both = words.unionByName(shown)
+    numbered = number_rows(both, ["doc_id"], [F.col("pos"), F.col("slot")], [segment("pos")], "__at")
+    at = (F.col("__at") - 1).cast("int")
+    return numbered.select(
+        "doc_id", at.alias("pos"), F.concat_ws("-", "doc_id", at.cast("string")).alias("block_id"), F.lit(None).cast("int").alias("parent_pos"), F.lit(0).alias("depth"),
+        "type", "level", "text", rn.runs_of(F.col("text")).alias("runs"), "props",
+    )
+
+
 def detect_title(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Metadata title, else the largest h1 where font sizes are known, else the first
     heading or paragraph, else the file stem (W-36)."""

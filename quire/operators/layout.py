@@ -138,7 +138,7 @@ def split_bold_lines(lines: DataFrame) -> DataFrame:
     heading = F.col("bold") & (F.col("text") != "") & (F.length("text") <= HEADING_CHARS)
     rows = lines.join(left, ["doc_id", "page"], "left").withColumn("kind", F.when(heading, level).otherwise("p"))
     body = F.when(F.col("kind") == "p", F.lit(1))
-    out = islands(rows, body, body, "part", keys=BLOCK, pos="line")
+    out = cut_lineage(islands(rows, body, body, "part", keys=BLOCK, pos="line"))
     opens = out.where(F.col("text") != "").groupBy(*BLOCK, "part").agg(F.min("line").alias("__open"))
     return out.join(opens, [*BLOCK, "part"]).where(F.col("line") >= F.col("__open")).select(*lines.columns, "part", "kind")
 
@@ -155,7 +155,7 @@ def split_footnote_zone(lines: DataFrame, modes: DataFrame) -> tuple[DataFrame,
     lead = F.col("text").rlike(NOTE_LEAD)
     low = (F.col("y0") > F.col("page_height") * NOTE_BAND) & (F.col("size") > 0) & (F.col("size") <= F.col("body_size") * NOTE_SIZE)
     start = sized.where(lead & low & (F.col("body_size") > 0)).groupBy(*keys).agg(F.min("line").alias("__zone"))
-    rows = lines.join(start, keys, "left")
+    rows = cut_lineage(lines.join(start, keys, "left"))
     zone = rows.where((F.col("line") >= F.col("__zone")) & (F.col("text") != ""))
     number = F.when(lead, F.regexp_extract("text", NOTE_LEAD, 1).cast("int"))
     items = zone.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line", number.alias("n"), "text"))).alias("z"))
@@ -188,7 +188,7 @@ def split_footnote_zone(lines: DataFrame, modes: DataFrame) -> tuple[DataFrame,
     hit = (F.col("line") == F.col("__last")) & F.col("l").isNotNull()
     glued = lambda c: F.regexp_replace(F.col(c), F.concat(F.lit(r"(?<=\D)"), local, F.lit(r"\s*$")), F.lit(""))
     fixed = {c: F.when(hit, F.concat(tx.rstrip(glued(c)), mark)).otherwise(F.col(c)) for c in ("text", "md")}
-    return marked.withColumns(fixed).select(*lines.columns), numbered.select("doc_id", "page", "block", "n", "local_num", "text")
+    return cut_lineage(marked.withColumns(fixed).select(*lines.columns)), numbered.select("doc_id", "page", "block", "n", "local_num", "text")
 
 
 # ---------------------------------------------------------------- captions
@@ -347,7 +347,7 @@ def paragraph_groups(lines: DataFrame, thresholds: DataFrame, claimed_lines: Dat
     blocks = text_blocks(lines.select(*lines.columns)).select(*BLOCK, F.col("size").alias("__bsize"))
     sized = rows.join(blocks, BLOCK, "left").join(thresholds, "doc_id", "left")
     whole = F.col("kind") == "p"
-    sized = sized.withColumn("kind", F.when(whole, size_kind(F.col("__bsize"))).otherwise(F.col("kind")))
+    sized = cut_lineage(sized.withColumn("kind", F.when(whole, size_kind(F.col("__bsize"))).otherwise(F.col("kind"))))
     breaks = F.when((F.col("text") != "") & (F.col("kind") == "p"), F.lit(1))
     keys = [*BLOCK, "part"]
     grouped = islands(sized, breaks, breaks, "group", keys=keys, pos="line").where(F.col("text") != "")

@@ -335,3 +335,31 @@ def _(spark, sf):
         "doc_id", F.when(F.col("lang") == "fr", F.col("source")).otherwise(" ").alias("title"), F.concat(F.lit("doc"), "doc_id").alias("stem")
     )
     return dr.detect_title(drafts(spark, sf), docs)
+
+
+@check("normalise_drafts")
+def normalised(spark, sf):
+    """Broken sentences, repeated captions and notes through the whole cleaning pass."""
+    rows = _broken(spark, sf)
+    _, notes = _noted(spark, sf)
+    marked = F.when((F.col("kind") == "p") & (F.length("text") % 3 == 0), F.concat("text", F.lit("[^"), (F.length("text") % 60).cast("string"), F.lit("]"))).otherwise(F.col("text"))
+    return dr.normalise(rows.withColumn("text", marked), _neighbour_captions(spark, sf)[1], notes)["rows"]
+
+
+@check(
+    "draft_to_blocks",
+    f"""WITH {_NOTED}, w AS (SELECT doc_id, pos, 0 AS slot, CASE kind WHEN 'p' THEN 'paragraph' ELSE 'heading' END AS type, CASE kind WHEN 'h2' THEN 2 WHEN 'h3' THEN 3 END AS level,
+      CASE WHEN kind = 'p' THEN '[' || text || '[^' || a || '] and[^' || b || ']' ELSE text END AS body FROM body WHERE kind <> 'h1'
+      UNION ALL SELECT f.doc_id, CAST(spot // 2 AS INTEGER), CAST(spot % 2 + 1 AS INTEGER), 'footnote', NULL, s.text FROM firsts f JOIN notes s ON s.doc_id = f.doc_id AND s.n = f.n
+      UNION ALL SELECT doc_id, pos, 0, 'image', NULL, substring(image, 1, 8) FROM drafts WHERE kind = 'image')
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, slot) - 1 AS INTEGER) AS pos, type, level, body FROM w""",
+)
+def _(spark, sf):
+    rows, notes = _noted(spark, sf)
+    every = rows.unionByName(drafts(spark, sf).where(F.col("kind") == "image"))
+    images = drafts(spark, sf).where(F.col("kind") == "image").select(
+        "doc_id", "image", F.substring("image", 1, 8).alias("caption"), F.lit(3).alias("width"), F.lit(4).alias("height")
+    ).distinct()
+    out = dr.draft_to_blocks(every, notes, images)
+    body = F.when(F.col("type") == "image", F.col("props")["caption"]).when(F.col("type") == "footnote", F.col("props")["text"]).otherwise(F.col("text"))
+    return out.select("doc_id", "pos", "type", "level", body.alias("body"))
