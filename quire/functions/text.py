@@ -10,8 +10,10 @@ BLANK_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-BLANK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
-WORD = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]+"
+# the same set as a character class: single Latin characters share one table, the rest one property
+_CLASS = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\p{Z}"
+BLANK = f"[{_CLASS}]"
+WORD = f"[^{_CLASS}]+"
 # ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -43,7 +45,13 @@ def word_count(c: Column) -> Column:
 
 
 def casefold(c: Column) -> Column:
-    return F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
+    return _swap(F.lower(c), (("ß", "ss"), ("ς", "σ"), ("ſ", "s")))
+
+
+def _swap(c: Column, pairs) -> Column:
+    for bad, good in pairs:
+        c = F.replace(c, F.lit(bad), F.lit(good))
+    return c
 
 
 def norm_key(c: Column) -> Column:
@@ -130,10 +138,7 @@ def is_year_heading(c: Column) -> Column:
 
 def slugify(c: Column) -> Column:
     """Lower-case ASCII words joined by '-' (F-21)."""
-    folded = casefold(c)
-    for bad, good in FOLDS_WIDE.items():
-        folded = F.replace(folded, F.lit(bad), F.lit(good))
-    folded = F.translate(folded, *_FOLD_PAIR)
+    folded = fold_latin(_swap(casefold(c), FOLDS_WIDE.items()))
     return F.btrim(F.regexp_replace(folded, r"[^a-z0-9]+", "-"), F.lit("-"))
 
 
@@ -151,6 +156,13 @@ def _fold_pair() -> tuple[str, str]:
 
 
 _FOLD_PAIR = _fold_pair()
+
+
+def fold_latin(c: Column) -> Column:
+    """Lower-case Latin letters without their marks; pure ASCII text is passed through."""
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, *_FOLD_PAIR)).otherwise(c)
+
+
 FOLDS_WIDE = {"æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "þ": "th", "ð": "d"}
 
 

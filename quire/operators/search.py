@@ -17,7 +17,7 @@ K1, B = 1.2, 0.75
 
 def fold(c: Column) -> Column:
     """Lower-case with Latin diacritics removed."""
-    return F.translate(F.lower(c), *tx._FOLD_PAIR)
+    return tx.fold_latin(F.lower(c))
 
 
 def tokens(c: Column) -> Column:

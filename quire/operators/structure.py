@@ -137,17 +137,20 @@ def _segment_summary(target: int):
 
 
 def _compose(target: int):
-    """Walk one document's segment summaries and note the state each segment starts in."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg")
-        held, body, opened, rows = target + 1, 0, 0, []
-        for doc, seg, moves in pdf[["doc_id", "seg", "moves"]].itertuples(index=False):
-            rows.append((doc, seg, held, body, opened))
-            at = 3 * (body * (target + 2) + held)
-            held, body, more = int(moves[at]), int(moves[at + 1]), int(moves[at + 2])
-            opened += more
-        return pd.DataFrame(rows, columns=["doc_id", "seg", "held", "body", "opened"])
+    """Stream the segment summaries of each document in order and note the state each segment starts in."""
+
+    def walk(batches):
+        now, held, body, opened = None, 0, 0, 0
+        for pdf in batches:
+            rows = []
+            for doc, seg, moves in pdf[["doc_id", "seg", "moves"]].itertuples(index=False):
+                if doc != now:
+                    now, held, body, opened = doc, target + 1, 0, 0
+                rows.append((doc, seg, held, body, opened))
+                at = 3 * (body * (target + 2) + held)
+                held, body, more = int(moves[at]), int(moves[at + 1]), int(moves[at + 2])
+                opened += more
+            yield pd.DataFrame(rows, columns=["doc_id", "seg", "held", "body", "opened"])
 
     return walk
 
@@ -185,7 +188,8 @@ def pack_chunks(rows: DataFrame, target: int = 3500, seg: int = SEG) -> DataFram
     summaries = narrow.join(long, "doc_id", "left_semi").groupBy("doc_id", "seg").applyInPandas(
         _segment_summary(target), "doc_id long, seg long, moves array<int>"
     )
-    states = summaries.groupBy("doc_id").applyInPandas(_compose(target), "doc_id long, seg long, held int, body int, opened int")
+    in_order = summaries.repartition("doc_id").sortWithinPartitions("doc_id", "seg")
+    states = in_order.mapInPandas(_compose(target), "doc_id long, seg long, held int, body int, opened int")
     started = narrow.join(states, ["doc_id", "seg"], "left").na.fill({"held": target + 1, "body": 0, "opened": 0})
     return grouped_map(started, ["doc_id", "seg"], ["pos"], _assign(target), "doc_id long, pos int, chunk int")
 

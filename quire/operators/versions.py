@@ -27,13 +27,15 @@ def effective_hash(docs: DataFrame, hashes: DataFrame, blocks: DataFrame, labels
 
 
 def listing_fingerprint(timeline: DataFrame) -> DataFrame:
-    """One hash over an ordered group listing: rows are hashed apart, digests per slice, then over slices (F-12)."""
+    """One hash over an ordered group listing: rows, then slices of a group, then slices of groups (F-12)."""
     rows = timeline.select(
         "sort_order", "rank", F.sha2(F.concat_ws(FP, "name", F.col("rank").cast("string"), "title", "reading_time"), 256).alias("h")
     )
     parts = rows.groupBy("sort_order", segment("rank").alias("seg")).agg(F.sort_array(F.collect_list(F.struct("rank", "h"))).alias("x"))
     parts = parts.select("sort_order", "seg", F.sha2(F.array_join("x.h", ""), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.struct("sort_order", "seg", "h")))["h"], ""), 256).alias("fingerprint"))
+    wide = parts.groupBy(segment("sort_order").alias("top")).agg(F.sort_array(F.collect_list(F.struct("sort_order", "seg", "h"))).alias("x"))
+    tops = wide.select("top", F.sha2(F.array_join("x.h", ""), 256).alias("h"))
+    return tops.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.struct("top", "h")))["h"], ""), 256).alias("fingerprint"))
 
 
 def snapshot(docs: DataFrame, hashes: DataFrame, history: DataFrame, note: str, now: Column) -> DataFrame:

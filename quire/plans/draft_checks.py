@@ -85,7 +85,7 @@ def _(spark, sf):
 
 @check("promote_bold_headings")
 def _(spark, sf):
-    return dr.promote_bold_headings(dr.md_rows(markdown(spark, sf)).where(F.col("kind") != "h2"))
+    return dr.promote_bold_headings(dr.md_rows(markdown(spark, sf)))
 
 
 def _captioned(spark, sf):

@@ -66,14 +66,15 @@ SQL_TARGETS = """tgt AS (SELECT CAST(r_regionkey AS BIGINT) AS target_id, r_name
 
 
 def states(spark, sf):
-    """(sync, snapshots): every line item is a publish of its order to target linenumber - 1; returned ones have an old hash."""
-    li = table(spark, sf, "lineitem").where(F.col("l_linenumber") <= 5).groupBy("l_orderkey", "l_linenumber").agg(
+    """(sync, snapshots): every line item is a publish of its order to one of five targets; returned ones have an old hash."""
+    slot = (F.col("l_linenumber") - 1) % 5
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey", slot.alias("slot")).agg(
         *[F.max(c).alias(c) for c in ("l_linestatus", "l_returnflag", "l_shipdate")]
     )
-    ident = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    ident = F.col("l_orderkey") * 10 + F.col("slot") + 1
     key = F.col("l_orderkey").cast("string")
     rows = li.select(
-        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).cast("long").alias("target_id"),
+        F.col("l_orderkey").alias("doc_id"), F.col("slot").cast("long").alias("target_id"),
         F.when(F.col("l_linestatus") == "O", ident).alias("snapshot_id"), ident.alias("any_id"),
         F.when(F.col("l_returnflag") == "N", "PUBLISHED").otherwise("UNPUBLISHED").alias("status"), F.col("l_shipdate").alias("published_at"),
         F.sha2(F.when(F.col("l_returnflag") == "R", F.concat(key, F.lit("x"))).otherwise(key), 256).alias("content_hash"),
@@ -82,9 +83,9 @@ def states(spark, sf):
     return rows.select("doc_id", "target_id", "snapshot_id", "status", "published_at"), snaps
 
 
-SQL_STATES = """st AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber - 1 AS BIGINT) AS target_id, CASE WHEN l_linestatus = 'O' THEN l_orderkey * 10 + l_linenumber END AS snapshot_id,
-  l_orderkey * 10 + l_linenumber AS any_id, CASE WHEN l_returnflag = 'N' THEN 'PUBLISHED' ELSE 'UNPUBLISHED' END AS status, l_shipdate AS published_at,
-  sha256(CAST(l_orderkey AS VARCHAR) || CASE WHEN l_returnflag = 'R' THEN 'x' ELSE '' END) AS content_hash FROM (SELECT l_orderkey, l_linenumber, max(l_linestatus) AS l_linestatus, max(l_returnflag) AS l_returnflag, max(l_shipdate) AS l_shipdate FROM lineitem WHERE l_linenumber <= 5 GROUP BY ALL))"""
+SQL_STATES = """st AS (SELECT l_orderkey AS doc_id, CAST(slot AS BIGINT) AS target_id, CASE WHEN l_linestatus = 'O' THEN l_orderkey * 10 + slot + 1 END AS snapshot_id,
+  l_orderkey * 10 + slot + 1 AS any_id, CASE WHEN l_returnflag = 'N' THEN 'PUBLISHED' ELSE 'UNPUBLISHED' END AS status, l_shipdate AS published_at,
+  sha256(CAST(l_orderkey AS VARCHAR) || CASE WHEN l_returnflag = 'R' THEN 'x' ELSE '' END) AS content_hash FROM (SELECT l_orderkey, (l_linenumber - 1) % 5 AS slot, max(l_linestatus) AS l_linestatus, max(l_returnflag) AS l_returnflag, max(l_shipdate) AS l_shipdate FROM lineitem GROUP BY ALL))"""
 
 _MATRIX = f"""{SQL_LIB}, {SQL_TARGETS}, {SQL_STATES},
 mx AS (SELECT l.doc_id, t.target_id, coalesce(s.status, 'NEVER_PUBLISHED') AS status,
@@ -588,7 +589,7 @@ def _(spark, sf):
 
 @check("unique_slugs")
 def _(spark, sf):
-    rows = lines(spark, sf).where(F.length("text") <= 60)
+    rows = lines(spark, sf)
     docs = rows.select((F.col("doc_id") * 100_000 + F.col("pos")).alias("doc_id"), F.col("text").alias("title"), F.lit("").alias("date_stem"))
     existing = rows.where(F.length("text") < 30).select(F.concat(tx.slugify(F.col("text")), F.lit("-"), (F.col("pos") % 4 + 2).cast("string")).alias("slug"))
     return lb.unique_slugs(docs, existing)
@@ -734,8 +735,9 @@ def _(spark, sf):
     f"""WITH {SQL_LIB}, {SQL_GROUPS}, t AS (SELECT g.sort_order, row_number() OVER (PARTITION BY l.group_id ORDER BY start, slug) AS rank, g.name, title, replace({_time_sql('words')}, ' read', '') AS rt
       FROM lib l JOIN grp g ON g.group_id = l.group_id WHERE kind = 'memoir'),
     h AS (SELECT sort_order, rank, sha256(concat_ws(chr(28), name, CAST(rank AS VARCHAR), title, rt)) AS h FROM t),
-    s AS (SELECT sort_order, rank // 4096 AS seg, sha256(string_agg(h, '' ORDER BY rank)) AS h FROM h GROUP BY ALL)
-    SELECT sha256(string_agg(h, '' ORDER BY sort_order, seg)) AS fingerprint FROM s""",
+    s AS (SELECT sort_order, rank // 4096 AS seg, sha256(string_agg(h, '' ORDER BY rank)) AS h FROM h GROUP BY ALL),
+    w AS (SELECT sort_order // 4096 AS top, sha256(string_agg(h, '' ORDER BY sort_order, seg)) AS h FROM s GROUP BY ALL)
+    SELECT sha256(string_agg(h, '' ORDER BY top)) AS fingerprint FROM w""",
 )
 def _(spark, sf):
     return vs.listing_fingerprint(timeline(spark, sf))
@@ -746,11 +748,11 @@ def _(spark, sf):
 
 def _figs(spark, sf):
     """Figures: every line of a document, its content id and a small props map."""
-    rows = lines(spark, sf, "lang").where(F.length("text") <= 100)
+    rows = lines(spark, sf, "lang")
     return rows.select("doc_id", "pos", F.sha2("text", 256).alias("sha256"), F.create_map(F.lit("at"), F.col("pos").cast("string")).alias("props"), "lang")
 
 
-_FIG = f"{SQL_LINES}, fig AS (SELECT doc_id, lang, pos, sha256(text) AS sha256 FROM lines WHERE length(text) <= 100)"
+_FIG = f"{SQL_LINES}, fig AS (SELECT doc_id, lang, pos, sha256(text) AS sha256 FROM lines)"
 
 
 @check(
@@ -878,14 +880,14 @@ def _(spark, sf):
 
 @check(
     "incremental_asset_plan",
-    """WITH s AS (SELECT 'p' || l_partkey AS path, sha256(max(l_returnflag)) AS h FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL), d AS (SELECT 'p' || l_partkey AS path, sha256(min(l_returnflag)) AS h FROM lineitem WHERE l_linenumber = 2 GROUP BY ALL)
+    """WITH s AS (SELECT 'p' || l_partkey AS path, sha256(max(l_returnflag || l_linestatus)) AS h FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL), d AS (SELECT 'p' || l_partkey AS path, sha256(max(l_returnflag || l_linestatus)) AS h FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL)
     SELECT coalesce(s.path, d.path) AS path, coalesce(s.h, d.h) AS sha256, CASE WHEN s.path IS NULL THEN 'keep' WHEN d.path IS NULL OR d.h <> s.h THEN 'write' ELSE 'skip' END AS action FROM s FULL JOIN d ON s.path = d.path""",
 )
 def _(spark, sf):
     li = table(spark, sf, "lineitem")
     path = F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path")
-    src = li.where(F.col("l_linenumber") == 1).groupBy(path).agg(F.sha2(F.max("l_returnflag"), 256).alias("sha256"))
-    dst = li.where(F.col("l_linenumber") == 2).groupBy(path).agg(F.sha2(F.min("l_returnflag"), 256).alias("sha256"))
+    src = li.where(F.col("l_returnflag") != "A").groupBy(path).agg(F.sha2(F.max(F.concat("l_returnflag", "l_linestatus")), 256).alias("sha256"))
+    dst = li.where(F.col("l_linestatus") == "O").groupBy(path).agg(F.sha2(F.max(F.concat("l_returnflag", "l_linestatus")), 256).alias("sha256"))
     return sk.incremental_asset_plan(src, dst)
 
 

@@ -148,11 +148,11 @@ def _(spark, sf):
 
 @check(
     "triage",
-    f"""WITH {_REV} SELECT doc_id, pos, CASE WHEN length(a) % 7 = 0 THEN 'untouched' WHEN k = 0 THEN 'unchanged' WHEN k = 1 THEN 'apply' ELSE 'flag' END AS action FROM rev""",
+    f"""WITH {_REV} SELECT doc_id, pos, CASE WHEN NOT contains(a, 'e') THEN 'untouched' WHEN k = 0 THEN 'unchanged' WHEN k = 1 THEN 'apply' ELSE 'flag' END AS action FROM rev""",
 )
 def _(spark, sf):
     a, b = _revised(spark, sf)
-    answered = a.where(F.length("text") % 7 != 0).select("doc_id", "pos")
+    answered = a.where(F.col("text").contains("e")).select("doc_id", "pos")
     verdicts = cp.fidelity(a, b.join(answered, ["doc_id", "pos"], "left_semi"), ["doc_id", "pos"])
     return cp.triage(a, verdicts, ["doc_id", "pos"])
 
@@ -178,12 +178,12 @@ def _(spark, sf):
 @check(
     "coverage_ratio",
     """SELECT b.item_id, CAST(coalesce(r, 1.0) AS DOUBLE) AS ratio FROM benchmark b LEFT JOIN (
-      SELECT item_id, sum(CASE WHEN length(w) > 4 THEN 1 ELSE 0 END) / count(*) AS r FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE item_id % 10 <> 0 GROUP BY item_id) x ON x.item_id = b.item_id""",
+      SELECT item_id, sum(CASE WHEN length(w) > 4 THEN 1 ELSE 0 END) / count(*) AS r FROM (SELECT item_id, text, unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE contains(text, ',') GROUP BY item_id) x ON x.item_id = b.item_id""",
 )
 def _(spark, sf):
-    """Words are the blocks, the long ones have replies; every tenth item expects none."""
+    """Words are the blocks, the long ones have replies; an item without a comma expects none."""
     items = table(spark, sf, "benchmark")
-    words = items.where(F.col("item_id") % 10 != 0).select("item_id", F.posexplode(F.split("text", " ")).alias("block_id", "w"))
+    words = items.where(F.col("text").contains(",")).select("item_id", F.posexplode(F.split("text", " ")).alias("block_id", "w"))
     return cp.coverage_ratio(words.drop("w"), words.where(F.length("w") > 4).drop("w"), items, ["item_id"])
 
 
