@@ -33,37 +33,39 @@ def _lines_to(text: Column, brk: str) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\n"), F.lit(brk))
 
 
+def _if(flag: Column, text: str | Column) -> Column:
+    return F.when(flag, text).otherwise("")
+
+
+def _around(r, before: Column, text: Column, after: Column, link_open: Column, link_close: Column) -> Column:
+    """The run's text once, between its marks and inside its link when it has one."""
+    linked = r["href"].isNotNull()
+    return F.concat(_if(linked, link_open), before, text, after, _if(linked, link_close))
+
+
 def inline_html(runs: Column) -> Column:
     """Escaped text, style wrappers, note markers and links (F-03)."""
 
     def one(r):
         text = _lines_to(tx.html_escape(F.coalesce(r["text"], F.lit(""))), "<br>")
-        styled = text
-        for name, tag in reversed(STYLE_TAGS):
-            styled = F.when(_flag(r, name), F.concat(F.lit(f"<{tag}>"), styled, F.lit(f"</{tag}>"))).otherwise(styled)
-        shown = F.when(_flag(r, "fn_ref"), F.concat(F.lit('<sup class="fn-ref">'), text, F.lit("</sup>"))).otherwise(styled)
-        link = F.concat(F.lit('<a href="'), tx.html_escape(r["href"], True), F.lit('">'), shown, F.lit("</a>"))
-        return F.when(r["href"].isNotNull(), link).otherwise(shown)
+        note = _flag(r, "fn_ref")
+        opens = F.concat(*[_if(_flag(r, name), f"<{tag}>") for name, tag in STYLE_TAGS])
+        closes = F.concat(*[_if(_flag(r, name), f"</{tag}>") for name, tag in reversed(STYLE_TAGS)])
+        before = F.when(note, '<sup class="fn-ref">').otherwise(opens)
+        after = F.when(note, "</sup>").otherwise(closes)
+        link = F.concat(F.lit('<a href="'), tx.html_escape(r["href"], True), F.lit('">'))
+        return _around(r, before, text, after, link, F.lit("</a>"))
 
     return _joined(runs, one)
 
 
-def _linked(r, shown: Column) -> Column:
-    return F.when(r["href"].isNotNull(), F.concat(F.lit("["), shown, F.lit("]("), r["href"], F.lit(")"))).otherwise(shown)
-
-
-def _wrap(text: Column, mark: str) -> Column:
-    return F.concat(F.lit(mark), text, F.lit(mark))
+def _stars(r) -> Column:
+    bold, italic = _flag(r, "bold"), _flag(r, "italic")
+    return F.when(bold & italic, "***").when(bold, "**").when(italic, "*").otherwise("")
 
 
-def _emphasis(r, text: Column) -> Column:
-    bold, italic = _flag(r, "bold"), _flag(r, "italic")
-    return (
-        F.when(bold & italic, _wrap(text, "***"))
-        .when(bold, _wrap(text, "**"))
-        .when(italic, _wrap(text, "*"))
-        .otherwise(text)
-    )
+def _md_link_end(r) -> Column:
+    return F.concat(F.lit("]("), r["href"], F.lit(")"))
 
 
 def inline_md(runs: Column) -> Column:
@@ -71,9 +73,10 @@ def inline_md(runs: Column) -> Column:
 
     def one(r):
         text = _lines_to(F.coalesce(r["text"], F.lit("")), "  \n")
-        coded = F.when(_flag(r, "code"), _wrap(text, "`")).otherwise(text)
-        note = F.concat(F.lit("["), text, F.lit("]"))
-        return _linked(r, F.when(_flag(r, "fn_ref"), note).otherwise(_emphasis(r, coded)))
+        note, tick = _flag(r, "fn_ref"), _if(_flag(r, "code"), "`")
+        before = F.when(note, "[").otherwise(F.concat(_stars(r), tick))
+        after = F.when(note, "]").otherwise(F.concat(tick, _stars(r)))
+        return _around(r, before, text, after, F.lit("["), _md_link_end(r))
 
     return _joined(runs, one)
 
@@ -82,10 +85,9 @@ def polish_text(runs: Column) -> Column:
     """Markdown with [^N] markers; code excludes the other marks (F-05)."""
 
     def one(r):
-        text = F.coalesce(r["text"], F.lit(""))
-        note = F.concat(F.lit("[^"), text, F.lit("]"))
-        styled = F.when(_flag(r, "code"), _wrap(text, "`")).otherwise(_emphasis(r, text))
-        return _linked(r, F.when(_flag(r, "fn_ref"), note).otherwise(styled))
+        note, mark = _flag(r, "fn_ref"), F.when(_flag(r, "code"), "`").otherwise(_stars(r))
+        before, after = F.when(note, "[^").otherwise(mark), F.when(note, "]").otherwise(mark)
+        return _around(r, before, F.coalesce(r["text"], F.lit("")), after, F.lit("["), _md_link_end(r))
 
     return _joined(runs, one)
 
@@ -94,11 +96,11 @@ def spoken_text(runs: Column) -> Column:
     """Run text with every rendered tag turned into a space, for word counting (A-01)."""
 
     def one(r):
-        text = _lines_to(F.coalesce(r["text"], F.lit("")), " ")
         tagged = _flag(r, "fn_ref") | r["href"].isNotNull()
         for name, _ in STYLE_TAGS:
             tagged = tagged | _flag(r, name)
-        return F.when(tagged, F.concat(F.lit(" "), text, F.lit(" "))).otherwise(text)
+        gap = _if(tagged, " ")
+        return F.concat(gap, _lines_to(F.coalesce(r["text"], F.lit("")), " "), gap)
 
     return _joined(runs, one)
 

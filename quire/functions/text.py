@@ -242,4 +242,5 @@ def bind_digit_refs(text: Column, known: Column) -> Column:
         kept = F.substring(piece, F.lit(1), F.length(piece) - F.length(n))
         return F.when(hit, F.concat(kept, F.lit("[^"), n.cast("int").cast("string"), F.lit("]"))).otherwise(piece)
 
-    return F.when(F.size(known) > 0, F.array_join(F.transform(pieces, mark), "")).otherwise(text)
+    worth = (F.size(known) > 0) & text.rlike(r"[A-Za-z]\d")
+    return F.when(worth, F.array_join(F.transform(pieces, mark), "")).otherwise(text)

@@ -30,6 +30,11 @@ def md_line(c, i):
     )
 
 
+def md_once(spark, sf):
+    """Markdown rows written out, for steps that read them several times."""
+    return cut_lineage(dr.md_rows(markdown(spark, sf)))
+
+
 def markdown(spark, sf):
     """One Markdown text per document, built from its lines."""
     strip = F.filter(F.transform(F.split("text", "\n"), tx.strip), lambda p: p != "")
@@ -60,7 +65,7 @@ def _(spark, sf):
     SELECT doc_id, s AS src, arg_min(text, pos) AS caption FROM near WHERE kind = 'figcaption' AND s IS NOT NULL GROUP BY ALL""",
 )
 def _(spark, sf):
-    return dr.figcaptions(dr.md_rows(markdown(spark, sf)))[0]
+    return dr.figcaptions(md_once(spark, sf))[0]
 
 
 @check(
@@ -80,12 +85,12 @@ def _(spark, sf):
     FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""",
 )
 def _(spark, sf):
-    return dr.mark_gallery_captions(dr.md_rows(markdown(spark, sf))).select("doc_id", "pos", "gallery_caption")
+    return dr.mark_gallery_captions(md_once(spark, sf)).select("doc_id", "pos", "gallery_caption")
 
 
 @check("promote_bold_headings")
 def _(spark, sf):
-    return dr.promote_bold_headings(dr.md_rows(markdown(spark, sf)))
+    return dr.promote_bold_headings(md_once(spark, sf))
 
 
 def _captioned(spark, sf):
@@ -318,7 +323,7 @@ def _(spark, sf):
     FROM near n LEFT JOIN caps c ON c.doc_id = n.doc_id AND c.src = n.src WHERE n.kind = 'image'""",
 )
 def _(spark, sf):
-    rows = dr.md_rows(markdown(spark, sf)).withColumnRenamed("src", "image")
+    rows = md_once(spark, sf).withColumnRenamed("src", "image")
     caps, _ = dr.figcaptions(rows.withColumnRenamed("image", "src"))
     near = dr.nearby_captions(rows.withColumn("text", F.when(F.col("kind").isin("p", "image"), F.col("text"))))
     none = caps.select("doc_id", F.col("src").alias("image"), "caption")
