@@ -59,6 +59,12 @@ def norm_key(c: Column) -> Column:
     return squeeze(casefold(strip(c)))
 
 
+def key_digest(c: Column) -> Column:
+    """The comparison key itself when short, else its sha256: groups alike without shuffling long text."""
+    k = norm_key(c)
+    return F.when(F.length(k) <= 40, k).otherwise(F.sha2(k, 256))
+
+
 def reading_time(n_words: Column, wpm: int = 200) -> Column:
     """'' / '~N min read' / '~N½ hr read', rounding halves to even (F-08)."""
     minutes = n_words / F.lit(wpm)

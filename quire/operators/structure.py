@@ -179,10 +179,10 @@ def pack_chunks(rows: DataFrame, target: int = 3500, seg: int = SEG) -> DataFram
     table of that state, the tables are composed per document, and the
     segments are then numbered in parallel; only token counts are shuffled.
     """
-    narrow = rows.select(
+    narrow = cut_lineage(rows.select(
         "doc_id", "pos", segment("pos", seg).alias("seg"), F.col("kind").isin("h1", "h2", "h3").alias("heading"),
         tx.estimated_tokens(F.col("text")).alias("tokens"),
-    )
+    ))
     segs = narrow.groupBy("doc_id").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi"))
     long = segs.where(F.col("lo") < F.col("hi")).select("doc_id")
     summaries = narrow.join(long, "doc_id", "left_semi").groupBy("doc_id", "seg").applyInPandas(

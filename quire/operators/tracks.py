@@ -15,21 +15,15 @@ def keep_first(
     """First row per (group, normalised key); blank keys go, exempt rows all stay (A-06).
 
     A grouped minimum keeps one row per key map-side, so a key repeated a
-    billion times still shuffles one row per task; ``seq`` is the kept order.
+    billion times still shuffles one row per task; long keys travel as digests.
+    ``seq`` is the kept order.
     """
     cols = rows.columns
-    keyed = rows.withColumn("__k", tx.norm_key(key))
-    # an exempt row keeps its own place as its key, so it can never collide
-    own = F.concat_ws("\x1f", *[F.col(o).cast("string") for o in order])
-    if exempt is not None:
-        keyed = keyed.withColumn("__own", F.when(exempt, own))
-    else:
-        keyed = keyed.withColumn("__own", F.lit(None).cast("string"))
-        keyed = keyed.where(F.col("__k") != "")
-    if exempt is not None:
-        keyed = keyed.where(F.col("__own").isNotNull() | (F.col("__k") != "")).withColumn(
-            "__k", F.when(F.col("__own").isNotNull(), F.lit("")).otherwise(F.col("__k"))
-        )
+    free = F.lit(False) if exempt is None else exempt
+    # an exempt row is keyed by its own place, so it never meets another
+    place = F.concat_ws("\x1f", *[F.col(o).cast("string") for o in order])
+    keyed = rows.withColumns({"__own": F.when(free, place), "__k": F.when(free, "").otherwise(tx.key_digest(key))})
+    keyed = keyed.where(F.col("__own").isNotNull() | (F.col("__k") != ""))
     rest = [c for c in cols if c not in group and c not in order]
     first = F.min_by(F.struct(*[F.col(c) for c in [*order, *rest]]), F.struct(*order))
     kept = keyed.groupBy(*group, "__k", "__own").agg(first.alias("__r")).select(*group, "__r.*")

@@ -39,7 +39,7 @@ SELECT *, {_time_sql('words')} AS reading_time, round(repeats / paragraphs, 6) A
 def corpus_profile(spark, sf):
     """Per source and language: size, reading time, share of repeated lines."""
     rows = lines(spark, sf, "source", "lang")
-    one = rows.select("doc_id", "source", "lang", tx.norm_key(F.col("text")).alias("k"), tx.word_count(F.col("text")).alias("w"))
+    one = rows.select("doc_id", "source", "lang", tx.key_digest(F.col("text")).alias("k"), tx.word_count(F.col("text")).alias("w"))
     per_key = one.groupBy("doc_id", "source", "lang", "k").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
     per_doc = per_key.groupBy("doc_id", "source", "lang").agg(
         F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(F.col("n") - 1).alias("r")
