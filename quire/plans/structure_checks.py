@@ -8,11 +8,16 @@ from quire.functions import text as tx
 from quire.operators import linear as ln
 from quire.operators import structure as st
 from quire.operators.blocks import polishable, to_narrative, word_counts
-from quire.plans.inputs import SQL_TYPED, sql_count_words, table, typed
+from quire.plans.inputs import SQL_TYPED, sql_count_words, sql_norm_key, table, typed
 from quire.plans.registry import check
 from quire.plans.text_checks import styled
 from quire.sources.tables import as_runs
 
+_SLUG = (
+    "trim(regexp_replace(strip_accents(replace(replace(replace(replace(replace(replace(" + sql_norm_key("line")
+    + ", 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o'), 'đ', 'd'), 'ł', 'l'), 'ð', 'd')), '[^a-z0-9]+', '-', 'g'), '-')"
+)
+
 _LINE = """CASE type WHEN 'image' THEN '[Figure: ' || trim(caption) || ']' WHEN 'footnote' THEN '[' || marker || '] ' || line
   WHEN 'narrative' THEN '> ' || line WHEN 'quote' THEN '> ' || line WHEN 'paragraph' THEN line WHEN 'heading' THEN NULL ELSE '- ' || line END"""
 
@@ -157,7 +162,12 @@ def _(spark, sf):
     return st.next_marker(_referring(spark, sf))
 
 
-@check("heading_anchors")
+@check(
+    "heading_anchors",
+    f"""WITH {SQL_TYPED}, h AS (SELECT doc_id, pos, level, line AS text, {_SLUG} AS slug FROM typed WHERE type = 'heading'),
+    n AS (SELECT *, CASE slug WHEN '' THEN 'section' ELSE slug END AS base FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY pos) AS k FROM n)
+    SELECT doc_id, pos, level, text, base || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS anchor FROM r""",
+)
 def _(spark, sf):
     return st.heading_anchors(st.toc_headings(typed(spark, sf)))
 
