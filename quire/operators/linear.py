@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import runs as rn
 from quire.functions import text as tx
 from quire.operators.blocks import prop, word_counts
-from quire.operators.ordered import assemble, following, islands, number_rows, scan, segment
+from quire.operators.ordered import assemble, following, islands, scan
 from quire.operators.structure import LISTS, emitted, figure_numbers, heading_anchors, lead_flags, toc_headings
 from quire.session import cut_lineage
 

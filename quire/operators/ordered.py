@@ -109,9 +109,7 @@ def scan(df: DataFrame, keys: Sequence[str] = ("doc_id",), pos: str = "pos", seg
         .select(*keys, "__seg", *carried)
     )
     done = d.withColumns(local).join(bases, [*keys, "__seg"], "left").withColumns(final)
-    return done.select(*df.columns, *[o for o in specs if o not in df.columns]) if not set(specs) & set(df.columns) else done.select(
-        *[c for c in df.columns if c not in specs], *specs
-    )
+    return done.select(*[c for c in df.columns if c not in specs], *specs)
 
 
 def number_rows(

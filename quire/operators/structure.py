@@ -11,7 +11,7 @@ from quire.functions import runs as rn
 from quire.functions import text as tx
 from quire.operators.blocks import heading_level, prop
 from quire.operators.ordered import (
-    SEG, assemble, following, grouped_map, islands, latest, number_rows, prev, running, scan, segment,
+    SEG, grouped_map, islands, latest, number_rows, prev, running, scan, segment,
 )
 from quire.session import cut_lineage
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators import drafts as dr
-from quire.operators.ordered import following, islands, number_rows, prev, scan, segment
+from quire.operators.ordered import following, prev, scan
 from quire.plans.inputs import SQL_DRAFTS, SQL_LINES, drafts, lines, sql_strip, table
 from quire.plans.registry import check
 from quire.session import cut_lineage

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators import assets as az
-from quire.operators import blocks as bl
 from quire.operators import library as lb
 from quire.operators import versions as vs
 from quire.plans.inputs import SQL_LINES, SQL_TYPED, lines, table, typed

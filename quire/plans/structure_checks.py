@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions import text as tx
 from quire.operators import linear as ln
 from quire.operators import structure as st
-from quire.operators.blocks import polishable, to_narrative, word_counts
+from quire.operators.blocks import polishable, to_narrative
 from quire.plans.inputs import SQL_TYPED, sql_count_words, sql_norm_key, table, typed
 from quire.plans.registry import check
 from quire.plans.text_checks import styled

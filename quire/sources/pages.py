@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from html import escape
 from html.parser import HTMLParser
 
