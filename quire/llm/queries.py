@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import block_naming, chat_windows, source_mix, url_rules
+from quire.llm import block_naming, chat_windows, decontaminate, repeated_windows, source_mix, url_rules
 from quire.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,28 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 )
 def op9_block_naming(spark: SparkSession, sf: str) -> DataFrame:
     return block_naming.duplicates(table(spark, sf, "documents"))
+
+
+@query("op5_decontaminate")
+def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query(
+    "op10_repeated_windows",
+    r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS i, words FROM w WHERE len(words) >= 35),
+windows AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM starts),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT doc_id, list(i) AS hits FROM windows SEMI JOIN twice USING (h) GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS place FROM (SELECT doc_id, unnest(hits) AS i FROM hit), range(0, 35) AS r(k)),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+numbered AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS t FROM numbered ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+)
+def op10_repeated_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_windows.remove_repeats(table(spark, sf, "documents")).drop("kept_text")
