@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import block_naming, chat_windows, decontaminate, repeated_windows, source_mix, url_rules
+from quire.llm import block_naming, chat_windows, decontaminate, jaccard_join, repeated_windows, source_mix, url_rules
 from quire.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,8 @@ FROM w LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 )
 def op10_repeated_windows(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_windows.remove_repeats(table(spark, sf, "documents")).drop("kept_text")
+
+
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf, "documents"))
