@@ -23,6 +23,11 @@ def table(spark, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def fold(parts: int, doc_id: str = "doc_id") -> Column:
+    """Fold of a document: crc32 of its id as text (null: empty), modulo ``parts``."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % parts
+
+
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Equality of ``keys`` in which null equals null."""
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))

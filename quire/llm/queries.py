@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import block_naming, chat_windows, decontaminate, jaccard_join, repeated_windows, source_mix, url_rules
-from quire.llm.common import table
+import corpus_pipeline
+from quire.llm import (
+    block_naming, chat_windows, decontaminate, jaccard_join, language_kernel, quality_pu, repeated_windows, secret_links, source_mix, url_rules,
+)
+from quire.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +169,32 @@ def op10_repeated_windows(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_jaccard_join")
 def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op1_quality_pu")
+def op1_quality_pu(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    scored = quality_pu.score(docs, quality_pu.from_labels(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= quality_pu.LEAST).cast("int").alias("predicted"))
+
+
+@query("op4_secret_links")
+def op4_secret_links(spark: SparkSession, sf: str) -> DataFrame:
+    found = secret_links.find_secrets(table(spark, sf, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_links.joined("base"), 256).alias("base_sha256"), secret_links.joined("all").alias("spans"),
+    )
+
+
+@query("op8_language_kernel")
+def op8_language_kernel(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = language_kernel.fit(language_kernel.sample(docs, fold(3) != 1))
+    return language_kernel.identify(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
