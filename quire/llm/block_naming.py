@@ -17,7 +17,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, prefix_sums, text_or_empty
+from quire.llm.common import SPACES, fresh, prefix_sums, text_or_empty
 from quire.session import cut_lineage
 
 #: Code points in a block.
@@ -97,6 +97,7 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size
 def unique_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rows alike in id and text stay once."""
     kept = duplicates(docs, text, doc_id, size).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_sha256", F.sha2(normalised(text), 256))
-    found = rows.join(kept, rows[doc_id].eqNullSafe(kept["_id"]) & (rows["_sha256"] == kept["_sha"]), "left_semi")
-    return found.dropDuplicates([doc_id, "_sha256"]).drop("_sha256")
+    sha = fresh(docs, "_sha256")
+    rows = docs.withColumn(sha, F.sha2(normalised(text), 256))
+    found = rows.join(kept, rows[doc_id].eqNullSafe(kept["_id"]) & (rows[sha] == kept["_sha"]), "left_semi")
+    return found.dropDuplicates([doc_id, sha]).drop(sha)

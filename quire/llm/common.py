@@ -33,6 +33,20 @@ def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame, *but: str) -> list[Column]:
+    """All columns of ``df`` but some, bound to it, so that a joined table may have columns of the same names."""
+    left_out = {c.lower() for c in but}
+    return [df[f"`{c}`"] for c in df.columns if c.lower() not in left_out]
+
+
 def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
     """Adds each named sum over the rows before this one, in ``order`` inside ``group`` (no nulls in ``group``).
 

@@ -133,7 +133,7 @@ def _rank(salt: str) -> Column:
 def fit(docs: DataFrame, positive_ids: DataFrame, allowed: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict | None:
     """A model from ids of trusted positives (doc_id) and from ``docs`` as unlabelled text, both where ``allowed``.
 
-    At most so many ids of least hash are fitted on. None if either sample is empty.
+    At most so many ids of least hash are fitted on. None if either sample has fewer than two texts.
     """
     ids = docs.filter(allowed & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     trusted = positive_ids.filter(allowed & F.col("doc_id").isNotNull()).select("doc_id").distinct()
@@ -142,10 +142,10 @@ def fit(docs: DataFrame, positive_ids: DataFrame, allowed: Column, positives: in
     # At most positives + unlabelled ids of a few bytes each.
     texts = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id").select("positive", "text")
     rows = sorted((r[0], bytes(r[1])) for r in texts.mapInArrow(_features, "positive boolean, x binary").collect())
-    x = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.float16).reshape(len(rows), -1).astype(np.float32)
     is_positive = np.array([r[0] for r in rows], dtype=bool)
-    if is_positive.all() or not is_positive.any():
+    if min(is_positive.sum(), (~is_positive).sum()) < 2:
         return None
+    x = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.float16).reshape(len(rows), -1).astype(np.float32)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     x = np.clip((x - mean) / scale, -8, 8)
     rng = np.random.default_rng(0)

@@ -36,11 +36,11 @@ ENTROPY = 3.2
 #: The patterns of the strong kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
+HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that are long enough
 # Weak kinds, this method's own.
 NAME = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.I | re.A)
 ENTROPIC = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,9}://[^\s"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b""", re.A)
+ENDPOINT = re.compile(r"""(?<![a-z0-9+])[a-z][a-z0-9+]{1,9}://[^\s"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b""", re.A)
 
 
 def _entropy(s: str) -> float:
@@ -51,7 +51,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of all parts of one text, strong and weak; weak ones that a strong one covers are left out."""
     found = [(0, m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(1, m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    found += [(2, m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
+    found += [(2, m.start(), m.end()) for m in HEX.finditer(text)]
     strong = sorted((a, b) for _, a, b in found)
     weak = [(3, m.start(), m.end()) for m in NAME.finditer(text)]
     weak += [(4, m.start(), m.end()) for m in ENTROPIC.finditer(text) if _entropy(m[0]) >= ENTROPY]

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, prefix_sums, text_or_empty
+from quire.llm.common import WORD, columns, prefix_sums, text_or_empty
 
 #: Weights of the sources in order, repeated.
 WEIGHTS = (1, 2, 3)
@@ -68,10 +68,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = EPOCH
 def mixed_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix written out: a row of ``docs`` for each epoch it is read in, with ``epoch`` and ``taken_words`` of it.
 
-    Rows are matched by doc_id, which identifies a document here; documents that the mix does not reach are left out.
+    Rows are matched by doc_id, which identifies a document here; documents that the mix does not reach are left out, and
+    input columns of the two names are replaced.
     """
-    plan = mix(docs, weights, epochs, seed).filter("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")
-    )
-    plan = plan.select("_id", "_size", F.posexplode(F.expr("transform(sequence(0L, (_taken - 1) div _size), e -> least(_size, _taken - e * _size))")).alias("epoch", "taken_words"))
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).drop("_id", "_size")
+    plan = mix(docs, weights, epochs, seed).filter("taken > 0").select("doc_id", "size", "taken")
+    parts = F.expr("transform(sequence(0L, (taken - 1) div size), e -> least(size, taken - e * size))")
+    plan = plan.select("doc_id", F.posexplode(parts).alias("epoch", "taken_words"))
+    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"]))
+    return rows.select(*columns(docs, "epoch", "taken_words"), plan["epoch"], plan["taken_words"])

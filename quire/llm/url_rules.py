@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.common import columns
+
 #: (rule, kind, verdict). The host rules; the patterns are this method's own.
 RULES = (
     ("org/", "host", "allow"),
@@ -97,8 +99,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, url: str = "url
         F.when(F.col("top").isNotNull(), F.when(F.col("top.yes") == 1, "allow").otherwise("block"))
         .when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("_verdict"),
     )
-    rows = pages.withColumns(dict(zip(("host", "path"), url_parts(F.col(url)))))
-    return (
-        rows.join(best, F.coalesce(rows[url], F.lit("")) == best["_url"], "left")
-        .withColumns({"rule": F.col("_rule"), "verdict": F.coalesce("_verdict", F.lit("allow"))}).drop("_url", "_rule", "_verdict")
+    parts = url_parts(pages[f"`{url}`"])
+    return pages.join(best, F.coalesce(pages[f"`{url}`"], F.lit("")) == best["_url"], "left").select(
+        *columns(pages, "host", "path", "rule", "verdict"), parts[0].alias("host"), parts[1].alias("path"),
+        best["_rule"].alias("rule"), F.coalesce(best["_verdict"], F.lit("allow")).alias("verdict"),
     )
