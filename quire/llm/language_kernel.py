@@ -104,7 +104,8 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             best = margin.argmax(axis=1)
             part = batch.slice(lo, hi - lo)
             letters = part.column(1).to_numpy(zero_copy_only=False)
-            score = np.clip((margin[np.arange(len(best)), best] + 1) / 2, 0, 1).astype(np.float64)
+            # Rounded, since the order in which a product is summed depends on the batch.
+            score = np.round(np.clip((margin[np.arange(len(best)), best] + 1) / 2, 0, 1).astype(np.float64), 4)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([langs[k] if ok else "und" for k, ok in zip(best, letters)], pa.string()), pa.array(np.where(letters, score, 0.0))],
                 names=["doc_id", "lang_pred", "score"],

@@ -169,7 +169,8 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
                 score = np.full(hi - lo, 0.5)
             else:
                 x = np.clip((features(data, offsets).astype(np.float16).astype(np.float32) - model["mean"]) / model["scale"], -8, 8)
-                score = _sigmoid(x @ model["weights"][:-1] + model["weights"][-1]).astype(np.float64)
+                # Rounded, since the order in which a product is summed depends on the batch.
+                score = np.round(_sigmoid(x @ model["weights"][:-1] + model["weights"][-1]), 9)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score)], names=["doc_id", "score"])
 
 
