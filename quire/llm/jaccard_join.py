@@ -5,8 +5,8 @@ what links connect. Exact copies are one node from the start.
 
 Candidates. MinHash bands put texts of similarity 0.8 into a common bucket but for a chance below 1e-7. All pairs of a
 small bucket are candidates. Texts of larger buckets, which may hold any share of the corpus, are joined exactly by prefix
-filter instead: of each text the rarest shingles by their count among these texts, as many as guarantee that two linked
-texts share one. Each shared shingle links its texts to one leader, the text in which the fewest rarer shingles come
+filter instead: of each text the rarest shingles by a sketch of their counts in these texts, as many as guarantee that two
+linked texts share one. Each shared shingle links its texts to one leader, the text in which the fewest rarer shingles come
 first; the few that are not of the leader's class afterwards meet the other classes there. Length and position bounds
 apply before a pair is made, so a group of near copies costs about its size, and no link between classes is lost.
 
@@ -34,6 +34,8 @@ HASHES, BAND, STEP = 128, 4, 16
 TOLERANCE = 1e-7
 #: Texts in a bucket up to which all its pairs are made.
 SMALL = 48
+#: Cells of the sketch that orders the shingles of texts in larger buckets (4 bytes each in every task).
+CELLS = 1 << 21
 
 KEYS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 
@@ -125,23 +127,46 @@ def components(links: DataFrame) -> DataFrame:
         label = lower.select("id", "class")
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cells(shingle: np.ndarray) -> np.ndarray:
+    return (mix64(shingle ^ U64(0x2545F4914F6CDD1D)) >> U64(64 - (CELLS.bit_length() - 1))).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cell, n = np.unique(cells(np.concatenate([*_sets(batch.column(0)), np.zeros(0, dtype=np.uint64)])), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], shared, similarity: float) -> Iterator[pa.RecordBatch]:
+    common = shared.value
     for batch in batches:
         sets = _sets(batch.column(1))
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        flat = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "shingles"])
+        ranked = [s[np.lexsort((s, common[cells(s)]))][: len(s) - int(np.ceil(len(s) * similarity - 1e-9)) + 1] for s in sets]
+        lens = np.array([len(r) for r in ranked], dtype=np.int64)
+        flat = np.concatenate([*ranked, np.zeros(0, dtype=np.uint64)])
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+        shared_by_some = common[cells(flat)] > 1
+        of = np.repeat(np.arange(len(lens)), lens)[shared_by_some]
+        size = np.array([len(s) for s in sets], dtype=np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(of)), pa.array(size[of]), pa.array(place[shared_by_some].astype(np.int32)), pa.array(flat[shared_by_some].view(np.int64))],
+            names=["id", "n", "place", "shingle"],
+        )
 
 
 def _prefixes(texts: DataFrame, similarity: float) -> DataFrame:
-    """id, n, place, shingle: the shared ones among each text's rarest shingles, as many as the threshold asks for."""
-    sets = texts.select("id", "text").mapInArrow(_shingle_sets, "id long, shingles array<long>")
-    each = written(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "sets")
-    seen = each.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = each.join(seen, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("rarest"))
-    length = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
-    prefix = ranked.select("id", "n", F.posexplode(F.slice("rarest", F.lit(1), length)).alias("place", "s")).filter("s.df > 1")
-    return written(prefix.select("id", "n", "place", F.col("s.shingle").alias("shingle")), "prefix")
+    """id, n, place, shingle: the shared ones among each text's rarest shingles, as many as the threshold asks for.
+
+    Any one order of shingles finds all pairs; counts from a sketch of fixed width put the rare ones first. A sketch
+    never counts too little, so a shingle it counts once is in no other text.
+    """
+    counts = texts.select("text").mapInArrow(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
+    common = np.ones(CELLS, dtype=np.int64)
+    found = counts.toPandas()
+    common[found["cell"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(common.clip(max=2**31 - 1).astype(np.int32))
+    prefix = texts.select("id", "text").mapInArrow(lambda b: _rarest(b, shared, similarity), "id long, n int, place int, shingle long")
+    return written(prefix, "prefix")
 
 
 def _may_link(similarity: float):
@@ -177,7 +202,7 @@ def text_links(docs: DataFrame, text: str, doc_id: str, similarity: float, small
     pairs = _ordered(few.join(few.select("bucket", F.col("id").alias("id2")), "bucket").filter("id < id2"))
     many = member.filter(F.col("size") > small).select("id").distinct()
     prefix = _prefixes(texts.join(many, "id", "left_semi"), similarity)
-    lead = prefix.groupBy("shingle").agg(F.min(F.struct("place", "n", "id")).alias("lead"))
+    lead = prefix.groupBy("shingle").agg(F.min(F.struct("place", "n", "id")).alias("lead"), F.count("*").alias("texts")).filter("texts > 1")
     lead = lead.select("shingle", F.col("lead.place").alias("place2"), F.col("lead.n").alias("n2"), F.col("lead.id").alias("id2"))
     star = _ordered(prefix.join(lead, "shingle").filter(_may_link(similarity)))
     links = written(verified(pairs.unionByName(star).distinct(), texts, similarity), "links")
