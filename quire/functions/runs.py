@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,55 +159,48 @@ def coalesce_runs(runs: Column) -> Column:
     return F.when(F.size(runs) > 0, F.get(bound, F.lit(0))).otherwise(runs)
 
 
-def parse_polish_text(text: str) -> list[dict]:
-    """Inline parse of one text: note markers, links, then star emphasis."""
-    import re
-
-    out: list[dict] = []
+# The marks of a polished text.
+NOTE_MARK, LINK_MARK, STARRED = r"\[\^\d+\]", r"\[[^\]]*\]\([^)]*\)", r"(?s)(\*{1,3})(.+?)\1"
 
-    def emit(piece, href=None, **styles):
-        if piece:
-            out.append({"text": piece, "href": href, **{n: styles.get(n, False) for n in _FLAGS}})
 
-    def emphasis(piece, href=None):
-        at = 0
-        for hit in re.finditer(r"(\*{1,3})(.+?)\1", piece, re.S):
-            emit(piece[at : hit.start()], href)
-            stars = len(hit.group(1))
-            emit(hit.group(2), href, bold=stars >= 2, italic=stars != 2)
-            at = hit.end()
-        emit(piece[at:], href)
+def _woven(c: Column, pattern: str, piece, token) -> Column:
+    """Arrays made of what lies between the matches of a pattern and of the matches, in turn."""
+    between, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    none = F.slice(F.array(piece(F.lit(""))), 1, 0)
+    return F.flatten(F.zip_with(between, found, lambda p, t: F.concat(F.array(piece(p)), F.when(t.isNotNull(), F.array(token(t))).otherwise(none))))
 
-    def notes(piece, href=None):
-        for k, part in enumerate(re.split(r"\[\^(\d+)\]", piece)):
-            emit(part, href, fn_ref=True) if k % 2 else emphasis(part, href)
 
-    at = 0
-    for hit in re.finditer(r"\[\^\d+\]|\[([^\]]*)\]\(([^)]*)\)", text):
-        emphasis(text[at : hit.start()])
-        if hit.group(2) is None:
-            emit(hit.group(0)[2:-1], fn_ref=True)
-        else:
-            notes(hit.group(1), hit.group(2))
-        at = hit.end()
-    emphasis(text[at:])
-    return out
+def runs_of(text: Column) -> Column:
+    """Inverse of ``polish_text`` (F-06): links are cut out first, then note marks, then starred spans."""
 
+    def run(words, href, bold=None, italic=None, note=False):
+        off = F.lit(False)
+        return F.struct(
+            words.alias("text"), (off if bold is None else bold).alias("bold"), (off if italic is None else italic).alias("italic"), off.alias("underline"),
+            off.alias("strike"), off.alias("code"), F.lit(note).alias("fn_ref"), href.alias("href"),
+        )
 
-_FLAGS = [f.name for f in RUN.fields[1:7]]
+    def starred(part):
+        def styled(t):
+            stars = F.length(F.regexp_extract(t, STARRED, 1))
+            return run(F.regexp_extract(t, STARRED, 2), part["href"], stars >= 2, stars != 2)
 
+        plain = F.array(run(part["text"], part["href"], note=True))
+        return F.when(part["note"], plain).otherwise(_woven(part["text"], STARRED, lambda p: run(p, part["href"]), styled))
 
-@F.pandas_udf(RUNS)
-def polish_text_to_runs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Inverse of ``polish_text`` (F-06); only texts holding marks reach Python via ``runs_of``."""
-    for s in batches:
-        yield s.map(lambda t: None if t is None else parse_polish_text(t))
+    def part(words, href, note):
+        return F.struct(words.alias("text"), href.alias("href"), F.lit(note).alias("note"))
 
+    def noted(link):
+        return _woven(link["text"], NOTE_MARK, lambda p: part(p, link["href"], False), lambda t: part(F.regexp_extract(t, r"\d+", 0), link["href"], True))
 
-def runs_of(text: Column) -> Column:
-    """Runs of a polished text: plain ones natively, marked ones through the parser."""
-    from quire.sources.tables import as_runs
+    def link(words, href):
+        return F.struct(words.alias("text"), href.alias("href"))
 
-    marked = F.when(text.rlike(r"[\[*]"), text)
-    plain = F.when(text == "", F.array().cast(RUNS)).otherwise(as_runs(text))
-    return F.coalesce(polish_text_to_runs(marked), plain)
+    nowhere = F.lit(None).cast("string")
+    linked = _woven(
+        text, LINK_MARK, lambda p: link(p, nowhere),
+        lambda t: link(F.regexp_extract(t, r"\A\[([^\]]*)\]", 1), F.regexp_extract(t, r"\(([^)]*)\)\z", 1)),
+    )
+    runs = F.flatten(F.transform(F.flatten(F.transform(linked, noted)), starred))
+    return F.filter(runs, lambda r: r["text"] != "").cast(RUNS)

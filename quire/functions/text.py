@@ -1,9 +1,13 @@
-"""Scalar text functions: Column in, Column out, all JVM-side."""
+"""Scalar text functions: Column in, Column out, JVM-side but for character references."""
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The code points Python's str.split()/strip() treat as blank.
 BLANK_CHARS = (
@@ -85,7 +89,8 @@ def start_year(slug: Column, strict: bool = False) -> Column:
     """
     lead = F.split_part(slug, F.lit("-"), F.lit(1)) if strict else slug
     digits = F.regexp_extract(lead, r"^(\d+)$" if strict else r"^(\d+)", 1)
-    return F.coalesce(F.try_to_number(F.nullif(digits, F.lit("")), F.lit("999999999999")).cast("long"), F.lit(9999))
+    beyond = F.when(digits != "", F.lit(2**63 - 1))  # more digits than a bigint holds sort last
+    return F.coalesce(digits.try_cast("long"), beyond, F.lit(9999))
 
 
 def fix_smart_quotes(c: Column) -> Column:
@@ -95,9 +100,17 @@ def fix_smart_quotes(c: Column) -> Column:
     return F.regexp_replace(c, '(?<=[A-Za-z])[”"](?=[A-Za-z])', "’")
 
 
+# Typographic marks and what they are compared as.
+TYPOGRAPHY = (
+    ("“", '"'), ("”", '"'), ("„", '"'), ("‘", "'"), ("’", "'"), ("‚", "'"), ("—", "-"), ("–", "-"), ("\xa0", " "), ("…", "..."), ("*", ""),
+)
+
+
 def normalise_typography(c: Column) -> Column:
     """Drop emphasis stars and unify quotes, dashes, ellipsis and no-break space."""
-    return F.replace(F.translate(c, "“”‘’„‚—–\xa0*", "\"\"''\"'-- "), F.lit("…"), F.lit("..."))
+    for mark, plain in TYPOGRAPHY:
+        c = F.replace(c, F.lit(mark), F.lit(plain))
+    return c
 
 
 def tokenize_words(c: Column) -> Column:
@@ -143,9 +156,9 @@ def is_year_heading(c: Column) -> Column:
 
 
 def slugify(c: Column) -> Column:
-    """Lower-case ASCII words joined by '-' (F-21)."""
+    """Lower-case words joined by '-': Latin letters without marks, letters of other scripts as they are (F-21)."""
     folded = fold_latin(_swap(casefold(c), FOLDS_WIDE.items()))
-    return F.btrim(F.regexp_replace(folded, r"[^a-z0-9]+", "-"), F.lit("-"))
+    return F.btrim(F.regexp_replace(folded, r"[^\p{L}\p{M}\p{N}]+", "-"), F.lit("-"))
 
 
 def _fold_pair() -> tuple[str, str]:
@@ -180,14 +193,15 @@ def html_escape(c: Column, quote: bool = False) -> Column:
     return c
 
 
+@F.pandas_udf(T.StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def html_unescape(c: Column) -> Column:
-    """The entities our own renderers and the page corpus emit; ampersand last."""
-    for bad, good in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&apos;", "'"),
-        ("&nbsp;", "\xa0"), ("&amp;", "&"),
-    ):
-        c = F.replace(c, F.lit(bad), F.lit(good))
-    return c
+    """All named and numeric character references decoded; only texts that hold one leave the JVM."""
+    some = c.rlike("&(?:#|[A-Za-z])")
+    return F.when(some, _unescape(F.when(some, c))).otherwise(c)
 
 
 def strip_html(c: Column) -> Column:
@@ -196,11 +210,12 @@ def strip_html(c: Column) -> Column:
 
 
 def html_fragment_to_md(c: Column) -> Column:
-    """em/i, strong/b and a to Markdown, other tags unwrapped (F-07)."""
+    """em/i, strong/b and a to Markdown, other tags unwrapped; text without a tag stays as it is (F-07)."""
+    plain = c
     c = F.regexp_replace(c, r"(?is)</?(?:em|i)(?:\s[^>]*)?>", "*")
     c = F.regexp_replace(c, r"(?is)</?(?:strong|b)(?:\s[^>]*)?>", "**")
     c = F.regexp_replace(c, r"""(?is)<a\b[^>]*?\bhref=["']([^"']*)["'][^>]*>(.*?)</a>""", "[$2]($1)")
-    return html_unescape(F.regexp_replace(c, r"<[^>]+>", ""))
+    return F.when(plain.contains("<"), html_unescape(F.regexp_replace(c, r"<[^>]+>", ""))).otherwise(plain)
 
 
 def footer(notice: Column, label: Column, url: Column) -> Column:
@@ -224,7 +239,7 @@ def year_display(lo: Column, hi: Column, sep: str = "–") -> Column:
 
 def published_number(src: Column) -> Column:
     """n of 'figure-n-original' (F-26)."""
-    return F.nullif(F.regexp_extract(src, r"figure-(\d+)-original", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(src, r"figure-(\d+)-original", 1), F.lit("")).try_cast("int")
 
 
 def display_width(width: Column, height: Column) -> Column:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,61 +55,41 @@ def build_prompts(rows: DataFrame, rules: str, extra_rules: str = "") -> DataFra
     return grouped.select("doc_id", "chunk", F.col("items.block_id").alias("ids"), F.array_join(lines, "\n").alias("prompt"))
 
 
-REPLY = T.StructType(
-    [
-        T.StructField("ok", T.BooleanType()),
-        T.StructField("error", T.StringType()),
-        T.StructField("replies", T.ArrayType(T.StructType([T.StructField("block_id", T.StringType()), T.StructField("text", T.StringType())]))),
-    ]
-)
-
-
-def json_objects(text: str):
-    """JSON values in a text, one after another, with an error text where none can be read."""
-    decoder, at = json.JSONDecoder(), 0
-    while True:
-        at = re.compile(r"[ \t\n\r,\[\]]*").match(text, at).end()
-        if at >= len(text):
-            return
-        try:
-            value, at = decoder.raw_decode(text, at)
-            yield value, ""
-        except json.JSONDecodeError as e:
-            yield None, f"line {text.count(chr(10), 0, at) + 1}: not valid JSON ({e.msg})"
-            at = text.find("{", at + 1)
-            if at < 0:
-                return
-
-
-def read_block_reply(raw: str, ids: list[str]) -> tuple[bool, str, list[dict]]:
-    text = re.sub(r"\A\s*```[A-Za-z]*\n(.*?)\n?```\s*\Z", r"\1", (raw or "").strip(), flags=re.S)
-    short = {f"b{i:03d}": b for i, b in enumerate(ids)} | {b: b for b in ids}
-    found, errors = {}, []
-    for value, error in json_objects(text):
-        if error:
-            errors.append(error)
-        if not isinstance(value, dict) or value.get("id") == "ctx":
-            continue
-        if any(value.get(k) is None for k in ("id", "kind", "text")):
-            errors.append("an object was missing one of id/kind/text")
-        elif not isinstance(value["text"], str):
-            errors.append(f"id {value['id']}: text must be string")
-        elif str(value["id"]) not in short:
-            errors.append(f"unexpected id '{value['id']}'")
-        elif short[value["id"]] in found:
-            errors.append(f"duplicate id '{value['id']}'")
-        else:
-            found[short[value["id"]]] = value["text"]
-    missing = [b for b in ids if b not in found]
-    if missing:
-        errors.append(f"missing polished output for {len(missing)} block(s)")
-    return not errors, "; ".join(errors), [] if errors else [{"block_id": b, "text": t} for b, t in found.items()]
-
-
-@F.pandas_udf(REPLY)
-def parse_block_replies(raw: pd.Series, ids: pd.Series) -> pd.DataFrame:
-    """Replies of one chunk by block id; any structural fault fails the chunk (U-05)."""
-    return pd.DataFrame([read_block_reply(r, list(i)) for r, i in zip(raw, ids)], columns=["ok", "error", "replies"])
+def parse_block_replies(raw: str, ids: str) -> Column:
+    """Replies of one chunk as {ok, error, replies: [{block_id, text}]}; any structural fault fails the chunk (U-05).
+
+    Column names of the raw reply and of the chunk's block ids. The reply is a JSON array of {id, kind, text}, or such
+    objects one after another, fenced or not. Blocks are named by their own or their short id; ``ctx`` is left out.
+    ``error`` lists fault codes with their counts: unreadable, incomplete, text_type, unknown_id, repeated_id, missing.
+    """
+    bare = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"(?s)\A\s*```[A-Za-z]*\n|\n?```\s*\z", "")
+    # a quote cannot follow a brace inside a JSON string without ending it there, so this only meets between objects
+    listed = F.concat(F.lit("["), F.regexp_replace(bare, r'\}\s*,?\s*(?=\{\s*"[A-Za-z_]+"\s*:)', "},"), F.lit("]"))
+    value = F.try_parse_json(F.when(bare.rlike(r"\A\s*\["), bare).otherwise(listed))
+    short = F.transform(F.col(ids), lambda _, i: F.format_string("b%03d", i))
+    field = lambda e, k: F.try_variant_get(e, f"$.{k}", "string")
+
+    def read(e):
+        name = field(e, "id")
+        known = F.when(F.array_contains(F.col(ids), name), name).otherwise(F.try_element_at(F.col(ids), F.nullif(F.array_position(short, name).cast("int"), F.lit(0))))
+        fault = (
+            F.when(name.isNull() | field(e, "kind").isNull() | field(e, "text").isNull(), "incomplete")
+            .when(F.schema_of_variant(F.try_variant_get(e, "$.text", "variant")) != "STRING", "text_type")
+            .when(known.isNull(), "unknown_id")
+        )
+        return F.struct(known.alias("block_id"), field(e, "text").alias("text"), fault.alias("fault"))
+
+    entries = F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda e: ~field(e, "id").eqNullSafe(F.lit("ctx")))
+    read_ = F.transform(entries, read)
+    good = F.filter(read_, lambda r: r["fault"].isNull())
+    names = F.transform(good, lambda r: r["block_id"])
+    count = lambda code: F.size(F.filter(read_, lambda r: r["fault"] == code))
+    counts = [(code, count(code)) for code in ("incomplete", "text_type", "unknown_id")]
+    counts += [("repeated_id", F.size(names) - F.size(F.array_distinct(names))), ("missing", F.size(F.array_except(F.col(ids), names)))]
+    faults = F.concat_ws(", ", *[F.when(n > 0, F.concat(F.lit(f"{code}: "), n.cast("string"))) for code, n in counts])
+    error = F.when(read_.isNull(), "unreadable").otherwise(faults)
+    replies = F.transform(good, lambda r: F.struct(r["block_id"].alias("block_id"), r["text"].alias("text")))
+    return F.struct((error == "").alias("ok"), error.alias("error"), F.when(error == "", replies).otherwise(F.slice(replies, 1, 0)).alias("replies"))
 
 
 def reply_ids_check(expected: DataFrame, got: DataFrame, keys: list[str]) -> DataFrame:

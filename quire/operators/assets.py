@@ -127,7 +127,7 @@ def coverage(images: DataFrame, files: DataFrame, sources: DataFrame) -> DataFra
     stored = files.select("doc_id", "name").distinct()
     originals = firsts.select("doc_id", "n", name.alias("name")).join(stored.withColumn("__o", F.lit(1)), ["doc_id", "name"], "left")
     number = F.regexp_extract("name", r"^figure-(\d+)-silhouette\.(?:png|jpeg|jpg|webp)$", 1)
-    sketches = stored.select("doc_id", F.nullif(number, F.lit("")).cast("int").alias("n")).where(F.col("n").isNotNull()).distinct().withColumn("__s", F.lit(1))
+    sketches = stored.select("doc_id", F.nullif(number, F.lit("")).try_cast("int").alias("n")).where(F.col("n").isNotNull()).distinct().withColumn("__s", F.lit(1))
     found = originals.join(sketches, ["doc_id", "n"], "left").groupBy("doc_id").agg(
         F.count("__o").alias("originals_found"), F.count("__s").alias("sketches_found"),
         F.array_sort(F.collect_list(F.when(F.col("__s").isNull(), F.col("n")))).alias("sketch_gaps"),

@@ -97,10 +97,12 @@ def footnote_defs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(notes, rows without definition paragraphs); empty definitions vanish from both (S-11)."""
     shape = r"(?s)\A\[\^(\d+)\]:\s*(.*)\z"
     t = tx.strip(F.col("text"))
-    is_def = (F.col("kind") == "p") & F.coalesce(t.rlike(shape), F.lit(False))
+    number = F.regexp_extract(t, shape, 1).try_cast("int")
+    # a number no int holds makes no note: the paragraph stays text
+    is_def = (F.col("kind") == "p") & F.coalesce(t.rlike(shape), F.lit(False)) & number.isNotNull()
     notes = (
         rows.where(is_def)
-        .select("doc_id", F.regexp_extract(t, shape, 1).cast("int").alias("n"), "pos", tx.strip(F.regexp_extract(t, shape, 2)).alias("text"))
+        .select("doc_id", number.alias("n"), "pos", tx.strip(F.regexp_extract(t, shape, 2)).alias("text"))
         .where(F.col("text") != "")
     )
     return notes, rows.where(~is_def)
@@ -293,10 +295,10 @@ def clean_text(rows: DataFrame) -> DataFrame:
 
 
 def note_refs(rows: DataFrame) -> DataFrame:
-    """One row per inline marker: doc_id, pos, idx within the row, n."""
+    """One row per inline marker: doc_id, pos, idx within the row, n (null where no int holds the number)."""
     found = F.regexp_extract_all("text", F.lit(MARKER), 1)
     return rows.where(F.col("text").contains("[^")).select("doc_id", "pos", F.posexplode(found).alias("idx", "n")).withColumn(
-        "n", F.col("n").cast("int")
+        "n", F.col("n").try_cast("int")
     )
 
 
@@ -346,7 +348,7 @@ def orphan_refs(rows: DataFrame, notes: DataFrame, around: int = 20) -> DataFram
     start = F.greatest(before - around, F.lit(0))
     stop = before + F.length("mark") + around
     snippet = tx.strip(F.substring(F.col("text"), start + 1, stop - start))
-    found = at.select("doc_id", "pos", "idx", F.regexp_extract("mark", r"\d+", 0).cast("int").alias("n"), snippet.alias("snippet"))
+    found = at.select("doc_id", "pos", "idx", F.regexp_extract("mark", r"\d+", 0).try_cast("int").alias("n"), snippet.alias("snippet"))
     return found.join(notes.select("doc_id", "n").distinct(), ["doc_id", "n"], "left_anti")
 
 

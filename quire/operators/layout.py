@@ -157,7 +157,7 @@ def split_footnote_zone(lines: DataFrame, modes: DataFrame) -> tuple[DataFrame,
     start = sized.where(lead & low & (F.col("body_size") > 0)).groupBy(*keys).agg(F.min("line").alias("__zone"))
     rows = cut_lineage(lines.join(start, keys, "left"))
     zone = rows.where((F.col("line") >= F.col("__zone")) & (F.col("text") != ""))
-    number = F.when(lead, F.regexp_extract("text", NOTE_LEAD, 1).cast("int"))
+    number = F.when(lead, F.regexp_extract("text", NOTE_LEAD, 1).try_cast("int"))
     items = zone.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line", number.alias("n"), "text"))).alias("z"))
     # the current number advances when its successor shows up; a blank state takes any number
     state = F.struct(F.lit(None).cast("int").alias("cur"), F.array().cast("array<struct<line:int,n:int>>").alias("at"))

@@ -297,13 +297,15 @@ def exact_membership(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def bootstrap_group(docs: DataFrame, groups: DataFrame, new_group: int = 1) -> DataFrame:
-    """With no groups yet every memoir joins one, positioned by date; else memberships stay (V-09)."""
-    rows = docs.select("doc_id", "group_id", "group_position", "slug")
+    """With no groups yet every memoir joins one, positioned by date; else, and for other kinds, memberships stay (V-09)."""
+    rows = docs.select("doc_id", "group_id", F.col("group_position").cast("long").alias("group_position"), "slug", "kind")
     if not groups.isEmpty():
-        return rows.drop("slug")
+        return rows.drop("slug", "kind")
     year = tx.start_year(F.col("slug"))
-    out = number_rows_by_range(rows, [], [year.asc(), F.col("slug").asc(), F.col("doc_id").asc()], "rn")
-    return out.select("doc_id", F.lit(new_group).cast("long").alias("group_id"), (F.col("rn") - 1).alias("group_position"))
+    memoir = F.col("kind") == "memoir"
+    out = number_rows_by_range(rows.where(memoir), [], [year.asc(), F.col("slug").asc(), F.col("doc_id").asc()], "rn")
+    out = out.select("doc_id", F.lit(new_group).cast("long").alias("group_id"), (F.col("rn") - 1).alias("group_position"))
+    return out.unionByName(rows.where(~F.coalesce(memoir, F.lit(False))).drop("slug", "kind"))
 
 
 # ---------------------------------------------------------------- catalogue

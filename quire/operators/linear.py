@@ -209,7 +209,7 @@ def homepage_body(blocks: DataFrame, groups: DataFrame, members: DataFrame) -> d
     )
     rows = blocks.join(tops, "doc_id").select(
         "doc_id", "pos", "type", role.alias("role"), F.when(kind == "dedication", _prop("text")).otherwise(text).alias("text"),
-        F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(_prop("group_id"), r"^\d{1,15}$", 0), F.lit("")), F.lit("999999999999999")), F.lit(0)).cast("long").alias("group_id"),
+        F.coalesce(F.regexp_extract(_prop("group_id"), r"^\d+$", 0).try_cast("long"), F.lit(0)).alias("group_id"),
         F.coalesce(F.col("pos") < F.col("__group"), F.lit(True)).alias("early"),
     )
     rows = cut_lineage(rows)
@@ -217,14 +217,14 @@ def homepage_body(blocks: DataFrame, groups: DataFrame, members: DataFrame) -> d
     filled = members.select("group_id").distinct().withColumn("__filled", F.lit(True))
     listings = rows.where(F.col("type") == "group_listing").select("doc_id", "pos", "group_id").join(known, "group_id", "left").join(filled, "group_id", "left")
     warning = (
-        F.when(F.col("group_id") == 0, "skipped group block (no group selected)")
-        .when(F.col("group_name").isNull(), F.concat(F.lit("skipped group block (group #"), F.col("group_id").cast("string"), F.lit(" no longer exists)")))
-        .when(F.col("__filled").isNull(), F.concat(F.lit("skipped empty group '"), F.col("group_name"), F.lit("'")))
+        F.when(F.col("group_id") == 0, "group listing without a group")
+        .when(F.col("group_name").isNull(), F.concat(F.lit("group listing of unknown group "), F.col("group_id").cast("string")))
+        .when(F.col("__filled").isNull(), F.concat(F.lit("group listing without members: "), F.col("group_name")))
     )
     judged = listings.withColumn("warning", warning)
     handled = ("heading", "paragraph", "narrative", "dedication", "divider", "group_listing")
     odd = rows.where(~F.col("type").isin(*handled)).select(
-        "doc_id", "pos", F.concat(F.lit("skipped unsupported block type '"), "type", F.lit("'")).alias("warning")
+        "doc_id", "pos", F.concat(F.lit("block type not shown here: "), "type").alias("warning")
     )
     warnings = judged.where(F.col("warning").isNotNull()).select("doc_id", "pos", "warning").unionByName(odd)
     good = judged.where(F.col("warning").isNull()).select("doc_id", "pos", F.lit("group").alias("role"), F.col("group_name").alias("text"), "group_id")
@@ -233,7 +233,9 @@ def homepage_body(blocks: DataFrame, groups: DataFrame, members: DataFrame) -> d
     )
     panel = F.when(F.col("role") == "narrative", F.lit(1))
     shown = islands(own.unionByName(good), panel, panel, "panel")
-    first = own.unionByName(good).groupBy("doc_id").agg(F.min("pos").alias("__first"))
+    # a group listing, shown or skipped, ends the stretch in which an intro can lead
+    seen = own.select("doc_id", "pos").unionByName(listings.select("doc_id", "pos"))
+    first = seen.groupBy("doc_id").agg(F.min("pos").alias("__first"))
     shown = shown.join(first, "doc_id").withColumn("lead", (F.col("role") == "intro") & (F.col("pos") == F.col("__first"))).drop("__first")
     entries = shown.withColumn("slot", F.lit(0).cast("long"))
     listed = shown.where(F.col("role") == "group").drop("text", "lead", "role").join(

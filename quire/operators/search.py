@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
@@ -45,13 +42,10 @@ def replace_in_index(postings: DataFrame, lengths: DataFrame, changed: DataFrame
     return postings.join(ids, "doc_id", "left_anti").unionByName(new_postings), lengths.join(ids, "doc_id", "left_anti").unionByName(new_lengths)
 
 
-def query_phrases(query: str) -> list[list[str]]:
-    """Whitespace terms, each a phrase of index tokens."""
-    def plain(word):
-        return "".join(unicodedata.normalize("NFD", ch)[0] if ord(ch) > 0xBF else ch for ch in word.lower())
-
-    phrases = [re.findall(r"[^\W_]+", plain(w)) for w in query.split()]
-    return [p for p in phrases if p]
+def query_phrases(spark: SparkSession, query: str) -> list[list[str]]:
+    """Whitespace terms, each a phrase of index tokens: folded by the very expression the index is built with."""
+    terms = spark.range(1).select(F.transform(tx.words(F.lit(query)), tokens).alias("t")).first()["t"]
+    return [list(p) for p in terms if p]
 
 
 def phrase_counts(postings: DataFrame, phrases: list[list[str]]) -> DataFrame:
@@ -76,7 +70,7 @@ def phrase_counts(postings: DataFrame, phrases: list[list[str]]) -> DataFrame:
 
 def search(postings: DataFrame, lengths: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Best documents holding every phrase, by BM25 over all fields (I-02, O-08)."""
-    phrases = query_phrases(query)
+    phrases = query_phrases(postings.sparkSession, query)
     if not phrases:
         return lengths.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     hits = phrase_counts(postings, phrases)
@@ -120,4 +114,4 @@ def snippet(body: Column, phrases: list[list[str]], width: int = 12) -> Column:
 
 def search_with_snippets(docs: DataFrame, postings: DataFrame, lengths: DataFrame, query: str, limit: int = 20) -> DataFrame:
     top = search(postings, lengths, query, limit)
-    return top.join(docs, "doc_id").select("doc_id", "slug", "title", "score", snippet(F.col("body"), query_phrases(query)).alias("snippet"))
+    return top.join(docs, "doc_id").select("doc_id", "slug", "title", "score", snippet(F.col("body"), query_phrases(docs.sparkSession, query)).alias("snippet"))

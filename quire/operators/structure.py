@@ -312,7 +312,7 @@ def remove_footnotes(blocks: DataFrame, markers: DataFrame) -> DataFrame:
 def next_marker(blocks: DataFrame) -> DataFrame:
     """Largest leading number over note markers and references, plus one (W-18)."""
     both = _refs(blocks).select("doc_id", "marker").unionByName(_notes(blocks).select("doc_id", "marker"))
-    number = F.nullif(F.regexp_extract("marker", r"\A\s*(\d+)", 1), F.lit("")).cast("long")
+    number = F.nullif(F.regexp_extract("marker", r"\A\s*(\d+)", 1), F.lit("")).try_cast("long")
     top = both.groupBy("doc_id").agg(F.max(number).alias("top"))
     return blocks.select("doc_id").distinct().join(top, "doc_id", "left").select(
         "doc_id", (F.coalesce("top", F.lit(0)) + 1).cast("string").alias("marker")

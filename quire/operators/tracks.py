@@ -84,7 +84,7 @@ def replies_to_tracks(replies: DataFrame) -> dict[str, DataFrame]:
     digest = F.try_variant_get("__v", "$.digest_md", "string")
     has = F.coalesce(F.schema_of_variant(F.variant_get("__v", "$.digest_md", "variant")) == "STRING", F.lit(False)) & (tx.strip(digest) != "")
     ok = parsed.where(has)
-    error = F.when(F.col("__v").isNull(), "reply contained no JSON object").otherwise("reply had no 'digest_md'")
+    error = F.when(F.col("__v").isNull(), "no JSON object in the reply").otherwise("digest_md is missing")
     key = ["doc_id", "source_name", "chapter_idx"]
     rows = None
     for track in TRACK_KEYS:

@@ -49,7 +49,7 @@ def typed(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     )
     image, note = F.col("type") == "image", F.col("type") == "footnote"
     props = (
-        F.when(image, F.create_map(F.lit("asset_id"), F.sha2("text", 256), F.lit("caption"), F.substring("text", 1, 30)))
+        F.when(image, F.create_map(F.lit("asset_id"), F.sha2("text", 256), F.lit("caption"), F.col("text")))
         .when(note, F.create_map(F.lit("marker"), F.length("text").cast("string"), F.lit("text"), F.col("text")))
         .otherwise(F.create_map().cast("map<string,string>"))
     )
@@ -133,7 +133,7 @@ typed AS (
   SELECT doc_id, lang, source, pos, doc_id || '-' || pos AS block_id, type, level, line,
          CASE WHEN type IN ('image', 'footnote') THEN '' ELSE line END AS text,
          CASE WHEN type = 'image' THEN sha256(line) END AS asset_id,
-         CASE WHEN type = 'image' THEN substring(line, 1, 30) END AS caption,
+         CASE WHEN type = 'image' THEN line END AS caption,
          CASE WHEN type = 'footnote' THEN CAST(length(line) AS VARCHAR) END AS marker
   FROM kinds)"""
 

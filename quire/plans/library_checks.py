@@ -297,7 +297,8 @@ def _(spark, sf):
     return lb.exact_membership(a, table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
-@check("bootstrap_group", f"WITH {SQL_LIB} SELECT doc_id, CAST(1 AS BIGINT) AS group_id, row_number() OVER (ORDER BY start, slug) - 1 AS group_position FROM lib")
+@check("bootstrap_group", f"""WITH {SQL_LIB} SELECT doc_id, CAST(1 AS BIGINT) AS group_id, row_number() OVER (ORDER BY start, slug) - 1 AS group_position FROM lib WHERE kind = 'memoir'
+    UNION ALL SELECT doc_id, group_id, CAST(group_position AS BIGINT) FROM lib WHERE kind <> 'memoir'""")
 def _(spark, sf):
     return lb.bootstrap_group(library(spark, sf), groups(spark, sf).where(F.col("group_id") < 0))
 

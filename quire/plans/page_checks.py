@@ -12,7 +12,7 @@ from quire.operators import search as se
 from quire.operators import structure as st
 from quire.operators import tracks as tk
 from quire.operators.blocks import polishable
-from quire.operators.ordered import prev, scan
+from quire.operators.ordered import number_rows, prev, scan, segment
 from quire.plans.inputs import SQL_LINES, lines, sql_norm_key, sql_strip, table, typed
 from quire.plans.registry import check
 from quire.plans.structure_checks import _PACK
@@ -68,7 +68,12 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", pg.jsonld_field(page).alias("published"))
 
 
-@check("dom_tokens")
+# the pages' tags have at most one attribute, in double quotes, so that the tag itself is its token
+_DOM = """tk AS (SELECT page_id, html, list_filter(list_transform(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?is)<script\\b[^>]*>.*?</script\\s*>|<[^>]*>|[^<]+'),
+  lambda t: CASE WHEN starts_with(t, '<script>') THEN '<script>' || trim(regexp_replace(replace(replace(t, '<script>', ''), '</script>', ''), '\\s+', ' ', 'g')) WHEN starts_with(t, '<') THEN regexp_replace(t, '\\s*/?>$', '>') ELSE trim(regexp_replace(t, '\\s+', ' ', 'g')) END), lambda t: t <> '') AS toks FROM pages)"""
+
+
+@check("dom_tokens", f"WITH {_DOM} SELECT page_id, CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS idx, unnest(toks) AS token FROM tk")
 def _(spark, sf):
     return pg.dom_tokens(table(spark, sf, "pages"))
 
@@ -80,20 +85,31 @@ def _edited(pages):
     return pages.select("page_id", F.when(F.col("html").contains('lang="en"'), loud).otherwise(quiet).alias("html"))
 
 
-@check("dom_compare", """SELECT page_id, contains(html, 'lang="en"') AS differs FROM pages""")
+_LOUD = "contains(html, 'lang=\"en\"')"
+
+
+@check(
+    "dom_compare",
+    f"""WITH {_DOM} SELECT page_id, CASE WHEN {_LOUD} THEN 2.0 * len(toks) / (2 * len(toks) + 1) ELSE CAST(1 AS DOUBLE) END AS similarity,
+    CAST(len(toks) + CASE WHEN {_LOUD} THEN 1 ELSE 0 END AS INTEGER) AS total_nodes, NOT {_LOUD} AS same_order,
+    CASE WHEN {_LOUD} THEN '<hr>' || len(list_filter(toks, lambda t: t = '<hr>')) || '/' || (len(list_filter(toks, lambda t: t = '<hr>')) + 1) ELSE '' END AS diffs FROM tk""",
+)
 def _(spark, sf):
     pages = table(spark, sf, "pages")
     out = cp.dom_compare(pages.select("page_id", "html"), _edited(pages))
-    return out.select("page_id", ((F.size("diffs") > 0) & (F.col("similarity") < 1.0)).alias("differs"))
+    shown = F.transform("diffs", lambda d: F.concat(d["token"], d["expected"].cast("string"), F.lit("/"), d["actual"].cast("string")))
+    return out.withColumn("diffs", F.array_join(shown, ","))
 
 
 @check(
     "roundtrip_gate",
-    """SELECT page_id, true AS passed, CAST(CASE WHEN contains(html, 'lang="en"') THEN 1 ELSE 0 END AS INTEGER) AS diffs, CAST(1.0 AS DOUBLE) AS article_similarity, CAST(0 AS INTEGER) AS article_diffs FROM pages""",
+    f"""WITH {_DOM} SELECT page_id, CASE WHEN {_LOUD} THEN 2.0 * len(toks) / (2 * len(toks) + 1) ELSE CAST(1 AS DOUBLE) END AS similarity,
+    NOT {_LOUD} OR 2.0 * len(toks) / (2 * len(toks) + 1) >= 0.98 AS passed, CAST(CASE WHEN {_LOUD} THEN 1 ELSE 0 END AS INTEGER) AS diffs,
+    CAST(1.0 AS DOUBLE) AS article_similarity, CAST(0 AS INTEGER) AS article_diffs FROM tk""",
 )
 def _(spark, sf):
     pages = table(spark, sf, "pages")
-    return cp.roundtrip_gate(pages.select("page_id", "html"), _edited(pages), gate=0.9).drop("similarity")
+    return cp.roundtrip_gate(pages.select("page_id", "html"), _edited(pages), gate=0.98)
 
 
 @check("page_equivalence", """SELECT page_id, CASE WHEN contains(html, 'lang="en"') THEN 'NEVER_PUBLISHED' ELSE 'PUBLISHED' END AS status FROM pages""")
@@ -128,14 +144,20 @@ def _(spark, sf):
     return out.select("doc_id", "pos", "identical", "marker_mismatch", "char_diff")
 
 
-@check("fidelity_verdicts")
+@check(
+    "fidelity_verdicts",
+    f"""WITH {_REV} SELECT doc_id, pos, CAST(CASE WHEN k = 2 THEN 2 WHEN k = 4 OR bare THEN 1 ELSE 0 END AS INTEGER) AS word_inserts, CAST(0 AS INTEGER) AS word_deletes,
+    CAST(CASE WHEN k = 3 AND NOT bare THEN 1 ELSE 0 END AS INTEGER) AS word_replaces, CAST(length(b) - length(a) AS INTEGER) AS char_diff, k = 3 AS marker_mismatch, a = b AS identical,
+    k < 2 AS typography_only, k < 2 AS clean, CASE WHEN k = 2 THEN 'inserted 2' WHEN k = 4 OR bare THEN 'inserted 1' WHEN k = 3 THEN 'replaced 1' ELSE 'typography' END AS summary
+    FROM (SELECT *, k = 3 AND regexp_matches(a, '(^| )[!-/:-@\\[-`{{-~]+$') AS bare FROM rev)""",
+)
 def _(spark, sf):
     return cp.fidelity(*_revised(spark, sf), ["doc_id", "pos"])
 
 
 @check(
     "fidelity_inserts",
-    f"""WITH {_REV} SELECT doc_id, pos, CASE k WHEN 2 THEN 2 ELSE 1 END AS word_inserts, CASE k WHEN 2 THEN '+2 words' ELSE '+1 word' END AS summary
+    f"""WITH {_REV} SELECT doc_id, pos, CAST(CASE k WHEN 2 THEN 2 ELSE 1 END AS INTEGER) AS word_inserts, CASE k WHEN 2 THEN 'inserted 2' ELSE 'inserted 1' END AS summary
     FROM rev WHERE k IN (2, 4)""",
 )
 def _(spark, sf):
@@ -157,12 +179,23 @@ def _(spark, sf):
     return cp.triage(a, verdicts, ["doc_id", "pos"])
 
 
-@check("word_diff_segments", f"WITH {_REV} SELECT doc_id, pos, a AS back_a, b AS back_b FROM rev")
+@check(
+    "word_diff_segments",
+    f"""WITH {_REV}, w AS (SELECT *, regexp_extract_all(a, '{tx.WORD}{tx.BLANK}*') AS wa, regexp_extract_all(b, '{tx.WORD}{tx.BLANK}*') AS wb FROM rev),
+    h AS (SELECT *, (SELECT count(*) FROM range(1, least(len(wa), len(wb)) + 1) r(i) WHERE wa[1:i] = wb[1:i]) AS head FROM w),
+    t AS (SELECT *, (SELECT count(*) FROM range(1, least(len(wa), len(wb)) - head + 1) r(i) WHERE wa[len(wa) - i + 1:] = wb[len(wb) - i + 1:]) AS tail FROM h),
+    m AS (SELECT *, array_to_string(wa[head + 1:len(wa) - tail], '') AS ma, array_to_string(wb[head + 1:len(wb) - tail], '') AS mb FROM t)
+    SELECT doc_id, pos, a AS back_a, b AS back_b, CASE WHEN a = b THEN '' WHEN ma = '' THEN 'insert' WHEN mb = '' THEN 'delete' ELSE 'replace' END AS op, ma AS old, mb AS new FROM m""",
+)
 def _(spark, sf):
-    """The sides of the segments must spell the two texts again."""
+    """The change in the middle; the sides of all segments spell the two texts again."""
     a, b = _revised(spark, sf)
     pairs = a.join(b.withColumnRenamed("text", "b"), ["doc_id", "pos"]).withColumn("s", cp.word_diff_segments(F.col("text"), F.col("b")))
-    return pairs.select("doc_id", "pos", F.array_join("s.a", "").alias("back_a"), F.array_join("s.b", "").alias("back_b"))
+    changed = lambda f: F.array_join(F.transform(F.filter("s", lambda x: x["op"] != "equal"), lambda x: x[f]), "")
+    return pairs.select(
+        "doc_id", "pos", F.array_join("s.a", "").alias("back_a"), F.array_join("s.b", "").alias("back_b"), changed("op").alias("op"),
+        changed("a").alias("old"), changed("b").alias("new"),
+    )
 
 
 @check("marker_multiset_equal", f"WITH {_REV} SELECT doc_id, pos, k <> 3 AS same FROM rev")
@@ -256,31 +289,43 @@ def _(spark, sf):
 # ---------------------------------------------------------------- tracks
 
 
+def _chapters(spark, sf):
+    """doc_id, chapter_idx, role, text: the turns of a conversation in order; and each document, whose lines do repeat, as one chapter."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", "text")
+    turns = number_rows(turns, ["doc_id"], [F.col("turn"), F.col("role"), F.col("text")], [segment("turn")], "n")
+    docs = table(spark, sf, "documents").select(
+        (F.col("doc_id") + APART).alias("doc_id"), F.lit(0).cast("long").alias("chapter_idx"), F.lit("document").alias("role"), "text"
+    )
+    return turns.select("doc_id", (F.col("n") - 1).cast("long").alias("chapter_idx"), "role", "text").unionByName(docs)
+
+
+APART = 1_000_000_000_000
+
+
 def chapter_replies(spark, sf):
-    """Conversation turns as chapter replies: system turns fail, user turns come fenced, others with prose around."""
-    c = table(spark, sf, "conversations")
+    """Chapters as replies over their whole lines: system turns fail, user turns come fenced, others with prose around."""
     parts = F.split("text", "\n")
-    person = lambda s: F.struct(F.col("role").alias("section"), F.substring(s, 1, 9).alias("name"), F.lit(None).cast("string").alias("role"), s.alias("junk"))
-    event = lambda s: F.struct(F.lit("s").alias("section"), F.substring(s, 1, 4).alias("marker"), F.substring(s, 5, 5).alias("event"))
+    person = lambda s: F.struct(F.col("role").alias("section"), s.alias("name"), F.lit(None).cast("string").alias("role"), s.alias("junk"))
+    event = lambda s: F.struct(F.lit("s").alias("section"), F.split_part(s, F.lit(" "), F.lit(1)).alias("marker"), s.alias("event"))
     anchor = lambda s: F.struct(F.lit("s").alias("section"), F.col("role").alias("attribution"), s.alias("quote"))
     body = F.to_json(
         F.struct(
-            F.when(F.col("role") != "system", F.concat(F.lit("Digest "), "turn")).alias("digest_md"), F.transform(parts, person).alias("people"),
-            F.transform(parts, event).alias("chronology"), F.lit("not a list").alias("geo"), F.transform(parts, lambda s: F.substring(s, 1, 6)).alias("interpersonal_stated"),
+            F.when(F.col("role") != "system", F.concat(F.lit("Digest "), "chapter_idx")).alias("digest_md"), F.transform(parts, person).alias("people"),
+            F.transform(parts, event).alias("chronology"), F.lit("not a list").alias("geo"), parts.alias("interpersonal_stated"),
             F.transform(parts, anchor).alias("anchors"),
         )
     )
     raw = F.when(F.col("role") == "user", F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Here you are: "), body, F.lit(" Done.")))
-    # conv_id and turn may repeat, so a chapter is the first row of its pair
-    one = c.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("r")).select("conv_id", "turn", "r.*")
-    return one.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("src"), (F.col("conv_id") % 10).cast("string")).alias("source_name"), F.col("turn").alias("chapter_idx"), raw.alias("raw"))
+    source = F.concat(F.lit("src"), (F.col("doc_id") % 10).cast("string"))
+    return _chapters(spark, sf).select("doc_id", source.alias("source_name"), "chapter_idx", raw.alias("raw"))
 
 
-_REPLY = f"""one AS (SELECT conv_id, turn, min({{'role': role, 'text': text}}) AS r FROM conversations GROUP BY ALL),
-cv AS (SELECT conv_id AS doc_id, 'src' || (conv_id % 10) AS source_name, turn AS chapter_idx, r.role AS role, string_split(r.text, chr(10)) AS ls FROM one),
+_REPLY = f"""one AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS chapter_idx, role, text FROM conversations
+  UNION ALL SELECT doc_id + {APART}, 0, 'document', text FROM documents),
+cv AS (SELECT doc_id, 'src' || (doc_id % 10) AS source_name, chapter_idx, role, string_split(text, chr(10)) AS ls FROM one),
 ln AS (SELECT doc_id, source_name, chapter_idx, role, unnest(ls) AS l, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS row_idx FROM cv WHERE role <> 'system'),
-tr AS (SELECT doc_id, source_name, chapter_idx, row_idx, 'people' AS track_type, role AS section, substring(l, 1, 9) AS k, '' AS x FROM ln
-  UNION ALL SELECT doc_id, source_name, chapter_idx, row_idx, 'chronology', 's', substring(l, 1, 4), substring(l, 5, 5) FROM ln),
+tr AS (SELECT doc_id, source_name, chapter_idx, row_idx, 'people' AS track_type, role AS section, l AS k, '' AS x FROM ln
+  UNION ALL SELECT doc_id, source_name, chapter_idx, row_idx, 'chronology', 's', split_part(l, ' ', 1), l FROM ln),
 dd AS (SELECT *, CASE WHEN track_type = 'people' THEN row_number() OVER (PARTITION BY doc_id, track_type, {sql_norm_key('k')} ORDER BY chapter_idx, row_idx) ELSE 1 END AS nth FROM tr
   WHERE track_type = 'chronology' OR {sql_norm_key('k')} <> ''),
 dt AS (SELECT doc_id, source_name, track_type, chapter_idx, row_idx, section, k, x, row_number() OVER (PARTITION BY doc_id, track_type ORDER BY chapter_idx, row_idx) - 1 AS seq FROM dd WHERE nth = 1)"""
@@ -304,7 +349,7 @@ def _(spark, sf):
     return tk.replies_to_tracks(chapter_replies(spark, sf))["digests"]
 
 
-@check("replies_failures", f"WITH {_REPLY} SELECT doc_id, source_name, chapter_idx, 'reply had no ''digest_md''' AS error FROM cv WHERE role = 'system'")
+@check("replies_failures", f"WITH {_REPLY} SELECT doc_id, source_name, chapter_idx, 'digest_md is missing' AS error FROM cv WHERE role = 'system'")
 def _(spark, sf):
     return tk.replies_to_tracks(chapter_replies(spark, sf))["failures"]
 
@@ -331,7 +376,7 @@ def _(spark, sf):
 
 @check(
     "dedup_reply_lines",
-    f"""WITH {_REPLY}, t AS (SELECT doc_id, chapter_idx, row_idx, {sql_strip('substring(l, 1, 6)')} AS text FROM ln),
+    f"""WITH {_REPLY}, t AS (SELECT doc_id, chapter_idx, row_idx, {sql_strip('l')} AS text FROM ln),
     f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, {sql_norm_key('text')} ORDER BY chapter_idx, row_idx) AS nth FROM t WHERE text <> '')
     SELECT doc_id, 'interpersonal_stated' AS kind, chapter_idx, row_idx, text, row_number() OVER (PARTITION BY doc_id ORDER BY chapter_idx, row_idx) - 1 AS seq FROM f WHERE nth = 1""",
 )
@@ -342,20 +387,20 @@ def _(spark, sf):
 @check(
     "track_counts",
     f"""WITH {_REPLY} SELECT d.doc_id, count(*) FILTER (track_type = 'people') AS people, CAST(0 AS BIGINT) AS geo, CAST(0 AS BIGINT) AS glossary, count(*) FILTER (track_type = 'chronology') AS chronology
-    FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) d LEFT JOIN dt ON dt.doc_id = d.doc_id GROUP BY d.doc_id""",
+    FROM (SELECT DISTINCT doc_id FROM cv) d LEFT JOIN dt ON dt.doc_id = d.doc_id GROUP BY d.doc_id""",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    docs = _chapters(spark, sf).select("doc_id").distinct()
     return tk.track_counts(doc_tracks(spark, sf), docs)
 
 
 @check(
     "report_counts_section",
     f"""WITH {_REPLY} SELECT d.doc_id, '- People: ' || count(*) FILTER (track_type = 'people') || chr(10) || '- Geography: 0' || chr(10) || '- Glossary: 0' || chr(10) || '- Chronology: ' || count(*) FILTER (track_type = 'chronology') AS section
-    FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) d LEFT JOIN dt ON dt.doc_id = d.doc_id GROUP BY d.doc_id""",
+    FROM (SELECT DISTINCT doc_id FROM cv) d LEFT JOIN dt ON dt.doc_id = d.doc_id GROUP BY d.doc_id""",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    docs = _chapters(spark, sf).select("doc_id").distinct()
     return ln.counts_section(doc_tracks(spark, sf), docs)
 
 
@@ -386,18 +431,18 @@ def _(spark, sf):
 
 def _closing(spark, sf):
     parts = tk.replies_to_tracks(chapter_replies(spark, sf))
-    docs = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    docs = _chapters(spark, sf).select("doc_id").distinct()
     full = F.to_json(F.struct(F.concat(F.lit(" Sum "), "doc_id").alias("executive_summary"), F.array(F.lit(" a "), F.lit("")).alias("interpersonal_stated")))
     raw = F.when(F.col("doc_id") % 3 == 0, full).when(F.col("doc_id") % 3 == 1, "no reply").otherwise("{}")
     return docs, parts, tk.consolidate(docs, docs.select("doc_id", raw.alias("raw")), tk.dedup_reply_lines(parts["lines"]), parts["anchors"])
 
 
-_CLOSE = f"""{_REPLY}, t AS (SELECT doc_id, chapter_idx, row_idx, {sql_strip('substring(l, 1, 6)')} AS text FROM ln),
+_CLOSE = f"""{_REPLY}, t AS (SELECT doc_id, chapter_idx, row_idx, {sql_strip('l')} AS text FROM ln),
 fl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, {sql_norm_key('text')} ORDER BY chapter_idx, row_idx) AS nth FROM t WHERE text <> ''),
 st AS (SELECT doc_id, string_agg(text, '|' ORDER BY chapter_idx, row_idx) AS s, string_agg('- ' || text, chr(10) ORDER BY chapter_idx, row_idx) AS b FROM fl WHERE nth = 1 GROUP BY doc_id),
 an AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chapter_idx, row_idx) AS r FROM ln),
 aq AS (SELECT doc_id, count(*) AS n, string_agg('- *s* — ' || role || ': "' || l || '"', chr(10) ORDER BY r) AS a FROM an WHERE r <= 8 GROUP BY doc_id),
-ds AS (SELECT DISTINCT conv_id AS doc_id FROM conversations)"""
+ds AS (SELECT DISTINCT doc_id FROM cv)"""
 
 
 @check(
@@ -493,7 +538,7 @@ def _block_replies(spark, sf):
 
 @check(
     "parse_block_replies",
-    f"""{_PROMPT} SELECT doc_id, chunk, arg_min(k, pos) = 'p ' AS ok, CASE WHEN arg_min(k, pos) = 'p ' THEN '' ELSE 'missing polished output for 1 block(s)' END AS error,
+    f"""{_PROMPT} SELECT doc_id, chunk, arg_min(k, pos) = 'p ' AS ok, CASE WHEN arg_min(k, pos) = 'p ' THEN '' ELSE 'missing: 1' END AS error,
     CAST(CASE WHEN arg_min(k, pos) = 'p ' THEN count(*) ELSE 0 END AS INTEGER) AS n, CASE WHEN arg_min(k, pos) = 'p ' THEN string_agg(reverse(line), '|' ORDER BY pos) ELSE '' END AS texts FROM nx GROUP BY ALL""",
 )
 def _(spark, sf):

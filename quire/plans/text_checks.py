@@ -249,12 +249,33 @@ def _(spark, sf):
     return rows.select("doc_id", "pos", F.col("text").alias("out"), (rn.polish_text(F.col("back")) == F.col("md")).alias("same"))
 
 
+# the references that the page corpus holds, named and numeric; a bare ampersand and an unknown name stay
+_REFERENCES = {
+    "&lt;": "'<'", "&gt;": "'>'", "&quot;": "chr(34)", "&#x27;": "chr(39)", "&#39;": "chr(39)", "&apos;": "chr(39)", "&nbsp;": "chr(160)", "&copy;": "'©'",
+    "&middot;": "'·'", "&eacute;": "'é'", "&#8217;": "'’'", "&hellip;": "'…'", "&amp;": "'&'",
+}
+
+
+def sql_unescape(expr: str) -> str:
+    for name, plain in _REFERENCES.items():
+        expr = f"replace({expr}, '{name}', {plain})"
+    return expr
+
+
 @check(
     "strip_html",
-    f"SELECT page_id, {sql_strip('''replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')''')} AS out FROM pages",
+    f"""SELECT page_id, {sql_strip(sql_unescape("regexp_replace(html || '<i>caf&eacute; &#8217;x&#8217; &hellip; A&B &nosuch; ' || page_id || '</i>', '<[^>]+>', '', 'g')"))} AS out FROM pages""",
 )
 def _(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.strip_html(F.col("html")).alias("out"))
+    more = F.concat("html", F.lit("<i>caf&eacute; &#8217;x&#8217; &hellip; A&B &nosuch; "), F.col("page_id").cast("string"), F.lit("</i>"))
+    return table(spark, sf, "pages").select("page_id", tx.strip_html(more).alias("out"))
+
+
+@check("html_fragment_plain", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url || ' &amp; x' ELSE url || ' & x' END AS out FROM pages")
+def _(spark, sf):
+    """Text without a tag is handed back as it is, references and all."""
+    tail = F.when(F.col("page_id") % 2 == 0, " &amp; x").otherwise("<a name='t'> &amp; x</a>")
+    return table(spark, sf, "pages").select("page_id", tx.html_fragment_to_md(F.concat("url", tail)).alias("out"))
 
 
 @check(
@@ -282,7 +303,7 @@ def _(spark, sf):
 
 @check(
     "start_year",
-    """WITH s AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN year(o_orderdate) || '_' || o_orderkey
+    """WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '2024010112' || o_orderkey || '-x' WHEN o_orderstatus = 'F' THEN year(o_orderdate) || '_' || o_orderkey
       WHEN o_orderstatus = 'O' THEN year(o_orderdate) || '-' || o_orderkey ELSE 'x' || o_orderkey END AS slug FROM orders)
     SELECT o_orderkey, slug, CAST(CASE WHEN regexp_matches(slug, '^[0-9]') THEN regexp_extract(slug, '^[0-9]+') ELSE '9999' END AS BIGINT) AS lenient,
     CAST(CASE WHEN regexp_matches(split_part(slug, '-', 1), '^[0-9]+$') THEN split_part(slug, '-', 1) ELSE '9999' END AS BIGINT) AS strict FROM s""",
@@ -290,7 +311,8 @@ def _(spark, sf):
 def _(spark, sf):
     y, k = F.year("o_orderdate").cast("string"), F.col("o_orderkey").cast("string")
     slug = (
-        F.when(F.col("o_orderstatus") == "F", F.concat(y, F.lit("_"), k))
+        F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("2024010112"), k, F.lit("-x")))
+        .when(F.col("o_orderstatus") == "F", F.concat(y, F.lit("_"), k))
         .when(F.col("o_orderstatus") == "O", F.concat(y, F.lit("-"), k))
         .otherwise(F.concat(F.lit("x"), k))
     )

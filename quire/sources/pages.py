@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.functions import text as tx
 from quire.sources.tables import RUN
@@ -285,90 +283,43 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- DOM tokens
 
-RUNTIME = {"open", "active", "show"}
+#: Classes that scripts set while a page is shown.
+RUNTIME = ("open", "active", "show")
+MARKUP = r"(?is)<script\b[^>]*>.*?</script\s*>|<[^>]*>|[^<]+"
 
 
-class DomTokens(HTMLParser):
-    """Comment-free token stream: sorted attributes, run-time classes removed (T-04)."""
+def _tag_token(tag: Column) -> Column:
+    """<name a="1" b="2"> with attributes in order of name, run-time classes and spare blanks left out."""
+    name = F.lower(F.regexp_extract(tag, r"\A<(/?[A-Za-z][^\s/>]*)", 1))
+    found = F.regexp_extract_all(F.regexp_extract(tag, r"(?s)\A<[^\s/>]+(.*)\z", 1), F.lit(r"""(?s)[\w:-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""), F.lit(0))
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.tokens, self.open, self.text, self.special = [], [], "", None
-
-    def flush(self):
-        words = " ".join(self.text.split())
-        if words:
-            self.tokens.append(words)
-        self.text = ""
-
-    def signature(self, tag, attrs):
-        parts = []
-        for key, value in sorted((k, v or "") for k, v in attrs):
-            if key == "class":
-                value = " ".join(c for c in value.split() if c not in RUNTIME)
-                if not value:
-                    continue
-            parts.append(f'{key}="{" ".join(value.split())}"')
-        return f"<{' '.join([tag, *parts])}"
+    def attribute(a):
+        key = F.lower(F.regexp_extract(a, r"\A[\w:-]+", 0))
+        value = tx.strip(tx.squeeze(F.regexp_replace(F.regexp_extract(a, r"(?s)=\s*(.*)\z", 1), r"""(?s)\A["']|["']\z""", "")))
+        kept = F.when(key == "class", F.array_join(F.filter(F.split(value, " "), lambda c: ~c.isin(*RUNTIME)), " ")).otherwise(value)
+        return F.when((key != "class") | (kept != ""), F.concat(F.lit(" "), key, F.lit('="'), kept, F.lit('"')))
 
-    def handle_starttag(self, tag, attrs):
-        self.flush()
-        if tag in ENDS_P and "p" in self.open:
-            self.close_to("p")
-        if tag in ("script", "style"):
-            self.special = (tag, self.signature(tag, attrs), dict(attrs).get("type"))
-            return
-        self.tokens.append(self.signature(tag, attrs))
-        if tag in VOID:
-            self.tokens.append(f"</{tag}>")
-        else:
-            self.open.append(tag)
+    listed = F.sort_array(F.filter(F.transform(found, attribute), lambda a: a.isNotNull()))
+    return F.concat(F.lit("<"), name, F.array_join(listed, ""), F.lit(">"))
 
-    def close_to(self, tag):
-        while self.open:
-            name = self.open.pop()
-            self.tokens.append(f"</{name}>")
-            if name == tag:
-                return
 
-    def handle_endtag(self, tag):
-        if self.special:
-            name, signature, kind = self.special
-            body = " ".join(self.text.split())
-            if kind == "application/ld+json":
-                try:
-                    body = json.dumps(json.loads(self.text), sort_keys=True)
-                except ValueError:
-                    pass
-            self.tokens.append(f"{signature}>{body}" if name == "script" else body)
-            self.text, self.special = "", None
-            return
-        self.flush()
-        if tag in self.open:
-            self.close_to(tag)
-
-    def handle_data(self, data):
-        self.text += data
-
-
-def tokens_of(html: str) -> list[str]:
-    reader = DomTokens()
-    reader.feed(html or "")
-    reader.close()
-    reader.flush()
-    while reader.open:
-        reader.tokens.append(f"</{reader.open.pop()}>")
-    return reader.tokens
+def _token(piece: Column) -> Column:
+    opening = _tag_token(F.regexp_extract(piece, r"(?s)\A<[^>]*>", 0))
+    inner = F.regexp_extract(piece, r"(?is)\A<script\b[^>]*>(.*)</script\s*>\z", 1)
+    data = F.when(opening.contains("application/ld+json"), F.to_json(F.try_parse_json(inner)))
+    script = F.concat(opening, F.coalesce(data, tx.strip(tx.squeeze(inner))))
+    return F.when(piece.rlike(r"(?i)\A<script\b"), script).when(piece.startswith("<"), opening).otherwise(tx.strip(tx.squeeze(piece)))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def dom_token_array(html: pd.Series) -> pd.Series:
-    return html.map(tokens_of)
+def dom_token_array(html: Column) -> Column:
+    """Tags and texts of a page without comments, declarations and blank texts; JSON-LD in one key order (T-04)."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->|<![^>]*>", "")
+    return F.filter(F.transform(F.regexp_extract_all(bare, F.lit(MARKUP), F.lit(0)), _token), lambda t: t != "")
 
 
 def dom_tokens(pages: DataFrame) -> DataFrame:
     """Token rows per page (T-04)."""
-    return pages.select("page_id", F.posexplode(dom_token_array("html")).alias("idx", "token"))
+    return pages.select("page_id", F.posexplode(dom_token_array(F.col("html"))).alias("idx", "token"))
 
 
 def article_only(html: Column) -> Column:

@@ -13,8 +13,11 @@ def one(spark, **cols):
     return spark.range(1).select(*[c.alias(k) for k, c in cols.items()]).first()
 
 
+FLAGS = ("bold", "italic", "underline", "strike", "code", "fn_ref")
+
+
 def run(text, href=None, **flags):
-    return {"text": text, "href": href, **{f: flags.get(f, False) for f in rn._FLAGS}}
+    return {"text": text, "href": href, **{f: flags.get(f, False) for f in FLAGS}}
 
 
 def with_runs(spark, cases):
@@ -85,8 +88,9 @@ def test_rendering_order_of_styles(spark):
         ("[a *b*](u)", [("a ", "", "u"), ("b", "i", "u")]), ("", []),
     ],
 )
-def test_parse_marked_text(text, want):
-    got = [(r["text"], "b" * r["bold"] + "i" * r["italic"] + "f" * r["fn_ref"], r["href"]) for r in rn.parse_polish_text(text)]
+def test_parse_marked_text(spark, text, want):
+    runs = one(spark, r=rn.runs_of(F.lit(text))).r
+    got = [(r["text"], "b" * r["bold"] + "i" * r["italic"] + "f" * r["fn_ref"], r["href"]) for r in runs]
     assert got == want
 
 
