@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.ordered import number_rows, segment
+from quire.operators.ordered import number_rows, number_rows_by_range, segment
 from quire.session import cut_lineage
 
 FP = "\x1c"
@@ -41,8 +41,8 @@ def listing_fingerprint(timeline: DataFrame) -> DataFrame:
 def snapshot(docs: DataFrame, hashes: DataFrame, history: DataFrame, note: str, now: Column) -> DataFrame:
     """New snapshot rows, numbered after the history, one per document (V-01)."""
     base = history.agg(F.coalesce(F.max("snapshot_id"), F.lit(0)).alias("top")).scalar()
-    rows = docs.select("doc_id").join(hashes, "doc_id").withColumn("__all", F.lit(0))
-    numbered = number_rows(rows, ["__all"], [F.col("doc_id")], [segment("doc_id")], "n")
+    rows = docs.select("doc_id").join(hashes, "doc_id")
+    numbered = number_rows_by_range(rows, [], [F.col("doc_id")], "n")
     return numbered.select((F.col("n") + base).alias("snapshot_id"), "doc_id", "content_hash", F.lit(note).alias("note"), now.alias("created_at"))
 
 
@@ -87,23 +87,33 @@ def stale_reports(reports: DataFrame, hashes: DataFrame) -> DataFrame:
     return reports.join(now, "doc_id").withColumn("stale", F.col("content_hash") != F.col("__now")).drop("__now")
 
 
-def publish_all(dirty: DataFrame, render: DataFrame, folder: str, spark, now: Column) -> dict[str, DataFrame]:
+def publish_all(dirty: DataFrame, render: DataFrame, folder: str, spark, now: Column, run: int) -> dict[str, DataFrame]:
     """Write rendered pages, then record state and log for the pages found written (V-07).
 
     ``dirty``: doc_id, target_id, kind, target_kind, content_hash; ``render``:
-    doc_id, html. Metadata comes from reading the folder back, so a failed
-    write leaves its document dirty.
+    doc_id, html. Every run has a folder of its own, so earlier pages stay, and
+    only this run's folder is read back: a failed write leaves its document
+    dirty whatever was published before. A dirty home page is refreshed, marked
+    and logged once anything but a drive copy went out to its target.
     """
+    own = f"{folder}/run={run}"
     pages = render.join(dirty.select("doc_id", "target_id").distinct(), "doc_id")
-    pages.write.mode("overwrite").partitionBy("target_id").parquet(folder)
-    written = spark.read.parquet(folder).select("doc_id", F.col("target_id").cast("long").alias("target_id"), F.lit(True).alias("__ok")).distinct()
-    done = cut_lineage(dirty.join(written, ["doc_id", "target_id"], "left_semi"))
-    # a home page is clean once anything but a drive copy went out
+    pages.write.mode("overwrite").partitionBy("target_id").parquet(own)
+    schema = f"{pages.drop('target_id').schema.simpleString()[7:-1]}, target_id: bigint".replace(":", " ")
+    found = spark.read.schema(schema).parquet(own).select("doc_id", "target_id", F.lit(True).alias("__ok")).distinct()
+    done = cut_lineage(dirty.join(found, ["doc_id", "target_id"], "left_semi"))
     other = done.where((F.col("target_kind") != "drive") & (F.col("kind") != "homepage")).select("target_id").distinct()
-    home = dirty.where(F.col("kind") == "homepage").join(other, "target_id", "left_semi")
-    marked = done.unionByName(home).dropDuplicates(["doc_id", "target_id"])
-    log = done.select("doc_id", F.lit("publish").alias("kind"), "target_id", now.alias("created_at"))
-    return {"marked": marked.select("doc_id", "target_id", "content_hash"), "log": log}
+    home = dirty.where(F.col("kind") == "homepage").join(other, "target_id", "left_semi").join(done, ["doc_id", "target_id"], "left_anti")
+    row = lambda d, what: d.select("doc_id", F.lit("publish").alias("kind"), "target_id", F.lit(what).alias("summary"), now.alias("created_at"))
+    log = row(done, "published").unionByName(row(home, "refreshed with its target"))
+    return {"marked": done.unionByName(home.select(*done.columns)).select("doc_id", "target_id", "content_hash"), "log": log}
+
+
+def published_pages(spark, folder: str, schema: str = "doc_id long, html string") -> DataFrame:
+    """The newest page per document and target over all runs: doc_id, target_id, run, html."""
+    rows = spark.read.schema(f"{schema}, run long, target_id long").parquet(folder)
+    newest = rows.groupBy("doc_id", "target_id").agg(F.max("run").alias("run"))
+    return rows.join(newest, ["doc_id", "target_id", "run"]).select("doc_id", "target_id", "run", "html")
 
 
 def once_only(job: str, rows: DataFrame, markers: DataFrame, force: bool = False) -> DataFrame:
