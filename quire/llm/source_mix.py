@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import WORD, columns, prefix_sums, text_or_empty
+from quire.session import written
 
 #: Weights of the sources in order, repeated.
 WEIGHTS = (1, 2, 3)
@@ -55,7 +56,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = EPOCH
         F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("size"),
         F.unhex(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).alias("key"),
     )
-    rows = prefix_sums(sized, ["no_source", "src"], ["key", "doc_id", "size"], {"before": F.col("size")})
+    # Range bounds are sampled from the rows, which would read every text twice.
+    rows = prefix_sums(written(sized, "sizes"), ["no_source", "src"], ["key", "doc_id", "size"], {"before": F.col("size")})
     sizes = rows.groupBy("no_source", "src").agg(F.sum("size").alias("source_size"))
     budget = targets(sizes, weights, epochs).withColumn("budget", F.floor("target"))
     cut = F.greatest(F.lit(0), F.least(F.col("size"), F.expr("budget - (budget div greatest(source_size, 1)) * source_size - before")))
