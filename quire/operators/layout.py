@@ -6,8 +6,9 @@ text, page_width, page_height. A printed page bounds every (doc_id, page) group.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import runs as rn
@@ -272,61 +273,44 @@ def caption_lines(images: DataFrame, lines: DataFrame, captioned: DataFrame) ->
 # ---------------------------------------------------------------- tiles
 
 
-def _touching(lo: str, hi: str, edge: str) -> Column:
-    """Bands agree by at least the overlap share of both sides and the edges are within the gap."""
-    o_lo, o_hi = f"o{lo}", f"o{hi}"
-    shared = F.greatest(F.lit(0.0), F.least(hi, o_hi) - F.greatest(lo, o_lo))
-    longer = F.greatest(F.lit(1e-6), F.greatest(F.col(hi) - F.col(lo), F.col(o_hi) - F.col(o_lo)))
-    gap = F.greatest(f"{edge}0", f"o{edge}0") - F.least(f"{edge}1", f"o{edge}1")
-    return (shared / longer >= TILE_OVERLAP) & (F.abs(gap) <= TILE_GAP)
+def _joined_boxes(box: np.ndarray) -> np.ndarray:
+    """Which boxes (x0, y0, x1, y1) meet: their bands agree by the overlap share of both, their edges are within the gap."""
+    meet = np.eye(len(box), dtype=bool)
+    for band, edge in ((0, 1), (1, 0)):
+        lo, hi, start, end = box[:, band], box[:, band + 2], box[:, edge], box[:, edge + 2]
+        shared = np.maximum(0, np.minimum.outer(hi, hi) - np.maximum.outer(lo, lo))
+        longer = np.maximum(1e-6, np.maximum.outer(hi - lo, hi - lo))
+        gap = np.maximum.outer(start, start) - np.minimum.outer(end, end)
+        meet |= (shared / longer >= TILE_OVERLAP) & (np.abs(gap) <= TILE_GAP)
+    return meet
 
 
-def tile_edges(images: DataFrame) -> DataFrame:
-    """Pairs of boxes that belong to one picture (A-14).
-
-    Boxes meet where one's end edge is within the gap of the other's start
-    edge, so they are joined on that edge's band; boxes thinner than the gap
-    also meet what they lie in and are joined on the page.
-    """
-    cols = ["x0", "y0", "x1", "y1"]
-    other = images.select("doc_id", "page", F.col("tile").alias("otile"), *[F.col(c).alias(f"o{c}") for c in cols])
-    band = lambda c: F.floor(F.col(c) / TILE_GAP)
-    found = None
-    for lo, hi, edge in (("x0", "x1", "y"), ("y0", "y1", "x")):
-        ends = images.withColumn("__band", F.explode(F.array(*[band(f"{edge}1") + d for d in (-1, 0, 1)])))
-        starts = other.withColumn("__band", band(f"o{edge}0"))
-        meet = ends.join(starts, ["doc_id", "page", "__band"]).where((F.col("tile") != F.col("otile")) & _touching(lo, hi, edge))
-        thin = images.where(F.col(f"{edge}1") - F.col(f"{edge}0") <= TILE_GAP)
-        within = thin.join(other, ["doc_id", "page"]).where((F.col("tile") != F.col("otile")) & _touching(lo, hi, edge))
-        for part in (meet, within):
-            part = part.select("doc_id", "page", "tile", "otile")
-            found = part if found is None else found.unionByName(part)
-    back = found.select("doc_id", "page", F.col("otile").alias("tile"), F.col("tile").alias("otile"))
-    return found.unionByName(back).distinct()
+def _page_pictures(page: pd.DataFrame) -> dict:
+    box = page[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float)
+    meet, label = _joined_boxes(box), np.arange(len(box))
+    while True:
+        lower = np.where(meet, label[None, :], len(box)).min(axis=1)
+        lower = lower[lower]
+        if (lower == label).all():
+            break
+        label = lower
+    tile = page["tile"].to_numpy()
+    rows = []
+    for k in np.unique(label):
+        mine = label == k
+        rows.append((sorted(tile[mine].tolist()), *box[mine][:, :2].min(axis=0), *box[mine][:, 2:].max(axis=0)))
+    rows.sort(key=lambda r: (round(r[2], 1), r[1], r[0][0]))
+    out = dict(zip(("tiles", "x0", "y0", "x1", "y1"), map(list, zip(*rows))))
+    return {"doc_id": [page["doc_id"].iloc[0]] * len(rows), "page": [page["page"].iloc[0]] * len(rows), **out, "image": list(range(len(rows)))}
 
 
 def tile_components(images: DataFrame) -> DataFrame:
     """Connected tiles as one box with its tiles in document order, ranked by (y, x) per page (A-14).
 
-    Smallest-id labels spread along the edges and then jump through their own
-    label, so long chains settle in few rounds; each round is written out.
+    A picture lies on one printed page, so one shuffle by page settles it; a task holds the boxes of a page.
     """
-    edges = cut_lineage(tile_edges(images))
-    key = ["doc_id", "page"]
-    labels = cut_lineage(images.select(*key, "tile", F.col("tile").alias("label")))
-    while True:
-        heard = edges.join(labels.withColumnRenamed("tile", "otile"), [*key, "otile"]).groupBy(*key, "tile").agg(F.min("label").alias("__near"))
-        spread = labels.join(heard, [*key, "tile"], "left").select(*key, "tile", F.col("label").alias("__old"), F.least("label", "__near").alias("label"))
-        jump = spread.select(*key, F.col("tile").alias("label"), F.col("label").alias("__next"))
-        moved = cut_lineage(spread.join(jump, [*key, "label"]).select(*key, "tile", "__old", F.col("__next").alias("label")))
-        labels = moved.select(*key, "tile", "label")
-        if moved.where(F.col("__old") != F.col("label")).isEmpty():
-            break
-    boxes = images.join(labels, [*key, "tile"]).groupBy(*key, "label").agg(
-        F.sort_array(F.collect_list("tile")).alias("tiles"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")]
-    )
-    w = Window.partitionBy(*key).orderBy(F.bround("y0", 1), "x0", "label")
-    return boxes.withColumn("image", F.row_number().over(w) - 1).drop("label")
+    schema = "doc_id long, page int, tiles array<int>, x0 double, y0 double, x1 double, y1 double, image int"
+    return grouped_map(images.select("doc_id", "page", "tile", "x0", "y0", "x1", "y1"), ["doc_id", "page"], ["tile"], _page_pictures, schema)
 
 
 # ---------------------------------------------------------------- paragraphs

@@ -10,7 +10,7 @@ from quire.functions import text as tx
 from quire.operators.blocks import prop, word_counts
 from quire.operators.ordered import assemble, following, islands, scan
 from quire.operators.structure import LISTS, emitted, figure_numbers, heading_anchors, lead_flags, toc_headings
-from quire.session import cut_lineage
+from quire.session import cut_lineage, written
 
 
 def _prop(name: str) -> Column:
@@ -38,6 +38,7 @@ def safe_markdown(docs: DataFrame, blocks: DataFrame, assets: DataFrame) -> Data
     ``docs`` needs doc_id and a ``meta`` map. Figures show the sketch unless the
     mode asks for the original or none is stored; sources stay asset ids.
     """
+    blocks = written(blocks, "blocks")  # read several times below
     stored = assets.select(F.col("sha256").alias("__sha")).distinct()
     figures = figure_numbers(blocks).select("doc_id", "pos", "n")
     md = tx.strip(rn.inline_md(F.col("runs")))
@@ -46,10 +47,14 @@ def safe_markdown(docs: DataFrame, blocks: DataFrame, assets: DataFrame) -> Data
     rows = _with_panels(rows, ("narrative",)).join(figures, ["doc_id", "pos"], "left")
     rows = rows.join(docs.select("doc_id", F.coalesce(F.col("meta")["canonical_url"], F.lit("")).alias("__url")), "doc_id")
     mode, sketch, original = _prop("safe_mode"), _prop("sketch_id"), _prop("asset_id")
-    rows = rows.withColumns({"__sketch": F.when(mode != "original", sketch), "__original": original})
-    rows = rows.join(stored.select(F.col("__sha").alias("__sketch"), F.lit(True).alias("__has_sketch")), "__sketch", "left")
-    rows = rows.join(stored.select(F.col("__sha").alias("__original"), F.lit(True).alias("__has_original")), "__original", "left")
-    src = F.when(F.col("__has_sketch"), F.col("__sketch")).when(F.col("__has_original"), F.col("__original")).otherwise("")
+    # which of its assets a figure shows, worked out on narrow rows of figures alone; an asset that many show is split by AQE
+    wanted = blocks.where(F.col("type") == "image").select(
+        "doc_id", "pos", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.when(mode != "original", sketch).alias("sha")), F.struct(F.lit(1).alias("k"), original.alias("sha")))).alias("a")
+    ).where("a.sha != ''")
+    have = wanted.select("doc_id", "pos", F.col("a.k").alias("k"), F.col("a.sha").alias("__sha")).join(stored, "__sha", "left_semi")
+    shown = have.groupBy("doc_id", "pos").agg(F.min_by("__sha", "k").alias("__src"))
+    rows = rows.join(shown, ["doc_id", "pos"], "left")
+    src = F.coalesce("__src", F.lit(""))
     n = F.col("n").cast("string")
     flat = lambda c: F.replace(c, F.lit("\n"), F.lit(" "))
     alt = flat(F.coalesce(F.nullif(_prop("alt_text"), F.lit("")), _cat("Figure ", n)))

@@ -10,6 +10,8 @@ from quire.functions import text as tx
 FIELDS = ("slug", "title", "body")
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
+#: Folders of a stored index, and tasks that write one.
+BUCKETS, DEALT = 64, 4
 
 
 def fold(c: Column) -> Column:
@@ -21,18 +23,63 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(fold(c), F.lit(f"({TOKEN})"), 1)
 
 
-def build_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) from doc_id, slug, title, body (I-01).
+def _postings(toks: Column) -> Column:
+    """(term, positions) of one token array: its (term, place) pairs sorted, then cut where the term changes."""
+    pairs = F.sort_array(F.transform(toks, lambda t, i: F.struct(t.alias("term"), i.alias("at"))))
+
+    def cut(s):
+        heads = F.filter(F.transform(s, lambda p, i: F.when((i == 0) | (p["term"] != F.get(s, i - 1)["term"]), i)), lambda i: i.isNotNull())
+        tails = F.slice(F.concat(F.slice(heads, F.lit(2), F.size(s)), F.array(F.size(s))), F.lit(1), F.size(heads))
+        places = lambda x, y: F.transform(F.slice(s, x + 1, y - x), lambda p: p["at"])
+        return F.zip_with(heads, tails, lambda x, y: F.struct(F.get(s, x)["term"].alias("term"), places(x, y).alias("positions")))
+
+    return F.get(F.transform(F.array(pairs), cut), F.lit(0))
+
+
+def index_rows(docs: DataFrame) -> DataFrame:
+    """term, doc_id, field, tf, positions: every text is tokenised once, inside its row, and nothing is shuffled.
 
-    postings: term, doc_id, field, tf, positions. Write them bucketed or
-    partitioned by term so a search reads only its own terms.
+    A row of the empty term holds the document's length as its tf.
     """
     fields = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in FIELDS])
-    rows = docs.select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", "f.toks")
-    hits = rows.select("doc_id", "field", F.posexplode("toks").alias("at", "term"))
-    postings = hits.groupBy("term", "doc_id", "field").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
-    lengths = docs.select("doc_id", sum((F.size(tokens(F.col(f))) for f in FIELDS), F.lit(0)).cast("long").alias("length"))
-    return postings, lengths
+    rows = docs.select("doc_id", fields.alias("f"))
+    entry = lambda f: F.transform(
+        _postings(f["toks"]),
+        lambda p: F.struct(p["term"].alias("term"), f["field"].alias("field"), F.size(p["positions"]).cast("long").alias("tf"), p["positions"].alias("positions")),
+    )
+    total = F.aggregate("f", F.lit(0).cast("long"), lambda a, f: a + F.coalesce(F.size(f["toks"]), F.lit(0)))
+    length = F.struct(F.lit("").alias("term"), F.lit("").alias("field"), total.alias("tf"), F.array().cast("array<int>").alias("positions"))
+    entries = F.concat(F.flatten(F.transform(F.filter("f", lambda f: F.size(f["toks"]) > 0), entry)), F.array(length))
+    return rows.select("doc_id", F.inline(entries)).select("term", "doc_id", "field", "tf", "positions")
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.where(F.col("term") != ""), rows.where(F.col("term") == "").select("doc_id", F.col("tf").alias("length"))
+
+
+def build_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) from doc_id, slug, title, body (I-01)."""
+    return _split(index_rows(docs))
+
+
+def bucket_of(term: Column) -> Column:
+    return F.when(term == "", -1).otherwise(F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int"))
+
+
+def write_index(docs: DataFrame, folder: str) -> None:
+    """The index as a table laid out by term: a search reads the folders of its own terms (I-01).
+
+    A bucket is dealt to several tasks by document, so that a term of every document makes no single task.
+    """
+    rows = index_rows(docs).withColumn("bucket", bucket_of(F.col("term")))
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(DEALT))).sortWithinPartitions("bucket", "term", "doc_id")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
+def stored_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of a written index."""
+    rows = spark.read.schema("term string, doc_id long, field string, tf long, positions array<int>, bucket int").parquet(folder)
+    return rows.where("bucket >= 0"), rows.where("bucket = -1").select("doc_id", F.col("tf").alias("length"))
 
 
 def replace_in_index(postings: DataFrame, lengths: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -52,6 +99,9 @@ def phrase_counts(postings: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """doc_id with f0…fk, the occurrences of each phrase over all fields."""
     wanted = sorted({t for p in phrases for t in p})
     mine = postings.where(F.col("term").isin(wanted))
+    if "bucket" in postings.columns:
+        found = postings.sparkSession.range(1).select(F.transform(F.array(*map(F.lit, wanted)), bucket_of).alias("b")).first()["b"]
+        mine = mine.where(F.col("bucket").isin(sorted(set(found))))
     per_field = mine.groupBy("doc_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
 
     def shifted(places: Column, by: int) -> Column:

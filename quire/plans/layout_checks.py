@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -13,7 +12,8 @@ from quire.plans.inputs import SQL_LINES, lines, table
 from quire.plans.library_checks import SQL_LOG, _MATRIX, change_log, dirty, job_results, library, states, targets
 from quire.plans.page_checks import _INDEX, _REPLY, doc_tracks
 from quire.plans.registry import check
-from quire.session import cut_lineage, shared_folder
+from quire.session import cut_lineage
+from quire.session import fresh_folder as _fresh
 from quire.sources import files as fl
 from quire.sources import sinks as sk
 from quire.sources.tables import read_change_log
@@ -279,13 +279,12 @@ def _(spark, sf):
 # ---------------------------------------------------------------- streams
 
 
-def _fresh(spark, name):
-    return f"{shared_folder(spark).rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
-
-
-def _stream(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+def _stream(spark, sf, name, batches=3):
+    """A table as a stream of several files, each a micro-batch of its own."""
+    folder = _fresh(spark, f"in-{name}")
+    rows = table(spark, sf, name)
+    rows.repartition(batches).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 @check("read_change_log", "SELECT event_id, user_id, event_type FROM events")
@@ -305,10 +304,9 @@ def _(spark, sf):
     "SELECT user_id AS job, count(*) AS total, count(*) FILTER (event_type <> 'view') AS done, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY ALL",
 )
 def _(spark, sf):
-    name = f"progress_{uuid.uuid4().hex}"
-    query = inc.stream_progress(job_results(_stream(spark, sf, "events")), name, _fresh(spark, "cp"))
-    query.awaitTermination()
-    return spark.table(name)
+    out = inc.BatchTable(spark, _fresh(spark, "progress"))
+    inc.stream_progress(job_results(_stream(spark, sf, "events")), out, _fresh(spark, "cp"))
+    return inc.progress(out)
 
 
 @check("stream_reindex", f"WITH {_INDEX} SELECT term, doc_id, field, count(*) AS tf FROM tok GROUP BY ALL")

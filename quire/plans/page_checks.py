@@ -16,6 +16,7 @@ from quire.operators.ordered import number_rows, prev, scan, segment
 from quire.plans.inputs import SQL_LINES, lines, sql_norm_key, sql_strip, table, typed
 from quire.plans.registry import check
 from quire.plans.structure_checks import _PACK
+from quire.session import fresh_folder
 from quire.sources import pages as pg
 from quire.sources import sinks as sk
 
@@ -260,6 +261,18 @@ def _bm25(phrases: dict[str, str], limit: int) -> str:
     SELECT l.doc_id, round({score}, 6) AS score FROM len l CROSS JOIN c {joins} ORDER BY {score} DESC, l.doc_id LIMIT {limit}"""
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark, sf):
+    """The index of a corpus, written once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = fresh_folder(spark, "index")
+        se.write_index(_corpus(spark, sf), _WRITTEN[key])
+    return se.stored_index(spark, _WRITTEN[key])
+
+
 def _one(term: str) -> str:
     return f"SELECT doc_id, count(*) AS f FROM tok WHERE term = '{term}' GROUP BY doc_id"
 
@@ -276,14 +289,13 @@ for _name, _query, _parts in (
 
     @check(_name, _bm25(_parts, 20))
     def _(spark, sf, _query=_query):
-        postings, lengths = se.build_index(_corpus(spark, sf))
-        return se.search(postings, lengths, _query).withColumn("score", F.round("score", 6))
+        return se.search(*_stored(spark, sf), _query).withColumn("score", F.round("score", 6))
 
 
 @check("search_snippets")
 def _(spark, sf):
     docs = _corpus(spark, sf)
-    return se.search_with_snippets(docs, *se.build_index(docs), "the attion")
+    return se.search_with_snippets(docs, *_stored(spark, sf), "the attion")
 
 
 # ---------------------------------------------------------------- tracks

@@ -100,9 +100,10 @@ def stream_dirty(
     return run_available(changes, on_batch, checkpoint)
 
 
-def stream_progress(results: DataFrame, name: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Running done / total / failed per job in a memory table (R-04)."""
-    return (
-        lb.job_summary(results).writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-    )
+def stream_progress(results: DataFrame, table: BatchTable, checkpoint: str) -> StreamingQuery:
+    """done / total / failed per job and batch, in the shared folder; ``progress`` adds them up (R-04)."""
+    return run_available(results, lambda batch, batch_id: table.write(batch_id, lb.job_summary(batch)), checkpoint)
+
+
+def progress(table: BatchTable) -> DataFrame:
+    return table.read().groupBy("job").agg(*[F.sum(c).alias(c) for c in ("total", "done", "failed")])
