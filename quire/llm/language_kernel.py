@@ -66,9 +66,12 @@ def sample(docs: DataFrame, allowed: Column, per_lang: int = PER_LANG) -> DataFr
     """lang, text of about ``per_lang`` labelled texts of each language, those of least hash; all rows are counted for it."""
     rank = F.conv(F.substring(F.md5(F.concat(F.lit("sample:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text_or_empty("text")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     rows = docs.filter(allowed & F.col("lang").isNotNull())
-    share = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share"))
-    picked = rows.select("lang", F.lower(text_or_empty("text")).alias("text"), rank.alias("rank")).join(share, "lang")
-    return picked.filter(F.col("rank") < F.col("share")).select("lang", "text")
+    # One weight column per language is kept in the model, so their counts are few.
+    share = {r[0]: per_lang / r[1] for r in rows.groupBy("lang").count().collect()}
+    least = F.lit(0.0)
+    for lang, part in sorted(share.items()):
+        least = F.when(F.col("lang") == lang, part).otherwise(least)
+    return rows.filter(rank < least).select("lang", F.lower(text_or_empty("text")).alias("text"))
 
 
 def fit(texts: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
