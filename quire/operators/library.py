@@ -10,7 +10,6 @@ from quire.operators.blocks import prop
 from quire.operators.ordered import following, latest, number_rows, number_rows_by_range, prev, scan, segment
 from quire.session import cut_lineage
 
-SALTS = 32
 NEVER = "NEVER_PUBLISHED"
 
 
@@ -24,12 +23,14 @@ def _blank_to_null(c) -> Column:
 def target_pairs(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Every document with every target that takes its kind; a home page has no drive copy (J-01).
 
-    An equi-join on (kind, salt): documents of one kind spread over ``SALTS``
-    partitions, so neither side has to be small.
+    An equi-join on (kind, salt), with as many salts as the session has shuffle
+    partitions: documents of one kind spread over all of them, so neither side
+    has to be small.
     """
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     takes = F.when(F.col("target_kind") == "drive", F.array(F.lit("memoir"))).otherwise(F.array(F.lit("memoir"), F.lit("homepage")))
-    copies = targets.select("*", F.explode(takes).alias("kind")).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    salted = docs.withColumn("__salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    copies = targets.select("*", F.explode(takes).alias("kind")).select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    salted = docs.withColumn("__salt", F.pmod(F.hash("doc_id"), F.lit(salts)))
     return salted.join(copies, ["kind", "__salt"]).drop("__salt")
 
 
@@ -251,7 +252,7 @@ def append_to_bucket(docs: DataFrame, moves: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "group_id", "group_position")
     real = moves.join(rows, "doc_id").where(~F.col("to_group").eqNullSafe(F.col("group_id"))).select("doc_id", "to_group", "seq")
     tops = rows.groupBy("group_id").agg(F.max("group_position").alias("top")).select(F.col("group_id").alias("__g"), "top")
-    numbered = number_rows(real, ["to_group"], [F.col("seq")], [segment("seq")], "rn")
+    numbered = number_rows_by_range(real, ["to_group"], [F.col("seq"), F.col("doc_id")], "rn")
     placed = numbered.join(tops, F.col("to_group").eqNullSafe(F.col("__g")), "left").select(
         "doc_id", "to_group", (F.coalesce("top", F.lit(-1)) + F.col("rn")).alias("__pos"), F.lit(True).alias("__moved")
     )
@@ -376,14 +377,14 @@ NUMBERED = r"^(.*)-([2-9]|[1-9]\d{1,17})$"
 def _free_names(new, old):
     import pandas as pd
 
-    new, used, out = new.sort_values("doc_id"), set(old["slug"]), []
+    new, used, out, tried = new.sort_values("doc_id"), set(old["slug"]), [], {}
     for base in new["base"]:
-        name, k = base, 1
-        while name in used:
+        k = tried.get(base, 1)  # names below are taken for good
+        while (base if k == 1 else f"{base}-{k}") in used:
             k += 1
-            name = f"{base}-{k}"
-        used.add(name)
-        out.append(name)
+        tried[base] = k
+        out.append(base if k == 1 else f"{base}-{k}")
+        used.add(out[-1])
     return pd.DataFrame({"doc_id": new["doc_id"], "slug": out})
 
 
@@ -398,9 +399,11 @@ def unique_slugs(docs: DataFrame, existing: DataFrame) -> DataFrame:
     slug = tx.slugify(F.col("title"))
     base = F.when(F.coalesce(F.col("date_stem"), F.lit("")) != "", F.concat_ws("_", "date_stem", slug)).otherwise(slug)
     named = docs.select("doc_id", base.alias("base")).withColumn("root", F.regexp_replace("base", ROOT, ""))
-    per_root = named.select("root", "base").distinct().groupBy("root").agg(F.count("*").alias("k"))
-    mixed = per_root.where(F.col("k") > 1).select("root")
     names = existing.select("slug").distinct()
+    # where every base of a root is new and asked for once, each simply takes its own name
+    per_base = named.groupBy("root", "base").agg(F.count("*").alias("n")).join(names.select(F.col("slug").alias("base"), F.lit(1).alias("old")), "base", "left")
+    per_root = per_base.groupBy("root").agg(F.count("*").alias("k"), F.max((F.col("n") > 1) | F.col("old").isNotNull()).alias("meets"))
+    mixed = per_root.where((F.col("k") > 1) & F.col("meets")).select("root")
     plain = _numbered_slugs(named.join(mixed, "root", "left_anti").select("doc_id", "base"), names)
     rooted = names.withColumn("root", F.regexp_replace("slug", ROOT, "")).join(mixed, "root", "left_semi")
     hard = named.join(mixed, "root", "left_semi").groupBy("root").cogroup(rooted.groupBy("root")).applyInPandas(_free_names, "doc_id long, slug string")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quire.functions import runs as rn
 from quire.functions import text as tx
 from quire.operators.blocks import prop, word_counts
-from quire.operators.ordered import assemble, following, islands, scan
-from quire.operators.structure import LISTS, emitted, figure_numbers, heading_anchors, lead_flags, toc_headings
+from quire.operators.ordered import assemble, following, islands, latest, scan
+from quire.operators.structure import LISTS, emitted, figure_numbers, heading_anchors, lead_flags, list_runs, toc_headings
 from quire.session import cut_lineage, written
 
 
@@ -93,19 +93,52 @@ def table_html(cells: Column) -> Column:
     return _cat("<table>", F.array_join(F.transform(cells, row), ""), "</table>")
 
 
+def list_html(blocks: DataFrame) -> DataFrame:
+    """doc_id, pos of the first item, __list: consecutive items of one kind with what is nested in them.
+
+    The items of one list are folded in order; the fold keeps the tags of the open lists, so closing needs no look back.
+    """
+    item = F.col("type").isin(*LISTS)
+    top = scan(blocks.select("doc_id", "pos", "type", "depth", "runs"), __top=latest(F.when(F.col("depth") == 0, F.struct("pos", "type"))))
+    inside = top.where(item & F.col("__top.type").isin(*LISTS)).select("doc_id", "pos", "type", "depth", "runs", F.col("__top.pos").alias("__at"))
+    heads = list_runs(blocks).select("doc_id", F.col("pos").alias("__at"), F.col("run"))
+    tag = F.when(F.col("type") == "numberedListItem", "ol").otherwise("ul")
+    rows = inside.join(heads, ["doc_id", "__at"]).groupBy("doc_id", F.col("run").alias("pos")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "depth", tag.alias("tag"), rn.inline_html(F.col("runs")).alias("html")))).alias("items")
+    )
+    closed = lambda tags: F.array_join(F.transform(F.reverse(tags), lambda t: F.concat(F.lit("</li></"), t, F.lit(">"))), "")
+
+    def step(acc, x):
+        level = F.least(x["depth"], F.size(acc["open"]))  # an item no list has yet been opened for goes one level down
+        deeper = level == F.size(acc["open"])
+        done = closed(F.slice(acc["open"], level + 2, F.size(acc["open"])))
+        start = F.when(deeper, F.concat(F.lit("<"), x["tag"], F.lit(">"))).otherwise(F.concat(done, F.lit("</li>")))
+        return F.struct(
+            F.concat(acc["html"], start, F.lit("<li>"), x["html"]).alias("html"),
+            F.when(deeper, F.concat(acc["open"], F.array(x["tag"]))).otherwise(F.slice(acc["open"], F.lit(1), level + 1)).alias("open"),
+        )
+
+    zero = F.struct(F.lit("").alias("html"), F.array().cast("array<string>").alias("open"))
+    whole = F.aggregate("items", zero, step, lambda acc: F.concat(acc["html"], closed(acc["open"])))
+    return rows.select("doc_id", "pos", whole.alias("__list"))
+
+
 def body_fragments(blocks: DataFrame, image_base: Column) -> DataFrame:
-    """One HTML fragment per rendered row; lists and panels open and close in place (L-02)."""
-    rows = cut_lineage(emitted(blocks).select(*blocks.columns, image_base.alias("__base")))
+    """One HTML fragment per rendered row; panels open and close in place, a list stands at its first item (L-02).
+
+    Tables come from a ``cells`` column (rows of run arrays) where there is one.
+    """
+    blocks = written(blocks, "blocks")  # read several times below
+    rows = emitted(blocks).select(*blocks.columns, image_base.alias("__base"))
     anchors = heading_anchors(toc_headings(rows)).select("doc_id", "pos", "anchor")
     leads = lead_flags(rows).where("lead").select("doc_id", "pos", "lead")
     figures = figure_numbers(rows).select("doc_id", "pos", "n")
     full = _with_panels(rows, (*LISTS, "narrative"))
-    for side in (anchors, leads, figures):
+    for side in (anchors, leads, figures, list_html(blocks)):
         full = full.join(side, ["doc_id", "pos"], "left")
     html, kind, n = rn.inline_html(F.col("runs")), F.col("type"), F.col("n").cast("string")
     level = F.when(F.coalesce(F.col("level"), F.lit(2)) >= 3, "3").otherwise("2")
     src = _cat(F.col("__base"), "/figure-", n, "-original", F.coalesce(F.nullif(_prop("ext"), F.lit("")), F.lit(".jpeg")))
-    tag = F.when(kind == "numberedListItem", "ol").otherwise("ul")
     opens, closes = F.col("opens"), F.col("closes")
     part = (
         F.when(kind == "heading", _cat("<h", level, ' id="', F.col("anchor"), '">', html, "</h", level, ">"))
@@ -123,11 +156,8 @@ def body_fragments(blocks: DataFrame, image_base: Column) -> DataFrame:
             kind == "narrative",
             _cat(F.when(opens, '<div class="narrative">').otherwise(""), "<p>", html, "</p>", F.when(closes, "</div>").otherwise("")),
         )
-        .when(
-            kind.isin(*LISTS),
-            _cat(F.when(opens, _cat("<", tag, ">")).otherwise(""), "<li>", html, "</li>", F.when(closes, _cat("</", tag, ">")).otherwise("")),
-        )
-        .when(kind == "table", _prop("html"))
+        .when(kind.isin(*LISTS), F.col("__list"))
+        .when(kind == "table", table_html(F.col("cells")) if "cells" in blocks.columns else _prop("html"))
     )
     return full.select("doc_id", "pos", part.alias("html"))
 

@@ -81,30 +81,23 @@ def _breaks(tokens: np.ndarray, heading: np.ndarray, target: int):
     return np.minimum(np.minimum(over, _next_heading(heading)), n)
 
 
+def _at_or_after(mask: np.ndarray) -> np.ndarray:
+    """Index of the first true row at or after each row, and past the end (n when none)."""
+    n = len(mask)
+    return np.append(np.minimum.accumulate(np.where(mask, np.arange(n), n)[::-1])[::-1], n)
+
+
 def _next_heading(heading: np.ndarray) -> np.ndarray:
     """First heading after the first body row at or after each row."""
-    n = len(heading)
-    out = np.full(n, n)
-    next_head, after_body = n, n
-    for j in range(n - 1, -1, -1):
-        if not heading[j]:
-            after_body = next_head
-        out[j] = after_body
-        if heading[j]:
-            next_head = j
-    return out
-
-
-def _first_break(tokens, heading, total, has_body, target):
-    """First row that cannot join a chunk already holding ``total`` tokens."""
+    return _at_or_after(heading)[_at_or_after(~heading)[:-1]]
+
+
+def _first_break(tokens, heading, held, has_body, target):
+    """First row that cannot join a chunk already holding ``held`` tokens (one number or many)."""
     n = len(tokens)
-    over = int(np.searchsorted(np.cumsum(tokens), target - total, side="right"))
-    heads = np.flatnonzero(heading)
-    if has_body:
-        first = heads[0] if len(heads) else n
-    else:
-        first = int(_next_heading(heading)[0]) if n else n
-    return min(over, int(first), n)
+    over = np.searchsorted(np.cumsum(tokens), target - np.asarray(held), side="right")
+    first = _at_or_after(heading)[0] if has_body else (_next_heading(heading)[0] if n else n)
+    return np.minimum(np.minimum(over, first), n)
 
 
 def _segment_summary(target: int):
@@ -116,21 +109,21 @@ def _segment_summary(target: int):
         n, cap = len(tokens), target + 1
         nxt = _breaks(tokens, heading, target)
         cum = np.concatenate([[0], np.cumsum(tokens)])
+        next_body = _at_or_after(~heading)
         total, body, opened = np.zeros(n, int), np.zeros(n, int), np.zeros(n, int)
         for j in range(n - 1, -1, -1):
             k = nxt[j]
             if k < n:
                 total[j], body[j], opened[j] = total[k], body[k], opened[k] + 1
             else:
-                total[j], body[j], opened[j] = min(cap, cum[n] - cum[j]), int((~heading[j:]).any()), 1
-        outs = []
+                total[j], body[j], opened[j] = min(cap, cum[n] - cum[j]), int(next_body[j] < n), 1
+        outs, held = [], np.arange(cap + 1)
         for has_body in (0, 1):
-            for held in range(cap + 1):
-                j = _first_break(tokens, heading, held, has_body, target)
-                if j < n:
-                    outs += [total[j], body[j], opened[j]]
-                else:
-                    outs += [min(cap, held + cum[n]), int(has_body or (~heading).any()), 0]
+            j = _first_break(tokens, heading, held, has_body, target)
+            inside, at = j < n, np.minimum(j, n - 1)
+            ended = (np.minimum(cap, held + cum[n]), np.full(cap + 1, int(has_body or (~heading).any())), np.zeros(cap + 1, int))
+            outs.append(np.stack([np.where(inside, x[at], e) for x, e in zip((total, body, opened), ended)], axis=1).ravel())
+        outs = np.concatenate(outs).astype(int).tolist()
         return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "seg": [pdf["seg"].iloc[0]], "moves": [outs]})
 
     return summarise

@@ -52,6 +52,12 @@ fold AS (
   FROM fold f JOIN pol p ON p.doc_id = f.doc_id AND p.i = f.i + 1)"""
 
 
+@check("pack_chunks_long", f"{_PACK} SELECT doc_id, pos, chunk FROM fold")
+def _(spark, sf):
+    """Segments of eight rows, so that documents span many of them."""
+    return st.pack_chunks(polishable(typed(spark, sf)), target=200, seg=8)
+
+
 @check("pack_chunks", f"{_PACK} SELECT doc_id, pos, chunk FROM fold")
 def _(spark, sf):
     return st.pack_chunks(polishable(typed(spark, sf)), target=200)
