@@ -88,7 +88,19 @@ def _(spark, sf):
     return dr.mark_gallery_captions(md_once(spark, sf)).select("doc_id", "pos", "gallery_caption")
 
 
-@check("promote_bold_headings")
+@check(
+    "promote_bold_headings",
+    f"""{_SEGS}, k AS (SELECT *, coalesce(text, '') AS t, kind = 'image' AS im FROM rows),
+    b AS (SELECT *, length(t) > 4 AND starts_with(t, '**') AND ends_with(t, '**') AS bold, length(t) > 2 AND starts_with(t, '*') AND NOT starts_with(t, '**') AND ends_with(t, '*') AS ital FROM k),
+    n AS (SELECT *, NOT im AND t <> '' AND NOT bold AND NOT ital AS prose FROM b),
+    g AS (SELECT *, (coalesce(lag(im) OVER w, false) OR coalesce(lead(im) OVER w, false)) AND NOT (coalesce(lag(prose) OVER w, false) OR coalesce(lead(prose) OVER w, false)) AS gallery,
+      {sql_strip("substr(t, 3, length(t) - 4)")} AS inner_ FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    f AS (SELECT *, kind = 'p' AND bold AND inner_ <> '' AND NOT contains(inner_, '**') AND length(inner_) <= 100 AND NOT regexp_matches(inner_, '[.!?]$') AND NOT gallery AS up FROM g),
+    h AS (SELECT doc_id, pos, src, CASE WHEN up THEN inner_ ELSE text END AS text,
+      CASE WHEN up AND regexp_matches(inner_, '\\p{{L}}') AND NOT regexp_matches(inner_, '[\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]') THEN 'h2' WHEN up THEN 'h3' ELSE kind END AS kind FROM f),
+    o AS (SELECT doc_id, min(pos) FILTER (kind = 'h1') AS h1, min(pos) FILTER (kind IN ('h2', 'h3')) AS head FROM h GROUP BY doc_id)
+    SELECT h.doc_id, h.pos, CASE WHEN o.h1 IS NULL AND h.pos = o.head THEN 'h1' ELSE h.kind END AS kind, h.text, h.src FROM h JOIN o ON o.doc_id = h.doc_id""",
+)
 def _(spark, sf):
     return dr.promote_bold_headings(md_once(spark, sf))
 
@@ -209,7 +221,17 @@ def _neighbour_captions(spark, sf):
     return rows, cut_lineage(near.groupBy("doc_id", "image").agg(F.min(caption).alias("caption")))
 
 
-@check("drop_caption_duplicates")
+@check(
+    "drop_caption_duplicates",
+    f"""WITH RECURSIVE {SQL_DRAFTS}, nb AS (SELECT *, lag(pos) OVER w AS up, lag(kind) OVER w AS up_kind, lag(text) OVER w AS up_text,
+      lead(pos) OVER w AS down, lead(kind) OVER w AS down_kind, lead(text) OVER w AS down_text FROM drafts WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    cp AS (SELECT doc_id, image, min(CASE WHEN image < '8' THEN down_text ELSE up_text END) AS cap FROM nb WHERE kind = 'image' GROUP BY ALL),
+    im AS (SELECT n.doc_id, up, down, row_number() OVER (PARTITION BY n.doc_id ORDER BY pos) AS k, coalesce(cap <> '' AND up_kind IN ('h2', 'h3', 'p') AND up_text = cap, false) AS l,
+      coalesce(cap <> '' AND down_kind IN ('h2', 'h3', 'p') AND down_text = cap, false) AS r FROM nb n JOIN cp c ON c.doc_id = n.doc_id AND c.image = n.image WHERE n.kind = 'image'),
+    go AS (SELECT doc_id, k, CASE WHEN l THEN up WHEN r THEN down END AS taken FROM im WHERE k = 1
+      UNION ALL SELECT i.doc_id, i.k, CASE WHEN i.l AND i.up IS DISTINCT FROM g.taken THEN i.up WHEN i.r THEN i.down END FROM go g JOIN im i ON i.doc_id = g.doc_id AND i.k = g.k + 1)
+    SELECT d.* FROM drafts d ANTI JOIN (SELECT DISTINCT doc_id, taken FROM go WHERE taken IS NOT NULL) x ON x.doc_id = d.doc_id AND x.taken = d.pos""",
+)
 def _(spark, sf):
     return dr.drop_caption_duplicates(*_neighbour_captions(spark, sf))
 

@@ -292,10 +292,22 @@ for _name, _query, _parts in (
         return se.search(*_stored(spark, sf), _query).withColumn("score", F.round("score", 6))
 
 
-@check("search_snippets")
+@check(
+    "search_snippets",
+    f"""WITH top AS ({_bm25({"f0": _one("the"), "f1": _one("attion")}, 20)}),
+    ws AS (SELECT t.doc_id, t.score, d.source || '-' || d.doc_id AS slug, d.lang || ' ' || d.source AS title, regexp_extract_all(d.text, '{tx.WORD}') AS ws FROM top t JOIN documents d ON d.doc_id = t.doc_id),
+    w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i, len(ws) AS n FROM ws),
+    h AS (SELECT *, list_intersect(regexp_extract_all(strip_accents(lower(w)), '{_TOK}'), ['the', 'attion']) AS h FROM w),
+    c AS (SELECT a.doc_id, a.i, count(DISTINCT b.h) AS found FROM h a JOIN (SELECT doc_id, i, unnest(h) AS h FROM h) b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + 11 WHERE len(a.h) > 0 GROUP BY ALL),
+    s AS (SELECT doc_id, arg_min(i, (-found, i)) AS best FROM c GROUP BY doc_id),
+    p AS (SELECT h.*, greatest(0, least(coalesce(s.best, 0), n - 12)) AS at_word FROM h LEFT JOIN s ON s.doc_id = h.doc_id),
+    t AS (SELECT doc_id, CASE WHEN any_value(at_word) > 0 THEN '…' ELSE '' END || string_agg(CASE WHEN len(h) > 0 THEN '<b>' || w || '</b>' ELSE w END, ' ' ORDER BY i)
+      || CASE WHEN any_value(at_word) + 12 < any_value(n) THEN '…' ELSE '' END AS snippet FROM p WHERE i BETWEEN at_word AND at_word + 11 GROUP BY doc_id)
+    SELECT ws.doc_id, slug, title, score, snippet FROM ws JOIN t ON t.doc_id = ws.doc_id""",
+)
 def _(spark, sf):
     docs = _corpus(spark, sf)
-    return se.search_with_snippets(docs, *_stored(spark, sf), "the attion")
+    return se.search_with_snippets(docs, *_stored(spark, sf), "the attion").withColumn("score", F.round("score", 6))
 
 
 # ---------------------------------------------------------------- tracks
