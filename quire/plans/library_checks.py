@@ -8,7 +8,7 @@ from quire.functions import text as tx
 from quire.operators import assets as az
 from quire.operators import library as lb
 from quire.operators import versions as vs
-from quire.plans.inputs import SQL_LINES, SQL_TYPED, lines, table, typed
+from quire.plans.inputs import SQL_LINES, SQL_TYPED, lines, sql_norm_key, table, typed
 from quire.plans.registry import check
 from quire.plans.text_checks import _time_sql
 from quire.sources import sinks as sk
@@ -587,7 +587,23 @@ def _(spark, sf):
     return lb.year_counts(docs.select("doc_id", text.alias("text")), files, max_year=2025)
 
 
-@check("unique_slugs")
+_SLUG = f"""trim(regexp_replace(strip_accents(replace(replace(replace(replace(replace(replace({sql_norm_key('text')}, 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o'), 'đ', 'd'), 'ł', 'l'), 'ð', 'd')), '[^a-z0-9]+', '-', 'g'), '-')"""
+
+
+@check(
+    "unique_slugs",
+    f"""WITH RECURSIVE {SQL_LINES}, nm AS (SELECT doc_id * 100000 + pos AS doc_id, pos, length(text) < 30 AS short, {_SLUG} AS base FROM lines),
+    q AS (SELECT *, regexp_replace(base, '(-[0-9]+)+$', '') AS root FROM nm),
+    old AS (SELECT regexp_replace(slug, '(-[0-9]+)+$', '') AS root, list(DISTINCT slug) AS used FROM (SELECT base || '-' || (pos % 4 + 2) AS slug FROM nm WHERE short) GROUP BY ALL),
+    o AS (SELECT doc_id, root, base, row_number() OVER (PARTITION BY root ORDER BY doc_id) AS k FROM q),
+    pick AS (SELECT o.doc_id, o.root, o.k, coalesce(old.used, CAST([] AS VARCHAR[])) AS used, o.base,
+        list_filter(range(1, len(coalesce(old.used, CAST([] AS VARCHAR[]))) + 2), lambda n: NOT list_contains(coalesce(old.used, CAST([] AS VARCHAR[])), CASE WHEN n = 1 THEN o.base ELSE o.base || '-' || n END))[1] AS n
+      FROM o LEFT JOIN old ON old.root = o.root WHERE k = 1
+      UNION ALL SELECT o.doc_id, o.root, o.k, list_append(p.used, CASE WHEN p.n = 1 THEN p.base ELSE p.base || '-' || p.n END), o.base,
+        list_filter(range(1, len(p.used) + 3), lambda n: NOT list_contains(list_append(p.used, CASE WHEN p.n = 1 THEN p.base ELSE p.base || '-' || p.n END), CASE WHEN n = 1 THEN o.base ELSE o.base || '-' || n END))[1]
+      FROM pick p JOIN o ON o.root = p.root AND o.k = p.k + 1)
+    SELECT doc_id, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM pick""",
+)
 def _(spark, sf):
     rows = lines(spark, sf)
     docs = rows.select((F.col("doc_id") * 100_000 + F.col("pos")).alias("doc_id"), F.col("text").alias("title"), F.lit("").alias("date_stem"))

@@ -61,6 +61,12 @@ def test_text_helpers(spark):
     assert list(got) == [w for _, w in cases]
 
 
+def test_slugs_keep_other_scripts(spark):
+    cases = [("Мир и 한국!", "мир-и-한국"), ("Élan vital", "elan-vital"), ("Straße Æ", "strasse-ae"), ("--", ""), ("日本 2", "日本-2")]
+    got = one(spark, **{f"c{i}": tx.slugify(F.lit(t)) for i, (t, _) in enumerate(cases)})
+    assert list(got) == [w for _, w in cases]
+
+
 @pytest.mark.parametrize("text,caps,year", [("ARRINO", True, False), ("1945", False, True), ("1939–1945.", False, True), ("Arrino", False, False), ("1745", False, False)])
 def test_headings(spark, text, caps, year):
     got = one(spark, a=tx.is_caps(F.lit(text)), b=tx.is_year_heading(F.lit(text)))
