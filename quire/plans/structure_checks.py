@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators import linear as ln
 from quire.operators import structure as st
 from quire.operators.blocks import polishable, to_narrative
+from quire.operators.ordered import prev, scan
 from quire.plans.inputs import SQL_TYPED, sql_count_words, sql_norm_key, table, typed
 from quire.plans.registry import check
 from quire.plans.text_checks import styled
@@ -277,9 +278,44 @@ def _(spark, sf):
     return ln.safe_markdown(_doc_meta(spark, sf), rows, assets)
 
 
-@check("body_html")
+_ESC = "replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@check(
+    "body_html",
+    f"""WITH {SQL_TYPED}, y AS (SELECT doc_id, pos, line, asset_id, level, CASE WHEN type = 'quote' AND length(line) % 2 = 0 THEN 'table' ELSE type END AS type, {_ESC} AS esc FROM typed),
+    d AS (SELECT *, type = 'numberedListItem' AND coalesce(lag(type) OVER w = 'bulletListItem', false) AS nested, lead(type) OVER w AS next_type, lead(esc) OVER w AS next_esc FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    k AS (SELECT *, lag(type) OVER w AS up, lead(type) OVER w AS down FROM d WHERE NOT nested WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    r AS (SELECT *, max(CASE WHEN type LIKE '%ListItem' AND up = type THEN NULL ELSE pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM k),
+    an AS (SELECT doc_id, pos, base || CASE WHEN j > 1 THEN '-' || j ELSE '' END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY pos) AS j
+      FROM (SELECT doc_id, pos, coalesce(nullif({_SLUG}, ''), 'section') AS base FROM (SELECT doc_id, pos, line FROM d WHERE type = 'heading')))),
+    fg AS (SELECT doc_id, asset_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS n FROM d WHERE type = 'image' GROUP BY doc_id, asset_id),
+    ld AS (SELECT doc_id, min(pos) AS lead FROM d WHERE type = 'paragraph' GROUP BY doc_id),
+    ls AS (SELECT doc_id, run, string_agg('<li>' || esc || CASE WHEN type = 'bulletListItem' AND next_type = 'numberedListItem' THEN '<ol><li>' || next_esc || '</li></ol>' ELSE '' END || '</li>', '' ORDER BY pos) AS items
+      FROM r WHERE type LIKE '%ListItem' GROUP BY ALL),
+    h AS (SELECT r.doc_id, r.pos, CASE r.type WHEN 'heading' THEN '<h' || r.level || ' id="' || anchor || '">' || esc || '</h' || r.level || '>'
+      WHEN 'paragraph' THEN CASE WHEN r.pos = lead THEN '<p class="lead">' ELSE '<p>' END || esc || '</p>' WHEN 'quote' THEN '<blockquote><p>' || esc || '</p></blockquote>'
+      WHEN 'table' THEN '<table><tr><td>' || esc || '</td><td><strong>' || length(line) || '</strong></td></tr></table>'
+      WHEN 'footnote' THEN '<aside class="footnote"><sup>' || length(line) || '</sup> ' || line || '</aside>'
+      WHEN 'image' THEN '<figure id="figure-' || n || '"><img src="assets/figure-' || n || '-original.jpeg" alt=""><figcaption>' || line || '</figcaption></figure>'
+      WHEN 'narrative' THEN CASE WHEN up IS DISTINCT FROM 'narrative' THEN '<div class="narrative">' ELSE '' END || '<p>' || esc || '</p>' || CASE WHEN down IS DISTINCT FROM 'narrative' THEN '</div>' ELSE '' END
+      WHEN 'bulletListItem' THEN CASE WHEN r.pos = r.run THEN '<ul>' || items || '</ul>' END WHEN 'numberedListItem' THEN CASE WHEN r.pos = r.run THEN '<ol>' || items || '</ol>' END END AS html
+      FROM r LEFT JOIN an ON an.doc_id = r.doc_id AND an.pos = r.pos LEFT JOIN fg ON fg.doc_id = r.doc_id AND fg.asset_id = r.asset_id LEFT JOIN ld ON ld.doc_id = r.doc_id LEFT JOIN ls ON ls.doc_id = r.doc_id AND ls.run = r.run)
+    SELECT doc_id, string_agg(html, chr(10) ORDER BY pos) AS html FROM h WHERE html IS NOT NULL GROUP BY doc_id""",
+)
 def _(spark, sf):
-    return ln.body_html(to_narrative(styled(spark, sf)))
+    """Numbered items right after a bulleted one are nested in it; quotes of even length are tables of two cells."""
+    rows = typed(spark, sf)
+    near = scan(rows, __up=prev(F.col("type")))
+    cell = lambda t, **styles: as_runs(t, **styles)
+    line = F.get("runs", F.lit(0))["text"]
+    table = (F.col("type") == "quote") & (F.length(line) % 2 == 0)
+    rows = near.withColumns({
+        "depth": F.when((F.col("type") == "numberedListItem") & (F.col("__up") == "bulletListItem"), 1).otherwise(0),
+        "cells": F.when(table, F.array(F.array(cell(line), cell(F.length(line).cast("string"), bold=F.lit(True))))),
+        "type": F.when(table, "table").otherwise(F.col("type")),
+    })
+    return ln.body_html(rows.drop("__up"))
 
 
 @check(
