@@ -89,6 +89,7 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size
     rows = cut_lineage(identities(docs, text, doc_id, size))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     groups = rows.groupBy("level", "name").agg(F.min(rank).alias("first"), F.count("*").alias("group_size"))
+    groups = cut_lineage(groups)  # a table of its own, so that the join on a hot identity can be split
     return rows.join(groups, ["level", "name"]).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256",
     )

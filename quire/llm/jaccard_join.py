@@ -203,6 +203,7 @@ def text_links(docs: DataFrame, text: str, doc_id: str, similarity: float, small
     many = member.filter(F.col("size") > small).select("id").distinct()
     prefix = _prefixes(texts.join(many, "id", "left_semi"), similarity)
     lead = prefix.groupBy("shingle").agg(F.min(F.struct("place", "n", "id")).alias("lead"), F.count("*").alias("texts")).filter("texts > 1")
+    lead = cut_lineage(lead)  # a table of its own, so that the join on a hot shingle can be split
     lead = lead.select("shingle", F.col("lead.place").alias("place2"), F.col("lead.n").alias("n2"), F.col("lead.id").alias("id2"))
     star = _ordered(prefix.join(lead, "shingle").filter(_may_link(similarity)))
     links = written(verified(pairs.unionByName(star).distinct(), texts, similarity), "links")
@@ -211,6 +212,7 @@ def text_links(docs: DataFrame, text: str, doc_id: str, similarity: float, small
     classed = prefix.join(of, "id", "left").withColumn("class", F.coalesce("class", "id"))
     leader = lead.select("shingle", "id2").join(of.withColumnRenamed("id", "id2"), "id2", "left").select("shingle", F.coalesce("class", "id2").alias("lead_class"), "id2")
     aside = classed.join(leader, "shingle").filter("class != lead_class").select("shingle", "id", "n", "place", "class", F.col("id2").alias("lead_id"))
+    aside = cut_lineage(aside)
     other = classed.select("shingle", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("class").alias("class2"))
     cross = aside.join(other, "shingle").filter((F.col("class") != F.col("class2")) & (F.col("id2") != F.col("lead_id")) & _may_link(similarity))
     return nodes, links.unionByName(verified(_ordered(cross), texts, similarity))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import text_or_empty
 from quire.llm.kernel import NOT_SPACE, U64, extreme, mix64, powers, rolling, slices, spread, word_hashes, words
-from quire.session import written
+from quire.session import cut_lineage, written
 
 #: Words in a window and in the grams that anchor it.
 WINDOW, GRAM = 35, 8
@@ -178,6 +178,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, widt
     )
     same = written(same, "same")
     mixed = same.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("again").alias("again")).filter("kinds > 1 or again").select("anchor")
+    mixed = cut_lineage(mixed)  # a table of its own, so that the join on a hot anchor can be split
     single = same.join(mixed, "anchor").select(
         "anchor", "n", "at", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr("length(hashes) div 8 - 1")), lambda i: F.substring("hashes", i * 8 + 1, 8))).alias("place", "hash")
     )
