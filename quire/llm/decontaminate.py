@@ -7,12 +7,18 @@ two fingerprints differ in at most seven bits, some block differs in at most one
 one-bit neighbours finds every fingerprint within the radius. The window of the item's own length at the place found is
 then verified: the words themselves, by weighted shingles, in DataFrame operations.
 
-A task keeps the fingerprints of the items only, at most ``MAX_ITEMS`` of them; a larger benchmark is taken in passes.
-Nothing but verified passages is shuffled.
+Edits inside both windows can move a fingerprint beyond any radius. So each item also has anchors: windows of one shingle,
+the heaviest ones, as many as weigh more than a passage at the threshold may lack. Every such passage holds an anchor
+unchanged, whatever was edited and where. Around an anchor met, all windows of the item's length are weighed by running
+sums, and the best goes on to the same verification.
+
+A task keeps the fingerprints, the shingles and their weights of the items only, at most ``MAX_ITEMS`` of them; a larger
+benchmark is taken in passes. Only passages near an item by one of the two ways are shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -22,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import prefix_sums, text_or_empty
-from quire.llm.kernel import ALNUM, rolling, slices, spread, word_hashes, words
+from quire.llm.kernel import ALNUM, U64, mix64, rolling, slices, spread, word_hashes, words
 from quire.session import cut_lineage
 
 SHINGLE = 5
@@ -32,8 +38,10 @@ SIMILARITY = 0.8
 SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 #: Bits in which fingerprints may differ: four blocks with one flip each, and three more.
 RADIUS = 7
-#: Items whose fingerprints (two of 8 bytes, with 136 lookup entries) one pass sends to the tasks.
+#: Items whose fingerprints (two of 8 bytes, with 136 lookup entries) and shingles (16 bytes each) one pass sends to the tasks.
 MAX_ITEMS = 20_000
+#: Bits of a shingle by which a task tells at once that it is no anchor.
+SIEVE = 22
 
 
 def fingerprints(shingle: np.ndarray, sizes: set[int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -102,8 +110,84 @@ def within_radius(prints: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarr
     return both[:, 0], both[:, 1]
 
 
+def build_anchors(items: list[tuple[int, str, list[float]]], similarity: float, one: float) -> dict:
+    """Anchors of (number, text, weights of its distinct shingles in the order of the text), and what the items hold.
+
+    ``one`` is the weight of a shingle of no item.
+    """
+    held, keys, owners = {}, [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for number, text, weights in items:
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM)
+        shingle = rolling(word_hashes(data, starts, ends), SHINGLE)
+        if len(shingle):
+            own, at = np.unique(shingle, return_index=True)
+            weight = np.empty(len(own))
+            weight[np.argsort(at)] = weights
+            held[number] = (own, weight, float(weight.sum()), len(starts))
+            heavy = np.lexsort((mix64(own), -weight))
+            enough = np.searchsorted(np.cumsum(weight[heavy]), ((1 - similarity) + 1e-9) * weight.sum(), "right") + 1
+            keys.append(own[heavy[:enough]])
+            owners.append(np.full(len(keys[-1]), number))
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(keys, kind="stable")
+    sieve = np.zeros(1 << SIEVE, dtype=bool)
+    sieve[keys >> U64(64 - SIEVE)] = True
+    return {"keys": keys[order], "owners": owners[order], "sieve": sieve, "held": held, "similarity": similarity, "one": one}
+
+
+def _best_window(shingle: np.ndarray, low: int, high: int, first: int, last: int, item: tuple, anchors: dict) -> tuple[int, int] | None:
+    """Begin and end word of the best window that starts at a word from ``low`` to ``high``, if it may pass.
+
+    A shingle counts once in a window: in those that start after its last occurrence before, and reach it. Windows are
+    clipped to the document, whose words are ``first`` to ``last``.
+    """
+    own, weight, total, length = item
+    n = length - SHINGLE + 1
+    at = np.arange(max(low, first), min(high + n, last - SHINGLE + 1))
+    part = shingle[at]
+    order = np.argsort(part, kind="stable")
+    before = np.full(len(part), low - 1)
+    again = part[order[1:]] == part[order[:-1]]
+    before[order[1:][again]] = at[order[:-1][again]]
+    enter, leave = np.maximum(np.maximum(before + 1, at - n + 1), low) - low, np.minimum(at, high) + 1 - low
+    some = enter < leave
+    place = np.minimum(np.searchsorted(own, part), len(own) - 1)
+    known = own[place] == part
+    running = lambda x: np.cumsum(np.bincount(enter[some], x[some], high - low + 2) - np.bincount(leave[some], x[some], high - low + 2))[:-1]
+    value = running(np.where(known, weight[place], 0.0)) / (total + np.round(running(np.where(known, 0.0, 1.0))) * anchors["one"])
+    if value.max() < anchors["similarity"] - 1e-9:
+        return None
+    begin = low + np.flatnonzero(value >= value.max() - 1e-9)
+    begin, end = np.maximum(begin, first), np.minimum(begin + length, last)
+    k = np.lexsort((-end, begin))[0]
+    return int(begin[k]), int(end[k])
+
+
+def anchored(shingle: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, anchors: dict) -> np.ndarray:
+    """(row, item, begin, end) of the best window around each group of anchors met."""
+    at = np.flatnonzero(anchors["sieve"][shingle >> U64(64 - SIEVE)])
+    at = at[row[at] == row[at + SHINGLE - 1]]
+    low, high = (np.searchsorted(anchors["keys"], shingle[at], side) for side in ("left", "right"))
+    _, _, where = spread(low, high - low)
+    at, item = np.repeat(at, high - low), anchors["owners"][where]
+    order = np.lexsort((at, item, row[at]))
+    at, item = at[order], item[order]
+    reach = np.array([anchors["held"][i][3] - SHINGLE for i in item.tolist()], dtype=np.int64)
+    apart = np.ones(len(at), dtype=bool)
+    apart[1:] = (row[at[1:]] != row[at[:-1]]) | (item[1:] != item[:-1]) | (np.diff(at) > reach[1:])
+    heads = np.flatnonzero(apart)
+    out = []
+    for a, b in zip(heads.tolist(), np.append(heads[1:], len(at)).tolist()):
+        doc, i = row[at[a]], int(item[a])
+        window = _best_window(shingle, int(at[a] - reach[a]), int(at[b - 1]), int(first[doc]), int(first[doc] + n[doc]), anchors["held"][i], anchors)
+        if window:
+            out.append((doc, i, *window))
+    return np.array(out, dtype=np.int64).reshape(-1, 4)
+
+
 def _passages(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = shared.value
+    index, anchors = shared.value
     for batch in batches:
         for lo, _, data, offsets in slices(batch.column(1)):
             starts, ends, row = words(data, offsets, ALNUM)
@@ -112,7 +196,7 @@ def _passages(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 continue
             n = np.bincount(row, minlength=len(offsets) - 1)
             first = np.cumsum(n) - n
-            found = []
+            found = [anchored(shingle, row, first, n, anchors)]
             for size, prints in fingerprints(shingle, set(index)):
                 at, hit = within_radius(prints, index[size])
                 inside = row[at] == row[at + size + SHINGLE - 2]
@@ -120,7 +204,7 @@ def _passages(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 begin = np.maximum(first[row[at]], at - shift)
                 end = np.minimum(first[row[at]] + n[row[at]], at - shift + length)
                 found.append(np.stack([row[at], item, begin, end], axis=1))
-            found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), dtype=np.int64)
+            found = np.unique(np.concatenate(found), axis=0)
             if len(found):
                 doc, item, begin, end = found.T
                 text = data.tobytes()
@@ -151,20 +235,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     items = benchmark.select("item_id", F.lower(text_or_empty("text")).alias("text"))
     items = cut_lineage(prefix_sums(items, [], ["item_id", "text"], {"item": F.lit(1)}).withColumn("shingles", _shingles(F.col("text"))))
     count = items.count()
+    weight = items.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
+    weight = weight.select("s", F.log1p(F.lit(float(count)) / F.col("df")).alias("w"))
+    weighed = items.select("item", F.posexplode("shingles").alias("place", "s")).join(weight, "s").groupBy("item").agg(
+        F.sort_array(F.collect_list(F.struct("place", "s", "w"))).alias("own"), F.sum("w").alias("total")
+    )
+    weighed = cut_lineage(weighed.join(items.select("item", "item_id", "text"), "item"))
     lower = docs.select("doc_id", F.lower(text_or_empty("text")).alias("text"))
     found = None
     for low in range(0, max(count, 1), max_items):
-        part = items.filter((F.col("item") >= low) & (F.col("item") < low + max_items)).select("item", "text").collect()
-        shared = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in part]))
+        part = weighed.filter((F.col("item") >= low) & (F.col("item") < low + max_items)).select("item", "text", "own.w").collect()
+        shared = spark.sparkContext.broadcast((build_index([(r[0], r[1]) for r in part]), build_anchors(part, similarity, math.log1p(count))))
         passages = lower.mapInArrow(_bound(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item long, start_word long, passage string")
         found = passages if found is None else found.unionByName(passages)
-    weight = items.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
-    weight = weight.select("s", F.log1p(F.lit(float(count)) / F.col("df")).alias("w"))
-    weighed = items.select("item", F.explode("shingles").alias("s")).join(weight, "s").groupBy("item").agg(
-        F.collect_list(F.struct("s", "w")).alias("own"), F.sum("w").alias("total")
-    )
-    weighed = weighed.join(items.select("item", "item_id"), "item")
-    judged = found.withColumn("there", _shingles(F.col("passage"))).join(weighed, "item")
+    judged = found.withColumn("there", _shingles(F.col("passage"))).join(weighed.drop("text"), "item")
     common = F.filter("own", lambda o: F.array_contains("there", o["s"]))
     judged = judged.withColumn("common", common).withColumn(
         "similarity",
@@ -172,7 +256,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         / (F.col("total") + (F.size("there") - F.size("common")) * F.log1p(F.lit(float(count)))),
     )
     n_words = F.size(F.regexp_extract_all("passage", F.lit(r"[0-9a-zA-Z\x{80}-\x{10FFFF}]+"), F.lit(0)))
-    best = judged.filter(F.col("similarity") >= similarity).groupBy("doc_id", "item", "item_id").agg(
+    best = judged.filter(F.col("similarity") >= similarity - 1e-9).groupBy("doc_id", "item", "item_id").agg(
         F.max(F.struct("similarity", (-F.col("start_word")).alias("back"), n_words.alias("n_words"))).alias("best")
     )
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start_word"), F.col("best.n_words").alias("n_words"))
