@@ -10,6 +10,10 @@ linked texts share one. Each shared shingle links its texts to one leader, the t
 first; the few that are not of the leader's class afterwards meet the other classes there. Length and position bounds
 apply before a pair is made, so a group of near copies costs about its size, and no link between classes is lost.
 
+Counting. Texts of larger buckets that are of one class have their links counted without making pairs: the class is cut
+into blocks of a bounded size, and every two blocks meet in a task that counts, per text, the others it is linked to.
+That is exact, and quadratic in the group's size in time, but not in rows.
+
 Pruning. A pair's MinHash values are compared sixteen at a time; it is dropped as soon as the posterior probability that
 its similarity reaches the threshold (uniform prior) falls below ``TOLERANCE``. The rest is verified on the shingle sets.
 """
@@ -23,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import same, text_or_empty
-from quire.llm.kernel import U64, mix64, shingles, slices
+from quire.llm.common import prefix_sums, same, text_or_empty
+from quire.llm.kernel import U64, mix64, shingles, slices, spread
 from quire.session import cut_lineage, written
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -36,6 +40,8 @@ TOLERANCE = 1e-7
 SMALL = 48
 #: Cells of the sketch that orders the shingles of texts in larger buckets (4 bytes each in every task).
 CELLS = 1 << 21
+#: Bytes of text (and 2,048 a text) in a block of a class, texts compared at once with a block, and shingles at a time.
+BLOCK, STRIP, COLUMNS = 1 << 23, 512, 2048
 
 KEYS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 
@@ -180,8 +186,9 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).filter("a < b").distinct()
 
 
-def text_links(docs: DataFrame, text: str, doc_id: str, similarity: float, small: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): a node per distinct lower-cased text with words (id, digest, first_doc), and the verified links (a, b)."""
+def text_links(docs: DataFrame, text: str, doc_id: str, similarity: float, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, crowd): a node per distinct lower-cased text with words (id, digest, first_doc), verified links (a, b)
+    that connect all classes, and the texts of larger buckets (id, text), among which links inside a class may be missing."""
     lower = docs.select(F.col(doc_id).alias("doc_id"), F.lower(text_or_empty(text)).alias("text"))
     lower = lower.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -201,7 +208,8 @@ def text_links(docs: DataFrame, text: str, doc_id: str, similarity: float, small
     few = member.filter(F.col("size") <= small)
     pairs = _ordered(few.join(few.select("bucket", F.col("id").alias("id2")), "bucket").filter("id < id2"))
     many = member.filter(F.col("size") > small).select("id").distinct()
-    prefix = _prefixes(texts.join(many, "id", "left_semi"), similarity)
+    crowd = texts.join(many, "id", "left_semi").select("id", "text")
+    prefix = _prefixes(crowd, similarity)
     lead = prefix.groupBy("shingle").agg(F.min(F.struct("place", "n", "id")).alias("lead"), F.count("*").alias("texts")).filter("texts > 1")
     lead = cut_lineage(lead)  # a table of its own, so that the join on a hot shingle can be split
     lead = lead.select("shingle", F.col("lead.place").alias("place2"), F.col("lead.n").alias("n2"), F.col("lead.id").alias("id2"))
@@ -215,24 +223,104 @@ def text_links(docs: DataFrame, text: str, doc_id: str, similarity: float, small
     aside = cut_lineage(aside)
     other = classed.select("shingle", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("class").alias("class2"))
     cross = aside.join(other, "shingle").filter((F.col("class") != F.col("class2")) & (F.col("id2") != F.col("lead_id")) & _may_link(similarity))
-    return nodes, links.unionByName(verified(_ordered(cross), texts, similarity))
+    return nodes, links.unionByName(verified(_ordered(cross), texts, similarity)), crowd
+
+
+def _common(strip: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], shape: tuple[int, int], width: int) -> np.ndarray:
+    """Shingles in common of every text of a strip and every other text; both are (row, column) lists, sorted by column."""
+    common = np.zeros(shape, dtype=np.float32)
+    (row, col), (row2, col2) = strip, other
+    n, n2 = np.bincount(col, minlength=width), np.bincount(col2, minlength=width)
+    first2 = np.cumsum(n2) - n2
+    # Shingles of few texts pair by pair, the others as a product of matrices.
+    few = n * n2 * 256 <= shape[0] * shape[1]
+    at = np.flatnonzero(few[col] & (n2[col] > 0))
+    ends = np.cumsum(n2[col[at]])
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(at) else 0, 1 << 22)))
+    for part in np.split(at, cuts[1:]):
+        lens = n2[col[part]]
+        _, _, where = spread(first2[col[part]], lens)
+        common += np.bincount(np.repeat(row[part], lens) * shape[1] + row2[where], minlength=common.size).reshape(shape)
+    many = np.flatnonzero(~few)
+    place = np.cumsum(~few) - 1
+    for k in range(0, len(many), COLUMNS):
+        sides = []
+        for r, c, height in ((row, col, shape[0]), (row2, col2, shape[1])):
+            a, b = np.searchsorted(c, many[k]), np.searchsorted(c, many[min(k + COLUMNS, len(many)) - 1], "right")
+            inside = ~few[c[a:b]]
+            side = np.zeros((height, COLUMNS), dtype=np.float32)
+            side[r[a:b][inside], place[c[a:b][inside]] - k] = 1
+            sides.append(side)
+        common += sides[0] @ sides[1].T
+    return common
+
+
+def link_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """For each set the links between ``left`` and ``right`` (indices, disjoint or the same) that it takes part in."""
+    lens = np.array([len(s) for s in sets])
+    kinds, col = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(lens) - lens
+
+    def lists(of):
+        row, _, where = np.repeat(np.arange(len(of)), lens[of]), *spread(begin[of], lens[of])[1:]
+        order = np.argsort(col[where], kind="stable")
+        return row[order], col[where][order]
+
+    other, itself = lists(right), np.array_equal(left, right)
+    out = np.zeros(len(sets), dtype=np.int64)
+    for k in range(0, len(left), STRIP):
+        strip = left[k : k + STRIP]
+        common = _common(lists(strip), other, (len(strip), len(right)), len(kinds)).astype(np.float64)
+        linked = common >= similarity * (lens[strip][:, None] + lens[right][None, :] - common) - 1e-9
+        if itself:
+            linked[np.arange(len(strip)), k + np.arange(len(strip))] = False
+        else:
+            out[right] += linked.sum(axis=0)
+        out[strip] += linked.sum(axis=1)
+    return out
+
+
+def _counted_links(table: pa.Table, similarity: float) -> pa.Table:
+    block, low, high = (table.column(c).to_numpy() for c in ("block", "low", "high"))
+    n = link_counts(_sets(table.column("text")), np.flatnonzero(block == low), np.flatnonzero(block == high), similarity)
+    return pa.table({"id": table.column("id"), "n": pa.array(n, pa.int64())})
+
+
+def degrees(links: DataFrame, of: DataFrame, crowd: DataFrame, similarity: float) -> DataFrame:
+    """id, n_links: all links of every text that has one. ``of`` holds the classes (id, class)."""
+    ids = cut_lineage(crowd.select("id"))
+    inside = links.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    outside = links.join(inside, ["a", "b"], "left_anti")
+    known = outside.select(F.col("a").alias("id")).unionByName(outside.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n"))
+    sized = crowd.join(of, "id").select("id", "class", (F.octet_length("text") + 2048).alias("size"))
+    dealt = prefix_sums(sized, ["class"], ["id"], {"before": F.col("size")}).select("id", "class", F.expr(f"before div {BLOCK}").alias("block"))
+    dealt = written(dealt, "blocks")
+    blocks = dealt.groupBy("class").agg(F.max("block").alias("last"), F.count("*").alias("texts")).filter("texts > 1").select("class", "last")
+    met = dealt.join(blocks, "class").join(crowd, "id").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    met = met.select("id", "class", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "text")
+    counted = met.groupBy("class", "low", "high").applyInArrow(lambda t: _counted_links(t, similarity), "id long, n long")
+    return known.unionByName(counted).groupBy("id").agg(F.sum("n").alias("n_links"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """doc_id, class_id, n_links, copies: one row per row of ``docs``.
 
     ``class_id`` is the smallest id in the class, ``copies`` the rows with the same lower-cased text, ``n_links`` the
-    verified links of that text to different texts. In buckets above ``small`` texts already connected are not compared
-    again, so there it counts the links that join the class, not every pair. Texts of one to four words have one
+    different texts that text is linked to, whatever the size of its group (``small`` only says how they are found). Texts of one to four words have one
     shingle, of all their words; texts without words (null and empty ones too) are linked to nothing and are classes of
     their own. Repeated rows share a class; rows without id take part, and count only where all ids of a class are null.
     An empty table gives an empty result. Only the id and the text are read.
     """
-    nodes, links = text_links(docs, text, doc_id, similarity, small)
+    return _classed(docs, text, doc_id, similarity, small, counted=True)
+
+
+def _classed(docs: DataFrame, text: str, doc_id: str, similarity: float, small: int, counted: bool) -> DataFrame:
+    """The rows of ``near_duplicates``, with ``n_links`` 0 unless the links are ``counted``."""
+    nodes, links, crowd = text_links(docs, text, doc_id, similarity, small)
     links = written(links, "links")
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
-    degree = ends.groupBy("id").agg(F.count("*").alias("n_links"))
-    node = nodes.select("id", "digest").join(components(links), "id", "left").join(degree, "id", "left")
+    of = components(links)
+    node = nodes.select("id", "digest").join(of, "id", "left")
+    node = node.join(degrees(links, of, crowd, similarity), "id", "left") if counted else node.withColumn("n_links", F.lit(None).cast("long"))
     node = node.select("digest", F.coalesce("class", "id").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(F.lower(text_or_empty(text)))).alias("digest"))
     rows = cut_lineage(rows.join(node, "digest", "left"))
@@ -248,5 +336,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """The rows of ``docs`` that head their class (ids identify documents here); all columns kept."""
-    gone = near_duplicates(docs, text, doc_id, similarity, small).filter("doc_id != class_id").select(F.col("doc_id").alias("_id")).distinct()
+    gone = _classed(docs, text, doc_id, similarity, small, counted=False).filter("doc_id != class_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(gone, docs[doc_id].eqNullSafe(gone["_id"]), "left_anti")
