@@ -4,8 +4,12 @@ Two texts are compared by the blended spectrum they share: the n-grams of one to
 are present in both, normalised by the geometric mean of how many each has (n-grams are hashed into ``BUCKETS``). A bounded
 sample of labelled texts fits a Nyström map on landmark texts, and kernel ridge regression one against the rest.
 
+In a long text nearly every bucket is taken, whatever the language. So a text is cut into even pieces of at most ``PIECE``
+bytes, which overlap by what an n-gram needs, and stands for the mean of their normalised presences, in fitting as in
+scoring. A text of one piece is compared as above.
+
 Scoring is a product of matrices per batch of whole texts: presence x landmarks' presence x regression weights. The last
-two do not depend on the text and are multiplied once, so a batch costs one product of (texts x buckets) by
+two do not depend on the text and are multiplied once, so a batch costs one product of (pieces x buckets) by
 (buckets x languages), the same values by associativity.
 """
 
@@ -19,13 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import text_or_empty
-from quire.llm.kernel import U64, mix64, slices
+from quire.llm.kernel import U64, mix64, slices, spread
 
 #: Longest n-gram in bytes, and buckets of the presence vector.
 LONGEST, BUCKETS = 5, 1 << 14
+#: Most bytes of a piece of text: at most five n-grams a byte for the buckets.
+PIECE = 1 << 12
 #: About so many labelled texts of each language are fitted on, so many landmarks in all, and the ridge.
 PER_LANG, LANDMARKS, RIDGE = 600, 240, 1e-2
-#: Texts scored at once, so that a presence matrix stays at 4 MB.
+#: Pieces scored at once, so that a presence matrix stays at 4 MB.
 BATCH = 256
 
 
@@ -48,6 +54,30 @@ def normalised(bits: np.ndarray) -> np.ndarray:
     return bits.astype(np.float32) / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
+def piece_bounds(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of every piece: as many even ones as a text needs, one at least."""
+    lens = np.diff(offsets)
+    n = np.maximum(1, -(-lens // PIECE))
+    of = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    start, end = (offsets[of] + lens[of] * x // n[of] for x in (k, k + 1))
+    return start, np.minimum(end + LONGEST - 1, offsets[of + 1]), of
+
+
+def mean_product(data: np.ndarray, offsets: np.ndarray, product) -> np.ndarray:
+    """Per text the mean of ``product`` (rows to rows, linear) of the normalised presence of its pieces, ``BATCH`` at once."""
+    start, end, of = piece_bounds(offsets)
+    out = None
+    for a in range(0, len(of), BATCH):
+        lens = end[a : a + BATCH] - start[a : a + BATCH]
+        first, _, where = spread(start[a : a + BATCH], lens)
+        rows = product(normalised(presence(data[where], np.append(first, lens.sum()))))
+        out = np.zeros((len(offsets) - 1, rows.shape[1]), dtype=np.float64) if out is None else out
+        texts, heads = np.unique(of[a : a + BATCH], return_index=True)
+        out[texts] += np.add.reduceat(rows, heads, axis=0)
+    return out / np.bincount(of)[:, None]
+
+
 def groups(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for lo, hi, data, offsets in slices(column):
         for a in range(0, hi - lo, BATCH):
@@ -56,10 +86,20 @@ def groups(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, bits: the packed presence of a text of one piece, the mean (32-bit floats) of a longer one."""
     for batch in batches:
         for lo, hi, data, offsets in groups(batch.column(1)):
-            packed = np.packbits(presence(data, offsets), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in packed], pa.binary())], names=["lang", "bits"])
+            packed = []
+            for a, b in zip(offsets[:-1], offsets[1:]):
+                one, ends = data[a:b], np.array([0, b - a])
+                packed.append(np.packbits(presence(one, ends)).tobytes() if b - a <= PIECE else mean_product(one, ends, lambda x: x).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["lang", "bits"])
+
+
+def _row(packed: bytes) -> np.ndarray:
+    if len(packed) == BUCKETS // 8:
+        return normalised(np.unpackbits(np.frombuffer(packed, dtype=np.uint8))[None, :])[0]
+    return np.frombuffer(packed, dtype=np.float32)
 
 
 def sample(docs: DataFrame, allowed: Column, per_lang: int = PER_LANG) -> DataFrame:
@@ -81,7 +121,7 @@ def fit(texts: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> t
     if not langs:
         return ["und"], np.zeros((BUCKETS, 1), dtype=np.float32)
     y = np.array([langs.index(r[0]) for r in rows])
-    x = normalised(np.unpackbits(np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1))
+    x = np.stack([_row(r[1]) for r in rows])
     each = max(1, landmarks // len(langs))
     chosen = np.concatenate([np.flatnonzero(y == k)[:: max(1, int((y == k).sum()) // each)][:each] for k in range(len(langs))])
     z = x[chosen]
@@ -103,7 +143,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
     langs, weights = shared.value
     for batch in batches:
         for lo, hi, data, offsets in groups(batch.column(2)):
-            margin = normalised(presence(data, offsets)) @ weights[:-1] + weights[-1]
+            margin = mean_product(data, offsets, lambda x: x @ weights[:-1]) + weights[-1]
             best = margin.argmax(axis=1)
             part = batch.slice(lo, hi - lo)
             letters = part.column(1).to_numpy(zero_copy_only=False)
@@ -119,7 +159,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score: one row per row of ``docs``, from the text alone.
 
     Null texts and texts without a letter are ``und`` with score 0; where nothing could be learned all are ``und``. Texts
-    are scored whole; repeated rows score alike; an empty table gives an empty result. Only doc_id and text are read.
+    are scored whole, long ones by the mean over all their pieces; repeated rows score alike; an empty table gives an empty result. Only doc_id and text are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1] if len(model[1]) == BUCKETS + 1 else np.vstack([model[1], np.zeros((1, model[1].shape[1]), dtype=np.float32)])))
     rows = docs.select("doc_id", F.rlike(text_or_empty("text"), F.lit(r"\p{L}")).alias("letters"), F.lower(text_or_empty("text")).alias("text"))
