@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import (
-    block_naming, chat_windows, decontaminate, jaccard_join, language_kernel, quality_pu, repeated_windows, secret_links, source_mix, url_rules,
+    block_naming, chat_windows, conversation_repair, decontaminate, jaccard_join, language_kernel, quality_pu, repeated_windows, secret_links, source_mix, url_rules,
 )
 from quire.llm.common import fold, table
 
@@ -195,6 +195,31 @@ def op8_language_kernel(spark: SparkSession, sf: str) -> DataFrame:
     return language_kernel.identify(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Faults put into ``turns`` by the crc32 of ``conv_id:turn`` modulo 20; nulls are read as one space."""
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    rows = rows.withColumn("harm", F.crc32(key.cast("binary")) % 20).filter("harm <> 0")
+    text = F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text).withColumn("role", F.when(F.col("harm") == 4, "user").otherwise(F.col("role")))
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.when(F.col("harm") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations")
+    repaired, report = conversation_repair.repair(damaged(turns))
+    said = conversation_repair.digests(repaired)
+    out = turns.select("conv_id").distinct()
+    out = out.join(report.withColumnRenamed("conv_id", "c"), F.expr("conv_id <=> c"), "left").drop("c")
+    out = out.join(said.withColumnRenamed("conv_id", "c"), F.expr("conv_id <=> c"), "left").drop("c")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(
+        "conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
