@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import (
-    block_naming, chat_windows, conversation_repair, decontaminate, jaccard_join, language_kernel, quality_pu, repeated_windows, secret_links, source_mix, url_rules,
+    block_naming, chat_windows, collocations, conversation_repair, decontaminate, jaccard_join, language_kernel, quality_pu, repeated_windows, secret_links, source_mix, url_rules, word_bpe,
 )
 from quire.llm.common import fold, table
 
@@ -195,6 +195,52 @@ def op8_language_kernel(spark: SparkSession, sf: str) -> DataFrame:
     return language_kernel.identify(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query(
+    "op11_collocations",
+    r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM split
+  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM split
+  UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) FROM split
+), f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS c FROM grams GROUP BY lang, k, phrase),
+parts AS (
+  SELECT lang, k, phrase, c AS a, cut,
+    array_to_string(string_split(phrase, ' ')[1:cut], ' ') AS head, array_to_string(string_split(phrase, ' ')[cut + 1:], ' ') AS tail
+  FROM f, (VALUES (1), (2)) AS v(cut) WHERE k > cut AND c >= 10
+), scored AS (
+  SELECT p.lang, p.k, p.phrase, p.a, p.cut, p.head, p.tail, x.c AS l, y.c AS r, (1000000::HUGEINT * p.a * p.a) // (x.c * y.c) AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.head JOIN f y ON y.lang = p.lang AND y.phrase = p.tail
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (
+  SELECT lang, part, max(a) AS longest FROM (
+    SELECT lang, tail AS part, a FROM parts WHERE k = 3 AND cut = 1 UNION ALL SELECT lang, head, a FROM parts WHERE k = 3 AND cut = 2
+  ) GROUP BY lang, part
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.part = b.phrase AND b.k = 2 WHERE i.longest IS NULL OR 100 * i.longest < 50 * b.a
+), total AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+) JOIN total USING (lang) WHERE rank <= 2000
+""",
+)
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+@query("op12_word_bpe")
+def op12_word_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    both = word_bpe.decode(word_bpe.encode(table(spark, sf, "documents"), path), path)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Faults put into ``turns`` by the crc32 of ``conv_id:turn`` modulo 20; nulls are read as one space."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
