@@ -123,18 +123,23 @@ def test_leaks(spark):
     exact = [r for r in got if r.doc_id < 700]
     assert all(r.similarity == pytest.approx(1) for r in exact)
     assert {r.start_word for r in exact if r.doc_id < 600} == {40}
-    in_parts = decontaminate.leaks(docs, bench, max_items=3).collect()
-    assert {(r.doc_id, r.item_id) for r in in_parts} == want
+    for pass_bytes in (40, 1):  # some passes hold short items only
+        in_parts = decontaminate.leaks(docs, bench, pass_bytes=pass_bytes).collect()
+        assert {(r.doc_id, r.item_id) for r in in_parts} == want
     clean = decontaminate.clean_rows(docs, bench)
     assert clean.columns == docs.columns
     assert clean.count() == len(rows) - len({d for d, _ in want})
     assert decontaminate.leaks(docs.filter("false"), bench).count() == 0
     assert decontaminate.leaks(docs, bench.filter("false")).count() == 0
+    assert decontaminate.leaks(docs, bench.filter("item_id >= 97 and item_id < 100")).count() == 0
+    short = spark.createDataFrame([(1, "a b"), (2, "one two three four five six seven")], "item_id long, text string")
+    text = spark.createDataFrame([(1, "one two three four five six seven")], "doc_id long, text string")
+    assert [r.item_id for r in decontaminate.leaks(text, short, pass_bytes=1).collect()] == [2]
 
 
 def test_blocks_find_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(1)
-    index = decontaminate.build_index(ITEMS)
+    index = decontaminate.build_index(ITEMS, 0.8)
     for size, part in index.items():
         prints = mix64(rng.integers(0, 1 << 62, 3000).astype(np.uint64))
         for k in range(0, 3000, 2):

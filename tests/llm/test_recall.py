@@ -64,3 +64,22 @@ def test_edited_passages_are_all_found(spark, similarity):
     assert all(r.similarity == pytest.approx(best[p]) for p, r in got.items())
     if similarity == 0.8:
         assert sum(s < 0.9 for s in (best[p] for p in got)) > 40
+    # The windows by themselves, without the anchors.
+    alone = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench, similarity, complete=False).collect()}
+    assert alone == {p for p, r in got.items() if r.by_simhash}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)) if similarity == 0.8 else ((similarity, 1.01),):
+        there = {p for p in got if low <= best[p] < high}
+        print(low, len(there), len(there & alone))
+        assert len(there & alone) >= 0.9 * len(there)
+
+
+def test_a_short_window_lies_in_every_clean_run():
+    for n in range(1, 400):
+        for similarity in (0.8, 0.9):
+            windows = decontaminate.item_windows(n, similarity)
+            short = min(s for s, _ in windows)
+            most = int(n * (1 - similarity) / (1 + similarity) + 1e-9)
+            spoilt = most // decontaminate.SHINGLE
+            run = -(-(n - most) // (spoilt + 1))
+            starts = [at for s, at in windows if s == short]
+            assert all(any(b <= at and at + short <= b + run for at in starts) for b in range(n - run + 1)), n
