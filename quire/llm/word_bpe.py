@@ -38,6 +38,8 @@ AT_HAND, PIECE = 1 << 18, 1 << 20
 #: Fixed values of the vocabulary format: its word pattern and the mark of a word's last symbol.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
+#: Rank of a pair that is not joined.
+NO_RANK = 1 << 40
 #: Characters that need no composing and whose lower case and class no Unicode version changes.
 UNUSUAL = re.compile("[^\x00-ɏ‐-‧]")
 
@@ -63,6 +65,10 @@ class Vocabulary:
         self.last = [ids[s + WORD_END] for s in self.symbols]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in merges)
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        flat = np.array([(a << 32 | b, rank, new) for (a, b), (rank, new) in self.merges.items()], dtype=np.int64).reshape(-1, 3)
+        self.pairs, self.ranks, _ = flat[np.argsort(flat[:, 0])].T
+        self.joined = np.zeros(len(merges) + 1, dtype=np.int32)
+        self.joined[flat[:, 1]] = flat[:, 2]
 
     def merged(self, word: bytes) -> list[int]:
         """The ids of one word: the pair of the lowest rank is joined, the leftmost first, until none is left."""
@@ -78,6 +84,50 @@ class Vocabulary:
             ids[at : at + 2] = [self.merges[ids[at], ids[at + 1]][1]]
         return ids
 
+    def merged_all(self, words: Sequence[bytes], together: int = 1 << 14) -> list[np.ndarray]:
+        """``merged`` of many words at once: in each round every word joins its pair of the lowest rank."""
+        lens = np.array([len(w) for w in words], dtype=np.int64)
+        out: list = [None] * len(words)
+        for i in np.flatnonzero(lens > 32).tolist():
+            out[i] = np.array(self.merged(words[i]), dtype="<u4")
+        short = np.flatnonzero(lens <= 32)
+        short = short[np.argsort(lens[short], kind="stable")]
+        inside, last = np.array(self.inside, dtype=np.int32), np.array(self.last, dtype=np.int32)
+        for k in range(0, len(short), together):
+            which = short[k : k + together]
+            n, width = lens[which], int(lens[which[-1]])
+            place = np.arange(width)
+            ids = np.full((len(which), width), -1, dtype=np.int32)
+            ids[place < n[:, None]] = inside[np.frombuffer(b"".join(words[i] for i in which.tolist()), dtype=np.uint8)]
+            ids[np.arange(len(which)), n - 1] = last[[words[i][-1] for i in which.tolist()]]
+            rank = self._ranks(ids[:, :-1], ids[:, 1:])
+            while len(which):
+                row = np.arange(len(which))
+                at = rank.argmin(axis=1) if width > 1 else np.zeros(len(which), dtype=np.int64)
+                least = rank[row, at] if width > 1 else np.full(len(which), NO_RANK)
+                for j in np.flatnonzero(least == NO_RANK).tolist():
+                    out[which[j]] = ids[j, : n[j]].astype("<u4")
+                go = least < NO_RANK
+                which, n, ids, rank, at, least = which[go], n[go] - 1, ids[go], rank[go], at[go], least[go]
+                row = row[: len(which)]
+                ids = np.take_along_axis(ids, np.minimum(place + (place > at[:, None]), width - 1), axis=1)
+                ids[row, n] = -1
+                ids[row, at] = self.joined[least]
+                pair = place[:-1]
+                rank = np.take_along_axis(rank, np.minimum(pair + (pair >= at[:, None]), max(width - 2, 0)), axis=1)
+                rank[row, n - 1] = NO_RANK
+                for left in (at - 1, at):
+                    some = np.flatnonzero((left >= 0) & (left + 1 < n))
+                    rank[some, left[some]] = self._ranks(ids[some, left[some]], ids[some, left[some] + 1])
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(self.pairs):
+            return np.full(left.shape, NO_RANK)
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (right >= 0), self.ranks[at], NO_RANK)
+
     def _merged_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list, for words of any length."""
         n = len(ids)
@@ -263,8 +313,11 @@ class Encoder:
         else:
             held, ids, ends = self.lexicon.look_up(raw)
             ids = ids.astype("<u4")
-        for i, (word, b) in enumerate(zip(new, raw)):
-            self.known[word] = ids[ends[i] : ends[i + 1]].tobytes() if held[i] else np.array(self.vocabulary.merged(b), dtype="<u4").tobytes()
+        unseen = [i for i in range(len(new)) if not held[i]]
+        for i, merged in zip(unseen, self.vocabulary.merged_all([raw[i] for i in unseen])):
+            self.known[new[i]] = merged.tobytes()
+        for i in np.flatnonzero(held).tolist():
+            self.known[new[i]] = ids[ends[i] : ends[i + 1]].tobytes()
 
     def __call__(self, texts: Sequence[str]) -> Iterator[bytes]:
         if len(self.known) > AT_HAND:
@@ -307,10 +360,10 @@ def _count(batches: Iterator[pa.RecordBatch], vocabulary, longest: int) -> Itera
 
 
 def _merge(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    merged = Vocabulary(vocabulary.value).merged
+    merged = Vocabulary(vocabulary.value).merged_all
     for batch in batches:
         words = [w.encode() for w in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([merged(w) for w in words], pa.list_(pa.int32()))], names=["word", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([m.tolist() for m in merged(words)], pa.list_(pa.int32()))], names=["word", "ids"])
 
 
 def frequent_words(docs: DataFrame, vocabulary, most: int = LEXICON, longest: int = LONGEST) -> DataFrame:

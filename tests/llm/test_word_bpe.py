@@ -63,6 +63,14 @@ def test_long_words_merge_as_short_ones_do(own):
         assert own._merged_long([own.inside[b] for b in word[:-1]] + [own.last[word[-1]]]) == own.merged(word)
 
 
+@pytest.mark.parametrize("together", [1, 7, 1 << 14])
+def test_words_merged_together(own, together):
+    rng = random.Random(8)
+    words = [bytes(rng.choice("aeinrsté!ü".encode()) for _ in range(rng.randrange(1, 40))) for _ in range(600)] + [b"a", b"the", b"x" * 32, b"x" * 33]
+    assert [m.tolist() for m in own.merged_all(words, together)] == [own.merged(w) for w in words]
+    assert own.merged_all([]) == []
+
+
 def test_automaton_holds_its_words_and_no_others(own, tmp_path):
     rng = random.Random(4)
     words = {"".join(rng.choice("abcing") for _ in range(rng.randrange(1, 9))).encode() for _ in range(4000)} | {b"\x00", b"\xff\x00"}
