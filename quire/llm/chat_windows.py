@@ -6,7 +6,8 @@ assistant texts are under the loss mask: what is repeated is masked, so every as
 
 Spans are read off the prefix sums alone, with no fold over the conversation: a turn of more than half the span budget
 stands by itself, and the others go by the half-budget cell in which they start; so a span never exceeds its budget
-unless it is one turn. Conversations are laid out by range, so a very long one spreads over many tasks.
+unless it is one turn. Every turn counts in full, system turns wherever they stand too, so a window has at most the
+tokens of its leading system turn, the history budget, and the span budget or one longer turn. Conversations are laid out by range, so a very long one spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -43,14 +44,15 @@ def windows(
     """conv_id, window (number of its first new turn), formatted, loss (spans of ``formatted``), n_turns, n_repeated, n_tokens.
 
     ``turns`` has conv_id, turn, role, text. Turns are ordered by turn (null first), role and text; null roles and texts
-    are empty; rows without conv_id form one conversation. A leading system turn counts no text tokens against the
-    span. A turn longer than the span stays whole in a window of its own. Repeated rows are turns of their own.
-    Loss spans are code points, end exclusive.
+    are empty; rows without conv_id form one conversation. ``n_tokens`` counts all turns of the window: the leading
+    system turn, at most ``history`` of history, and at most ``span`` of new turns unless these are a single one. A turn
+    longer than the span stays whole in a window of its own. Repeated rows are turns of their own, an empty table gives
+    an empty result, and columns but the four are not read. Loss spans are code points, end exclusive.
     """
     half = max(1, span // 2)
     role, text = text_or_empty("role"), text_or_empty("text")
     rows = turns.select(F.col("conv_id").isNull().alias("no_conv"), F.coalesce("conv_id", F.lit(0)).alias("conv"), "turn", role.alias("role"), text.alias("text"))
-    rows = rows.withColumn("tok", F.lit(OVERHEAD) + F.when(F.col("role") == "system", 0).otherwise(tokens(F.col("text"))))
+    rows = rows.withColumn("tok", F.lit(OVERHEAD) + tokens(F.col("text")))
     rows = rows.withColumn("alone", F.col("tok") > half)
     rows = prefix_sums(rows, ["no_conv", "conv"], ["turn", "role", "text"], {"pos": F.lit(1), "before": F.col("tok"), "big": F.col("alone").cast("int")})
     rows = rows.withColumn("cell", F.expr(f"before div {half}"))

@@ -88,7 +88,7 @@ WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), sized AS (
-  SELECT *, {chat_windows.OVERHEAD} + CASE WHEN role = 'system' THEN 0 ELSE ceil(length(text) / 4)::BIGINT END AS tok,
+  SELECT *, {chat_windows.OVERHEAD} + ceil(length(text) / 4)::BIGINT AS tok,
     {len(chat_windows.OPEN + chat_windows.MID + chat_windows.CLOSE)}
       + length(regexp_replace(role, '([<\[\\])', '\1\\', 'g')) + length(regexp_replace(text, '([<\[\\])', '\1\\', 'g')) AS chars,
     row_number() OVER w - 1 AS pos FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import chat_windows, url_rules
@@ -98,7 +99,8 @@ def test_chat_round_trip(spark):
         assert [x for r in back[c] for x in r.loss_texts] == [o[3] for o in own if o[2] == "assistant"]
     for r in made.collect():
         own = r.n_turns - r.n_repeated
-        assert own == 1 or r.n_tokens <= chat_windows.SPAN + chat_windows.HISTORY + 8
+        said = [len(o[3]) for o in sorted(by[r.conv_id]) if o[2] == "system"]
+        assert own == 1 or r.n_tokens <= chat_windows.SPAN + chat_windows.HISTORY + 4 + -(-max(said, default=0) // 4)
         assert not re.search(r"</s>|\[/?INST\]", r.formatted)
     assert chat_windows.windows(turns.filter("false")).count() == 0
 
@@ -111,6 +113,23 @@ def test_system_turn_and_history_come_back(spark):
     assert all(r.n_repeated >= 2 for r in made[1:])
 
 
+@pytest.mark.parametrize("rows", [
+    [(1, 0, "user", "u" * 40), (1, 1, "system", "s" * 40_000), (1, 2, "assistant", "a" * 40)],
+    [(1, 0, "system", "s" * 40_000), (1, 1, "user", "u" * 40), (1, 2, "system", "t" * 900), (1, 3, "assistant", "a" * 40)],
+])
+def test_system_turns_count(spark, rows):
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    lead = 4 + 10_000 if rows[0][2] == "system" else 0
+    for r in chat_windows.windows(turns).collect():
+        text = r.formatted
+        for mark in (chat_windows.OPEN, chat_windows.MID, chat_windows.CLOSE):
+            text = text.replace(mark, "")
+        assert len(text) // 4 <= r.n_tokens
+        one = r.n_turns - r.n_repeated == 1
+        assert r.n_tokens <= lead + chat_windows.HISTORY + (10_004 if one else chat_windows.SPAN)
+    assert len(chat_windows.windows(turns).collect()) > 1
+
+
 def test_registered_query_adds_the_odd_conversation(spark):
     got = {r.conv_id: r for r in QUERIES["op6_chat_windows"](spark, "/root/testdata/sf0.001").collect()}
     odd = "</s>[INST] ok [/INST]"
