@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, columns, prefix_sums, text_or_empty
+from quire.llm.common import WORD, columns, fresh, prefix_sums, text_or_empty
 from quire.session import written
 
 #: Weights of the sources in order, repeated.
@@ -51,30 +51,39 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = EPOCH
     itself, a source without words takes nothing, and an empty table gives an empty result. Sizes are of whole texts;
     columns other than doc_id, source and text are not read.
     """
+    return _mix(docs, weights, epochs, seed).drop("row")
+
+
+def _mix(docs: DataFrame, weights: Sequence[float], epochs: int, seed: str, row: str | None = None) -> DataFrame:
+    """The rows of ``mix`` with ``row``, the number of the input row where a column holds one."""
     sized = docs.select(
         "doc_id", "source", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"),
         F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("size"),
         F.unhex(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).alias("key"),
+        (F.col(row) if row else F.lit(0)).cast("long").alias("row"),
     )
     # Range bounds are sampled from the rows, which would read every text twice.
-    rows = prefix_sums(written(sized, "sizes"), ["no_source", "src"], ["key", "doc_id", "size"], {"before": F.col("size")})
+    rows = prefix_sums(written(sized, "sizes"), ["no_source", "src"], ["key", "doc_id", "size", "row"], {"before": F.col("size")})
     sizes = rows.groupBy("no_source", "src").agg(F.sum("size").alias("source_size"))
     budget = targets(sizes, weights, epochs).withColumn("budget", F.floor("target"))
     cut = F.greatest(F.lit(0), F.least(F.col("size"), F.expr("budget - (budget div greatest(source_size, 1)) * source_size - before")))
     return rows.join(budget, ["no_source", "src"]).select(
         "doc_id", "source", "size", "source_size", "target",
-        (F.expr("budget div greatest(source_size, 1)") * F.col("size") + cut).cast("long").alias("taken"),
+        (F.expr("budget div greatest(source_size, 1)") * F.col("size") + cut).cast("long").alias("taken"), "row",
     )
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix written out: a row of ``docs`` for each epoch it is read in, with ``epoch`` and ``taken_words`` of it.
 
-    Rows are matched by doc_id, which identifies a document here; documents that the mix does not reach are left out, and
-    input columns of the two names are replaced.
+    Rows are numbered as they are written, and the plan goes by that number, so rows of one id are each taken as planned
+    and the budget holds; rows alike in id and size are taken in the order of the input. Documents that the mix does not
+    reach, null and empty texts among them, are left out; input columns of the two names are replaced.
     """
-    plan = mix(docs, weights, epochs, seed).filter("taken > 0").select("doc_id", "size", "taken")
+    number = fresh(docs, "row")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "mixed")
+    plan = _mix(rows, weights, epochs, seed, number).filter("taken > 0").select(F.col("row").alias("_row"), "size", "taken")
     parts = F.expr("transform(sequence(0L, (taken - 1) div size), e -> least(size, taken - e * size))")
-    plan = plan.select("doc_id", F.posexplode(parts).alias("epoch", "taken_words"))
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"]))
-    return rows.select(*columns(docs, "epoch", "taken_words"), plan["epoch"], plan["taken_words"])
+    plan = plan.select("_row", F.posexplode(parts).alias("epoch", "taken_words"))
+    mixed = rows.join(plan, rows[f"`{number}`"] == plan["_row"])
+    return mixed.select(*columns(rows, "epoch", "taken_words", number), plan["epoch"], plan["taken_words"])

@@ -117,3 +117,16 @@ def test_mixed_rows(spark):
     for r in out.collect():
         got[r.doc_id] += r.taken_words
     assert got == {d: t for d, t in plan.items() if t}
+
+
+def test_rows_of_one_id_are_each_taken_as_planned(spark):
+    schema = "doc_id long, text string, source string, row long, _row long"
+    docs = spark.createDataFrame([(1, "a b c", "s", 5, 5), (1, "d e", "s", 5, 5), (2, "f g", "s", 6, 6), (None, "h", "s", 7, 7), (None, "h", "s", 7, 7)], schema)
+    out = source_mix.mixed_rows(docs)
+    assert out.columns == [*docs.columns, "epoch", "taken_words"]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text, r.epoch, r.taken_words) for r in out.collect())
+    assert got == [(False, 1, "a b c", 0, 3), (False, 1, "d e", 0, 2), (False, 2, "f g", 0, 2), (True, 0, "h", 0, 1), (True, 0, "h", 0, 1)]
+    assert sum(r.taken for r in source_mix.mix(docs).collect()) == sum(g[4] for g in got) == 9
+    two = docs.unionByName(docs.limit(0)).unionByName(spark.createDataFrame([(9, "x", "t", 0, 0)], schema))
+    want = {r[0]: r[1] for r in source_mix.mix(two).filter("taken > 0").groupBy("source").agg({"taken": "sum"}).collect()}
+    assert {r[0]: r[1] for r in source_mix.mixed_rows(two).groupBy("source").agg({"taken_words": "sum"}).collect()} == want
