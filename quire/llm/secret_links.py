@@ -48,7 +48,7 @@ def _entropy(s: str) -> float:
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of all parts of one text, strong and weak; weak ones that a strong one covers are left out."""
+    """(kind, start, end) of all parts of one text, strong and weak; weak ones that lie wholly inside a strong one are left out."""
     found = [(0, m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(1, m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(2, m.start(), m.end()) for m in HEX.finditer(text)]
@@ -56,11 +56,12 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     weak = [(3, m.start(), m.end()) for m in NAME.finditer(text)]
     weak += [(4, m.start(), m.end()) for m in ENTROPIC.finditer(text) if _entropy(m[0]) >= ENTROPY]
     weak += [(5, m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    at = 0
+    at, reach = 0, 0
     for kind, a, b in sorted(weak, key=lambda w: w[1:]):
-        while at < len(strong) and strong[at][1] <= a:
+        while at < len(strong) and strong[at][0] <= a:
+            reach = max(reach, strong[at][1])
             at += 1
-        if at == len(strong) or strong[at][0] >= b:
+        if b > reach:
             found.append((kind, a, b))
     return sorted(found, key=lambda f: (f[1], f[0], f[2]))
 
@@ -103,15 +104,17 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     rows = docs.select("doc_id", F.unhex(F.md5(text_or_empty("text"))).alias("digest"), text_or_empty("text").alias("text"))
     rows = rows.mapInArrow(_scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, parts array<struct<kind:int,start:long,end:long>>")
     rows = written(rows, "parts")
-    # Only texts that hold two roles, one of them weak, can have a link.
-    some = rows.filter(F.exists("parts", lambda p: p["kind"] >= len(STRONG)) & (F.size("parts") > 1))
-    once = some.groupBy("digest").agg(F.first("parts").alias("parts"))
-    more = linked(once.select("digest", F.inline("parts")), scope)
-    more = more.groupBy("digest").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     own = F.transform(F.filter("parts", lambda p: p["kind"] < len(STRONG)), lambda p: F.struct(p["start"], p["kind"], p["end"]))
-    rows = rows.withColumn("base", F.sort_array(own)).join(more, "digest", "left")
+    rows = rows.withColumn("base", F.sort_array(own))
+    # Only texts that hold a weak part and another can have a link; the others, empty ones among them, join nothing.
+    some = F.exists("parts", lambda p: p["kind"] >= len(STRONG)) & (F.size("parts") > 1)
+    once = rows.filter(some).groupBy("digest").agg(F.first("parts").alias("parts"))
+    more = linked(once.select("digest", F.inline("parts")), scope)
+    # A table of its own, so that the join of a text with very many copies can be split.
+    more = written(more.groupBy("digest").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more")), "linked")
     everything = F.sort_array(F.concat("base", F.coalesce("more", F.filter("base", lambda _: F.lit(False)))))
-    return rows.select("doc_id", "digest", "base", everything.alias("all"))
+    met = rows.filter(some).join(more, "digest", "left").select("doc_id", "digest", "base", everything.alias("all"))
+    return met.unionByName(rows.filter(~some).select("doc_id", "digest", "base", F.col("base").alias("all")))
 
 
 def joined(parts):

@@ -114,17 +114,38 @@ SECRETS = [
     ("login=alice " + "x " * 200 + "password=abcdef1", "assign:412:428"),
     ("user=bob 10.0.0.1:80 Zx9Qw8Er7Ty6Ui5Op4As", "name:0:8,endpoint:9:20,entropy:21:41"),
     ("10.0.0.1 Zx9Qw8Er7Ty6Ui5Op4As", ""),
+    ("user=bob 9fK2LmQ8ZpTr4XwB https://h.example/x?token=abcdef1", "name:0:8,entropy:9:25,endpoint:26:59,assign:46:59"),
+    ("token=Zx9Qw8Er7Ty6Ui5Op4As user=bob", "assign:0:26,name:27:35"),
     ("é" * 50_000 + " secret=zzzzzzz", "assign:50001:50015"),
 ]
 
 
+def weak_by_hand(text, strong):
+    """Names, mixed strings of high entropy and endpoints, but for those wholly inside a strong span."""
+    found = []
+    for m in re.finditer(r"(?i:user|username|login|account|clientid|client_id|accesskeyid|accesskey_id|access_keyid|access_key_id)([\"']?) *[:=] *([\"']?)[A-Za-z0-9@._-]{3,}", text):
+        if m.start() == 0 or not re.match("[A-Za-z0-9_]", text[m.start() - 1]):
+            found.append(("name", m.start(), m.end()))
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        s = m[0]
+        p = [s.count(c) / len(s) for c in set(s)]
+        if len(s) >= 16 and re.search("[0-9]", s) and re.search("[A-Za-z]", s) and -sum(x * np.log2(x) for x in p) >= 3.2:
+            found.append(("entropy", m.start(), m.end()))
+    for m in re.finditer(r"(?<![a-z0-9+])[a-z][a-z0-9+]{1,9}://[^ \t\n\r\f\v\"'<>]+", text):
+        found.append(("endpoint", m.start(), m.end()))
+    for m in re.finditer(r"(?<![A-Za-z0-9_])[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]{2,5})?(?![A-Za-z0-9_])", text):
+        if not any(k == "endpoint" and a <= m.start() < b for k, a, b in found):
+            found.append(("endpoint", m.start(), m.end()))
+    return [(k, a, b) for k, a, b in found if not any(x <= a and b <= y for _, x, y in strong)]
+
+
 def spans_by_hand(text):
     """Base spans from the patterns as written, then links between all parts, pair by pair."""
     text = text or ""
     base = [("assign", m.start(), m.end()) for m in secret_links.ASSIGN.finditer(text) if len(m[2]) > 5]
     base += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) > 19]
     base += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) > 23]
-    parts = [(secret_links.KINDS[k], a, b) for k, a, b in secret_links.spans(text)]
+    parts = base + weak_by_hand(text, base)
     out = list(base)
     for k, a, b in parts:
         if k in secret_links.STRONG:
