@@ -5,7 +5,8 @@ their regular expression. Host rules (``host/path``) fit the host, its subdomain
 the longest decides. Where none fits, pattern rules (``*`` any text, ``^`` a separator or the end) decide: a matching
 ``allow`` before a matching ``block``, else allow.
 
-URLs are reduced to the distinct ones before anything is shuffled, so a page or host that holds most rows costs no more.
+URLs are reduced to the distinct ones before anything is shuffled, and what was found of them is a table of its own, so
+that its join with the rows can be split where one URL holds most of them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import columns
+from quire.session import written
 
 #: (rule, kind, verdict). The host rules; the patterns are this method's own.
 RULES = (
@@ -71,7 +73,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, url: str = "url
 
     Null URLs and those without ``://`` have an empty host and path, fit no host rule and are allowed unless a pattern
     fits. Repeated rows are each judged; rules alike in length are decided by the rule's text. Rules repeated with
-    different verdicts count as allow.
+    different verdicts count as allow. An empty table of pages gives an empty result, and without rules all is allowed.
     """
     rules = default_rules(pages.sparkSession) if rules is None else rules
     small = rules.count() <= BROADCAST_RULES
@@ -99,6 +101,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, url: str = "url
         F.when(F.col("top").isNotNull(), F.when(F.col("top.yes") == 1, "allow").otherwise("block"))
         .when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("_verdict"),
     )
+    best = written(best, "judged")
     parts = url_parts(pages[f"`{url}`"])
     return pages.join(best, F.coalesce(pages[f"`{url}`"], F.lit("")) == best["_url"], "left").select(
         *columns(pages, "host", "path", "rule", "verdict"), parts[0].alias("host"), parts[1].alias("path"),
