@@ -182,6 +182,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, widt
     single = same.join(mixed, "anchor").select(
         "anchor", "n", "at", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr("length(hashes) div 8 - 1")), lambda i: F.substring("hashes", i * 8 + 1, 8))).alias("place", "hash")
     )
+    single = written(single, "single")  # else the grouping below would keep a hot anchor's join in one task
     again = single.groupBy("anchor", "hash").agg(F.sum(F.least("n", F.lit(2))).alias("times")).filter("times > 1").select("anchor", "hash")
     found = single.filter("n = 1").join(again, ["anchor", "hash"]).select("at.rid", (F.col("at.start") + F.col("place")).alias("start"), F.lit(1).alias("len"))
     many = same.filter("n > 1").select("anchor", "content")
