@@ -109,12 +109,18 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float, least: np.ndar
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The links among ``pairs`` (a, b)."""
+    """The links among ``pairs`` (a, b).
+
+    One text may be ``a`` of very many pairs. The pairs are a table of their own and take the text of ``b`` first, so that
+    the text of ``a`` is not sent again for each of its pairs and the join on ``a`` can be split.
+    """
     least = least_matches(similarity, TOLERANCE)
+    pairs = written(pairs, "pairs")
     a = texts.select(F.col("id").alias("a"), F.col("signature").alias("sa"), F.col("text").alias("ta"))
     b = texts.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("text").alias("tb"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "ta", "tb")
-    return both.mapInArrow(lambda batches: _verify(batches, similarity, least), "a long, b long")
+    both = pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb", "ta", "tb")
+    links = both.mapInArrow(lambda batches: _verify(batches, similarity, least), "a long, b long")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -182,8 +188,11 @@ def _may_link(similarity: float):
     return (F.least("n", "n2") >= F.greatest("n", "n2") * similarity - 1e-9) & (most >= need)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).filter("a < b").distinct()
+def _once(pairs: DataFrame) -> DataFrame:
+    """(a, b) of pairs (id, id2), each once; ``a`` is an ``id2``, which may lead very many pairs."""
+    low, high = F.least("id", "id2").alias("low"), F.greatest("id", "id2").alias("high")
+    once = pairs.filter("id != id2").groupBy(low, high).agg(F.max("id2").alias("a"))
+    return once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
 
 
 def text_links(docs: DataFrame, text: str, doc_id: str, similarity: float, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -206,15 +215,15 @@ def text_links(docs: DataFrame, text: str, doc_id: str, similarity: float, small
     texts = written(texts.select("id", "signature", "text").dropDuplicates(["id"]), "texts")
 
     few = member.filter(F.col("size") <= small)
-    pairs = _ordered(few.join(few.select("bucket", F.col("id").alias("id2")), "bucket").filter("id < id2"))
+    pairs = few.join(few.select("bucket", F.col("id").alias("id2")), "bucket").filter("id < id2")
     many = member.filter(F.col("size") > small).select("id").distinct()
     crowd = texts.join(many, "id", "left_semi").select("id", "text")
     prefix = _prefixes(crowd, similarity)
     lead = prefix.groupBy("shingle").agg(F.min(F.struct("place", "n", "id")).alias("lead"), F.count("*").alias("texts")).filter("texts > 1")
     lead = cut_lineage(lead)  # a table of its own, so that the join on a hot shingle can be split
     lead = lead.select("shingle", F.col("lead.place").alias("place2"), F.col("lead.n").alias("n2"), F.col("lead.id").alias("id2"))
-    star = _ordered(prefix.join(lead, "shingle").filter(_may_link(similarity)))
-    links = written(verified(pairs.unionByName(star).distinct(), texts, similarity), "links")
+    star = prefix.join(lead, "shingle").filter(_may_link(similarity))
+    links = written(verified(_once(pairs.select("id", "id2").unionByName(star.select("id", "id2"))), texts, similarity), "links")
 
     of = components(links)
     classed = prefix.join(of, "id", "left").withColumn("class", F.coalesce("class", "id"))
@@ -223,7 +232,7 @@ def text_links(docs: DataFrame, text: str, doc_id: str, similarity: float, small
     aside = cut_lineage(aside)
     other = classed.select("shingle", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("class").alias("class2"))
     cross = aside.join(other, "shingle").filter((F.col("class") != F.col("class2")) & (F.col("id2") != F.col("lead_id")) & _may_link(similarity))
-    return nodes, links.unionByName(verified(_ordered(cross), texts, similarity)), crowd
+    return nodes, links.unionByName(verified(_once(cross), texts, similarity)), crowd
 
 
 def _common(strip: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], shape: tuple[int, int], width: int) -> np.ndarray:
