@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import prefix_sums
 from quire.session import written
 
 #: Rows solved in one piece.
@@ -129,20 +128,19 @@ class _Chain:
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = {"illegal": [], "n": [], "costs": [], "audits": [], "initials": []}
+        out = {"illegal": [], "costs": [], "audits": [], "initials": []}
         for codes, initials in zip(batch.column("codes").to_pylist(), batch.column("initials").to_pylist()):
             matrix = segment_matrix(bytes(codes))
             out["illegal"].append(sum(initials[i : i + 2] not in LEGAL for i in range(len(initials) - 1)))
-            out["n"].append(len(codes))
             out["costs"].append([-1 if m is None else m[0] for m in matrix])
             out["audits"].append(["" if m is None else m[1] for m in matrix])
             out["initials"].append(initials)
-        keys = [batch.column(c) for c in ("no_conv", "conv", "seg")]
-        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.string())
-        yield pa.RecordBatch.from_arrays([*keys, *(pa.array(v, t) for v, t in zip(out.values(), kinds))], names=["no_conv", "conv", "seg", *out])
+        keys = [batch.column(c) for c in ("no_conv", "conv", "seg", "first")]
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.string())
+        yield pa.RecordBatch.from_arrays([*keys, *(pa.array(v, t) for v, t in zip(out.values(), kinds))], names=["no_conv", "conv", "seg", "first", *out])
 
 
-EDIT = pa.struct([("pos", pa.int64()), ("edit", pa.string()), ("role", pa.string())])
+EDIT = pa.struct([("rid", pa.int64()), ("edit", pa.string()), ("role", pa.string())])
 FOLDED = [
     ("seg", pa.int64()), ("edits", pa.list_(EDIT)), ("audit", pa.string()), ("cost", pa.int64()), ("illegal", pa.int64()),
 ]
@@ -150,21 +148,21 @@ FOLDED = [
 
 def _edits(piece: str, state: int, first: int, initials: str) -> tuple[list[dict], int]:
     """The edits of a piece with the roles that they give; kept rows show their own."""
-    out, pos = [], first
+    out, at = [], 0
     for letter in piece:
         if letter in "IR":
             turn = TURN_OF[state]
-            out.append({"pos": pos, "edit": letter, "role": ROLES[turn]})
+            out.append({"rid": first + at, "edit": letter, "role": ROLES[turn]})
             state = NEXT[turn][state]
         else:
-            out.append({"pos": pos, "edit": letter, "role": None})
+            out.append({"rid": first + at, "edit": letter, "role": None})
             if letter == "K":
-                state = NEXT[initials[pos - first]][state]
-        pos += letter != "I"
+                state = NEXT[initials[at]][state]
+        at += letter != "I"
     return out, state
 
 
-def _fold(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive by conversation, its last segment first; a row per segment goes out, the first with the totals."""
     key, values, illegal, follower, kept = None, [], 0, "", []
 
@@ -172,13 +170,13 @@ def _fold(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.Record
         cost, chain = values[0]
         pieces, state, node = [], 0, chain
         rows = {name: [] for name, _ in FOLDED}
-        for seg, (_, initials) in enumerate(reversed(kept)):
-            edits, state = _edits(node.piece, state, seg * segment, initials)
+        for seg, first, initials in reversed(kept):
+            edits, state = _edits(node.piece, state, first, initials)
             pieces.append(node.piece)
             rows["seg"].append(seg)
             rows["edits"].append(edits)
             node = node.rest
-        last, _ = _edits(node.piece, state, sum(n for n, _ in kept), "")
+        last, _ = _edits(node.piece, state, kept[0][1] + len(kept[0][2]), "")
         pieces.append(node.piece)
         rows["edits"][-1] += last
         rows["audit"] = ["".join(pieces)] + [None] * (len(kept) - 1)
@@ -194,8 +192,8 @@ def _fold(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.Record
     schema = None
     for batch in batches:
         schema, done, keys = batch.schema, [], []
-        columns = [batch.column(c).to_pylist() for c in ("no_conv", "conv", "illegal", "n", "costs", "audits", "initials")]
-        for no_conv, conv, bad, n, costs, audits, initials in zip(*columns):
+        columns = [batch.column(c).to_pylist() for c in ("no_conv", "conv", "seg", "first", "illegal", "costs", "audits", "initials")]
+        for no_conv, conv, seg, first, bad, costs, audits, initials in zip(*columns):
             if (no_conv, conv) != key:
                 if key is not None:
                     done.append(close())
@@ -204,7 +202,7 @@ def _fold(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.Record
                 values = [(cost, _Chain(audit, None)) for cost, audit in _tail()]
             illegal += bad + (bool(follower) and initials[-1] + follower not in LEGAL)
             follower = initials[0]
-            kept.append((n, initials))
+            kept.append((seg, first, initials))
             values = [
                 min((costs[4 * q + e] + values[e][0], _Chain(audits[4 * q + e], values[e][1])) for e in STATES if costs[4 * q + e] >= 0)
                 for q in STATES
@@ -215,27 +213,41 @@ def _fold(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.Record
         yield batch_of([close()], [key], schema)
 
 
-def faults(turns: DataFrame) -> DataFrame:
-    """``turns`` in order: no_conv, conv, turn, role, text, pos, initial, fault (blank, duplicate, truncated or null).
+def laid_out(turns: DataFrame) -> DataFrame:
+    """``turns`` in order: no_conv, conv, rid, turn, role, text, said, initial, blank, truncated.
 
-    Rows are ordered by turn (null first), then role and text. Null roles and texts are read as one space; rows without
-    conv_id form one conversation. A row's first fault counts; a duplicate repeats role and text of any earlier row.
+    Rows are range-partitioned and sorted by conversation, turn (null first), role and text, and numbered as they are
+    written, so ``rid`` rises along a conversation and texts are sorted once. Null roles and texts are read as one space;
+    rows without conv_id form one conversation.
     """
     kind = turns.schema["conv_id"].dataType
     rows = turns.select(
         F.col("conv_id").isNull().alias("no_conv"), F.coalesce("conv_id", F.lit(0).cast(kind)).alias("conv"), "turn",
         F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"),
     )
-    said = F.sha2(F.concat(F.length("role"), F.lit(":"), "role", "text"), 256)
-    rows = prefix_sums(rows.withColumn("said", said), ["no_conv", "conv"], ["turn", "role", "text"], {"pos": F.lit(1)})
-    # Only what is said more than once goes back to the rows: a table of its own, so that one said very often is split.
-    again = rows.groupBy("no_conv", "conv", "said").agg(F.min("pos").alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    rows = rows.join(written(again, "said-again"), ["no_conv", "conv", "said"], "left")
-    fault = (
-        F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), "blank").when(F.col("pos") > F.col("first"), "duplicate")
-        .when(~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), "truncated")
+    order = ["no_conv", "conv", "turn", "role", "text"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rid", F.monotonically_increasing_id())
+    initial = F.substring("role", 1, 1)
+    return written(
+        rows.select(
+            "*", F.unhex(F.sha2(F.concat(F.length("role"), F.lit(":"), "role", "text"), 256)).alias("said"),
+            F.when(initial.isin(*INITIALS), initial).otherwise("-").alias("initial"),
+            (~F.col("text").rlike(r"[^\x20\x09-\x0D]")).alias("blank"), (~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z")).alias("truncated"),
+        ),
+        "turns",
     )
-    return rows.select("no_conv", "conv", "turn", "role", "text", "pos", F.substring("role", 1, 1).alias("initial"), fault.alias("fault"))
+
+
+def faults(rows: DataFrame) -> DataFrame:
+    """Rows laid out, without their texts: no_conv, conv, rid, turn, initial, fault (blank, duplicate, truncated or null).
+
+    A row's first fault counts; a duplicate repeats role and text of any earlier row of its conversation.
+    """
+    # Only what is said more than once goes back to the rows: a table of its own, so that one said very often is split.
+    again = rows.groupBy("no_conv", "conv", "said").agg(F.min("rid").alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    rows = rows.select("no_conv", "conv", "rid", "turn", "initial", "said", "blank", "truncated").join(written(again, "said-again"), ["no_conv", "conv", "said"], "left")
+    fault = F.when(F.col("blank"), "blank").when(F.col("rid") > F.col("first"), "duplicate").when(F.col("truncated"), "truncated")
+    return rows.select("no_conv", "conv", "rid", "turn", "initial", fault.alias("fault"))
 
 
 def repair(turns: DataFrame, segment: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
@@ -245,39 +257,40 @@ def repair(turns: DataFrame, segment: int = SEGMENT) -> tuple[DataFrame, DataFra
     Report, a row per conversation: conv_id, gaps (turn numbers missing between the least and the greatest; null turns
     are not counted), blank, duplicate, truncated (rows by first fault), illegal (neighbours whose initials are not su, ua
     or au), cost, audit. Roles go by their initials s, u and a; a row of another role, an empty one included, can only
-    be given a new role or deleted. Order, nulls and repeated rows are as in ``faults``; an empty table gives two empty
-    ones. Columns other than the four are not read. Texts are only joined back by place, so their length does not matter
-    here; the audit of a conversation is one value, a letter or little more for each of its rows.
+    be given a new role or deleted. Order and nulls are as in ``laid_out``, repeated rows are duplicates; an empty table
+    gives two empty ones. Columns other than the four are not read. Texts are only joined back by row, so their length
+    does not matter here; the audit of a conversation is one value, a letter or little more for each of its rows.
     """
-    rows = written(faults(turns), "faults")
-    initial = F.when(F.col("initial").isin(*INITIALS), F.col("initial")).otherwise("-")
+    rows = laid_out(turns)
+    key = ["no_conv", "conv"]
+    narrow = written(faults(rows), "faults")
     code = F.when(F.col("fault").isin("blank", "duplicate"), MUST_GO).otherwise(
         F.when(F.col("initial") == "s", 0).when(F.col("initial") == "u", 1).when(F.col("initial") == "a", 2).otherwise(3) + F.when(F.col("fault") == "truncated", 4).otherwise(0)
     )
-    key = ["no_conv", "conv"]
-    coded = rows.select(*key, "pos", F.expr(f"pos div {segment}").alias("seg"), initial.alias("initial"), code.alias("code"))
-    whole = coded.groupBy(*key, "seg").agg(F.sort_array(F.collect_list(F.struct("pos", "code", "initial"))).alias("r"))
-    whole = whole.select(*key, "seg", F.col("r.code").alias("codes"), F.array_join("r.initial", "").alias("initials"))
+    # A conversation has neighbouring numbers within a partition, so a segment is what it has of a run of them.
+    coded = narrow.select(*key, "rid", F.expr(f"rid div {segment}").alias("seg"), "initial", code.alias("code"))
+    whole = coded.groupBy(*key, "seg").agg(F.sort_array(F.collect_list(F.struct("rid", "code", "initial"))).alias("r"))
+    whole = whole.select(*key, "seg", F.array_min("r.rid").alias("first"), F.col("r.code").alias("codes"), F.array_join("r.initial", "").alias("initials"))
     kind = rows.schema["conv"].dataType.simpleString()
     head = f"no_conv boolean, conv {kind}, seg long"
-    solved = whole.mapInArrow(_solve, f"{head}, illegal long, n int, costs array<long>, audits array<string>, initials string")
+    solved = whole.mapInArrow(_solve, f"{head}, first long, illegal long, costs array<long>, audits array<string>, initials string")
     # One row for up to SEGMENT turns; a conversation is folded by one task, which holds its audits alone.
     solved = solved.repartition(*key).sortWithinPartitions(*key, F.desc("seg"))
-    folded = solved.mapInArrow(lambda b: _fold(b, segment), f"{head}, edits array<struct<pos:long,edit:string,role:string>>, audit string, cost long, illegal long")
+    folded = solved.mapInArrow(_fold, f"{head}, edits array<struct<rid:long,edit:string,role:string>>, audit string, cost long, illegal long")
     folded = written(folded, "repair")
-    edits = folded.select(*key, "seg", F.posexplode("edits").alias("place", "e")).select(*key, "seg", "place", "e.pos", "e.edit", F.col("e.role").alias("new_role"))
-    rows_ = rows.select(*key, "pos", "role", "text")
-    kept = edits.filter("edit in ('K', 'R')").join(rows_, [*key, "pos"]).select(*key, "seg", "place", "edit", F.coalesce("new_role", "role").alias("role"), "text")
+    edits = folded.select(*key, "seg", F.posexplode("edits").alias("place", "e")).select(*key, "seg", "place", "e.rid", "e.edit", F.col("e.role").alias("new_role"))
+    kept = edits.filter("edit in ('K', 'R')").join(rows.select("rid", "role", "text"), "rid")
+    kept = kept.select(*key, "seg", "place", "edit", F.coalesce("new_role", "role").alias("role"), "text")
     put_in = edits.filter("edit = 'I'").select(*key, "seg", "place", "edit", F.col("new_role").alias("role"), F.lit("").alias("text"))
     conv_id = F.when(~F.col("no_conv"), F.col("conv")).alias("conv_id")
     repaired = kept.unionByName(put_in).select(conv_id, "seg", "place", "edit", "role", "text")
     count = lambda fault: F.count(F.when(F.col("fault") == fault, 1))
     turn = F.col("turn")
-    totals = rows.groupBy(*key).agg(
-        F.coalesce(F.max(turn) - F.min(turn) + 1 - F.count_distinct(turn), F.lit(0)).cast("long").alias("gaps"),
-        count("blank").alias("blank"), count("duplicate").alias("duplicate"), count("truncated").alias("truncated"),
+    by_turn = narrow.groupBy(*key, "turn").agg(*(count(f).alias(f) for f in ("blank", "duplicate", "truncated")))
+    totals = by_turn.groupBy(*key).agg(
+        F.coalesce(F.max(turn) - F.min(turn) + 1 - F.count(turn), F.lit(0)).cast("long").alias("gaps"), *(F.sum(f).alias(f) for f in ("blank", "duplicate", "truncated")),
     )
-    ends = folded.filter("seg = 0").select(*key, "illegal", "cost", "audit")
+    ends = folded.filter("audit is not null").select(*key, "illegal", "cost", "audit")
     report = totals.join(ends, key).select(conv_id, "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
     return repaired, report
 
