@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("text_checks", "draft_checks", "structure_checks", "library_checks", "page_checks", "layout_checks")
+FAMILIES = ("text_checks", "draft_checks", "structure_checks", "library_checks", "page_checks", "layout_checks", "history_checks")
 
 
 def all_checks():

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,10 +29,16 @@ def build_session(app: str = "quire", master: str | None = None, **extra: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``; where it is unset (tests), one beside the shared warehouse."""
+    """The folder the session names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) takes one beside its warehouse; on a cluster that would be a folder which
+    executors may not see, so it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quire-work"
 
 
@@ -38,9 +46,32 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/quire-{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Folders written in each open scope, innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, on leaving, the tables that ``written`` made inside; write a result before leaving the scope it was built in."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove_folder(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a compressed table in the shared folder, read back: a cut of lineage for rows that carry text."""
     path = fresh_folder(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
