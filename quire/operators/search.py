@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +15,8 @@ from quire.functions import text as tx
 FIELDS = ("slug", "title", "body")
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
-#: Folders of a stored index, and tasks that write one.
-BUCKETS, DEALT = 64, 4
+#: Folders of a stored index, and bytes of text whose entries one task writes.
+BUCKETS, TASK_BYTES = 64, 1 << 26
 
 
 def fold(c: Column) -> Column:
@@ -23,38 +28,52 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(fold(c), F.lit(f"({TOKEN})"), 1)
 
 
-def _postings(toks: Column) -> Column:
-    """(term, positions) of one token array: its (term, place) pairs sorted, then cut where the term changes."""
-    pairs = F.sort_array(F.transform(toks, lambda t, i: F.struct(t.alias("term"), i.alias("at"))))
-
-    def cut(s):
-        heads = F.filter(F.transform(s, lambda p, i: F.when((i == 0) | (p["term"] != F.get(s, i - 1)["term"]), i)), lambda i: i.isNotNull())
-        tails = F.slice(F.concat(F.slice(heads, F.lit(2), F.size(s)), F.array(F.size(s))), F.lit(1), F.size(heads))
-        places = lambda x, y: F.transform(F.slice(s, x + 1, y - x), lambda p: p["at"])
-        return F.zip_with(heads, tails, lambda x, y: F.struct(F.get(s, x)["term"].alias("term"), places(x, y).alias("positions")))
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, doc_id, field, tf, positions, length) of rows (doc_id, an array of tokens for each field).
 
-    return F.get(F.transform(F.array(pairs), cut), F.lit(0))
+    Tokens are grouped by one sort of their codes for a whole batch. A row of the empty term holds the document's length.
+    """
+    for batch in batches:
+        total, parts = np.zeros(batch.num_rows, dtype=np.int64), []
+        for k, _ in enumerate(FIELDS, 1):
+            lists = batch.column(k)
+            flat, lens = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            total += lens
+            coded = flat.dictionary_encode()
+            code, row = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(batch.num_rows), lens)
+            at = np.arange(len(code)) - np.repeat(np.cumsum(lens) - lens, lens)
+            key = row * (len(coded.dictionary) + 1) + code
+            order = np.argsort(key, kind="stable")
+            heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+            parts.append((FIELDS[k - 1], coded.dictionary, code[order][heads], row[order][heads], np.diff(np.append(heads, len(key))), at[order].astype(np.int32), heads))
+        for name, terms, code, row, tf, at, heads in parts:
+            ends = pa.array(np.append(heads, len(at)).astype(np.int32))
+            yield _rows(batch, terms.take(pa.array(code)), row, name, tf, pa.ListArray.from_arrays(ends, pa.array(at)), total)
+        none = pa.ListArray.from_arrays(pa.array(np.zeros(batch.num_rows + 1, dtype=np.int32)), pa.array([], pa.int32()))
+        yield _rows(batch, pa.array([""] * batch.num_rows), np.arange(batch.num_rows), "", total, none, total)
+
+
+def _rows(batch, terms, row, field, tf, positions, total) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            terms.cast(pa.string()), batch.column(0).take(pa.array(row)), pa.array([field] * len(row), pa.string()), pa.array(tf, pa.int64()), positions,
+            pa.array(total[row], pa.int64()),
+        ],
+        names=["term", "doc_id", "field", "tf", "positions", "length"],
+    )
 
 
 def index_rows(docs: DataFrame) -> DataFrame:
-    """term, doc_id, field, tf, positions: every text is tokenised once, inside its row, and nothing is shuffled.
+    """term, doc_id, field, tf, positions, length of the document: every text is tokenised once, and nothing is shuffled.
 
     A row of the empty term holds the document's length as its tf.
     """
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in FIELDS])
-    rows = docs.select("doc_id", fields.alias("f"))
-    entry = lambda f: F.transform(
-        _postings(f["toks"]),
-        lambda p: F.struct(p["term"].alias("term"), f["field"].alias("field"), F.size(p["positions"]).cast("long").alias("tf"), p["positions"].alias("positions")),
-    )
-    total = F.aggregate("f", F.lit(0).cast("long"), lambda a, f: a + F.coalesce(F.size(f["toks"]), F.lit(0)))
-    length = F.struct(F.lit("").alias("term"), F.lit("").alias("field"), total.alias("tf"), F.array().cast("array<int>").alias("positions"))
-    entries = F.concat(F.flatten(F.transform(F.filter("f", lambda f: F.size(f["toks"]) > 0), entry)), F.array(length))
-    return rows.select("doc_id", F.inline(entries)).select("term", "doc_id", "field", "tf", "positions")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[tokens(F.col(f)).alias(f) for f in FIELDS])
+    return rows.mapInArrow(_entries, "term string, doc_id long, field string, tf long, positions array<int>, length long")
 
 
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return rows.where(F.col("term") != ""), rows.where(F.col("term") == "").select("doc_id", F.col("tf").alias("length"))
+    return rows.where(F.col("term") != "").drop("length"), rows.where(F.col("term") == "").select("doc_id", "length")
 
 
 def build_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,13 +85,21 @@ def bucket_of(term: Column) -> Column:
     return F.when(term == "", -1).otherwise(F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int"))
 
 
+def write_tasks(docs: DataFrame) -> int:
+    """Tasks for each bucket of an index of ``docs``."""
+    size = docs.agg(sum((F.coalesce(F.sum(F.octet_length(f)), F.lit(0)) for f in FIELDS), F.lit(0))).first()[0]
+    return max(1, -(-size // (BUCKETS * TASK_BYTES)))
+
+
 def write_index(docs: DataFrame, folder: str) -> None:
     """The index as a table laid out by term: a search reads the folders of its own terms (I-01).
 
-    A bucket is dealt to several tasks by document, so that a term of every document makes no single task.
+    A bucket is dealt by document to as many tasks as its share of the text needs, so that a term of every document makes
+    no single task and a task writes about ``TASK_BYTES`` of text, whatever the corpus.
     """
-    rows = index_rows(docs).withColumn("bucket", bucket_of(F.col("term")))
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(DEALT))).sortWithinPartitions("bucket", "term", "doc_id")
+    dealt_to = write_tasks(docs)
+    rows = index_rows(docs).drop("length").withColumn("bucket", bucket_of(F.col("term")))
+    dealt = rows.repartition(BUCKETS * dealt_to + 1, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(dealt_to))).sortWithinPartitions("bucket", "term", "doc_id")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
 

@@ -8,6 +8,7 @@ from quire.functions import text as tx
 from quire.operators import apply as ap
 from quire.operators import compare as cp
 from quire.operators import linear as ln
+from quire.operators import live_index as li
 from quire.operators import search as se
 from quire.operators import structure as st
 from quire.operators import tracks as tk
@@ -230,11 +231,12 @@ def _corpus(spark, sf):
 
 
 _TOK = "[\\p{L}\\p{N}]+"
-_INDEX = f"""corpus AS (SELECT doc_id, source || '-' || doc_id AS slug, lang || ' ' || source AS title, text AS body FROM documents),
-tok AS (SELECT doc_id, field, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS at_pos FROM (
+_CORPUS = "SELECT doc_id, source || '-' || doc_id AS slug, lang || ' ' || source AS title, text AS body FROM documents"
+_TOKENS = f"""tok AS (SELECT doc_id, field, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS at_pos FROM (
   SELECT doc_id, 'slug' AS field, regexp_extract_all(strip_accents(lower(slug)), '{_TOK}') AS toks FROM corpus
   UNION ALL SELECT doc_id, 'title', regexp_extract_all(strip_accents(lower(title)), '{_TOK}') FROM corpus
   UNION ALL SELECT doc_id, 'body', regexp_extract_all(strip_accents(lower(body)), '{_TOK}') FROM corpus))"""
+_INDEX = f"corpus AS ({_CORPUS}), {_TOKENS}"
 
 
 @check(
@@ -249,7 +251,7 @@ def _(spark, sf):
     )
 
 
-def _bm25(phrases: dict[str, str], limit: int) -> str:
+def _bm25(phrases: dict[str, str], limit: int, index: str = _INDEX) -> str:
     """SQL for the same score; ``phrases`` maps f0… to a query that counts it per document."""
     parts = ", ".join(f"{n} AS ({q})" for n, q in phrases.items())
     joins = " ".join(f"JOIN {n} ON {n}.doc_id = l.doc_id" for n in phrases)
@@ -257,7 +259,7 @@ def _bm25(phrases: dict[str, str], limit: int) -> str:
         f"greatest(ln((c.n - (SELECT count(*) FROM {n}) + 0.5) / ((SELECT count(*) FROM {n}) + 0.5)), 1e-6) * {n}.f * 2.2 / ({n}.f + 1.2 * (0.25 + 0.75 * l.len / c.avg))"
         for n in phrases
     )
-    return f"""WITH {_INDEX}, len AS (SELECT doc_id, count(*) AS len FROM tok GROUP BY doc_id), c AS (SELECT count(*) AS n, avg(len) AS avg FROM len), {parts}
+    return f"""WITH {index}, len AS (SELECT doc_id, count(*) AS len FROM tok GROUP BY doc_id), c AS (SELECT count(*) AS n, avg(len) AS avg FROM len), {parts}
     SELECT l.doc_id, round({score}, 6) AS score FROM len l CROSS JOIN c {joins} ORDER BY {score} DESC, l.doc_id LIMIT {limit}"""
 
 
@@ -292,6 +294,35 @@ for _name, _query, _parts in (
         return se.search(*_stored(spark, sf), _query).withColumn("score", F.round("score", 6))
 
 
+_EDITED = f"""corpus AS (SELECT doc_id, slug, title, CASE WHEN doc_id % 25 = 0 THEN '' WHEN doc_id % 10 = 3 THEN 'zebra attion the ' || body ELSE body END AS body
+  FROM ({_CORPUS}) AS first WHERE doc_id % 31 <> 0), {_TOKENS}"""
+
+
+def _live(spark, sf):
+    """An index kept up over four batches: all documents, some changed, some emptied, some removed; folded once."""
+    key = (spark.sparkContext.applicationId, sf, "live")
+    if key not in _WRITTEN:
+        _WRITTEN[key] = fresh_folder(spark, "live")
+        index, docs = li.LiveIndex(spark, _WRITTEN[key]), _corpus(spark, sf)
+        index.apply(0, docs)
+        index.apply(1, docs.where("doc_id % 10 = 3").withColumn("body", F.concat(F.lit("zebra attion the "), "body")))
+        index.apply(2, docs.where("doc_id % 25 = 0").withColumn("body", F.lit("")))
+        index.apply(3, docs.limit(0), docs.where("doc_id % 31 = 0"))
+        index.fold(4)
+    return li.LiveIndex(spark, _WRITTEN[key])
+
+
+for _name, _query, _parts in (
+    ("search_after_batches", "the attion", {"f0": _one("the"), "f1": _one("attion")}),
+    ("search_new_word", "zebra", {"f0": _one("zebra")}),
+    ("search_phrase_after_batches", "zebra-attion the", {"f0": _two("zebra", "attion"), "f1": _one("the")}),
+):
+
+    @check(_name, _bm25(_parts, 20, _EDITED))
+    def _(spark, sf, _query=_query):
+        return _live(spark, sf).search(_query).withColumn("score", F.round("score", 6))
+
+
 @check(
     "search_snippets",
     f"""WITH top AS ({_bm25({"f0": _one("the"), "f1": _one("attion")}, 20)}),
