@@ -283,13 +283,15 @@ class _View:
                 break
         enough = first[-1]["bound"] if first else 0.0
         self.count(F.lit(True), "blocks")
-        at_first = mine & (bound >= enough)
+        # Of blocks that tie with the last one only those chosen; the others are looked at again below.
+        tied = [r["first_doc"] for r in first if r["bound"] == enough]
+        at_first = mine & ((bound > enough) | ((bound == enough) & F.col("first_doc").isin(tied)))
         where = at_first | (~mine & self.spans(at_first))
         self.count(where, "read")
         top = cut_lineage(self.scored(self.entries(self.postings.where(where)), weights).orderBy(F.desc("score"), "doc_id").limit(limit))
         scores = [r["score"] for r in top.collect()]
         reach = min(scores) if len(scores) == limit else -1.0
-        rest = mine & (bound < enough) & (bound >= reach)
+        rest = mine & ~at_first & (bound >= reach)
         if self.heads.where(rest).isEmpty():
             return top.orderBy(F.desc("score"), "doc_id")
         where = rest | (~mine & self.spans(rest))
