@@ -81,37 +81,51 @@ def _(spark, sf):
 
 
 def _edited(pages):
-    """The same pages with noise that must not count, and English ones with a changed footer."""
+    """The same pages with noise that must not count, English ones with a changed footer, and French ones whose article
+    has its first and last paragraph exchanged."""
     quiet = F.replace(F.replace(F.col("html"), F.lit("<article>"), F.lit("<!-- x --><article>")), F.lit("<nav>"), F.lit('<nav class="open">'))
     loud = F.replace(quiet, F.lit("<footer>"), F.lit("<footer><hr>"))
-    return pages.select("page_id", F.when(F.col("html").contains('lang="en"'), loud).otherwise(quiet).alias("html"))
+    turned = F.regexp_replace(quiet, r"(?s)<article>(.*?)(<p>.*?</p>)(.*)(<p>.*?</p>)(.*?)</article>", "<article>$1$4$3$2$5</article>")
+    html = F.when(F.col("html").contains('lang="en"'), loud).when(F.col("html").contains('lang="fr"'), turned)
+    return pages.select("page_id", html.otherwise(quiet).alias("html"))
 
 
-_LOUD = "contains(html, 'lang=\"en\"')"
+_LOUD, _TURNED = "contains(html, 'lang=\"en\"')", "contains(html, 'lang=\"fr\"')"
+_SWAPPED = f"({_TURNED} AND regexp_replace(html, '(?s)<article>(.*?)(<p>.*?</p>)(.*)(<p>.*?</p>)(.*?)</article>', '<article>\\1\\4\\3\\2\\5</article>') <> html)"
 
 
 @check(
     "dom_compare",
-    f"""WITH {_DOM} SELECT page_id, CASE WHEN {_LOUD} THEN 2.0 * len(toks) / (2 * len(toks) + 1) ELSE CAST(1 AS DOUBLE) END AS similarity,
-    CAST(len(toks) + CASE WHEN {_LOUD} THEN 1 ELSE 0 END AS INTEGER) AS total_nodes, NOT {_LOUD} AS same_order,
-    CASE WHEN {_LOUD} THEN '<hr>' || len(list_filter(toks, lambda t: t = '<hr>')) || '/' || (len(list_filter(toks, lambda t: t = '<hr>')) + 1) ELSE '' END AS diffs FROM tk""",
+    f"""WITH {_DOM}, placed AS (SELECT *, list_position(toks, '<footer>') AS f FROM tk)
+    SELECT page_id, CASE WHEN {_SWAPPED} THEN NULL WHEN {_LOUD} THEN 2.0 * len(toks) / (2 * len(toks) + 1) ELSE CAST(1 AS DOUBLE) END AS similarity,
+    CAST(len(toks) + CASE WHEN {_LOUD} THEN 1 ELSE 0 END AS INTEGER) AS total_nodes,
+    CASE WHEN {_SWAPPED} THEN 'moved' WHEN {_LOUD} THEN 'insert ' || array_to_string(toks[f - 1:f], ' ') || ' + <hr> | ' || array_to_string(toks[f + 1:f + 2], ' ') ELSE '' END AS diffs FROM placed""",
 )
 def _(spark, sf):
-    pages = table(spark, sf, "pages")
-    out = cp.dom_compare(pages.select("page_id", "html"), _edited(pages))
-    shown = F.transform("diffs", lambda d: F.concat(d["token"], d["expected"].cast("string"), F.lit("/"), d["actual"].cast("string")))
-    return out.withColumn("diffs", F.array_join(shown, ","))
+    pages = table(spark, sf, "pages").select("page_id", "html")
+    out = cp.dom_compare(pages, _edited(pages)).join(pages, "page_id")
+    shown = F.transform("diffs", lambda d: F.concat(
+        d["op"], F.lit(" "), F.array_join(d["before"], " "), F.lit(" + "), F.array_join(F.concat(d["expected"], d["actual"]), " "), F.lit(" | "), F.array_join(d["after"], " ")))
+    moved = F.col("html").contains('lang="fr"') & (F.col("similarity") < 1)
+    return out.select(
+        "page_id", F.when(~moved, F.col("similarity")).alias("similarity"), "total_nodes", F.when(moved, "moved").otherwise(F.array_join(shown, ",")).alias("diffs"),
+    )
 
 
 @check(
     "roundtrip_gate",
-    f"""WITH {_DOM} SELECT page_id, CASE WHEN {_LOUD} THEN 2.0 * len(toks) / (2 * len(toks) + 1) ELSE CAST(1 AS DOUBLE) END AS similarity,
-    NOT {_LOUD} OR 2.0 * len(toks) / (2 * len(toks) + 1) >= 0.98 AS passed, CAST(CASE WHEN {_LOUD} THEN 1 ELSE 0 END AS INTEGER) AS diffs,
-    CAST(1.0 AS DOUBLE) AS article_similarity, CAST(0 AS INTEGER) AS article_diffs FROM tk""",
+    f"""WITH {_DOM} SELECT page_id, CASE WHEN {_SWAPPED} THEN NULL WHEN {_LOUD} THEN 2.0 * len(toks) / (2 * len(toks) + 1) ELSE CAST(1 AS DOUBLE) END AS similarity,
+    NOT {_SWAPPED} AND NOT {_LOUD} AS passed,
+    CAST(CASE WHEN {_SWAPPED} THEN NULL WHEN {_LOUD} THEN 1 ELSE 0 END AS INTEGER) AS diffs,
+    CASE WHEN NOT {_SWAPPED} THEN CAST(1.0 AS DOUBLE) END AS article_similarity FROM tk""",
 )
 def _(spark, sf):
-    pages = table(spark, sf, "pages")
-    return cp.roundtrip_gate(pages.select("page_id", "html"), _edited(pages), gate=0.98)
+    """A page whose paragraphs were exchanged fails, by its article as well."""
+    pages = table(spark, sf, "pages").select("page_id", "html")
+    out = cp.roundtrip_gate(pages, _edited(pages), gate=1.0).join(pages, "page_id")
+    moved = F.col("html").contains('lang="fr"') & (F.col("similarity") < 1) & (F.col("article_similarity") < F.col("similarity"))
+    kept = lambda c: F.when(~moved, F.col(c)).alias(c)
+    return out.select("page_id", kept("similarity"), "passed", kept("diffs"), kept("article_similarity"))
 
 
 @check("page_equivalence", """SELECT page_id, CASE WHEN contains(html, 'lang="en"') THEN 'NEVER_PUBLISHED' ELSE 'PUBLISHED' END AS status FROM pages""")
@@ -181,23 +195,42 @@ def _(spark, sf):
     return cp.triage(a, verdicts, ["doc_id", "pos"])
 
 
+_CUT = f"regexp_extract_all(text, '{tx.WORD}{tx.BLANK}*|{tx.BLANK}+')"
+_TWO = f"""{SQL_LINES}, cut AS (SELECT doc_id, pos, text AS a, {_CUT} AS w FROM lines),
+    two AS (SELECT doc_id, pos, a, w, len(w) AS n, CASE WHEN len(w) < 6 THEN w ELSE w[1:1] || ['zqx '] || w[3:4] || ['new '] || w[5:len(w) - 1] END AS v FROM cut)"""
+
+
+@check(
+    "word_diff_opcodes",
+    f"""WITH {_TWO} SELECT doc_id, pos, a AS back_a, array_to_string(v, '') AS back_b, CAST(CASE WHEN n < 6 THEN n ELSE n - 2 END AS INTEGER) AS kept,
+    CASE WHEN n < 6 THEN '' ELSE 'zqx new ' END AS new, CAST(CASE WHEN n < 6 THEN 0 ELSE 2 END AS INTEGER) AS gone FROM two""",
+)
+def _(spark, sf):
+    """A word replaced, one inserted and the last one dropped: all other words stay, whatever else the line holds."""
+    rows = lines(spark, sf).withColumn("w", F.regexp_extract_all("text", F.lit(rf"{tx.WORD}{tx.BLANK}*|{tx.BLANK}+"), F.lit(0)))
+    n = F.size("w")
+    other = F.concat(F.slice("w", 1, 1), F.array(F.lit("zqx ")), F.slice("w", 3, 2), F.array(F.lit("new ")), F.slice("w", F.lit(5), F.greatest(n - 5, F.lit(0))))
+    rows = rows.withColumn("b", F.array_join(F.when(n < 6, F.col("w")).otherwise(other), ""))
+    rows = rows.withColumn("s", cp.word_diff_segments(F.col("text"), F.col("b")))
+    words = lambda op, f: F.flatten(F.transform(F.filter("s", op), lambda x: F.regexp_extract_all(x[f], F.lit(rf"{tx.WORD}{tx.BLANK}*|{tx.BLANK}+"), F.lit(0))))
+    stays, goes = (lambda x: x["op"] == "equal"), (lambda x: x["op"] != "equal")
+    return rows.select(
+        "doc_id", "pos", F.array_join("s.a", "").alias("back_a"), F.array_join("s.b", "").alias("back_b"), F.size(words(stays, "a")).alias("kept"),
+        F.array_join(words(goes, "b"), "").alias("new"), F.size(words(goes, "a")).alias("gone"),
+    )
+
+
 @check(
     "word_diff_segments",
-    f"""WITH {_REV}, w AS (SELECT *, regexp_extract_all(a, '{tx.WORD}{tx.BLANK}*') AS wa, regexp_extract_all(b, '{tx.WORD}{tx.BLANK}*') AS wb FROM rev),
-    h AS (SELECT *, (SELECT count(*) FROM range(1, least(len(wa), len(wb)) + 1) r(i) WHERE wa[1:i] = wb[1:i]) AS head FROM w),
-    t AS (SELECT *, (SELECT count(*) FROM range(1, least(len(wa), len(wb)) - head + 1) r(i) WHERE wa[len(wa) - i + 1:] = wb[len(wb) - i + 1:]) AS tail FROM h),
-    m AS (SELECT *, array_to_string(wa[head + 1:len(wa) - tail], '') AS ma, array_to_string(wb[head + 1:len(wb) - tail], '') AS mb FROM t)
-    SELECT doc_id, pos, a AS back_a, b AS back_b, CASE WHEN a = b THEN '' WHEN ma = '' THEN 'insert' WHEN mb = '' THEN 'delete' ELSE 'replace' END AS op, ma AS old, mb AS new FROM m""",
+    f"""WITH {_REV}, w AS (SELECT *, regexp_extract_all(a, '{tx.WORD}{tx.BLANK}*') AS wa, regexp_extract_all(b, '{tx.WORD}{tx.BLANK}*') AS wb FROM rev)
+    SELECT doc_id, pos, a AS back_a, b AS back_b, CAST(CASE k WHEN 1 THEN len(list_filter(range(1, len(wa) + 1), lambda i: wa[i] = wb[i])) WHEN 2 THEN len(wa) - 1 WHEN 3 THEN len(wa) - 1 ELSE len(wa) END AS INTEGER) AS kept FROM w""",
 )
 def _(spark, sf):
-    """The change in the middle; the sides of all segments spell the two texts again."""
+    """The sides of all segments spell the two texts again, and as many words stay as any alignment can keep."""
     a, b = _revised(spark, sf)
     pairs = a.join(b.withColumnRenamed("text", "b"), ["doc_id", "pos"]).withColumn("s", cp.word_diff_segments(F.col("text"), F.col("b")))
-    changed = lambda f: F.array_join(F.transform(F.filter("s", lambda x: x["op"] != "equal"), lambda x: x[f]), "")
-    return pairs.select(
-        "doc_id", "pos", F.array_join("s.a", "").alias("back_a"), F.array_join("s.b", "").alias("back_b"), changed("op").alias("op"),
-        changed("a").alias("old"), changed("b").alias("new"),
-    )
+    words = F.aggregate(F.filter("s", lambda x: x["op"] == "equal"), F.lit(0), lambda n, x: n + F.regexp_count(x["a"], F.lit(tx.WORD)))
+    return pairs.select("doc_id", "pos", F.array_join("s.a", "").alias("back_a"), F.array_join("s.b", "").alias("back_b"), words.alias("kept"))
 
 
 @check("marker_multiset_equal", f"WITH {_REV} SELECT doc_id, pos, k <> 3 AS same FROM rev")
