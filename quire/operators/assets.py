@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
+from quire.operators import membership as mb
 from quire.operators.blocks import prop
 
 
@@ -87,13 +88,17 @@ def cache_key(content: Column, prompt: Column, model: Column) -> Column:
 def cache_lookup(figures: DataFrame, cache: DataFrame, force: bool = False) -> DataFrame:
     """Key per figure and whether its result is already stored (J-14).
 
-    ``figures``: content, prompt, model; ``cache``: key, result.
+    ``figures``: content, prompt, model; ``cache``: key, result. Figures that a filter of the cache's keys rules out are
+    pending without being shuffled.
     """
     keyed = figures.withColumn("key", cache_key(F.col("content"), F.col("prompt"), F.col("model"))).drop("content")
-    stored = cache.groupBy("key").agg(F.min("result").alias("result"))
-    out = keyed.join(stored, "key", "left")
+    pending = lambda d: d.withColumn("result", F.lit(None).cast(cache.schema["result"].dataType))
     if force:
-        out = out.withColumn("result", F.lit(None).cast("string"))
+        return pending(keyed).withColumn("state", F.lit("pending"))
+    may, new = mb.sifted(keyed, "key", cache, "key")
+    out = may.join(cache.groupBy("key").agg(F.min("result").alias("result")), "key", "left").select(*keyed.columns, "result")
+    if new is not None:
+        out = out.unionByName(pending(new))
     return out.withColumn("state", F.when(F.col("result").isNull(), "pending").otherwise("hit"))
 
 

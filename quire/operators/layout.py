@@ -273,31 +273,62 @@ def caption_lines(images: DataFrame, lines: DataFrame, captioned: DataFrame) ->
 # ---------------------------------------------------------------- tiles
 
 
-def _joined_boxes(box: np.ndarray) -> np.ndarray:
-    """Which boxes (x0, y0, x1, y1) meet: their bands agree by the overlap share of both, their edges are within the gap."""
-    meet = np.eye(len(box), dtype=bool)
+def _meet(box: np.ndarray, i: int, j: np.ndarray, band: int, edge: int) -> np.ndarray:
+    """Which boxes j (x0, y0, x1, y1) meet box i: their bands agree by the overlap share of both, their edges are within the gap."""
+    lo, hi, start, end = box[j, band], box[j, band + 2], box[j, edge], box[j, edge + 2]
+    shared = np.maximum(0, np.minimum(hi, box[i, band + 2]) - np.maximum(lo, box[i, band]))
+    longer = np.maximum(1e-6, np.maximum(hi - lo, box[i, band + 2] - box[i, band]))
+    gap = np.maximum(start, box[i, edge]) - np.minimum(end, box[i, edge + 2])
+    return (shared / longer >= TILE_OVERLAP) & (np.abs(gap) <= TILE_GAP)
+
+
+def _root(label: list[int], i: int) -> int:
+    while label[i] != i:
+        label[i] = label[label[i]]
+        i = label[i]
+    return i
+
+
+def _pictures(box: np.ndarray) -> np.ndarray:
+    """The least box that each box is connected with, by a sweep along each axis and union-find.
+
+    Boxes that meet have bands of lengths within ``1 / TILE_OVERLAP`` of each other that begin within one length, so a
+    box looks only into cells of its own and the two neighbouring powers of two. In a cell the boxes stand sorted by
+    their end, and only those that end near this one's start are compared (or, where a box is no longer than the gap,
+    those around it).
+    """
+    label = list(range(len(box)))
     for band, edge in ((0, 1), (1, 0)):
-        lo, hi, start, end = box[:, band], box[:, band + 2], box[:, edge], box[:, edge + 2]
-        shared = np.maximum(0, np.minimum.outer(hi, hi) - np.maximum.outer(lo, lo))
-        longer = np.maximum(1e-6, np.maximum.outer(hi - lo, hi - lo))
-        gap = np.maximum.outer(start, start) - np.minimum.outer(end, end)
-        meet |= (shared / longer >= TILE_OVERLAP) & (np.abs(gap) <= TILE_GAP)
-    return meet
+        long = box[:, band + 2] - box[:, band]
+        level = np.floor(np.log2(np.maximum(long, 1e-6))).astype(int)
+        cell = np.floor(box[:, band] / 2.0 ** (level + 1)).astype(int)
+        found: dict[tuple[int, int], list[int]] = {}
+        for i in np.argsort(box[:, edge + 2], kind="stable").tolist():
+            found.setdefault((int(level[i]), int(cell[i])), []).append(i)
+        cells = {k: (np.array(v), box[v, edge + 2]) for k, v in found.items()}
+        for i in range(len(box)):
+            start, thin = box[i, edge], box[i, edge + 2] - box[i, edge] <= TILE_GAP
+            for k in range(level[i] - 1, level[i] + 2):
+                reach = 2.0 ** (max(k, int(level[i])) + 1)
+                for c in range(int(np.floor((box[i, band] - reach) / 2.0 ** (k + 1))), int(np.floor((box[i, band] + reach) / 2.0 ** (k + 1))) + 1):
+                    if (k, c) not in cells:
+                        continue
+                    there, ends = cells[k, c]
+                    lo = np.searchsorted(ends, start - TILE_GAP - 1e-6)
+                    hi = len(ends) if thin else np.searchsorted(ends, start + TILE_GAP + 1e-6, "right")
+                    for j in there[lo:hi][_meet(box, i, there[lo:hi], band, edge)].tolist():
+                        a, b = _root(label, i), _root(label, j)
+                        label[max(a, b)] = min(a, b)
+    return np.array([_root(label, i) for i in range(len(box))], dtype=int)
 
 
 def _page_pictures(page: pd.DataFrame) -> dict:
     box = page[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float)
-    meet, label = _joined_boxes(box), np.arange(len(box))
-    while True:
-        lower = np.where(meet, label[None, :], len(box)).min(axis=1)
-        lower = lower[lower]
-        if (lower == label).all():
-            break
-        label = lower
+    label = _pictures(box)
     tile = page["tile"].to_numpy()
     rows = []
-    for k in np.unique(label):
-        mine = label == k
+    order = np.argsort(label, kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
         rows.append((sorted(tile[mine].tolist()), *box[mine][:, :2].min(axis=0), *box[mine][:, 2:].max(axis=0)))
     rows.sort(key=lambda r: (round(r[2], 1), r[1], r[0][0]))
     out = dict(zip(("tiles", "x0", "y0", "x1", "y1"), map(list, zip(*rows))))
@@ -307,7 +338,8 @@ def _page_pictures(page: pd.DataFrame) -> dict:
 def tile_components(images: DataFrame) -> DataFrame:
     """Connected tiles as one box with its tiles in document order, ranked by (y, x) per page (A-14).
 
-    A picture lies on one printed page, so one shuffle by page settles it; a task holds the boxes of a page.
+    A picture lies on one printed page, so one shuffle by page settles it; a task holds the boxes of a page and looks at
+    neighbours only.
     """
     schema = "doc_id long, page int, tiles array<int>, x0 double, y0 double, x1 double, y1 double, image int"
     return grouped_map(images.select("doc_id", "page", "tile", "x0", "y0", "x1", "y1"), ["doc_id", "page"], ["tile"], _page_pictures, schema)

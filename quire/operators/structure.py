@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,8 @@ from quire.operators.ordered import (
 from quire.session import cut_lineage
 
 LISTS = ("bulletListItem", "numberedListItem")
+#: Neighbouring stretches of a document that one task folds while chunks are packed.
+TREE = 64
 
 
 def _prop(name: str) -> Column:
@@ -100,52 +104,142 @@ def _first_break(tokens, heading, held, has_body, target):
     return np.minimum(np.minimum(over, first), n)
 
 
-def _segment_summary(target: int):
-    """Per segment: the chunk state after it, as a function of the state before it."""
+# The chunk state after a stretch of rows as a function of the tokens held before it, once for an open chunk without body
+# text and once for one with: steps (upto, held, body, opened, open). A step holds for tokens up to ``upto``; where
+# ``open`` is 1 the chunk goes on through the stretch and ``held`` is added to what it held, else it is the result.
+STEP = "array<struct<upto:int,held:int,body:int,opened:int,open:int>>"
+Step = tuple[int, int, int, int, int]
+
+
+def _segment_steps(tokens: np.ndarray, heading: np.ndarray, target: int) -> list[list[Step]]:
+    """The two functions of one segment, by pointers: a chunk opened at a row ends where the next one opens.
+
+    What a chunk opened at row j leads to at the end of the segment follows from the row that its pointer names; the
+    pointers are doubled (twice as far each time), so it takes as many rounds as the chunks' number has bits.
+    """
+    n, cap = len(tokens), target + 1
+    cum, nxt = np.concatenate([[0], np.cumsum(tokens)]), np.append(_breaks(tokens, heading, target), n)
+    last, opened = np.arange(n + 1), np.append(np.ones(n, int), 0)
+    jump = nxt.copy()
+    while True:
+        go = jump < n
+        if not go.any():
+            break
+        opened[go] += opened[jump[go]]
+        last[go] = last[jump[go]]
+        jump[go] = jump[jump[go]]
+    next_body = np.append(_at_or_after(~heading)[:-1], n)
+    total, body = np.minimum(cap, cum[n] - cum[last]), (next_body[last] < n).astype(int)
+    out = []
+    for has_body in (0, 1):
+        held = np.arange(cap + 1)
+        first = _first_break(tokens, heading, held, has_body, target)
+        ends = np.flatnonzero(np.append(np.diff(first) != 0, True))
+        whole = int(has_body or (~heading).any())
+        out.append([
+            (int(held[e]), int(cum[n]), whole, 0, 1) if first[e] >= n else (int(held[e]), int(total[first[e]]), int(body[first[e]]), int(opened[first[e]]), 0)
+            for e in ends
+        ])
+    return out
+
+
+def _apply(steps: list[list[Step]], held: int, body: int, cap: int) -> tuple[int, int, int]:
+    """(held, body, chunks opened) after a stretch that begins in a state."""
+    mine = steps[body]
+    upto, plus, after, opened, is_open = mine[bisect_left(mine, (held,))]
+    return min(cap, held + plus) if is_open else plus, after, opened
+
+
+def _after(first: list[list[Step]], second: list[list[Step]], cap: int) -> list[list[Step]]:
+    """The two functions of one stretch and then another."""
+    out = []
+    for body in (0, 1):
+        steps: list[Step] = []
+        low = 0
+        for upto, plus, after, opened, is_open in first[body]:
+            if not is_open:
+                held, next_body, more = _apply(second, plus, after, cap)
+                steps.append((upto, held, next_body, opened + more, 0))
+            else:
+                # The tokens go on growing here, so the steps of the second stretch show through, moved by ``plus``.
+                for upto2, plus2, after2, opened2, open2 in second[after]:
+                    end = upto if upto2 >= cap else min(upto, upto2 - plus)
+                    if end >= low and (not steps or end > steps[-1][0]):
+                        steps.append((end, plus + plus2 if open2 else plus2, after2, opened + opened2, open2))
+            low = upto + 1
+        merged: list[Step] = []
+        for step in steps:
+            if merged and merged[-1][1:] == step[1:]:
+                merged.pop()
+            merged.append(step)
+        out.append(merged)
+    return out
+
+
+def _steps_of(pdf: pd.DataFrame, k: int) -> list[list[Step]]:
+    return [[tuple(int(x[c]) for c in ("upto", "held", "body", "opened", "open")) for x in pdf[f"steps{b}"].iloc[k]] for b in (0, 1)]
+
 
+def _rows_of(steps: list[list[Step]]) -> list[list[dict]]:
+    return [[dict(zip(("upto", "held", "body", "opened", "open"), x)) for x in side] for side in steps]
+
+
+def _segment_summary(target: int):
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        tokens, heading = pdf["tokens"].to_numpy(), pdf["heading"].to_numpy(dtype=bool)
-        n, cap = len(tokens), target + 1
-        nxt = _breaks(tokens, heading, target)
-        cum = np.concatenate([[0], np.cumsum(tokens)])
-        next_body = _at_or_after(~heading)
-        total, body, opened = np.zeros(n, int), np.zeros(n, int), np.zeros(n, int)
-        for j in range(n - 1, -1, -1):
-            k = nxt[j]
-            if k < n:
-                total[j], body[j], opened[j] = total[k], body[k], opened[k] + 1
-            else:
-                total[j], body[j], opened[j] = min(cap, cum[n] - cum[j]), int(next_body[j] < n), 1
-        outs, held = [], np.arange(cap + 1)
-        for has_body in (0, 1):
-            j = _first_break(tokens, heading, held, has_body, target)
-            inside, at = j < n, np.minimum(j, n - 1)
-            ended = (np.minimum(cap, held + cum[n]), np.full(cap + 1, int(has_body or (~heading).any())), np.zeros(cap + 1, int))
-            outs.append(np.stack([np.where(inside, x[at], e) for x, e in zip((total, body, opened), ended)], axis=1).ravel())
-        outs = np.concatenate(outs).astype(int).tolist()
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "seg": [pdf["seg"].iloc[0]], "moves": [outs]})
+        zero, one = _rows_of(_segment_steps(pdf["tokens"].to_numpy(), pdf["heading"].to_numpy(dtype=bool), target))
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "seg": [pdf["seg"].iloc[0]], "steps0": [zero], "steps1": [one]})
 
     return summarise
 
 
-def _compose(target: int):
-    """Stream the segment summaries of each document in order and note the state each segment starts in."""
+def _fold_steps(target: int):
+    """Neighbouring stretches, at most ``TREE`` of them, as one."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seg")
+        steps = _steps_of(pdf, 0)
+        for k in range(1, len(pdf)):
+            steps = _after(steps, _steps_of(pdf, k), target + 1)
+        zero, one = _rows_of(steps)
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "seg": [pdf["parent"].iloc[0]], "steps0": [zero], "steps1": [one]})
+
+    return fold
 
-    def walk(batches):
-        now, held, body, opened = None, 0, 0, 0
-        for pdf in batches:
-            rows = []
-            for doc, seg, moves in pdf[["doc_id", "seg", "moves"]].itertuples(index=False):
-                if doc != now:
-                    now, held, body, opened = doc, target + 1, 0, 0
-                rows.append((doc, seg, held, body, opened))
-                at = 3 * (body * (target + 2) + held)
-                held, body, more = int(moves[at]), int(moves[at + 1]), int(moves[at + 2])
-                opened += more
-            yield pd.DataFrame(rows, columns=["doc_id", "seg", "held", "body", "opened"])
 
-    return walk
+def _enter_steps(target: int):
+    """The state before each of at most ``TREE`` neighbours, from the one before the first."""
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seg")
+        held, body, opened = (int(pdf[c].iloc[0]) for c in ("held", "body", "opened"))
+        rows = []
+        for k in range(len(pdf)):
+            rows.append((pdf["doc_id"].iloc[k], pdf["seg"].iloc[k], held, body, opened))
+            held, body, more = _apply(_steps_of(pdf, k), held, body, target + 1)
+            opened += more
+        return pd.DataFrame(rows, columns=["doc_id", "seg", "held", "body", "opened"])
+
+    return enter
+
+
+def _states(summaries: DataFrame, target: int) -> DataFrame:
+    """doc_id, seg, held, body, opened before each segment: the functions are folded up a tree and the states go down it."""
+    schema = f"doc_id long, seg long, steps0 {STEP}, steps1 {STEP}"
+    levels = [cut_lineage(summaries)]
+    while not levels[-1].groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > TREE).isEmpty():
+        up = levels[-1].withColumn("parent", F.expr(f"seg div {TREE}"))
+        levels.append(cut_lineage(up.groupBy("doc_id", "parent").applyInPandas(_fold_steps(target), schema)))
+    state = levels[-1].select("doc_id").distinct().select("doc_id", F.lit(target + 1).alias("held"), F.lit(0).alias("body"), F.lit(0).alias("opened"))
+    out = "doc_id long, seg long, held int, body int, opened int"
+    for depth, level in enumerate(reversed(levels)):
+        if depth == 0:
+            entered = level.join(state, "doc_id").groupBy("doc_id")
+        else:
+            parents = state.withColumnRenamed("seg", "parent")
+            entered = level.withColumn("parent", F.expr(f"seg div {TREE}")).join(parents, ["doc_id", "parent"]).groupBy("doc_id", "parent")
+        state = cut_lineage(entered.applyInPandas(_enter_steps(target), out))
+    return state
 
 
 def _assign(target: int):
@@ -167,10 +261,10 @@ def _assign(target: int):
 def pack_chunks(rows: DataFrame, target: int = 3500, seg: int = SEG) -> DataFrame:
     """Greedy chunk number per polishable row: doc_id, pos, chunk (W-03).
 
-    The greedy fold depends on a document only through the tokens the open
-    chunk holds and whether it has body text. Each segment is reduced to a
-    table of that state, the tables are composed per document, and the
-    segments are then numbered in parallel; only token counts are shuffled.
+    The greedy fold depends on a document only through the tokens the open chunk holds and whether it has body text.
+    Each segment is reduced to the few steps in which the state after it depends on the state before it, the steps of
+    ``TREE`` neighbours are folded into one, and so on up; then the states go down and the segments are numbered in
+    parallel. Only token counts and steps are shuffled, and no task sees more than ``TREE`` segments of a document.
     """
     narrow = cut_lineage(rows.select(
         "doc_id", "pos", segment("pos", seg).alias("seg"), F.col("kind").isin("h1", "h2", "h3").alias("heading"),
@@ -179,10 +273,9 @@ def pack_chunks(rows: DataFrame, target: int = 3500, seg: int = SEG) -> DataFram
     segs = narrow.groupBy("doc_id").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi"))
     long = segs.where(F.col("lo") < F.col("hi")).select("doc_id")
     summaries = narrow.join(long, "doc_id", "left_semi").groupBy("doc_id", "seg").applyInPandas(
-        _segment_summary(target), "doc_id long, seg long, moves array<int>"
+        _segment_summary(target), f"doc_id long, seg long, steps0 {STEP}, steps1 {STEP}"
     )
-    in_order = summaries.repartition("doc_id").sortWithinPartitions("doc_id", "seg")
-    states = in_order.mapInPandas(_compose(target), "doc_id long, seg long, held int, body int, opened int")
+    states = _states(summaries, target)
     started = narrow.join(states, ["doc_id", "seg"], "left").na.fill({"held": target + 1, "body": 0, "opened": 0})
     return grouped_map(started, ["doc_id", "seg"], ["pos"], _assign(target), "doc_id long, pos int, chunk int")
 

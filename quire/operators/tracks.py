@@ -50,14 +50,33 @@ LINE_KEYS = ("interpersonal_stated", "interpersonal_inference", "inconsistencies
 SLICE = 4096
 
 
-def reply_json(raw: Column) -> Column:
-    """JSON object text of a reply, without fences or prose around it; null when there is none (F-24)."""
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _reply(raw: Column, whole, inner) -> Column:
+    """``whole`` of a reply that is an object, else ``inner`` of the object inside its prose; both take (text, variant)."""
     t = tx.strip(F.regexp_replace(tx.strip(raw), r"\A```(?:json)?", ""))
     t = tx.strip(F.regexp_replace(t, r"```\z", ""))
-    inner = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    is_object = lambda c: F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT")
-    whole = F.try_parse_json(t)
-    return F.when(whole.isNotNull(), F.when(is_object(t), t)).otherwise(F.when(is_object(inner), inner))
+
+    def settle(text):
+        # What parses and begins with a brace is an object, so no schema is derived.
+        cut = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+        found = _bound(cut, lambda c: _bound(F.try_parse_json(c), lambda v: F.when(v.isNotNull(), inner(c, v))))
+        return _bound(F.try_parse_json(text), lambda v: F.when(v.isNotNull(), F.when(text.startswith("{"), whole(text, v))).otherwise(found))
+
+    return _bound(t, settle)
+
+
+def reply_json(raw: Column) -> Column:
+    """JSON object text of a reply, without fences or prose around it; null when there is none (F-24)."""
+    return _reply(raw, lambda t, v: t, lambda t, v: t)
+
+
+def reply_object(raw: Column) -> Column:
+    """The object of a reply as a variant, parsed once."""
+    return _reply(raw, lambda t, v: v, lambda t, v: v)
 
 
 def _list(v: Column, key: str) -> Column:
@@ -80,17 +99,18 @@ def replies_to_tracks(replies: DataFrame) -> dict[str, DataFrame]:
     A reply without an object or without a digest is a failure row and gives
     nothing else.
     """
-    parsed = replies.withColumn("__v", F.try_parse_json(reply_json(F.col("raw"))))
+    parsed = replies.withColumn("__v", reply_object(F.col("raw")))
     digest = F.try_variant_get("__v", "$.digest_md", "string")
     has = F.coalesce(F.schema_of_variant(F.variant_get("__v", "$.digest_md", "variant")) == "STRING", F.lit(False)) & (tx.strip(digest) != "")
     ok = parsed.where(has)
     error = F.when(F.col("__v").isNull(), "no JSON object in the reply").otherwise("digest_md is missing")
     key = ["doc_id", "source_name", "chapter_idx"]
-    rows = None
-    for track in TRACK_KEYS:
-        one = ok.select(*key, F.posexplode(track_rows(F.col("__v"), track)).alias("row_idx", "data"))
-        one = one.where(F.col("data").isNotNull()).withColumn("track_type", F.lit(track))
-        rows = one if rows is None else rows.unionByName(one)
+    # Rows of all tracks come from one reading of the reply.
+    def listed(track):
+        return F.transform(track_rows(F.col("__v"), track), lambda d, i: F.struct(F.lit(track).alias("track_type"), i.alias("row_idx"), d.alias("data")))
+
+    rows = ok.select(*key, F.inline(F.concat(*map(listed, TRACK_KEYS)))).where(F.col("data").isNotNull())
+    rows = rows.select(*key, "row_idx", "data", "track_type")
     strings = lambda k: F.transform(
         _list(F.col("__v"), k), lambda e: F.struct(F.lit(k).alias("kind"), F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string")).alias("text"))
     )
@@ -157,7 +177,7 @@ def consolidate(docs: DataFrame, replies: DataFrame, lines: DataFrame, anchors:
 
     ``replies``: doc_id, raw; ``lines``: deduplicated (doc_id, kind, seq, text).
     """
-    v = F.try_parse_json(reply_json(F.col("raw")))
+    v = reply_object(F.col("raw"))
     trimmed = lambda key: F.filter(
         F.transform(_list(F.col("__v"), key), lambda e: F.when(F.schema_of_variant(e) == "STRING", tx.strip(F.try_variant_get(e, "$", "string")))),
         lambda s: s.isNotNull() & (s != ""),
