@@ -309,6 +309,40 @@ def _(spark, sf):
     return inc.progress(out)
 
 
+def _replayed(spark, sf, name):
+    """A table as a stream in which every row comes twice, in no order."""
+    folder = _fresh(spark, f"twice-{name}")
+    rows = table(spark, sf, name)
+    rows.unionByName(rows).repartition(3).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+#: Longer than the log, so that no row of the shuffled stream is too late.
+AGES = 86_400 * 3650
+
+
+@check("stream_latest_keyed", f"WITH {SQL_LOG} SELECT doc_id, change_id, summary, k AS blocks_changed FROM lt")
+def _(spark, sf):
+    out = inc.BatchTable(spark, _fresh(spark, "keyed"))
+    log = change_log(_replayed(spark, sf, "events"))
+    log = log.withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "resolved_at")})
+    inc.stream_latest_keyed(log, "polish", out, _fresh(spark, "cp"), AGES)
+    return inc.current(out).select("doc_id", "change_id", "summary", "blocks_changed")
+
+
+@check(
+    "stream_progress_keyed",
+    "SELECT user_id AS job, count(*) AS total, count(*) FILTER (event_type <> 'view') AS done, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY ALL",
+)
+def _(spark, sf):
+    events = _replayed(spark, sf, "events")
+    state = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "error", "failed").otherwise("ok")
+    results = events.select(F.col("user_id").alias("job"), F.col("event_id").alias("item"), state.alias("state"), F.col("ts").cast("timestamp").alias("at"))
+    out = inc.BatchTable(spark, _fresh(spark, "keyed"))
+    inc.stream_progress_keyed(results, out, _fresh(spark, "cp"), AGES)
+    return inc.current(out, key="job")
+
+
 @check("stream_reindex", f"WITH {_INDEX} SELECT term, doc_id, field, count(*) AS tf FROM tok GROUP BY ALL")
 def _(spark, sf):
     docs = _stream(spark, sf, "documents").select(

@@ -7,11 +7,14 @@ the rows of the newest batch that touched it; nothing older is rewritten.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quire.operators import library as lb
 from quire.operators import search as se
@@ -107,3 +110,72 @@ def stream_progress(results: DataFrame, table: BatchTable, checkpoint: str) -> S
 
 def progress(table: BatchTable) -> DataFrame:
     return table.read().groupBy("job").agg(*[F.sum(c).alias(c) for c in ("total", "done", "failed")])
+
+
+# The same two results with state that Spark keeps by key: repeated rows are dropped by their id within the watermark, and
+# a batch writes only the keys it changed. Read both with ``current``.
+
+
+def run_updates(stream: DataFrame, table: BatchTable, checkpoint: str) -> StreamingQuery:
+    """Every micro-batch of a stateful stream as a partition of ``table``: the keys that it changed."""
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        table.write(batch_id, batch)
+
+    query = stream.writeStream.outputMode("update").foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def _newest(seconds: int):
+    """The newest change of a key so far; the state is its id, given up ``seconds`` after the last change was due."""
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, row, last = (state.get[0] if state.exists else None), None, 0
+        for pdf in frames:
+            last = max(last, int(pdf["at_ms"].max()))
+            k = pdf["change_id"].idxmax()
+            if best is None or pdf["change_id"][k] > best:
+                best, row = int(pdf["change_id"][k]), pdf.loc[[k]]
+        if row is not None:
+            state.update((best,))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1000 * seconds)
+        if row is not None:
+            yield pd.DataFrame({"doc_id": [key[0]], "change_id": [best], "row": [row["row"].iloc[0]]})
+
+    return step
+
+
+def _packed(schema: T.StructType):
+    """(a row as one string, how to read it): times go as microseconds, so that nothing is rounded."""
+    wire = T.StructType([T.StructField(f.name, T.LongType() if isinstance(f.dataType, T.TimestampType) else f.dataType) for f in schema])
+    time = lambda f: isinstance(f.dataType, T.TimestampType)
+    out = F.to_json(F.struct(*[(F.unix_micros(f.name) if time(f) else F.col(f.name)).alias(f.name) for f in schema]), {"ignoreNullFields": "false"})
+    back = [(F.timestamp_micros(F.col(f"r.{f.name}")) if time(f) else F.col(f"r.{f.name}")).alias(f.name) for f in schema]
+    return out, wire, back
+
+
+def stream_latest_keyed(log: DataFrame, prefix: str, table: BatchTable, checkpoint: str, seconds: int = 86_400) -> StreamingQuery:
+    """The newest matching edit per document, kept as state by document (R-01).
+
+    A change that comes again, or later than ``seconds`` behind the newest one seen, changes nothing. The state of a
+    document is one id, removed ``seconds`` after its last change; the result stays in ``table``. Change ids rise in time.
+    """
+    hits = log.where((F.col("kind") == "edit") & F.col("summary").startswith(prefix))
+    own = T.StructType([f for f in log.schema if f.name not in ("doc_id", "change_id")])
+    out, wire, back = _packed(own)
+    once = hits.withWatermark("created_at", f"{seconds} seconds").dropDuplicatesWithinWatermark(["change_id"])
+    rows = once.select("doc_id", "change_id", F.unix_millis("created_at").alias("at_ms"), "created_at", out.alias("row"))
+    newest = rows.groupBy("doc_id").applyInPandasWithState(
+        _newest(seconds), "doc_id long, change_id long, row string", "change_id long", "update", GroupStateTimeout.EventTimeTimeout
+    )
+    return run_updates(newest.select("doc_id", "change_id", F.from_json("row", wire).alias("r")).select("doc_id", "change_id", *back), table, checkpoint)
+
+
+def stream_progress_keyed(results: DataFrame, table: BatchTable, checkpoint: str, seconds: int = 86_400) -> StreamingQuery:
+    """done / total / failed per job, kept as state by job (R-04). ``results``: job, item, state, at; an item counts once."""
+    once = results.withWatermark("at", f"{seconds} seconds").dropDuplicatesWithinWatermark(["job", "item"])
+    return run_updates(lb.job_summary(once), table, checkpoint)
