@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, score (0 to 1, from the text alone): one row per row of ``docs``.
 
     Null texts score as empty ones; equal texts score alike; without a model every score is 0.5; an empty table gives an
-    empty result. Only doc_id and text are read.
+    empty result. A text is worked on whole, in about 50 bytes for each of its own. Only doc_id and text are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", text_or_empty("text").alias("text"))
@@ -191,7 +191,10 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def good_rows(docs: DataFrame, model: dict | None, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``least`` or more, all columns kept."""
+    """The rows of ``docs`` whose text scores ``least`` or more, all columns kept.
+
+    Null texts are judged as empty ones, repeated rows and rows without id by their texts; without a model all stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = F.pandas_udf(lambda text: _keep(text, shared, least), "boolean")
     return docs.filter(keep(text_or_empty("text")))

@@ -10,7 +10,7 @@ import pytest
 from helpers import EXTRA, EXTRA_ROW, corpus, frame, near_classes, tokens
 
 import corpus_pipeline
-from quire.llm import language_kernel, quality_pu, secret_links
+from quire.llm import language_kernel, quality_pu, secret_links, source_mix
 from quire.llm.common import fold
 from quire.llm.queries import QUERIES
 
@@ -211,12 +211,41 @@ def test_pipeline_against_steps_by_hand(spark):
 
 
 def test_pipeline_of_odd_rows(spark):
+    """Nulls, empty and blank texts, repeats, a text of 30,000 words and clashing columns, stage by stage."""
     sf = "/root/testdata/sf0.001"
-    docs = frame(spark, corpus(30))
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf)
-        assert docs.count() >= 0
-    empty = frame(spark, corpus(30)).filter("false")
-    for _, stage in corpus_pipeline.STAGES:
+    start = frame(spark, corpus(30))
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "") for r in rows)
+
+    model = quality_pu.from_labels(start, table(spark, "labels", sf))
+    good = stages["quality classifier"](spark, start, sf)
+    scores = {r.doc_id: r.score for r in quality_pu.score(start.filter("doc_id is not null"), model).collect()}
+    assert key(good.collect()) == key(r for r in start.collect() if (r.doc_id is None and model is None) or scores.get(r.doc_id, 1) >= quality_pu.LEAST)
+
+    unique = stages["exact dedup"](spark, start, sf)
+    first = {}
+    for r in start.collect():
+        norm = re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")
+        first[norm] = min(first.get(norm, 1 << 60), 1 << 60 if r.doc_id is None else r.doc_id)
+    left = unique.collect()
+    assert sorted(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in left) == sorted(first)
+    assert {r.doc_id for r in left} == set(first.values()) and unique.columns == start.columns
+
+    near = stages["n-gram Jaccard join"](spark, unique, sf)
+    rows = sorted((r.doc_id, r.text) for r in left)
+    assert {r.doc_id for r in near.collect()} == {i for (i, _), c in zip(rows, near_classes(rows)) if c == i}
+
+    clean = stages["benchmark decontamination"](spark, near, sf)
+    assert key(clean.collect()) == key(near.collect()) and clean.columns == start.columns  # none of these words is in the benchmark
+
+    mixed = stages["mixing sources"](spark, clean, sf)
+    plan = {r.doc_id: r.taken for r in source_mix.mix(clean).collect()}
+    took = {}
+    for r in mixed.collect():
+        took[r.doc_id] = took.get(r.doc_id, 0) + r.taken_words
+    assert took == {i: n for i, n in plan.items() if n} and sum(took.values()) > 0
+
+    empty = start.filter("false")
+    for stage in stages.values():
         empty = stage(spark, empty, sf)
         assert empty.count() == 0
