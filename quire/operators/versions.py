@@ -100,7 +100,11 @@ def publish_all(dirty: DataFrame, render: DataFrame, folder: str, spark, now: Co
     pages = render.join(dirty.select("doc_id", "target_id").distinct(), "doc_id")
     pages.write.mode("overwrite").partitionBy("target_id").parquet(own)
     schema = f"{pages.drop('target_id').schema.simpleString()[7:-1]}, target_id: bigint".replace(":", " ")
-    found = spark.read.schema(schema).parquet(own).select("doc_id", "target_id", F.lit(True).alias("__ok")).distinct()
+    return publish_state(dirty, spark.read.schema(schema).parquet(own).select("doc_id", "target_id").distinct(), now)
+
+
+def publish_state(dirty: DataFrame, found: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """State and log rows for the (doc_id, target_id) found written, and for the home pages refreshed with them (V-07)."""
     done = cut_lineage(dirty.join(found, ["doc_id", "target_id"], "left_semi"))
     other = done.where((F.col("target_kind") != "drive") & (F.col("kind") != "homepage")).select("target_id").distinct()
     home = dirty.where(F.col("kind") == "homepage").join(other, "target_id", "left_semi").join(done, ["doc_id", "target_id"], "left_anti")

@@ -15,6 +15,7 @@ from quire.plans.registry import check
 from quire.session import cut_lineage
 from quire.session import fresh_folder as _fresh
 from quire.sources import files as fl
+from quire.sources import page_sink as ps
 from quire.sources import sinks as sk
 from quire.sources.tables import read_change_log
 from quire.streaming import incremental as inc
@@ -231,6 +232,34 @@ def _(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+@check(
+    "publish_committed",
+    f"""WITH {_MATRIX}, d AS (SELECT m.doc_id, m.target_id, l.kind, t.target_kind, l.content_hash, l.o_orderstatus AS s, r.run FROM mx m JOIN lib l ON l.doc_id = m.doc_id JOIN tgt t ON t.target_id = m.target_id,
+      (VALUES (1), (2)) r(run) WHERE m.dirty AND (r.run = 2 OR m.doc_id % 2 = 0)),
+    w AS (SELECT * FROM d WHERE s <> 'P' AND doc_id % 2 = CASE run WHEN 1 THEN 0 ELSE 1 END),
+    h AS (SELECT * FROM d WHERE kind = 'homepage' AND (run, target_id) IN (SELECT (run, target_id) FROM w WHERE kind <> 'homepage' AND target_kind <> 'drive')
+      AND (run, doc_id, target_id) NOT IN (SELECT (run, doc_id, target_id) FROM w))
+    SELECT 'marked' AS what, CAST(run AS BIGINT) AS run, doc_id, target_id, content_hash AS value FROM (SELECT * FROM w UNION ALL SELECT * FROM h)
+    UNION ALL SELECT 'log', CAST(run AS BIGINT), doc_id, target_id, 'published' FROM w UNION ALL SELECT 'log', CAST(run AS BIGINT), doc_id, target_id, 'refreshed with its target' FROM h
+    UNION ALL SELECT 'page', CAST(run AS BIGINT), doc_id, target_id, '<p>' || run || '</p>' FROM w""",
+)
+def _(spark, sf):
+    """Two runs: even documents, then all of them, of which only the odd ones render; status P never renders; pages count once committed."""
+    docs, folder = library(spark, sf), _fresh(spark, "site")
+    dirty_rows = dirty(spark, sf).where("dirty").select("doc_id", "target_id").join(docs.select("doc_id", "kind", "content_hash"), "doc_id")
+    rows = dirty_rows.join(targets(spark, sf).select("target_id", "target_kind"), "target_id")
+    even = F.col("doc_id") % 2 == 0
+    out = []
+    for run, asked, fine in ((1, even, even), (2, F.lit(True), ~even)):
+        render = docs.where((F.col("o_orderstatus") != "P") & fine).select("doc_id", F.lit(f"<p>{run}</p>").alias("html"))
+        made = ps.publish_run(rows.where(asked), render, folder, spark, F.lit("2024-01-01").cast("timestamp"), run)
+        one = lambda what, df, value, run=run: df.select(F.lit(what).alias("what"), F.lit(run).cast("long").alias("run"), "doc_id", "target_id", F.col(value).alias("value"))
+        out += [one("marked", made["marked"], "content_hash"), one("log", made["log"], "summary")]
+    pages = ps.committed_pages(spark, folder)
+    out.append(pages.select(F.lit("page").alias("what"), "run", "doc_id", "target_id", F.col("html").alias("value")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 # ---------------------------------------------------------------- file sources
 
 
