@@ -270,7 +270,7 @@ def _(spark, sf):
     SELECT CASE WHEN doc_id % 2 = 0 THEN 'stem-' || doc_id ELSE 'm' || doc_id END AS stem, h AS source_sha256, CAST(pos AS VARCHAR) AS n, CASE WHEN pos % 2 = 0 THEN 'cap' ELSE '' END AS caption, pos % 3 <> 0 AS included FROM l""",
 )
 def _(spark, sf):
-    """Manifests built as JSON text, one per document, then parsed with the manifest schema."""
+    """A manifest file per document, written and read back; even documents name their stem inside."""
     rows = lines(spark, sf)
     fig = F.struct(
         F.col("pos").cast("string").alias("n"), F.when(F.length("text") % 4 != 0, F.sha2("text", 256)).otherwise("").alias("source_sha256"),
@@ -278,9 +278,20 @@ def _(spark, sf):
     )
     one = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", fig.alias("f"))))["f"].alias("figures"))
     stem = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("stem-"), "doc_id"))
-    text = F.to_json(F.struct(stem.alias("stem"), "figures"))
-    parsed = one.select(F.from_json(text, fl.MANIFEST).alias("m"), F.concat(F.lit("/x/m"), "doc_id", F.lit(".json")).alias("path")).select("m.*", "path")
-    return fl.manifest_figures(parsed).select("stem", "source_sha256", "n", "caption", "included")
+    folder = _fresh(spark, "manifests")
+    files = one.select(F.concat(F.lit("m"), "doc_id", F.lit(".json")).alias("name"), F.to_json(F.struct(stem.alias("stem"), "figures")).alias("content"))
+    fl.write_files(files, folder).write.format("noop").mode("overwrite").save()
+    return fl.read_manifests(spark, folder).select("stem", "source_sha256", "n", "caption", "included")
+
+
+@check("binary_assets", "SELECT sha256(html) AS sha256, 'text/html' AS mime, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes FROM pages GROUP BY html")
+def _(spark, sf):
+    """Every page as a file, and a text file beside it that the name leaves unopened; files are told apart by their bytes."""
+    pages, folder = table(spark, sf, "pages"), _fresh(spark, "assets")
+    name = F.format_string("%d", "page_id")
+    rows = pages.select(F.concat(name, F.lit(".html")).alias("name"), F.col("html").alias("content")).unionByName(pages.select(F.concat(name, F.lit(".txt")).alias("name"), F.lit("x").alias("content")))
+    fl.write_files(rows, folder).write.format("noop").mode("overwrite").save()
+    return fl.read_binary_assets(spark, folder, "originals", "*.html").select("sha256", "mime", "size_bytes")
 
 
 @check(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,20 @@ MIME = {
 }
 
 
-def read_manifests(spark: SparkSession, glob: str) -> DataFrame:
-    """One row per figure of every JSON manifest, with defaults (S-05)."""
-    rows = spark.read.schema(MANIFEST).option("multiLine", "true").json(glob).withColumn("path", F.input_file_name())
-    return manifest_figures(rows)
+def _named(reader, names: str | None):
+    """The names asked for go into the listing, so files of other names are neither planned nor opened."""
+    return reader if names is None else reader.option("pathGlobFilter", names)
+
+
+def file_rows(spark: SparkSession, folder: str, names: str | None = None) -> DataFrame:
+    """path, length, modificationTime of every file; contents are not read (S-06, S-08)."""
+    return _named(spark.read.format("binaryFile"), names).load(folder).select("path", "length", "modificationTime")
+
+
+def read_manifests(spark: SparkSession, glob: str, stems: str | None = None) -> DataFrame:
+    """One row per figure of every JSON manifest, with defaults (S-05); ``stems`` is a glob on the file's stem."""
+    reader = _named(spark.read.schema(MANIFEST).option("multiLine", "true"), None if stems is None else f"{stems}.json")
+    return manifest_figures(reader.json(glob).withColumn("path", F.input_file_name()))
 
 
 def manifest_figures(manifests: DataFrame) -> DataFrame:
@@ -45,10 +58,14 @@ def mime_of(ext: Column) -> Column:
     return F.coalesce(F.try_element_at(known, ext), F.lit("application/octet-stream"))
 
 
-def read_binary_assets(spark: SparkSession, glob: str, kind: str) -> DataFrame:
-    """Files as content-addressed rows; equal bytes are one row, the first file wins (S-06)."""
-    files = spark.read.format("binaryFile").load(glob)
-    return asset_rows(files, kind)
+def read_binary_assets(spark: SparkSession, glob: str, kind: str, names: str | None = None, largest: int | None = None) -> DataFrame:
+    """Files as content-addressed rows; equal bytes are one row, the first file wins (S-06).
+
+    ``names`` is a glob on the file's name. Files above ``largest`` bytes are left to their listing (``file_rows``): the
+    size is compared before a file is opened, and Spark packs files into tasks by size, the largest ones alone.
+    """
+    files = _named(spark.read.format("binaryFile"), names).load(glob)
+    return asset_rows(files if largest is None else files.where(F.col("length") <= largest), kind)
 
 
 def asset_rows(files: DataFrame, kind: str) -> DataFrame:
@@ -63,6 +80,33 @@ def asset_rows(files: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes a file per row (name, content) and gives name and bytes of each; tasks write their own rows.
+
+    The folder is one that the executors share and that pyarrow can open. A task that runs again writes the same files.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = open_folder(folder)
+        system.create_dir(path, recursive=True)
+        for batch in batches:
+            names, contents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for name, content in zip(names, contents):
+                with system.open_output_stream(f"{path}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c in contents], pa.int64())], names=["name", "size"])
+
+    return rows.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(write, "name string, size long")
+
+
+def open_folder(folder: str):
+    """(file system, path) of a folder, from a task or the driver."""
+    from pyarrow import fs
+
+    plain = folder.removeprefix("file:")
+    return fs.FileSystem.from_uri("/" + plain.lstrip("/") if plain != folder or "://" not in folder else folder)
+
+
 def discover(paths: DataFrame) -> DataFrame:
     """Page stems: *.html files whose name does not start with 'index' (S-08)."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)

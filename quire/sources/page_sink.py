@@ -22,18 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from quire.operators.versions import publish_state
+from quire.sources.files import open_folder
 
 KEYS = ("doc_id", "target_id")
 
 
-def _open(folder: str):
-    """(file system, path) of a folder."""
-    from pyarrow import fs
-
-    plain = folder.removeprefix("file:")
-    return fs.FileSystem.from_uri("/" + plain.lstrip("/") if plain != folder or "://" not in folder else folder)
-
-
 @dataclass
 class Wrote(WriterCommitMessage):
     """The files of one task and the rows in them."""
@@ -47,7 +40,7 @@ class PageWriter(DataSourceArrowWriter):
         self.folder, self.run = folder, run
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Wrote:
-        system, path = _open(f"{self.folder}/files/run={self.run}")
+        system, path = open_folder(f"{self.folder}/files/run={self.run}")
         system.create_dir(path, recursive=True)
         name, rows, pages, keys = uuid.uuid4().hex, 0, None, None
         try:
@@ -66,7 +59,7 @@ class PageWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Wrote | None]) -> None:
         """One line a task; the move is what publishes."""
-        system, path = _open(f"{self.folder}/manifests")
+        system, path = open_folder(f"{self.folder}/manifests")
         system.create_dir(path, recursive=True)
         lines = [json.dumps({"run": self.run, "file": m.name, "rows": m.rows}) for m in messages if m and m.rows]
         with system.open_output_stream(f"{path}/.run-{self.run}") as out:
@@ -74,7 +67,7 @@ class PageWriter(DataSourceArrowWriter):
         system.move(f"{path}/.run-{self.run}", f"{path}/run-{self.run}.json")
 
     def abort(self, messages: list[Wrote | None]) -> None:
-        system, path = _open(f"{self.folder}/files/run={self.run}")
+        system, path = open_folder(f"{self.folder}/files/run={self.run}")
         for m in messages:
             if m and m.name:
                 for kind in ("pages", "keys"):
@@ -92,7 +85,7 @@ class PageSink(DataSource):
 
 def committed(spark: SparkSession, folder: str, kind: str, schema: str, run: int | None = None) -> DataFrame:
     """run and the rows of all committed files of a ``kind`` (pages or keys), of one run if asked."""
-    system, path = _open(f"{folder}/manifests")
+    system, path = open_folder(f"{folder}/manifests")
     from pyarrow import fs
 
     found = [f.path for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.base_name.startswith("run-")]

@@ -62,3 +62,19 @@ def test_files_without_a_manifest_are_not_read(spark, tmp_path):
     batch = pa.RecordBatch.from_pydict({"doc_id": [99], "target_id": [1], "html": ["lost"]})
     assert ps.PageWriter(folder, 1).write(iter([batch])).rows == 1
     assert (99, 1) not in pages(spark, folder) and len(pages(spark, folder)) == 6
+
+
+def test_names_and_sizes_decide_before_files_are_opened(spark, tmp_path):
+    from quire.sources import files as fl
+
+    folder = str(tmp_path / "in")
+    rows = [(f"{kind}-{i}.json", '{"figures":[{"source_sha256":"%s%d"}]}' % (kind, i)) for kind in "ab" for i in range(20)] + [("big.bin", "x" * 100_000), ("bad.json", "{")]
+    out = fl.write_files(spark.createDataFrame(rows, "name string, content string").repartition(3), folder).collect()
+    assert {r.name: r.size for r in out} == {n: len(c) for n, c in rows}
+    some = fl.read_manifests(spark, folder, "a-1*")
+    assert {r.source_sha256 for r in some.collect()} == {"a1", *(f"a{i}" for i in range(10, 20))}
+    assert len(some.inputFiles()) == 11
+    assert fl.file_rows(spark, folder).count() == 42 and len(fl.file_rows(spark, folder, "b-*").collect()) == 20
+    small = fl.read_binary_assets(spark, folder, "originals", largest=1000)
+    assert small.count() == 41 and "big.bin" not in {r.filename for r in small.collect()}
+    assert {f.rsplit("/", 1)[1].split("-")[0] for f in fl.read_binary_assets(spark, folder, "x", "a-*").inputFiles()} == {"a"}
