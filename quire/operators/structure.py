@@ -280,15 +280,23 @@ def pack_chunks(rows: DataFrame, target: int = 3500, seg: int = SEG) -> DataFram
     return grouped_map(started, ["doc_id", "seg"], ["pos"], _assign(target), "doc_id long, pos int, chunk int")
 
 
-def chunk_table(rows: DataFrame, target: int = 3500, max_tokens: int | None = None) -> DataFrame:
-    """One row per chunk: blocks, tokens, the block before it as context, oversize note (W-03)."""
+def chunk_table(rows: DataFrame, target: int = 3500, max_tokens: int | None = None, overlap: int = 1) -> DataFrame:
+    """One row per chunk: blocks, tokens, the block before it as context, oversize note (W-03).
+
+    ``contexts`` holds the ids of up to ``overlap`` blocks before the chunk, in order; ``context`` is the last of them.
+    """
     limit = max_tokens or 2 * target
     tokens = tx.estimated_tokens(F.col("text"))
-    placed = scan(rows.join(pack_chunks(rows, target), ["doc_id", "pos"]), context=prev(F.col("block_id")))
-    return placed.groupBy("doc_id", "chunk").agg(
+    placed, last = rows.join(pack_chunks(rows, target), ["doc_id", "pos"]), "block_id"
+    for k in range(overlap):
+        placed = scan(placed, **{f"__c{k}": prev(F.col(last))})
+        last = f"__c{k}"
+    before = F.array(*[F.col(f"__c{k}") for k in reversed(range(overlap))]).cast("array<string>")
+    chunks = placed.withColumn("__before", before).groupBy("doc_id", "chunk").agg(
         F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n_blocks"), F.sum(tokens).alias("tokens"),
-        F.min_by("context", "pos").alias("context"), F.max(tokens > limit).alias("oversize"),
+        F.filter(F.min_by("__before", "pos"), lambda b: b.isNotNull()).alias("contexts"), F.max(tokens > limit).alias("oversize"),
     )
+    return chunks.select("doc_id", "chunk", "first_pos", "last_pos", "n_blocks", "tokens", F.try_element_at("contexts", F.lit(-1)).alias("context"), "contexts", "oversize")
 
 
 # ---------------------------------------------------------------- numbering

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from quire.operators import layout as ly
+from quire.operators import live_index as li
 from quire.operators import versions as vs
 from quire.plans.inputs import SQL_LINES, lines, table
 from quire.plans.library_checks import SQL_LOG, _MATRIX, change_log, dirty, job_results, library, states, targets
-from quire.plans.page_checks import _INDEX, _REPLY, doc_tracks
+from quire.plans.page_checks import _INDEX, _REPLY, _bm25, _one, doc_tracks
 from quire.plans.registry import check
 from quire.session import cut_lineage
 from quire.session import fresh_folder as _fresh
@@ -394,6 +395,18 @@ def _(spark, sf):
     return inc.current(postings, owners=lengths).select("term", "doc_id", "field", "tf")
 
 
+@check("stream_live_search", _bm25({"f0": _one("the"), "f1": _one("attion")}, 20))
+def _(spark, sf):
+    """Documents in three micro-batches into the index that is searched."""
+    docs = _stream(spark, sf, "documents").select(
+        "doc_id", F.concat_ws("-", "source", "doc_id").alias("slug"), F.concat("lang", F.lit(" "), "source").alias("title"), F.col("text").alias("body"),
+        F.lit(1).alias("version"),
+    )
+    index = li.LiveIndex(spark, _fresh(spark, "live"))
+    inc.stream_live_index(docs, "version", index, _fresh(spark, "cp"), fan=2)
+    return index.search("the attion").withColumn("score", F.round("score", 6))
+
+
 @check("stream_dirty", f"WITH {_MATRIX} SELECT doc_id, target_id, status, dirty FROM mx")
 def _(spark, sf):
     o = _stream(spark, sf, "orders")

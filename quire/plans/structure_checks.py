@@ -69,7 +69,18 @@ def _(spark, sf):
     SELECT doc_id, chunk, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_blocks, CAST(sum(tok) AS BIGINT) AS tokens, arg_min(coalesce(context, '-'), pos) AS context, max(tok > 400) AS oversize FROM j GROUP BY ALL""",
 )
 def _(spark, sf):
-    return st.chunk_table(polishable(typed(spark, sf)), target=200).na.fill("-", ["context"])
+    return st.chunk_table(polishable(typed(spark, sf)), target=200).drop("contexts").na.fill("-", ["context"])
+
+
+@check(
+    "chunk_overlap",
+    f"""{_PACK}, j AS (SELECT f.doc_id, f.chunk, f.pos, list(p.block_id) OVER (PARTITION BY f.doc_id ORDER BY f.pos ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before FROM fold f JOIN pol p ON p.doc_id = f.doc_id AND p.i = f.i)
+    SELECT doc_id, chunk, coalesce(array_to_string(arg_min(coalesce(before, []), pos), ' '), '') AS contexts FROM j GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Three blocks before each chunk as context."""
+    out = st.chunk_table(polishable(typed(spark, sf)), target=200, overlap=3)
+    return out.select("doc_id", "chunk", F.array_join("contexts", " ").alias("contexts"))
 
 
 _FIRST = "firsts AS (SELECT doc_id, asset_id, min(pos) AS p FROM {src} GROUP BY ALL), nums AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p) AS INTEGER) AS n FROM firsts)"

@@ -17,7 +17,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quire.operators import library as lb
+from quire.operators import live_index as li
 from quire.operators import search as se
+from quire.session import cut_lineage
 
 
 class BatchTable:
@@ -90,6 +92,22 @@ def stream_reindex(docs: DataFrame, version: str, postings: BatchTable, lengths:
     return run_available(docs, on_batch, checkpoint)
 
 
+def stream_live_index(docs: DataFrame, version: str, index: li.LiveIndex, checkpoint: str, fan: int = li.FAN) -> StreamingQuery:
+    """Changed documents into the index that ``LiveIndex.search`` reads; a null body removes a document (R-02).
+
+    A micro-batch is one folder of the index, and folders are folded as they gather, so neither a batch nor a search
+    depends on how many came before. A batch that runs again finds its folder and changes nothing.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        newest = cut_lineage(newest_per_doc(batch, version))
+        gone = newest.where("body IS NULL").select("doc_id")
+        index.apply(batch_id, newest.where("body IS NOT NULL").select("doc_id", *se.FIELDS), gone)
+        index.fold(fan)
+
+    return run_available(docs, on_batch, checkpoint)
+
+
 def stream_dirty(
     changes: DataFrame, version: str, targets: DataFrame, sync: DataFrame, snapshots: DataFrame, table: BatchTable, checkpoint: str
 ) -> StreamingQuery:

@@ -100,3 +100,16 @@ def test_many_ranges_are_joined_to_few(spark):
     view = li._View(heads.withColumn("term", F.lit("t")).withColumns({"n": F.lit(1), "max_tf": F.lit(1), "min_length": F.lit(1)}), None, [], {}, 1, 1.0, None)
     got = {r.first_doc for r in heads.where(view.near(spans)).collect()}
     assert {x for x in range(0, 100_000, 7) if any(a <= x <= b for a, b in spans)} <= got and len(got) < heads.count()
+
+
+def test_a_stream_keeps_the_index(spark, tmp_path):
+    from quire.streaming import incremental as inc
+
+    schema, src = "doc_id long, slug string, title string, body string, version int", str(tmp_path / "in")
+    index, docs = li.LiveIndex(spark, str(tmp_path / "live")), {}
+    for version, rows in enumerate([{1: "the rare", 2: "the w1"}, {1: "w1 w2", 3: "rare é1"}, {2: None, 3: "the the w4"}], 1):
+        spark.createDataFrame([(d, f"slug-{d}", "A title" if d % 2 else None, b, version) for d, b in rows.items()], schema).coalesce(1).write.mode("append").parquet(src)
+        inc.stream_live_index(spark.readStream.schema(schema).parquet(src), "version", index, str(tmp_path / "cp"), fan=2)
+        docs = {d: b for d, b in {**docs, **rows}.items() if b is not None}
+    assert index.segments() == [(0, 1), (2, 2)]
+    agree(spark, index, docs)
