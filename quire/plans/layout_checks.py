@@ -73,18 +73,21 @@ def _(spark, sf):
 _MARK = "CASE WHEN bold AND italic THEN '***' WHEN bold THEN '**' WHEN italic THEN '*' ELSE '' END"
 
 
-@check(
-    "line_style",
-    f"""WITH {_SPANS},
+_PRINTED = f"""{_SPANS},
     k AS (SELECT *, CASE WHEN span > 0 AND bold = lag(bold) OVER w AND italic = lag(italic) OVER w THEN 0 ELSE 1 END AS opens FROM sz WINDOW w AS (PARTITION BY doc_id, page, block, line ORDER BY span)),
     g AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, page, block, line ORDER BY span) AS g FROM k),
     r AS (SELECT doc_id, page, block, line, g, bool_or(bold) AS bold, bool_or(italic) AS italic, string_agg(text || ' ', '' ORDER BY span) AS t, sum(CASE WHEN bold THEN length(replace(text, ' ', '')) ELSE 0 END) AS bn, sum(length(replace(text, ' ', ''))) AS n FROM g GROUP BY ALL),
     l AS (SELECT doc_id, page, block, line, trim(string_agg(t, '' ORDER BY g)) AS text,
       trim(string_agg(CASE WHEN trim(t) = '' THEN t ELSE regexp_extract(t, '^ *') || {_MARK} || trim(t) || {_MARK} || regexp_extract(t, ' *$') END, '' ORDER BY g)) AS md, sum(bn) AS bn, sum(n) AS n FROM r GROUP BY ALL),
-    y AS (SELECT doc_id, page, block, line, size, count(*) AS c, min(span) AS f FROM sz GROUP BY ALL), z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY doc_id, page, block, line ORDER BY c DESC, f) = 1)
-    SELECT l.doc_id, l.page, l.block, l.line, l.text, l.md, CASE WHEN l.text = '' THEN 0.0 ELSE CAST(z.size AS DOUBLE) END AS size, n > 0 AND bn / n >= 0.8 AS bold
-    FROM l JOIN z ON z.doc_id = l.doc_id AND z.page = l.page AND z.block = l.block AND z.line = l.line""",
-)
+    y AS (SELECT doc_id, page, block, line, size, count(*) AS c, min(span) AS f FROM sz GROUP BY ALL), z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY doc_id, page, block, line ORDER BY c DESC, f) = 1),
+    box AS (SELECT doc_id, page, block, line, min(x0) AS x0, max(x1) AS x1, block * 145.0 + line * 14.0 AS y0 FROM (
+      SELECT *, 50.0 + span * 10 + CASE WHEN length(text) < 12 THEN 200.0 ELSE 0.0 END AS x0, 50.0 + span * 10 + CASE WHEN length(text) < 12 THEN 200.0 ELSE 0.0 END + length(text) * 5.0 AS x1 FROM sz) GROUP BY ALL),
+    pr AS (SELECT l.doc_id, l.page, l.block, l.line, l.text, l.md, CASE WHEN l.text = '' THEN 0.0 ELSE CAST(z.size AS DOUBLE) END AS size, l.n > 0 AND bn / l.n >= 0.8 AS bold, x0, x1, y0
+      FROM l JOIN z ON z.doc_id = l.doc_id AND z.page = l.page AND z.block = l.block AND z.line = l.line
+      JOIN box ON box.doc_id = l.doc_id AND box.page = l.page AND box.block = l.block AND box.line = l.line)"""
+
+
+@check("line_style", f"WITH {_PRINTED} SELECT doc_id, page, block, line, text, md, size, bold FROM pr")
 def _(spark, sf):
     return printed(spark, sf).select("doc_id", "page", "block", "line", "text", "md", "size", "bold")
 
@@ -111,11 +114,23 @@ def _(spark, sf):
     return ly.drop_toc_pages(printed(spark, sf)).select("doc_id", "page", "block", "line")
 
 
-@check("split_bold_lines")
 def bold_split(spark, sf):
     return cut_lineage(ly.split_bold_lines(printed(spark, sf)))
 
 
+_BOLD = f"""{_PRINTED}, e AS (SELECT *, min(x0) FILTER (text <> '') OVER (PARTITION BY doc_id, page) AS edge FROM pr),
+    h AS (SELECT *, CASE WHEN NOT (bold AND text <> '' AND length(text) <= 100) THEN 'p'
+      WHEN x0 - edge >= 72 AND abs(x0 - (600 - x1)) <= 132 AND ((regexp_matches(text, '\\p{{L}}') AND upper(text) = text) OR regexp_full_match(trim(text, '.,;: '), '(1[89]|20)\\d{{2}}(\\s*[–—-]\\s*(1[89]|20)\\d{{2}})?')) THEN 'h2' ELSE 'h3' END AS kind FROM e),
+    o AS (SELECT *, CASE WHEN kind = 'p' AND lag(kind) OVER w = 'p' THEN 0 ELSE 1 END AS opens FROM h WINDOW w AS (PARTITION BY doc_id, page, block ORDER BY line)),
+    q AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, page, block ORDER BY line) AS run FROM o),
+    f AS (SELECT *, min(line) OVER w AS part, min(line) FILTER (text <> '') OVER w AS said FROM q WINDOW w AS (PARTITION BY doc_id, page, block, run))"""
+
+
+@check("split_bold_lines", f"WITH {_BOLD} SELECT doc_id, page, block, line, text, part, kind FROM f WHERE line >= said")
+def _(spark, sf):
+    return bold_split(spark, sf).select("doc_id", "page", "block", "line", "text", "part", "kind")
+
+
 def _small_print(spark, sf):
     """Blocks low on the page whose first line is kept large and whose later lines are numbered small print."""
     rows = printed(spark, sf).withColumns({"part": F.lit(0), "kind": F.lit("p")})
@@ -131,12 +146,31 @@ def _small_print(spark, sf):
     return ly.split_footnote_zone(out, modes(spark, sf))
 
 
-@check("split_footnote_zone")
+_LEAD = "'(?s)^\\s*(\\d{1,2})\\s+(.+)$'"
+# In a block low on the page the numbered lines rise by one from the first on, until one is missing.
+_NOTES = f"""{_PRINTED},
+    sp2 AS (SELECT doc_id, page, block, line, CASE WHEN block >= 4 AND line > 0 AND line % 2 = 1 THEN ((line + 1) // 2) || ' ' || text WHEN block >= 4 AND line = 0 THEN text || '1' ELSE text END AS text FROM pr),
+    zn AS (SELECT *, min(line) FILTER (block >= 4 AND line > 0 AND regexp_matches(text, {_LEAD})) OVER (PARTITION BY doc_id, page, block) AS zone FROM sp2),
+    ld AS (SELECT *, CAST(regexp_extract(text, {_LEAD}, 1) AS INTEGER) AS num, row_number() OVER (PARTITION BY doc_id, page, block ORDER BY line) AS rn FROM zn WHERE line >= zone AND regexp_matches(text, {_LEAD})),
+    op AS (SELECT * FROM (SELECT *, first(num) OVER (PARTITION BY doc_id, page, block ORDER BY line) AS num0 FROM ld) WHERE num = num0 + rn - 1),
+    it AS (SELECT z.doc_id, z.page, z.block, z.line, z.text, (SELECT max(op.line) FROM op WHERE op.doc_id = z.doc_id AND op.page = z.page AND op.block = z.block AND op.line <= z.line) AS head FROM zn z WHERE z.line >= z.zone AND z.text <> ''),
+    bd AS (SELECT doc_id, page, block, head, trim(string_agg(CASE WHEN line = head THEN trim(regexp_extract(text, {_LEAD}, 2)) ELSE trim(text) END, ' ' ORDER BY line)) AS text FROM it WHERE head IS NOT NULL GROUP BY ALL),
+    nt AS (SELECT bd.doc_id, bd.page, bd.block, bd.head, op.num AS local_num, bd.text, CAST(row_number() OVER (PARTITION BY bd.doc_id ORDER BY bd.page, bd.block, bd.head) AS INTEGER) AS n
+      FROM bd JOIN op ON op.doc_id = bd.doc_id AND op.page = bd.page AND op.block = bd.block AND op.line = bd.head WHERE length(bd.text) >= 6)"""
+
+
+@check("split_footnote_zone", f"WITH {_NOTES} SELECT doc_id, page, block, n, local_num, text FROM nt")
 def _(spark, sf):
     return _small_print(spark, sf)[1]
 
 
-@check("split_footnote_zone_body")
+@check(
+    "split_footnote_zone_body",
+    f"""WITH {_NOTES}, kp AS (SELECT *, max(line) FILTER (text <> '') OVER (PARTITION BY doc_id, page, block) AS tail FROM zn WHERE zone IS NULL OR line < zone),
+    mk AS (SELECT doc_id, page, block, string_agg('[^' || n || ']', '' ORDER BY head) AS marks, arg_min(local_num, head) AS num FROM nt GROUP BY ALL)
+    SELECT kp.doc_id, kp.page, kp.block, kp.line, CASE WHEN kp.line = tail AND marks IS NOT NULL THEN rtrim(regexp_replace(kp.text, '(\\D)' || num || '\\s*$', '\\1')) || marks ELSE kp.text END AS text
+    FROM kp LEFT JOIN mk ON mk.doc_id = kp.doc_id AND mk.page = kp.page AND mk.block = kp.block WHERE tail IS NOT NULL""",
+)
 def _(spark, sf):
     return _small_print(spark, sf)[0].select("doc_id", "page", "block", "line", "text")
 
@@ -155,12 +189,30 @@ def _captions(spark, sf):
     return ly.caption_blocks(images(rows), ly.text_blocks(rows), modes(spark, sf).withColumn("body_size", F.lit(12.0))), rows
 
 
-@check("caption_blocks")
+_CLIP = "CASE WHEN length(caption) > 240 THEN rtrim(caption[:240]) || '…' ELSE caption END"
+_IMAGES = "im AS (SELECT doc_id, page, block AS image, y0 - 5.0 AS below FROM pr WHERE line = 0 AND length(text) BETWEEN 16 AND 60)"
+# Blocks stand 145 points apart, so only an image's own block is near enough.
+_CAPTIONED = f"""{_PRINTED}, {_IMAGES},
+    tb AS (SELECT doc_id, page, block, string_agg(text, ' ' ORDER BY line) FILTER (text <> '') AS text, min(x0) AS x0, max(x1) AS x1 FROM pr GROUP BY ALL),
+    cb AS (SELECT im.doc_id, im.page, im.image, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS caption FROM im JOIN tb ON tb.doc_id = im.doc_id AND tb.page = im.page AND tb.block = im.image
+      WHERE greatest(0, least(x1, 300) - greatest(x0, 40)) / 260 >= 0.25 AND length(text) <= 240)"""
+
+
+@check("caption_blocks", f"WITH {_CAPTIONED} SELECT doc_id, page, image, {_CLIP} AS caption FROM cb")
 def _(spark, sf):
     return _captions(spark, sf)[0][0]
 
 
-@check("caption_lines")
+@check(
+    "caption_lines",
+    f"""WITH {_CAPTIONED}, lf AS (SELECT * FROM im ANTI JOIN (SELECT * FROM cb WHERE caption <> '') c ON c.doc_id = im.doc_id AND c.page = im.page AND c.image = im.image),
+    cd AS (SELECT lf.doc_id, lf.page, lf.image, pr.text, pr.y0, row_number() OVER w AS nth, CASE WHEN pr.y0 - (lag(pr.y0) OVER w + 12) > 10 THEN 1 ELSE 0 END AS apart
+      FROM lf JOIN pr ON pr.doc_id = lf.doc_id AND pr.page = lf.page
+      WHERE pr.text <> '' AND pr.y0 BETWEEN below - 35 AND below + 40 AND greatest(0, least(x1, 300) - greatest(x0, 40)) / greatest(1e-6, x1 - x0) >= 0.7 AND length(pr.text) <= 180
+      WINDOW w AS (PARTITION BY lf.doc_id, lf.page, lf.image ORDER BY pr.y0, pr.block, pr.line)),
+    ch AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, page, image ORDER BY nth) AS broken FROM cd)
+    SELECT doc_id, page, image, {_CLIP} AS caption FROM (SELECT doc_id, page, image, trim(string_agg(text, ' ' ORDER BY nth)) AS caption FROM ch WHERE broken = 0 AND nth <= 3 GROUP BY ALL)""",
+)
 def _(spark, sf):
     (captions, _), rows = _captions(spark, sf)
     return ly.caption_lines(images(rows), rows, captions)[0]
@@ -185,7 +237,23 @@ def _(spark, sf):
     return out.select("doc_id", "page", "image", F.array_join(F.col("tiles").cast("array<string>"), ",").alias("tiles"))
 
 
-@check("paragraph_groups")
+@check(
+    "paragraph_groups",
+    f"""WITH {_BOLD}, fm AS (SELECT doc_id, size, count(*) AS n, min(page * 10000000 + block * 1000000 + line * 1000 + span) AS f FROM sz GROUP BY ALL),
+    bo AS (SELECT doc_id, CAST(size AS DOUBLE) AS body FROM fm QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) = 1),
+    rw AS (SELECT * FROM f WHERE line >= said),
+    bs AS (SELECT doc_id, page, block, size, count(*) AS c, min(line) AS first_line FROM rw WHERE text <> '' AND size > 0 GROUP BY ALL),
+    bz AS (SELECT * FROM bs QUALIFY row_number() OVER (PARTITION BY doc_id, page, block ORDER BY c DESC, first_line) = 1),
+    kd AS (SELECT rw.*, CASE WHEN rw.kind <> 'p' THEN rw.kind WHEN bz.size >= body * 1.6 THEN 'h1' WHEN bz.size >= body * 1.2 THEN 'h2' ELSE 'p' END AS level
+      FROM rw LEFT JOIN bz ON bz.doc_id = rw.doc_id AND bz.page = rw.page AND bz.block = rw.block LEFT JOIN bo ON bo.doc_id = rw.doc_id),
+    br AS (SELECT *, text <> '' AND level = 'p' AS flows FROM kd),
+    og AS (SELECT *, CASE WHEN flows AND lag(flows) OVER w THEN 0 ELSE 1 END AS starts FROM br WINDOW w AS (PARTITION BY doc_id, page, block, part ORDER BY line)),
+    gp AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, page, block, part ORDER BY line) AS stretch FROM og),
+    gr AS (SELECT *, CASE WHEN level = 'p' THEN min(line) OVER (PARTITION BY doc_id, page, block, part, stretch) ELSE part END AS grp FROM gp),
+    pa AS (SELECT doc_id, page, block, part, grp, level, trim(string_agg(CASE WHEN level = 'p' THEN md ELSE text END, ' ' ORDER BY line)) AS text,
+      CASE WHEN level = 'p' THEN arg_min(y0, line) ELSE min(y0) END AS y, max(size) AS size FROM gr WHERE text <> '' GROUP BY doc_id, page, block, part, grp, level)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, y, block, part, grp) - 1 AS INTEGER) AS pos, page, level AS kind, text, size FROM pa WHERE text <> ''""",
+)
 def _(spark, sf):
     return ly.paragraph_groups(bold_split(spark, sf), ly.heading_thresholds(modes(spark, sf)))
 
