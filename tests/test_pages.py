@@ -83,7 +83,7 @@ FIDELITY = [
     ("*a* b", "a *b*", (0, 0, 0), True, "typography"),
     ("a[^1] b", "a b", (0, 0, 1), False, "replaced 1"),
     ("a [^1]", "a [^2]", (0, 0, 1), False, "replaced 1"),
-    ("a b c", "c b a", (0, 0, 2), False, "replaced 2"),
+    ("a b c", "c b a", (2, 2, 0), False, "inserted 2, deleted 2"),
 ]
 
 
