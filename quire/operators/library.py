@@ -374,27 +374,26 @@ ROOT = r"(-\d+)+$"
 NUMBERED = r"^(.*)-([2-9]|[1-9]\d{1,17})$"
 
 
-def _free_names(new, old):
+def _free_names(new, held):
+    """Names of one base's newcomers: the first number past the last one's that nobody holds by then."""
     import pandas as pd
 
-    new, used, out, tried = new.sort_values("doc_id"), set(old["slug"]), [], {}
-    for base in new["base"]:
-        k = tried.get(base, 1)  # names below are taken for good
-        while (base if k == 1 else f"{base}-{k}") in used:
+    new, since, out, k = new.sort_values("doc_id"), dict(zip(held["k"], held["since"])), [], 0
+    for doc, base in zip(new["doc_id"], new["base"]):
+        k += 1
+        while since.get(k, doc + 1) <= doc:
             k += 1
-        tried[base] = k
         out.append(base if k == 1 else f"{base}-{k}")
-        used.add(out[-1])
     return pd.DataFrame({"doc_id": new["doc_id"], "slug": out})
 
 
 def unique_slugs(docs: DataFrame, existing: DataFrame) -> DataFrame:
     """date_slug names made unique against the library and each other with -2, -3 … (F-21).
 
-    ``docs``: doc_id, title, date_stem, in doc_id order. The n-th newcomer of a
-    base takes its n-th free number. Only newcomers whose bases differ in
-    nothing but trailing numbers can also collide with each other; those are
-    settled in order, on names alone.
+    ``docs``: doc_id, title, date_stem, in doc_id order (ids from 0 on). The n-th newcomer of a base takes its n-th free
+    number. A numbered name belongs to its base, or to newcomers who ask for it by title; of these the first holds it
+    from its own id on unless the base came earlier. So bases are settled by how many numbers they end in, each from what
+    the level above took, and only a base that has newcomers of its own and such numbered titles is walked in order.
     """
     slug = tx.slugify(F.col("title"))
     base = F.when(F.coalesce(F.col("date_stem"), F.lit("")) != "", F.concat_ws("_", "date_stem", slug)).otherwise(slug)
@@ -405,9 +404,29 @@ def unique_slugs(docs: DataFrame, existing: DataFrame) -> DataFrame:
     per_root = per_base.groupBy("root").agg(F.count("*").alias("k"), F.max((F.col("n") > 1) | F.col("old").isNotNull()).alias("meets"))
     mixed = per_root.where((F.col("k") > 1) & F.col("meets")).select("root")
     plain = _numbered_slugs(named.join(mixed, "root", "left_anti").select("doc_id", "base"), names)
-    rooted = names.withColumn("root", F.regexp_replace("slug", ROOT, "")).join(mixed, "root", "left_semi")
-    hard = named.join(mixed, "root", "left_semi").groupBy("root").cogroup(rooted.groupBy("root")).applyInPandas(_free_names, "doc_id long, slug string")
-    return plain.unionByName(hard)
+    tail = F.regexp_extract("base", r"((?:-(?:[2-9]|[1-9]\d{1,17}))*)$", 1)
+    hard = cut_lineage(named.join(mixed, "root", "left_semi").select("doc_id", "base", (F.length(tail) - F.length(F.replace(tail, F.lit("-"), F.lit("")))).alias("depth")))
+    old = names.withColumn("root", F.regexp_replace("slug", ROOT, "")).join(mixed, "root", "left_semi").select("slug")
+    out, above = plain, None
+    for (depth,) in sorted(hard.select("depth").distinct().collect()):
+        mine = hard.where(F.col("depth") == depth).select("doc_id", "base")
+        asked = _held(hard.where(F.col("depth") == depth + 1).groupBy("base").agg(F.min("doc_id").alias("since")), F.col("base"))
+        if above is not None:
+            asked = asked.unionByName(above.select(F.col("slug").alias("base"), F.lit(1).cast("long").alias("k"), F.col("doc_id").alias("since")))
+        walked = mine.select("base").distinct().join(asked, "base", "left_semi")
+        since = F.lit(-(1 << 62)).cast("long").alias("since")
+        taken = _held(old.withColumn("since", since), F.col("slug")).unionByName(old.select(F.col("slug").alias("base"), F.lit(1).cast("long").alias("k"), since))
+        held = asked.unionByName(taken).join(walked, "base", "left_semi").groupBy("base", "k").agg(F.min("since").alias("since"))
+        settled = mine.join(walked, "base", "left_semi").groupBy("base").cogroup(held.groupBy("base")).applyInPandas(_free_names, "doc_id long, slug string")
+        above = cut_lineage(settled.unionByName(_numbered_slugs(mine.join(walked, "base", "left_anti"), names)))
+        out = out.unionByName(above)
+    return out
+
+
+def _held(rows: DataFrame, name: Column) -> DataFrame:
+    """base, k, since: names that end in a number, as that number of their base."""
+    number = F.nullif(F.regexp_extract(name, NUMBERED, 2), F.lit("")).cast("long")
+    return rows.select(F.regexp_extract(name, NUMBERED, 1).alias("base"), number.alias("k"), F.col("since").cast("long").alias("since")).where("k is not null")
 
 
 def _numbered_slugs(named: DataFrame, names: DataFrame) -> DataFrame:

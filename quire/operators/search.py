@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
+from quire.session import cut_lineage
 
 FIELDS = ("slug", "title", "body")
 TOKEN = r"[\p{L}\p{N}]+"
@@ -150,7 +151,7 @@ def search(postings: DataFrame, lengths: DataFrame, query: str, limit: int = 20)
     phrases = query_phrases(postings.sparkSession, query)
     if not phrases:
         return lengths.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    hits = phrase_counts(postings, phrases)
+    hits = cut_lineage(phrase_counts(postings, phrases))  # counted and then ranked
     names = [f"f{i}" for i in range(len(phrases))]
     corpus = lengths.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("avg"))).scalar()
     found = hits.agg(F.struct(*[F.count_if(F.col(f) > 0).alias(f) for f in names])).scalar()

@@ -308,6 +308,13 @@ def _stored(spark, sf):
     return se.stored_index(spark, _WRITTEN[key])
 
 
+@check("write_index", f"WITH {_INDEX} SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS words FROM tok GROUP BY term")
+def _(spark, sf):
+    """The stored index, read back; the searches below use it."""
+    postings, _ = _stored(spark, sf)
+    return postings.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf")).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("words"))
+
+
 def _one(term: str) -> str:
     return f"SELECT doc_id, count(*) AS f FROM tok WHERE term = '{term}' GROUP BY doc_id"
 

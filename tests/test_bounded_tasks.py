@@ -113,3 +113,22 @@ def test_cache_lookup_keeps_all_rows(spark):
     got = az.cache_lookup(figures, keys)
     assert got.count() == 50 and {r.id % 7 for r in got.where("state = 'hit'").collect()} == {1, 2}
     assert az.cache_lookup(figures, keys, force=True).where("state = 'hit'").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_slugs_one_by_one(spark, seed):
+    from quire.operators.library import unique_slugs
+
+    rng = random.Random(seed)
+    titles = ["report", "report 2", "report 3", "report 2 2", "report 2 3", "report 3 2", "report 1", "report 02", "note", "note 2", "other 7", *(f"report {k}" for k in range(4, 30))]
+    docs = [(i, rng.choice(titles[:11] if rng.random() < 0.6 else titles), "") for i in rng.sample(range(1000), 90)]
+    old = rng.sample(["report", "report-2", "report-5", "report-2-2", "note-2", "other-7", "report-31", "x"], rng.randrange(8))
+    used, want = set(old), {}
+    for i, title, _ in sorted(docs):
+        base, k = title.replace(" ", "-"), 1
+        while (base if k == 1 else f"{base}-{k}") in used:
+            k += 1
+        want[i] = base if k == 1 else f"{base}-{k}"
+        used.add(want[i])
+    got = unique_slugs(spark.createDataFrame(docs, "doc_id long, title string, date_stem string"), spark.createDataFrame([(s,) for s in old], "slug string"))
+    assert {r.doc_id: r.slug for r in got.collect()} == want
