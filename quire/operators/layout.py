@@ -273,7 +273,11 @@ def caption_lines(images: DataFrame, lines: DataFrame, captioned: DataFrame) ->
 # ---------------------------------------------------------------- tiles
 
 
-def _meet(box: np.ndarray, i: int, j: np.ndarray, band: int, edge: int) -> np.ndarray:
+#: Boxes of a page up to which all are compared with all, which is faster than a sweep there.
+FEW_BOXES = 128
+
+
+def _meet(box: np.ndarray, i, j: np.ndarray, band: int, edge: int) -> np.ndarray:
     """Which boxes j (x0, y0, x1, y1) meet box i: their bands agree by the overlap share of both, their edges are within the gap."""
     lo, hi, start, end = box[j, band], box[j, band + 2], box[j, edge], box[j, edge + 2]
     shared = np.maximum(0, np.minimum(hi, box[i, band + 2]) - np.maximum(lo, box[i, band]))
@@ -289,6 +293,21 @@ def _root(label: list[int], i: int) -> int:
     return i
 
 
+def _few_pictures(box: np.ndarray) -> np.ndarray:
+    """The same for a page of few boxes, compared all at once."""
+    pairs = np.arange(len(box))
+    meet = np.eye(len(box), dtype=bool)
+    for band, edge in ((0, 1), (1, 0)):
+        meet |= _meet(box, pairs[:, None], pairs[None, :], band, edge)
+    label = pairs
+    while True:
+        lower = np.where(meet, label[None, :], len(box)).min(axis=1)
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
 def _pictures(box: np.ndarray) -> np.ndarray:
     """The least box that each box is connected with, by a sweep along each axis and union-find.
 
@@ -324,7 +343,7 @@ def _pictures(box: np.ndarray) -> np.ndarray:
 
 def _page_pictures(page: pd.DataFrame) -> dict:
     box = page[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float)
-    label = _pictures(box)
+    label = _few_pictures(box) if len(box) <= FEW_BOXES else _pictures(box)
     tile = page["tile"].to_numpy()
     rows = []
     order = np.argsort(label, kind="stable")
