@@ -100,17 +100,20 @@ def replies_to_tracks(replies: DataFrame) -> dict[str, DataFrame]:
     nothing else.
     """
     parsed = replies.withColumn("__v", reply_object(F.col("raw")))
-    digest = F.try_variant_get("__v", "$.digest_md", "string")
-    has = F.coalesce(F.schema_of_variant(F.variant_get("__v", "$.digest_md", "variant")) == "STRING", F.lit(False)) & (tx.strip(digest) != "")
+    digest_of = lambda v: F.try_variant_get(v, "$.digest_md", "string")
+    is_string = lambda v: F.coalesce(F.schema_of_variant(F.variant_get(v, "$.digest_md", "variant")) == "STRING", F.lit(False))
+    has_digest = lambda v: is_string(v) & (tx.strip(digest_of(v)) != "")
+    digest, has = digest_of(F.col("__v")), has_digest(F.col("__v"))
     ok = parsed.where(has)
     error = F.when(F.col("__v").isNull(), "no JSON object in the reply").otherwise("digest_md is missing")
     key = ["doc_id", "source_name", "chapter_idx"]
-    # Rows of all tracks come from one reading of the reply.
-    def listed(track):
-        return F.transform(track_rows(F.col("__v"), track), lambda d, i: F.struct(F.lit(track).alias("track_type"), i.alias("row_idx"), d.alias("data")))
 
-    rows = ok.select(*key, F.inline(F.concat(*map(listed, TRACK_KEYS)))).where(F.col("data").isNotNull())
-    rows = rows.select(*key, "row_idx", "data", "track_type")
+    def listed(v, track):
+        return F.transform(track_rows(v, track), lambda d, i: F.struct(F.lit(track).alias("track_type"), i.alias("row_idx"), d.alias("data")))
+
+    # Rows of all tracks come from one reading of the reply, which is also where a reply without a digest drops out.
+    read = _bound(reply_object(F.col("raw")), lambda v: F.when(has_digest(v), F.concat(*[listed(v, t) for t in TRACK_KEYS])))
+    rows = replies.select(*key, F.inline(read)).where(F.col("data").isNotNull()).select(*key, "row_idx", "data", "track_type")
     strings = lambda k: F.transform(
         _list(F.col("__v"), k), lambda e: F.struct(F.lit(k).alias("kind"), F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string")).alias("text"))
     )
