@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators.ordered import number_rows, segment
+from quire.session import written
 
 
 def keep_first(
@@ -16,7 +17,8 @@ def keep_first(
 
     A grouped minimum keeps one row per key map-side, so a key repeated a
     billion times still shuffles one row per task; long keys travel as digests.
-    ``seq`` is the kept order.
+    ``seq`` is the kept order. The rows kept are written once, so that numbering
+    them does not work them out a second time.
     """
     cols = rows.columns
     free = F.lit(False) if exempt is None else exempt
@@ -26,7 +28,7 @@ def keep_first(
     keyed = keyed.where(F.col("__own").isNotNull() | (F.col("__k") != ""))
     rest = [c for c in cols if c not in group and c not in order]
     first = F.min_by(F.struct(*[F.col(c) for c in [*order, *rest]]), F.struct(*order))
-    kept = keyed.groupBy(*group, "__k", "__own").agg(first.alias("__r")).select(*group, "__r.*")
+    kept = written(keyed.groupBy(*group, "__k", "__own").agg(first.alias("__r")).select(*group, "__r.*"), "first")
     numbered = number_rows(kept, group, [F.col(o) for o in order], bucket, "seq")
     return numbered.withColumn("seq", F.col("seq") - 1)
 
