@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.operators.blocks import prop
 from quire.operators.ordered import following, latest, number_rows, number_rows_by_range, prev, scan, segment
-from quire.session import cut_lineage
+from quire.session import cut_lineage, written
 
 NEVER = "NEVER_PUBLISHED"
 
@@ -397,12 +397,13 @@ def unique_slugs(docs: DataFrame, existing: DataFrame) -> DataFrame:
     """
     slug = tx.slugify(F.col("title"))
     base = F.when(F.coalesce(F.col("date_stem"), F.lit("")) != "", F.concat_ws("_", "date_stem", slug)).otherwise(slug)
-    named = docs.select("doc_id", base.alias("base")).withColumn("root", F.regexp_replace("base", ROOT, ""))
-    names = existing.select("slug").distinct()
+    # names are made once and then read by every step
+    named = written(docs.select("doc_id", base.alias("base")).withColumn("root", F.regexp_replace("base", ROOT, "")), "named")
+    names = written(existing.select("slug").distinct(), "names")
     # where every base of a root is new and asked for once, each simply takes its own name
     per_base = named.groupBy("root", "base").agg(F.count("*").alias("n")).join(names.select(F.col("slug").alias("base"), F.lit(1).alias("old")), "base", "left")
     per_root = per_base.groupBy("root").agg(F.count("*").alias("k"), F.max((F.col("n") > 1) | F.col("old").isNotNull()).alias("meets"))
-    mixed = per_root.where((F.col("k") > 1) & F.col("meets")).select("root")
+    mixed = written(per_root.where((F.col("k") > 1) & F.col("meets")).select("root"), "mixed")
     plain = _numbered_slugs(named.join(mixed, "root", "left_anti").select("doc_id", "base"), names)
     tail = F.regexp_extract("base", r"((?:-(?:[2-9]|[1-9]\d{1,17}))*)$", 1)
     hard = cut_lineage(named.join(mixed, "root", "left_semi").select("doc_id", "base", (F.length(tail) - F.length(F.replace(tail, F.lit("-"), F.lit("")))).alias("depth")))
@@ -430,6 +431,7 @@ def _held(rows: DataFrame, name: Column) -> DataFrame:
 
 
 def _numbered_slugs(named: DataFrame, names: DataFrame) -> DataFrame:
+    named = written(named, "newcomers")
     nth = number_rows(named, ["base"], [F.col("doc_id")], [segment("doc_id")], "nth")
     # numbers taken per base: the bare base is 1, base-k is k
     number = F.nullif(F.regexp_extract("slug", NUMBERED, 2), F.lit("")).cast("long")
@@ -439,12 +441,12 @@ def _numbered_slugs(named: DataFrame, names: DataFrame) -> DataFrame:
     taken = split.join(named.select("base").distinct(), "base", "left_semi")
     # below the j-th smallest taken number k there are k - j free ones; newcomer n
     # passes every taken number that has fewer than n free ones below it
-    order = number_rows(taken, ["base"], [F.col("k")], [segment("k")], "j")
+    order = number_rows(written(taken, "taken"), ["base"], [F.col("k")], [segment("k")], "j")
     steps = order.groupBy("base", (F.col("k") - F.col("j") + 1).alias("at")).agg(F.max("j").alias("past"))
     marks = nth.select("base", F.col("nth").alias("at"), "doc_id", F.lit(None).cast("long").alias("past")).unionByName(
         steps.select("base", "at", F.lit(None).cast("long").alias("doc_id"), "past")
     )
-    lined = number_rows(marks, ["base"], [F.col("at"), F.col("doc_id").asc_nulls_first()], [segment("at")], "line")
+    lined = number_rows(written(marks, "marks"), ["base"], [F.col("at"), F.col("doc_id").asc_nulls_first()], [segment("at")], "line")
     passed = scan(cut_lineage(lined), keys=["base"], pos="line", passed=latest(F.col("past"))).where(F.col("doc_id").isNotNull())
     n = F.col("at") + F.coalesce("passed", F.lit(0))
     return passed.select("doc_id", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n.cast("string"))).alias("slug"))
