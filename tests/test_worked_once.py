@@ -1,10 +1,16 @@
 """Operators that read their input several times work it out once."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quire.operators import library as lb
+from quire.operators import live_index as li
+from quire.operators import search as se
 from quire.operators import tracks as tk
+from quire.operators import versions as vs
 from quire.session import fresh_folder, scratch
+from quire.sources import page_sink as ps
 from quire.sources import sinks as sk
 
 
@@ -51,3 +57,43 @@ def test_csv_of_four_tracks_works_its_rows_out_once(spark, counted):
     assert seen() == rows.count()
     back = [r["name"] for r in sk.read_tracks_csv(spark, folder, "people").collect()]
     assert back == [f"n{(c + i) % 7}" for c in range(3) for i in range(5)]
+
+
+def test_slugs_are_made_once(spark, counted):
+    passing, seen = counted
+    docs = spark.createDataFrame([(i, t, "") for i, t in enumerate(["A", "a", "B 2", "b", "b", "C"])], "doc_id long, title string, date_stem string")
+    with scratch(spark):
+        out = lb.unique_slugs(passing(docs), spark.createDataFrame([("c",)], "slug string")).collect()
+    assert seen() == 6
+    assert {r["doc_id"]: r["slug"] for r in out} == {0: "a", 1: "a-2", 2: "b-2", 3: "b", 4: "b-3", 5: "c-2"}
+
+
+@pytest.mark.parametrize("publish", [vs.publish_all, ps.publish_run])
+def test_dirty_rows_of_a_run_are_worked_out_once(spark, counted, publish):
+    passing, seen = counted
+    rows = [(1, 1, "memoir", "pages", "x"), (2, 1, "homepage", "pages", "y"), (3, 2, "memoir", "drive", "z"), (4, 2, "homepage", "drive", "w")]
+    dirty = spark.createDataFrame(rows, "doc_id long, target_id long, kind string, target_kind string, content_hash string")
+    render = spark.createDataFrame([(1, "<p>"), (3, "<p>")], "doc_id long, html string")
+    with scratch(spark):
+        made = publish(passing(dirty), render, fresh_folder(spark, "site"), spark, F.lit("2024-01-01").cast("timestamp"), 1)
+        marked, log = made["marked"].collect(), made["log"].collect()
+    assert seen() == 4
+    assert sorted(r["doc_id"] for r in marked) == [1, 2, 3]
+    assert sorted((r["doc_id"], r["summary"]) for r in log) == [(1, "published"), (2, "refreshed with its target"), (3, "published")]
+
+
+def test_postings_of_one_slice_move_once(spark):
+    docs = spark.createDataFrame([(1, "s", "t", "a b")], "doc_id long, slug string, title string, body string")
+    plan = li.blocks(se.index_rows(docs), 0, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_index_rows_are_made_in_bounded_slices(monkeypatch):
+    words = [["w"] * n for n in (3, 0, 4, 9, 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), *[pa.array([["x"]] * 6)] * 2, pa.array(words)], names=["doc_id", *se.FIELDS])
+    whole = [r for b in se._entries(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(se, "SLICE_TOKENS", 6)
+    sliced = [b for b in se._entries(iter([batch]))]
+    assert max(len(set(b["doc_id"].to_pylist())) for b in sliced) < 4
+    by = lambda r: (r["doc_id"], r["field"], r["term"])
+    assert sorted((r for b in sliced for r in b.to_pylist()), key=by) == sorted(whole, key=by)
