@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.ordered import number_rows, number_rows_by_range, segment
-from quire.session import cut_lineage
+from quire.session import written
 
 FP = "\x1c"
 
@@ -96,6 +96,7 @@ def publish_all(dirty: DataFrame, render: DataFrame, folder: str, spark, now: Co
     dirty whatever was published before. A dirty home page is refreshed, marked
     and logged once anything but a drive copy went out to its target.
     """
+    dirty = written(dirty, "dirty")
     own = f"{folder}/run={run}"
     pages = render.join(dirty.select("doc_id", "target_id").distinct(), "doc_id")
     pages.write.mode("overwrite").partitionBy("target_id").parquet(own)
@@ -105,7 +106,7 @@ def publish_all(dirty: DataFrame, render: DataFrame, folder: str, spark, now: Co
 
 def publish_state(dirty: DataFrame, found: DataFrame, now: Column) -> dict[str, DataFrame]:
     """State and log rows for the (doc_id, target_id) found written, and for the home pages refreshed with them (V-07)."""
-    done = cut_lineage(dirty.join(found, ["doc_id", "target_id"], "left_semi"))
+    done = written(dirty.join(found, ["doc_id", "target_id"], "left_semi"), "done")
     other = done.where((F.col("target_kind") != "drive") & (F.col("kind") != "homepage")).select("target_id").distinct()
     home = dirty.where(F.col("kind") == "homepage").join(other, "target_id", "left_semi").join(done, ["doc_id", "target_id"], "left_anti")
     row = lambda d, what: d.select("doc_id", F.lit("publish").alias("kind"), "target_id", F.lit(what).alias("summary"), now.alias("created_at"))
