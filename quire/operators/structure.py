@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from quire.functions import runs as rn
 from quire.functions import text as tx
 from quire.operators.blocks import heading_level, prop
 from quire.operators.ordered import (
-    SEG, grouped_map, islands, latest, number_rows, prev, running, scan, segment,
+    SEG, grouped_batches, islands, latest, number_rows, prev, running, scan, segment,
 )
 from quire.session import cut_lineage
 
@@ -107,7 +108,8 @@ def _first_break(tokens, heading, held, has_body, target):
 # The chunk state after a stretch of rows as a function of the tokens held before it, once for an open chunk without body
 # text and once for one with: steps (upto, held, body, opened, open). A step holds for tokens up to ``upto``; where
 # ``open`` is 1 the chunk goes on through the stretch and ``held`` is added to what it held, else it is the result.
-STEP = "array<struct<upto:int,held:int,body:int,opened:int,open:int>>"
+# A function is kept as one array, five numbers a step.
+STEPS = "array<int>"
 Step = tuple[int, int, int, int, int]
 
 
@@ -176,19 +178,19 @@ def _after(first: list[list[Step]], second: list[list[Step]], cap: int) -> list[
     return out
 
 
-def _steps_of(pdf: pd.DataFrame, k: int) -> list[list[Step]]:
-    return [[tuple(int(x[c]) for c in ("upto", "held", "body", "opened", "open")) for x in pdf[f"steps{b}"].iloc[k]] for b in (0, 1)]
+def _steps_of(pdf: pd.DataFrame) -> list[list[list[Step]]]:
+    return [[[tuple(x) for x in np.reshape(side, (-1, 5)).tolist()] for side in both] for both in zip(pdf["steps0"], pdf["steps1"])]
 
 
-def _rows_of(steps: list[list[Step]]) -> list[list[dict]]:
-    return [[dict(zip(("upto", "held", "body", "opened", "open"), x)) for x in side] for side in steps]
+def _rows_of(found: list[list[list[Step]]]) -> dict:
+    return {f"steps{b}": [np.array(steps[b], dtype=np.int32).ravel() for steps in found] for b in (0, 1)}
 
 
 def _segment_summary(target: int):
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        zero, one = _rows_of(_segment_steps(pdf["tokens"].to_numpy(), pdf["heading"].to_numpy(dtype=bool), target))
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "seg": [pdf["seg"].iloc[0]], "steps0": [zero], "steps1": [one]})
+    def summarise(pdf: pd.DataFrame, cuts: np.ndarray) -> dict:
+        tokens, heading = pdf["tokens"].to_numpy(), pdf["heading"].to_numpy(dtype=bool)
+        found = [_segment_steps(tokens[a:b], heading[a:b], target) for a, b in zip(cuts, cuts[1:])]
+        return {"doc_id": pdf["doc_id"].to_numpy()[cuts[:-1]], "seg": pdf["seg"].to_numpy()[cuts[:-1]], **_rows_of(found)}
 
     return summarise
 
@@ -196,13 +198,10 @@ def _segment_summary(target: int):
 def _fold_steps(target: int):
     """Neighbouring stretches, at most ``TREE`` of them, as one."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg")
-        steps = _steps_of(pdf, 0)
-        for k in range(1, len(pdf)):
-            steps = _after(steps, _steps_of(pdf, k), target + 1)
-        zero, one = _rows_of(steps)
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "seg": [pdf["parent"].iloc[0]], "steps0": [zero], "steps1": [one]})
+    def fold(pdf: pd.DataFrame, cuts: np.ndarray) -> dict:
+        steps = _steps_of(pdf)
+        found = [reduce(lambda x, y: _after(x, y, target + 1), steps[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return {"doc_id": pdf["doc_id"].to_numpy()[cuts[:-1]], "seg": pdf["parent"].to_numpy()[cuts[:-1]], **_rows_of(found)}
 
     return fold
 
@@ -210,50 +209,54 @@ def _fold_steps(target: int):
 def _enter_steps(target: int):
     """The state before each of at most ``TREE`` neighbours, from the one before the first."""
 
-    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg")
-        held, body, opened = (int(pdf[c].iloc[0]) for c in ("held", "body", "opened"))
-        rows = []
-        for k in range(len(pdf)):
-            rows.append((pdf["doc_id"].iloc[k], pdf["seg"].iloc[k], held, body, opened))
-            held, body, more = _apply(_steps_of(pdf, k), held, body, target + 1)
-            opened += more
-        return pd.DataFrame(rows, columns=["doc_id", "seg", "held", "body", "opened"])
+    def enter(pdf: pd.DataFrame, cuts: np.ndarray) -> dict:
+        steps, states = _steps_of(pdf), []
+        begins = list(zip(*(pdf[c].to_numpy()[cuts[:-1]].tolist() for c in ("held", "body", "opened"))))
+        for (held, body, opened), a, b in zip(begins, cuts, cuts[1:]):
+            for k in range(a, b):
+                states.append((held, body, opened))
+                held, body, more = _apply(steps[k], held, body, target + 1)
+                opened += more
+        return {"doc_id": pdf["doc_id"].to_numpy(), "seg": pdf["seg"].to_numpy(), **dict(zip(("held", "body", "opened"), map(list, zip(*states))))}
 
     return enter
 
 
 def _states(summaries: DataFrame, target: int) -> DataFrame:
     """doc_id, seg, held, body, opened before each segment: the functions are folded up a tree and the states go down it."""
-    schema = f"doc_id long, seg long, steps0 {STEP}, steps1 {STEP}"
+    schema = f"doc_id long, seg long, steps0 {STEPS}, steps1 {STEPS}"
     levels = [cut_lineage(summaries)]
     while not levels[-1].groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > TREE).isEmpty():
         up = levels[-1].withColumn("parent", F.expr(f"seg div {TREE}"))
-        levels.append(cut_lineage(up.groupBy("doc_id", "parent").applyInPandas(_fold_steps(target), schema)))
+        levels.append(cut_lineage(grouped_batches(up, ["doc_id", "parent"], ["seg"], _fold_steps(target), schema)))
     state = levels[-1].select("doc_id").distinct().select("doc_id", F.lit(target + 1).alias("held"), F.lit(0).alias("body"), F.lit(0).alias("opened"))
     out = "doc_id long, seg long, held int, body int, opened int"
     for depth, level in enumerate(reversed(levels)):
         if depth == 0:
-            entered = level.join(state, "doc_id").groupBy("doc_id")
+            entered, keys = level.join(state, "doc_id"), ["doc_id"]
         else:
             parents = state.withColumnRenamed("seg", "parent")
-            entered = level.withColumn("parent", F.expr(f"seg div {TREE}")).join(parents, ["doc_id", "parent"]).groupBy("doc_id", "parent")
-        state = cut_lineage(entered.applyInPandas(_enter_steps(target), out))
+            keys = ["doc_id", "parent"]
+            entered = level.withColumn("parent", F.expr(f"seg div {TREE}")).join(parents, keys)
+        state = cut_lineage(grouped_batches(entered, keys, ["seg"], _enter_steps(target), out))
     return state
 
 
 def _assign(target: int):
-    def assign(pdf: pd.DataFrame) -> dict:
-        tokens, heading = pdf["tokens"].to_numpy(), pdf["heading"].to_numpy(dtype=bool)
-        held, body, opened = (int(pdf[c].iloc[0]) for c in ("held", "body", "opened"))
-        nxt = _breaks(tokens, heading, target)
-        chunk = np.full(len(tokens), opened - 1)
-        j = _first_break(tokens, heading, held, body, target)
-        while j < len(tokens):
-            chunk[j : nxt[j]] = opened
-            opened += 1
-            j = nxt[j]
-        return {"doc_id": pdf["doc_id"], "pos": pdf["pos"], "chunk": chunk}
+    def assign(pdf: pd.DataFrame, cuts: np.ndarray) -> dict:
+        all_tokens, all_heading = pdf["tokens"].to_numpy(), pdf["heading"].to_numpy(dtype=bool)
+        begins = list(zip(*(pdf[c].to_numpy()[cuts[:-1]].tolist() for c in ("held", "body", "opened"))))
+        chunks = np.empty(len(pdf), dtype=np.int64)
+        for (held, body, opened), a, b in zip(begins, cuts, cuts[1:]):
+            tokens, heading, chunk = all_tokens[a:b], all_heading[a:b], chunks[a:b]
+            nxt = _breaks(tokens, heading, target)
+            chunk[:] = opened - 1
+            j = _first_break(tokens, heading, held, body, target)
+            while j < len(tokens):
+                chunk[j : nxt[j]] = opened
+                opened += 1
+                j = nxt[j]
+        return {"doc_id": pdf["doc_id"].to_numpy(), "pos": pdf["pos"].to_numpy(), "chunk": chunks}
 
     return assign
 
@@ -272,12 +275,12 @@ def pack_chunks(rows: DataFrame, target: int = 3500, seg: int = SEG) -> DataFram
     ))
     segs = narrow.groupBy("doc_id").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi"))
     long = segs.where(F.col("lo") < F.col("hi")).select("doc_id")
-    summaries = narrow.join(long, "doc_id", "left_semi").groupBy("doc_id", "seg").applyInPandas(
-        _segment_summary(target), f"doc_id long, seg long, steps0 {STEP}, steps1 {STEP}"
+    summaries = grouped_batches(
+        narrow.join(long, "doc_id", "left_semi"), ["doc_id", "seg"], ["pos"], _segment_summary(target), f"doc_id long, seg long, steps0 {STEPS}, steps1 {STEPS}"
     )
     states = _states(summaries, target)
     started = narrow.join(states, ["doc_id", "seg"], "left").na.fill({"held": target + 1, "body": 0, "opened": 0})
-    return grouped_map(started, ["doc_id", "seg"], ["pos"], _assign(target), "doc_id long, pos int, chunk int")
+    return grouped_batches(started, ["doc_id", "seg"], ["pos"], _assign(target), "doc_id long, pos int, chunk int")
 
 
 def chunk_table(rows: DataFrame, target: int = 3500, max_tokens: int | None = None, overlap: int = 1) -> DataFrame:
