@@ -6,17 +6,21 @@ text, page_width, page_height. A printed page bounds every (doc_id, page) group.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import runs as rn
 from quire.functions import text as tx
-from quire.operators.ordered import grouped_map, islands, number_rows
-from quire.session import cut_lineage
+from quire.operators.ordered import grouped_map, number_rows
+from quire.session import cut_lineage, written
 from quire.sources.tables import RUN
 
+PAGE = ["doc_id", "page"]
 LINE = ["doc_id", "page", "block", "line"]
 BLOCK = ["doc_id", "page", "block"]
 
@@ -28,6 +32,19 @@ TILE_GAP, TILE_OVERLAP = 3.0, 0.7
 NOTE_LEAD = r"(?s)\A\s*(\d{1,2})\s+(.+)\z"
 
 
+def _placed(keys: list[str]) -> Column:
+    """Every key is known, as where rows are joined by them."""
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
+def _stretches(rows: DataFrame, flag: Column, out: str, keys: list[str]) -> DataFrame:
+    """``out``: the line that opens the stretch of neighbours whose ``flag`` is equal and not null; a printed page bounds ``keys``."""
+    up = Window.partitionBy(*keys).orderBy("line")
+    rows = rows.withColumn("__flag", flag)
+    rows = rows.withColumn("__new", F.when(~F.coalesce(F.lag("__flag").over(up) == F.col("__flag"), F.lit(False)), F.col("line")))
+    return rows.withColumn(out, F.last("__new", True).over(up.rowsBetween(Window.unboundedPreceding, 0))).drop("__flag", "__new")
+
+
 def half_point(size: Column) -> Column:
     return F.bround(size * 2, 0) / 2
 
@@ -58,36 +75,45 @@ def md_line(spans: Column) -> Column:
         s["text"].alias("text"), s["bold"].alias("bold"), s["italic"].alias("italic"), *off, F.lit(None).cast("string").alias("href")))
 
     def one(r):
-        core = tx.strip(r["text"])
-        mark = F.when(r["bold"] & r["italic"], "***").when(r["bold"], "**").otherwise("*")
-        lead = F.substring(r["text"], F.lit(1), F.length(r["text"]) - F.length(tx.lstrip(r["text"])))
-        trail = F.substring(r["text"], F.length(tx.rstrip(r["text"])) + 1, F.length(r["text"]))
-        return F.when((core == "") | ~(r["bold"] | r["italic"]), r["text"]).otherwise(F.concat(lead, mark, core, mark, trail))
+        return _marked(r["text"], r["bold"], r["italic"])
+
+    # Most lines are one span, which has nothing to merge with.
+    only = F.get(spans, F.lit(0))
+    alone = F.coalesce(_marked(F.coalesce(only["text"], F.lit("")), only["bold"], only["italic"]), F.lit(""))
+    return tx.strip(F.when(F.size(spans) == 1, alone).otherwise(F.array_join(F.transform(rn.coalesce_runs(runs), one), "")))
 
-    return tx.strip(F.array_join(F.transform(rn.coalesce_runs(runs), one), ""))
+
+def _marked(text: Column, bold: Column, italic: Column) -> Column:
+    core = tx.strip(text)
+    mark = F.when(bold & italic, "***").when(bold, "**").otherwise("*")
+    lead = F.substring(text, F.lit(1), F.length(text) - F.length(tx.lstrip(text)))
+    trail = F.substring(text, F.length(tx.rstrip(text)) + 1, F.length(text))
+    return F.when((core == "") | ~(bold | italic), text).otherwise(F.concat(lead, mark, core, mark, trail))
 
 
 def mode_of(values: Column) -> Column:
     """Most frequent value of a short array, first seen wins ties."""
     scored = F.transform(F.array_distinct(values), lambda v, i: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), (-i).alias("i"), v.alias("v")))
-    return F.coalesce(F.array_max(scored)["v"], F.lit(0.0))
+    return F.coalesce(F.when(F.size(values) == 1, F.get(values, F.lit(0))).otherwise(F.array_max(scored)["v"]), F.lit(0.0))
 
 
 def line_style(spans: DataFrame) -> DataFrame:
-    """One row per line: text, Markdown, size mode, bold flag, box (A-13)."""
+    """One row per line: text, Markdown, size mode, bold flag, box (A-13).
+
+    Spans move to their page, so what follows by page, block or line needs no further shuffle.
+    """
     parts = F.sort_array(F.collect_list(F.struct("span", "text", "bold", "italic", "size")))
-    rows = spans.groupBy(*LINE).agg(
-        parts.alias("s"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1", "page_width", "page_height")]
+    solid = F.length(F.regexp_replace("text", tx.BLANK, ""))
+    rows = spans.withColumn("__solid", solid).repartition(*PAGE).groupBy(*LINE).agg(
+        parts.alias("s"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1", "page_width", "page_height")],
+        F.sum("__solid").alias("__total"), F.sum(F.when(F.col("bold"), F.col("__solid")).otherwise(0)).alias("__bold"), (F.count("text") == F.count("*")).alias("__known"),
     )
-    solid = lambda s: F.length(F.regexp_replace(s["text"], tx.BLANK, ""))
-    total = F.aggregate("s", F.lit(0), lambda a, s: a + solid(s))
-    bold = F.aggregate("s", F.lit(0), lambda a, s: a + F.when(s["bold"], solid(s)).otherwise(0))
     sizes = F.transform(F.filter("s", lambda s: s["size"] > 0), lambda s: half_point(s["size"]))
     text = tx.strip(F.array_join("s.text", ""))
+    bold = F.col("__known") & (F.col("__total") > 0) & (F.col("__bold") / F.col("__total") >= BOLD_SHARE)
     return rows.select(
         *LINE, "x0", "y0", "x1", "y1", "page_width", "page_height", text.alias("text"), md_line(F.col("s")).alias("md"),
-        F.when(text == "", 0.0).otherwise(mode_of(sizes)).alias("size"),
-        (total > 0).__and__(F.coalesce(bold / F.nullif(total, F.lit(0)) >= BOLD_SHARE, F.lit(False))).alias("bold"),
+        F.when(text == "", 0.0).otherwise(mode_of(sizes)).alias("size"), F.coalesce(bold, F.lit(False)).alias("bold"),
     )
 
 
@@ -126,9 +152,10 @@ def split_bold_lines(lines: DataFrame) -> DataFrame:
     """Short bold lines become heading rows of their own, others stay grouped (W-33).
 
     Adds ``part`` (line number that opens the group) and ``kind`` h2/h3/p.
-    Leading blank lines of a group are dropped, later ones kept as breaks.
+    Leading blank lines of a group are dropped, later ones kept as breaks. Lines
+    move at most once, to their page.
     """
-    left = lines.where(F.col("text") != "").groupBy("doc_id", "page").agg(F.min("x0").alias("__left"))
+    said = F.col("text") != ""
     width = F.col("page_width")
     indent = F.col("x0") - F.col("__left")
     diff = F.abs(F.col("x0") - (width - F.col("x1")))
@@ -137,11 +164,11 @@ def split_bold_lines(lines: DataFrame) -> DataFrame:
         centred & (tx.is_caps(F.col("text")) | tx.is_year_heading(F.col("text"))), "h2"
     ).otherwise("h3")
     heading = F.col("bold") & (F.col("text") != "") & (F.length("text") <= HEADING_CHARS)
-    rows = lines.join(left, ["doc_id", "page"], "left").withColumn("kind", F.when(heading, level).otherwise("p"))
-    body = F.when(F.col("kind") == "p", F.lit(1))
-    out = cut_lineage(islands(rows, body, body, "part", keys=BLOCK, pos="line"))
-    opens = out.where(F.col("text") != "").groupBy(*BLOCK, "part").agg(F.min("line").alias("__open"))
-    return out.join(opens, [*BLOCK, "part"]).where(F.col("line") >= F.col("__open")).select(*lines.columns, "part", "kind")
+    rows = lines.withColumn("__left", F.min(F.when(said, F.col("x0"))).over(Window.partitionBy(*PAGE)))
+    rows = rows.withColumn("kind", F.when(heading, level).otherwise("p"))
+    out = _stretches(rows, F.when(F.col("kind") == "p", F.lit(1)), "part", BLOCK)
+    out = out.withColumn("__said", F.max(F.when(said, F.col("line"))).over(Window.partitionBy(*BLOCK).orderBy("line")))
+    return out.where((F.col("__said") >= F.col("part")) & _placed(BLOCK)).select(*lines.columns, "part", "kind")
 
 
 def split_footnote_zone(lines: DataFrame, modes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -200,29 +227,39 @@ def _clip(text: Column, limit: int = 240) -> Column:
 
 
 def _claim(max_lines: int, gap: float = 10.0):
-    """Give each image of a page, in reading order, its unclaimed candidates chained from the top."""
-
-    def claim(pdf: pd.DataFrame) -> dict:
-        taken, image, chosen, bottom, out = set(), None, 0, None, []
-        for r in pdf.itertuples(index=False):
-            if r.image != image:
-                image, chosen, bottom = r.image, 0, None
-            if r.cand in taken or chosen < 0:
-                continue
-            if chosen == max_lines or (bottom is not None and r.y0 - bottom > gap):
-                chosen = -1
-                continue
-            out.append((r.doc_id, r.page, image, r.cand, chosen, r.text))
-            taken.add(r.cand)
-            chosen, bottom = chosen + 1, r.y1
-        return dict(zip(("doc_id", "page", "image", "cand", "nth", "text"), zip(*out)))
+    """Give each image of a page, in reading order, its unclaimed candidates chained from the top.
+
+    Rows come sorted by page and image; a task holds the claims of one page.
+    """
+    names = ["doc_id", "page", "image", "cand", "nth", "text"]
+
+    def claim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, taken, image, chosen, bottom = None, set(), None, 0, None
+        for pdf in batches:
+            out = []
+            for doc, page, picture, cand, y0, y1, text in zip(*(pdf[c].tolist() for c in ("doc_id", "page", "image", "cand", "y0", "y1", "text"))):
+                if (doc, page) != at:
+                    at, taken, image = (doc, page), set(), None
+                if picture != image:
+                    image, chosen, bottom = picture, 0, None
+                if cand in taken or chosen < 0:
+                    continue
+                if chosen == max_lines or (bottom is not None and y0 - bottom > gap):
+                    chosen = -1
+                    continue
+                out.append((doc, page, image, cand, chosen, text))
+                taken.add(cand)
+                chosen, bottom = chosen + 1, y1
+            yield pd.DataFrame(out, columns=names)
 
     return claim
 
 
 def _captions(candidates: DataFrame, max_lines: int) -> tuple[DataFrame, DataFrame]:
     schema = "doc_id long, page int, image int, cand string, nth int, text string"
-    claims = grouped_map(candidates, ["doc_id", "page"], ["image", "y0", "cand"], _claim(max_lines), schema)
+    # Few bytes, but rows for Python: as many tasks as the session names.
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    claims = candidates.repartition(parts, *PAGE).sortWithinPartitions(*PAGE, "image", "y0", "cand").mapInPandas(_claim(max_lines), schema)
     claims = cut_lineage(claims)
     texts = F.filter(F.sort_array(F.collect_list(F.struct("nth", "text")))["text"], lambda t: t != "")
     captions = claims.groupBy("doc_id", "page", "image").agg(_clip(tx.strip(F.array_join(texts, " "))).alias("caption"))
@@ -370,22 +407,25 @@ def tile_components(images: DataFrame) -> DataFrame:
 def paragraph_groups(lines: DataFrame, thresholds: DataFrame, claimed_lines: DataFrame | None = None, claimed_blocks: DataFrame | None = None) -> DataFrame:
     """Draft rows in reading order: headings, and paragraphs split at blank lines (W-34).
 
-    ``lines`` as left by the heading and note steps (with part and kind).
+    ``lines`` as left by the heading and note steps (with part and kind). They are written once, so that the sizes of a
+    document can be dealt to its pages without the text; the lines then move once, to their page.
     """
-    rows = lines
+    rows = lines = written(lines, "lines")
     if claimed_blocks is not None:
         rows = rows.join(claimed_blocks, BLOCK, "left_anti")
     if claimed_lines is not None:
         rows = rows.join(claimed_lines.withColumn("__claimed", F.lit(True)), LINE, "left").where(
             F.col("__claimed").isNull() | (F.col("text") == "")
         ).drop("__claimed")
-    blocks = text_blocks(lines.select(*lines.columns)).select(*BLOCK, F.col("size").alias("__bsize"))
-    sized = rows.join(blocks, BLOCK, "left").join(thresholds, "doc_id", "left")
-    whole = F.col("kind") == "p"
-    sized = cut_lineage(sized.withColumn("kind", F.when(whole, size_kind(F.col("__bsize"))).otherwise(F.col("kind"))))
-    breaks = F.when((F.col("text") != "") & (F.col("kind") == "p"), F.lit(1))
+    if claimed_blocks is None and claimed_lines is None:
+        rows = _block_size(rows.join(_by_pages(lines, thresholds), PAGE, "left"))
+    else:
+        # A block's size is that of all its lines, claimed ones too.
+        blocks = text_blocks(lines).select(*BLOCK, F.col("size").alias("__bsize"))
+        rows = rows.join(blocks, BLOCK, "left").join(_by_pages(lines, thresholds), PAGE, "left")
+    sized = rows.withColumn("kind", F.when(F.col("kind") == "p", size_kind(F.col("__bsize"))).otherwise(F.col("kind")))
     keys = [*BLOCK, "part"]
-    grouped = islands(sized, breaks, breaks, "group", keys=keys, pos="line").where(F.col("text") != "")
+    grouped = _stretches(sized, F.when((F.col("text") != "") & (F.col("kind") == "p"), F.lit(1)), "group", keys).where(F.col("text") != "")
     # a large heading is one row per part even across blank lines
     group = F.when(F.col("kind") == "p", F.col("group")).otherwise(F.col("part"))
     shown = F.when(F.col("kind") == "p", F.col("md")).otherwise(F.col("text"))
@@ -395,5 +435,26 @@ def paragraph_groups(lines: DataFrame, thresholds: DataFrame, claimed_lines: Dat
     )
     y = F.when(F.col("kind") == "p", F.col("__first_y")).otherwise(F.col("__top"))
     order = [F.col(c) for c in ("page", "y", "block", "part", "group")]
-    out = number_rows(paras.where(F.col("text") != "").withColumn("y", y), ["doc_id"], order, [F.col("page")], "pos")
-    return out.select("doc_id", (F.col("pos") - 1).cast("int").alias("pos"), "page", "kind", "text", "size")
+    # Numbered inside the page while the rows are there, written once, and moved on by the rows of the pages before.
+    inside = paras.where(F.col("text") != "").withColumn("y", y).withColumn("__rn", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*order)))
+    inside = written(inside.select(*PAGE, "kind", "text", "size", "__rn"), "paragraphs")
+    earlier = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    bases = inside.groupBy(*PAGE).agg(F.count("*").alias("__n")).select(*PAGE, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    same = reduce(lambda a, b: a & b, [inside[k].eqNullSafe(F.col(f"__{k}")) for k in PAGE])
+    out = inside.join(bases.withColumnsRenamed({k: f"__{k}" for k in PAGE}), same)
+    return out.select("doc_id", (F.col("__rn") + F.col("__base") - 1).cast("int").alias("pos"), "page", "kind", "text", "size")
+
+
+def _by_pages(lines: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """The thresholds of a document for each of its pages."""
+    return lines.select(*PAGE).distinct().join(thresholds, "doc_id")
+
+
+def _block_size(rows: DataFrame) -> DataFrame:
+    """``__bsize``: the most frequent size among a block's lines with text, first seen wins ties."""
+    counts = (F.col("text") != "") & (F.col("size") > 0)
+    alike = Window.partitionBy(*BLOCK, "size")
+    rows = rows.withColumns({"__same": F.count(F.when(counts, F.lit(1))).over(alike), "__since": F.min(F.when(counts, F.col("line"))).over(alike)})
+    rank = F.when(counts, F.struct("__same", -F.col("__since")))
+    size = F.max_by("size", rank).over(Window.partitionBy(*BLOCK))
+    return rows.withColumn("__bsize", F.when(_placed(BLOCK), size)).drop("__same", "__since")

@@ -115,7 +115,7 @@ def _(spark, sf):
 
 
 def bold_split(spark, sf):
-    return cut_lineage(ly.split_bold_lines(printed(spark, sf)))
+    return ly.split_bold_lines(ly.line_style(spans(spark, sf)))
 
 
 _BOLD = f"""{_PRINTED}, e AS (SELECT *, min(x0) FILTER (text <> '') OVER (PARTITION BY doc_id, page) AS edge FROM pr),
