@@ -14,11 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions import runs as rn
 from quire.functions import text as tx
 from quire.operators.ordered import grouped_map, number_rows
 from quire.session import cut_lineage, written
-from quire.sources.tables import RUN
 
 PAGE = ["doc_id", "page"]
 LINE = ["doc_id", "page", "block", "line"]
@@ -70,17 +68,22 @@ def size_kind(size: Column) -> Column:
 
 def md_line(spans: Column) -> Column:
     """Styled spans as Markdown; adjacent equal styles merge, blanks stay outside the marks (F-22)."""
-    off = [F.lit(False).alias(f.name) for f in RUN.fields[3:7]]
-    runs = F.transform(spans, lambda s: F.struct(
-        s["text"].alias("text"), s["bold"].alias("bold"), s["italic"].alias("italic"), *off, F.lit(None).cast("string").alias("href")))
+    said = lambda x: F.coalesce(x["text"], F.lit(""))
+    styled = lambda x: _marked(x["text"], x["bold"], x["italic"])
+    same = lambda x, y: F.coalesce(x, F.lit(False)) == F.coalesce(y, F.lit(False))
 
-    def one(r):
-        return _marked(r["text"], r["bold"], r["italic"])
+    # What is finished, and the spans of one style that are still open.
+    def step(acc, r):
+        goes_on = same(acc["bold"], r["bold"]) & same(acc["italic"], r["italic"])
+        return F.when(
+            acc["any"] & goes_on, F.struct(acc["done"].alias("done"), F.concat(acc["text"], said(r)).alias("text"), acc["bold"].alias("bold"), acc["italic"].alias("italic"), F.lit(True).alias("any"))
+        ).otherwise(F.struct(F.concat(acc["done"], styled(acc)).alias("done"), said(r).alias("text"), r["bold"].alias("bold"), r["italic"].alias("italic"), F.lit(True).alias("any")))
 
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit(False).alias("any"))
+    many = F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], styled(acc)))
     # Most lines are one span, which has nothing to merge with.
     only = F.get(spans, F.lit(0))
-    alone = F.coalesce(_marked(F.coalesce(only["text"], F.lit("")), only["bold"], only["italic"]), F.lit(""))
-    return tx.strip(F.when(F.size(spans) == 1, alone).otherwise(F.array_join(F.transform(rn.coalesce_runs(runs), one), "")))
+    return tx.strip(F.when(F.size(spans) == 1, _marked(said(only), only["bold"], only["italic"])).otherwise(many))
 
 
 def _marked(text: Column, bold: Column, italic: Column) -> Column:
@@ -103,7 +106,7 @@ def line_style(spans: DataFrame) -> DataFrame:
     Spans move to their page, so what follows by page, block or line needs no further shuffle.
     """
     parts = F.sort_array(F.collect_list(F.struct("span", "text", "bold", "italic", "size")))
-    solid = F.length(F.regexp_replace("text", tx.BLANK, ""))
+    solid = F.length(F.translate("text", tx.BLANK_CHARS, ""))
     rows = spans.withColumn("__solid", solid).repartition(*PAGE).groupBy(*LINE).agg(
         parts.alias("s"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1", "page_width", "page_height")],
         F.sum("__solid").alias("__total"), F.sum(F.when(F.col("bold"), F.col("__solid")).otherwise(0)).alias("__bold"), (F.count("text") == F.count("*")).alias("__known"),
