@@ -14,31 +14,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.operators.ordered import number_rows_by_range, running, scan, segment
+from quire.operators.membership import sifted
+from quire.operators.ordered import islands, number_rows_by_range, segment
 from quire.operators.versions import replace_by_key
 from quire.session import cut_lineage
 
 #: One in so many blocks (or nodes) ends its group, and the most that a group holds.
 USUAL, MOST = 32, 256
+#: Positions whose blocks are collected together.
+STRETCH = 8 * MOST
 KEY = ("doc_id",)
 NODE = "digest string, level int, children array<struct<child:string,size:bigint>>"
 SNAPSHOT = "snapshot_id long, doc_id long, root string, level int, size long, meta map<string,string>, content_hash string, note string, created_at timestamp"
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Adds ``grp``, the content-defined group of each row (doc_id, pos, digest): those up to a boundary, at most MOST."""
-    ends = (F.conv(F.substring("digest", 1, 4), 16, 10).cast("int") % USUAL == 0).cast("long")
-    marked = scan(rows.withColumn("__ends", ends), KEY, "pos", __upto=running(F.col("__ends")))
+def _name(row: Column) -> Column:
+    return F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)
+
+
+def _ends(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % USUAL == 0
+
+
+def _grouped(rows: DataFrame, ends: Column, seg_out: str | None = None) -> DataFrame:
+    """Adds ``grp``, the content-defined group of each row (doc_id, pos): those up to a boundary, at most MOST."""
     # A boundary row still belongs to the group that it ends.
-    stretch = marked.withColumn("__run", F.col("__upto") - F.col("__ends"))
-    long_run = stretch.groupBy(*KEY, "__run", segment("pos").alias("__seg")).agg(F.min("pos").alias("__m"))
-    first = long_run.groupBy(*KEY, "__run").agg(F.min("__m").alias("__first"))
-    placed = stretch.join(first, [*KEY, "__run"])
+    led = islands(rows, F.when(~ends, 1), F.lit(1), "__first", KEY, seg_out=seg_out)
     part = F.floor((F.col("pos") - F.col("__first")) / MOST)
-    return placed.withColumn("grp", F.struct("__run", part.alias("part"))).select(*rows.columns, "grp")
+    return led.withColumn("grp", F.struct("__first", part.alias("part"))).drop("__first")
 
 
 def _numbered(groups: DataFrame, *keep: str) -> DataFrame:
@@ -47,44 +53,96 @@ def _numbered(groups: DataFrame, *keep: str) -> DataFrame:
     return numbered.select(*KEY, (F.col("__n") - 1).alias("pos"), *keep)
 
 
-def trees(blocks: DataFrame, content: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _runs(blocks: DataFrame, row: Column) -> DataFrame:
+    """doc_id, first, last, digest, size, again of every run, from the digests of its blocks; no block moves.
+
+    Rows of one position count each against all of it; ``again`` lists such positions, once for each of their digests.
+    """
+    sha = _name(row)
+    rows = blocks.dropna(subset=[*KEY, "pos"]).select(*KEY, "pos", F.unhex(sha).alias("digest"), _ends(sha).alias("__ends"))
+    rows = _grouped(rows, F.col("__ends"), "__seg").withColumn("__k", F.count("*").over(Window.partitionBy(*KEY, "__seg", "pos")))
+    pieces = rows.groupBy(*KEY, "__seg", "grp").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", F.col("__k").alias("k")))).alias("c"))
+    hexes = F.array_join(F.transform("c", lambda c: F.repeat(F.lower(F.hex(c["digest"])), c["k"].cast("int"))), "")
+    start = F.col("grp.__first") + F.col("grp.part") * MOST
+    # Digests go on only where the group may reach into another segment; the others have their name here.
+    whole = segment(start) == segment(start + (MOST - 1))
+    pieces = pieces.select(
+        *KEY, "grp", F.array_min("c.pos").alias("first"), F.array_max("c.pos").alias("last"), F.aggregate("c.k", F.lit(0).cast("long"), lambda a, k: a + k).alias("size"),
+        F.when(whole, F.sha2(hexes, 256)).alias("digest"), F.when(~whole, hexes).alias("hexes"),
+        F.when(F.exists("c", lambda c: c["k"] > 1), F.transform(F.filter("c", lambda c: c["k"] > 1), lambda c: c["pos"])).alias("again"),
+    )
+    runs = pieces.groupBy(*KEY, "grp").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("size").alias("size"), F.first("digest", True).alias("digest"),
+        F.sort_array(F.collect_list(F.struct("first", "hexes"))).alias("h"), F.flatten(F.collect_list("again")).alias("again"),
+    )
+    return runs.select(*KEY, "first", "last", F.coalesce("digest", F.sha2(F.array_join("h.hexes", ""), 256)).alias("digest"), "size", "again")
+
+
+def _near(pos: Column) -> Column:
+    """The stretch of positions that one holds; a run lies in one, or around the start of one."""
+    return (pos / STRETCH).cast("long")
+
+
+def _collected(blocks: DataFrame, row: Column, runs: DataFrame) -> DataFrame:
+    """digest, blocks of ``runs`` (as ``_runs`` has them, each digest once): their blocks move once, to their stretch.
+
+    Blocks around the start of a stretch go there too, for a run that reaches over it.
+    """
+    pos, low, high = F.col("pos"), _near(F.col("first")), _near(F.col("last"))
+    before, after = _near(pos - MOST), _near(pos + MOST)
+    homes = F.when(before == after, F.array(2 * _near(pos))).otherwise(F.array(2 * _near(pos), 2 * after + 1))
+    named = runs.select(*KEY, F.when(low == high, 2 * low).otherwise(2 * high + 1).alias("home"), "digest", "first", "last", "again")
+    placed = blocks.select(*KEY, "pos", row.alias("block"), F.explode(homes).alias("home")).join(named, [*KEY, "home"])
+    placed = placed.where(pos.between(F.col("first"), F.col("last")))
+    whole = placed.groupBy(*KEY, "home", "digest").agg(F.sort_array(F.collect_list(F.struct("pos", "block"))).alias("b"), F.first("again").alias("again"))
+    times = lambda b: F.greatest(F.lit(1), F.size(F.filter("again", lambda p: p == b["pos"])))
+    again = F.flatten(F.transform("b", lambda b: F.array_repeat(b["block"], times(b))))
+    return whole.select("digest", F.when(F.size("again") > 0, again).otherwise(F.col("b.block")).alias("blocks"))
+
+
+def trees(blocks: DataFrame, content: Sequence[str], docs: DataFrame | None = None, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(runs, nodes, roots) of blocks (doc_id, pos and the columns ``content``).
 
     runs: digest, blocks (array of the content). nodes: digest, level, children (digest and blocks below, in order).
     roots: doc_id, root, level, size. Positions need not be dense. A digest stands for its content whatever document it
-    is in. A document without blocks has no root.
+    is in. A document without blocks has no root. ``docs`` (doc_id) names the documents meant, where not all are;
+    ``held`` (digest) are runs not wanted again.
+
+    Runs are found from digests alone; blocks are moved for the runs wanted only.
     """
     row = F.struct(*content)
-    digest = F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)
-    rows = cut_lineage(_grouped(blocks.select(*KEY, "pos", digest.alias("digest"))))
-    both = rows.join(blocks.select(*KEY, "pos", row.alias("block")), [*KEY, "pos"])
-    runs = both.groupBy(*KEY, "grp").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "block"))).alias("b"))
-    runs = runs.select(*KEY, F.array_min("b.pos").alias("first"), F.sha2(F.array_join("b.digest", ""), 256).alias("digest"), F.size("b").cast("long").alias("size"), F.col("b.block").alias("blocks"))
-    runs = cut_lineage(runs)
-    stored = runs.groupBy("digest").agg(F.first("blocks").alias("blocks"))
+    found = _runs(blocks, row)
+    beside = Window.partitionBy(*KEY)
+    runs = found if docs is None else found.join(docs.select(*KEY), list(KEY), "left_semi")
+    runs = cut_lineage(runs.withColumn("n", F.count("*").over(beside)))
+    wanted = runs.groupBy("digest").agg(F.min_by(F.struct(*KEY, "first", "last", "again"), F.struct(*KEY, "first", "last")).alias("r"))
+    if held is not None:
+        wanted = cut_lineage(wanted.join(held, "digest", "left_anti"))
+    wanted = wanted.select("digest", "r.*")
+    stored = _collected(blocks if held is None else sifted(blocks, "doc_id", wanted, "doc_id")[0], row, wanted)
     level, nodes, roots = 0, None, None
-    below = cut_lineage(_numbered(runs.select(*KEY, "first", "digest", "size"), "digest", "size"))
+    below = runs.select(*KEY, "first", "digest", "size", "n")
     while True:
-        counted = below.groupBy(*KEY).agg(F.count("*").alias("n"))
-        alone = below.join(counted.where("n = 1").select(*KEY), list(KEY), "left_semi").select(*KEY, F.col("digest").alias("root"), F.lit(level).alias("level"), "size")
+        alone = below.where("n = 1").select(*KEY, F.col("digest").alias("root"), F.lit(level).alias("level"), "size")
         roots = alone if roots is None else roots.unionByName(alone)
-        rest = below.join(counted.where("n > 1").select(*KEY), list(KEY), "left_semi")
+        rest = below.where("n > 1")
         if rest.isEmpty():
             empty = blocks.sparkSession.createDataFrame([], NODE)
             return stored, empty if nodes is None else nodes.dropDuplicates(["digest"]), roots
+        rest = cut_lineage(_numbered(rest.select(*KEY, "first", "digest", "size"), "digest", "size"))
         level += 1
         # The digests of the children decide again; a level's name enters its digests, so levels never meet.
-        grouped = _grouped(rest).groupBy(*KEY, "grp").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "size"))).alias("c"))
+        grouped = _grouped(rest.withColumn("__ends", _ends(F.col("digest"))), F.col("__ends")).groupBy(*KEY, "grp").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "size"))).alias("c"))
         built = cut_lineage(
             grouped.select(
                 *KEY, F.array_min("c.pos").alias("first"), F.sha2(F.concat(F.lit(f"{level}:"), F.array_join("c.digest", "")), 256).alias("digest"),
                 F.aggregate("c.size", F.lit(0).cast("long"), lambda a, n: a + n).alias("size"),
                 F.transform("c", lambda c: F.struct(c["digest"].alias("child"), c["size"].alias("size"))).alias("children"),
-            )
+            ).withColumn("n", F.count("*").over(beside))
         )
         own = built.select("digest", F.lit(level).alias("level"), "children")
         nodes = own if nodes is None else nodes.unionByName(own)
-        below = cut_lineage(_numbered(built.select(*KEY, "first", "digest", "size"), "digest", "size"))
+        below = built.select(*KEY, "first", "digest", "size", "n")
 
 
 class ContentStore:
@@ -125,19 +183,19 @@ class ContentStore:
         """
         done = self.snapshots().agg(F.coalesce(F.max("snapshot_id"), F.lit(0)).alias("top")).first()["top"]
         number = self._table("snapshots", SNAPSHOT).agg(F.coalesce(F.max("save"), F.lit(0))).first()[0] + 1
-        runs, nodes, roots = trees(blocks.join(docs.select("doc_id"), "doc_id", "left_semi"), self.content)
-        for name, rows, held in (("runs", runs, self.runs()), ("nodes", nodes, self.nodes())):
-            # A failed save may have left this folder: it is written anew, against the saves before it only.
-            before = held.where(F.col("save") < number).select("digest")
-            rows.join(before, "digest", "left_anti").write.mode("overwrite").parquet(f"{self.folder}/{name}/save={number}")
-        rows = docs.select("doc_id", "meta", "content_hash").join(cut_lineage(roots), "doc_id", "left")
-        rows = number_rows_by_range(rows.select("doc_id", "root", "level", "size", "content_hash"), [], [F.col("doc_id")], "__n").join(docs.select("doc_id", "meta"), "doc_id")
+        # A failed save may have left folders of this number: they are written anew, against the saves before it only.
+        before = lambda held: held.where(F.col("save") < number).select("digest")
+        runs, nodes, roots = trees(blocks, self.content, docs, before(self.runs()) if number > 1 else None)
+        for name, rows in (("runs", runs), ("nodes", nodes.join(before(self.nodes()), "digest", "left_anti"))):
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{name}/save={number}")
+        rows = number_rows_by_range(docs.select("doc_id", "content_hash"), [], [F.col("doc_id")], "__n").join(docs.select("doc_id", "meta"), "doc_id")
+        rows = rows.join(roots, "doc_id", "left")
         rows = rows.select(
             (F.col("__n") + done).alias("snapshot_id"), "doc_id", "root", "level", F.coalesce("size", F.lit(0)).cast("long").alias("size"), "meta", "content_hash",
             F.lit(note).alias("note"), now.alias("created_at"),
         )
         path = f"{self.folder}/snapshots/save={number}"
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(SNAPSHOT).parquet(path)
 
     def blocks_of(self, roots: DataFrame, *keep: str) -> DataFrame:
