@@ -254,7 +254,8 @@ class ContentStore:
         """doc_id, the content columns and n: blocks that ``new`` has more (n > 0) or less often (n < 0) than ``old``.
 
         Both are rows of snapshots. Digests are counted with their sign and go down only where the counts differ, so
-        equal subtrees, wherever they stand, are never read; a document whose blocks only changed places has no row.
+        equal subtrees, wherever they stand, are never read; a document whose blocks only changed places has no row. Blocks are
+        counted by their digests as well, and only those that differ are moved.
         """
         side = lambda d, n: d.where(F.col("root").isNotNull()).select("doc_id", F.col("root").alias("digest"), "level", F.lit(n).cast("long").alias("n"))
         met = lambda d: d.groupBy("doc_id", "digest", "level").agg(F.sum("n").alias("n")).where("n != 0")
@@ -263,5 +264,11 @@ class ContentStore:
         for level in range(self._top(at), 0, -1):
             below = at.where(F.col("level") == level).join(nodes, "digest").select("doc_id", F.explode("children.child").alias("digest"), F.lit(level - 1).alias("level"), "n")
             at = cut_lineage(met(at.where(F.col("level") != level).unionByName(below)))
-        found = at.join(self.runs().select("digest", "blocks"), "digest").select("doc_id", "n", F.inline("blocks"))
-        return found.groupBy("doc_id", *self.content).agg(F.sum("n").alias("n")).where("n != 0")
+        at = cut_lineage(at)
+        runs = sifted(self.runs().select("digest", "blocks"), "digest", at, "digest")[0]
+        names = runs.select("digest", F.transform("blocks", lambda b: F.unhex(_name(b))).alias("names"))
+        found = at.join(names, "digest").select("doc_id", "n", F.explode("names").alias("name"))
+        found = cut_lineage(found.groupBy("doc_id", "name").agg(F.sum("n").alias("n")).where("n != 0"))
+        block = runs.select(F.explode("blocks").alias("b")).withColumn("name", F.unhex(_name(F.col("b"))))
+        block = sifted(block, "name", found, "name")[0].groupBy("name").agg(F.first("b").alias("b"))
+        return found.join(block, "name").select("doc_id", *[F.col("b")[c].alias(c) for c in self.content], "n")
