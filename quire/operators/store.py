@@ -211,10 +211,15 @@ class ContentStore:
             below = high.withColumn("ends", ends).select(*keep, "at", "ends", F.posexplode("children").alias("i", "c"))
             below = below.select(*keep, F.col("c.child").alias("digest"), F.lit(level - 1).alias("level"), (F.col("at") + F.get("ends", F.col("i"))).alias("at"))
             at = at.where(F.col("level") != level).unionByName(below)
-        found = at.join(self.runs().select("digest", "blocks"), "digest")
+        found = self._with_blocks(at)
         placed = found.select(*keep, "at", F.posexplode("blocks").alias("i", "b"))
         return placed.select(*keep, (F.col("at") + F.col("i")).alias("pos"), *[F.col("b")[c].alias(c) for c in self.content])
 
+    def _with_blocks(self, at: DataFrame) -> DataFrame:
+        """``at`` (digest and more) with the blocks of its runs; runs that it does not name stay where they are."""
+        at = cut_lineage(at)
+        return at.join(sifted(self.runs().select("digest", "blocks"), "digest", at, "digest")[0], "digest")
+
     def _top(self, rows: DataFrame) -> int:
         return rows.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
 
@@ -246,7 +251,7 @@ class ContentStore:
             "snapshot_id", "content_hash", now.alias("created_at"),
         )
         return {
-            "blocks": replace_by_key(blocks.select("doc_id", "pos", *self.content), old.select("doc_id", F.col("pos").cast(blocks.schema["pos"].dataType).alias("pos"), *self.content), keys),
+            "blocks": replace_by_key(blocks.select("doc_id", "pos", *self.content), old.select("doc_id", F.col("pos").cast(blocks.schema["pos"].dataType).alias("pos"), *self.content), keys, within=True),
             "docs": named.withColumns(columns).select(*docs.columns), "log": log, "rejected": rejected, "reindex": keys,
         }
 

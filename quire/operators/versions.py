@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.membership import sifted
 from quire.operators.ordered import number_rows, number_rows_by_range, segment
-from quire.session import written
+from quire.session import cut_lineage, written
 
 FP = "\x1c"
 
@@ -156,7 +157,13 @@ def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, D
     return {name: t.join(ids, "doc_id", "left_anti") if "doc_id" in t.columns else t for name, t in tables.items()}
 
 
-def replace_by_key(table: DataFrame, new: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Delete the rows of ``keys`` and insert ``new``; a key without new rows ends up empty (K-03)."""
+def replace_by_key(table: DataFrame, new: DataFrame, keys: DataFrame, key: str = "doc_id", within: bool = False) -> DataFrame:
+    """Delete the rows of ``keys`` and insert ``new``; a key without new rows ends up empty (K-03).
+
+    ``within`` says that ``new`` was made for these keys only, so its rows need not be moved to be compared with them.
+    Keys alone tell what stays, and rows that surely do not are not moved.
+    """
     named = keys.select(key).distinct()
-    return table.join(named, key, "left_anti").unionByName(new.join(named, key, "left_semi"))
+    stay = cut_lineage(table.select(key).distinct().join(named, key, "left_anti"))
+    kept = sifted(table, key, stay, key)[0].join(stay, key, "left_semi").unionByName(table.where(F.col(key).isNull()))
+    return kept.unionByName(new if within else new.join(named, key, "left_semi"))
