@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions import text as tx
+
 
 def map_chunks(chunks: DataFrame, fn: Callable[[str, str], str], text: str = "text", attempts: int = 2) -> DataFrame:
     """Run ``fn(text, last_error)`` on every chunk (U-01).
@@ -62,34 +64,46 @@ def parse_block_replies(raw: str, ids: str) -> Column:
     objects one after another, fenced or not. Blocks are named by their own or their short id; ``ctx`` is left out.
     ``error`` lists fault codes with their counts: unreadable, incomplete, text_type, unknown_id, repeated_id, missing.
     """
+    # Every step is bound: what is read off a reply is worked out once, however often the next step uses it.
     bare = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"(?s)\A\s*```[A-Za-z]*\n|\n?```\s*\z", "")
     # a quote cannot follow a brace inside a JSON string without ending it there, so this only meets between objects
-    listed = F.concat(F.lit("["), F.regexp_replace(bare, r'\}\s*,?\s*(?=\{\s*"[A-Za-z_]+"\s*:)', "},"), F.lit("]"))
-    value = F.try_parse_json(F.when(bare.rlike(r"\A\s*\["), bare).otherwise(listed))
+    listed = lambda b: F.concat(F.lit("["), F.regexp_replace(b, r'\}\s*,?\s*(?=\{\s*"[A-Za-z_]+"\s*:)', "},"), F.lit("]"))
+    value = tx.bound(bare, lambda b: F.try_parse_json(F.when(b.rlike(r"\A\s*\["), b).otherwise(listed(b))))
     short = F.transform(F.col(ids), lambda _, i: F.format_string("b%03d", i))
     field = lambda e, k: F.try_variant_get(e, f"$.{k}", "string")
 
-    def read(e):
-        name = field(e, "id")
+    def parts(e):
+        is_text = F.schema_of_variant(F.try_variant_get(e, "$.text", "variant")) == "STRING"
+        return F.struct(field(e, "id").alias("name"), field(e, "kind").isNull().alias("bare"), field(e, "text").alias("text"), is_text.alias("is_text"))
+
+    def judged(e, short):
+        name = e["name"]
         known = F.when(F.array_contains(F.col(ids), name), name).otherwise(F.try_element_at(F.col(ids), F.nullif(F.array_position(short, name).cast("int"), F.lit(0))))
-        fault = (
-            F.when(name.isNull() | field(e, "kind").isNull() | field(e, "text").isNull(), "incomplete")
-            .when(F.schema_of_variant(F.try_variant_get(e, "$.text", "variant")) != "STRING", "text_type")
-            .when(known.isNull(), "unknown_id")
-        )
-        return F.struct(known.alias("block_id"), field(e, "text").alias("text"), fault.alias("fault"))
-
-    entries = F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda e: ~field(e, "id").eqNullSafe(F.lit("ctx")))
-    read_ = F.transform(entries, read)
-    good = F.filter(read_, lambda r: r["fault"].isNull())
-    names = F.transform(good, lambda r: r["block_id"])
-    count = lambda code: F.size(F.filter(read_, lambda r: r["fault"] == code))
-    counts = [(code, count(code)) for code in ("incomplete", "text_type", "unknown_id")]
-    counts += [("repeated_id", F.size(names) - F.size(F.array_distinct(names))), ("missing", F.size(F.array_except(F.col(ids), names)))]
-    faults = F.concat_ws(", ", *[F.when(n > 0, F.concat(F.lit(f"{code}: "), n.cast("string"))) for code, n in counts])
-    error = F.when(read_.isNull(), "unreadable").otherwise(faults)
-    replies = F.transform(good, lambda r: F.struct(r["block_id"].alias("block_id"), r["text"].alias("text")))
-    return F.struct((error == "").alias("ok"), error.alias("error"), F.when(error == "", replies).otherwise(F.slice(replies, 1, 0)).alias("replies"))
+
+        def settle(known):
+            fault = F.when(name.isNull() | e["bare"] | e["text"].isNull(), "incomplete").when(~e["is_text"], "text_type").when(known.isNull(), "unknown_id")
+            return F.struct(known.alias("block_id"), e["text"].alias("text"), fault.alias("fault"))
+
+        return tx.bound(known, settle)
+
+    entries = F.filter(F.transform(F.try_variant_get(value, "$", "array<variant>"), parts), lambda e: ~e["name"].eqNullSafe(F.lit("ctx")))
+    read_ = tx.bound(short, lambda s: F.transform(entries, lambda e: judged(e, s)))
+
+    def told(read_, good):
+        count = lambda code: F.size(F.filter(read_, lambda r: r["fault"] == code))
+        names = good["block_id"]
+        counts = [(code, count(code)) for code in ("incomplete", "text_type", "unknown_id")]
+        counts += [("repeated_id", F.size(names) - F.size(F.array_distinct(names))), ("missing", F.size(F.array_except(F.col(ids), names)))]
+        shown = lambda code, n: tx.bound(n, lambda k: F.when(k > 0, F.concat(F.lit(f"{code}: "), k.cast("string"))))
+        faults = F.concat_ws(", ", *[shown(code, n) for code, n in counts])
+        return F.when(read_.isNull(), "unreadable").otherwise(faults)
+
+    def outcome(read_, good):
+        replies = F.transform(good, lambda r: F.struct(r["block_id"].alias("block_id"), r["text"].alias("text")))
+        return tx.bound(told(read_, good), lambda error: F.struct(
+            (error == "").alias("ok"), error.alias("error"), F.when(error == "", replies).otherwise(F.slice(replies, 1, 0)).alias("replies")))
+
+    return tx.bound(read_, lambda r: tx.bound(F.filter(r, lambda x: x["fault"].isNull()), lambda good: outcome(r, good)))
 
 
 def reply_ids_check(expected: DataFrame, got: DataFrame, keys: list[str]) -> DataFrame:

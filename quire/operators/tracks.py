@@ -52,11 +52,6 @@ LINE_KEYS = ("interpersonal_stated", "interpersonal_inference", "inconsistencies
 SLICE = 4096
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _reply(raw: Column, whole, inner) -> Column:
     """``whole`` of a reply that is an object, else ``inner`` of the object inside its prose; both take (text, variant)."""
     t = tx.strip(F.regexp_replace(tx.strip(raw), r"\A```(?:json)?", ""))
@@ -65,10 +60,10 @@ def _reply(raw: Column, whole, inner) -> Column:
     def settle(text):
         # What parses and begins with a brace is an object, so no schema is derived.
         cut = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-        found = _bound(cut, lambda c: _bound(F.try_parse_json(c), lambda v: F.when(v.isNotNull(), inner(c, v))))
-        return _bound(F.try_parse_json(text), lambda v: F.when(v.isNotNull(), F.when(text.startswith("{"), whole(text, v))).otherwise(found))
+        found = tx.bound(cut, lambda c: tx.bound(F.try_parse_json(c), lambda v: F.when(v.isNotNull(), inner(c, v))))
+        return tx.bound(F.try_parse_json(text), lambda v: F.when(v.isNotNull(), F.when(text.startswith("{"), whole(text, v))).otherwise(found))
 
-    return _bound(t, settle)
+    return tx.bound(t, settle)
 
 
 def reply_json(raw: Column) -> Column:
@@ -114,7 +109,7 @@ def replies_to_tracks(replies: DataFrame) -> dict[str, DataFrame]:
         return F.transform(track_rows(v, track), lambda d, i: F.struct(F.lit(track).alias("track_type"), i.alias("row_idx"), d.alias("data")))
 
     # Rows of all tracks come from one reading of the reply, which is also where a reply without a digest drops out.
-    read = _bound(reply_object(F.col("raw")), lambda v: F.when(has_digest(v), F.concat(*[listed(v, t) for t in TRACK_KEYS])))
+    read = tx.bound(reply_object(F.col("raw")), lambda v: F.when(has_digest(v), F.concat(*[listed(v, t) for t in TRACK_KEYS])))
     rows = replies.select(*key, F.inline(read)).where(F.col("data").isNotNull()).select(*key, "row_idx", "data", "track_type")
     strings = lambda k: F.transform(
         _list(F.col("__v"), k), lambda e: F.struct(F.lit(k).alias("kind"), F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string")).alias("text"))
