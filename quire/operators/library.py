@@ -39,16 +39,25 @@ def dirty_matrix(docs: DataFrame, targets: DataFrame, sync: DataFrame, snapshots
 
     Dirty: no state, no snapshot, or a snapshot whose hash differs from now's.
     """
-    pairs = target_pairs(docs.select("doc_id", "kind", "content_hash"), targets.select("target_id", "target_kind"))
-    taken = snapshots.select("snapshot_id", F.col("content_hash").alias("__hash"))
-    states = sync.select("doc_id", "target_id", "snapshot_id", "status", "published_at").join(taken, "snapshot_id", "left")
-    out = pairs.join(states, ["doc_id", "target_id"], "left")
+    # Hashes are only compared, so 128 bits of them move; a state without a snapshot has none to meet.
+    pairs = target_pairs(docs.select("doc_id", "kind", *_mark("content_hash", "now")), targets.select("target_id", "target_kind"))
+    taken = snapshots.select("snapshot_id", *_mark("content_hash", "was"))
+    states = sync.select("doc_id", "target_id", "snapshot_id", "status", "published_at")
+    named = states.where("snapshot_id is not null").join(taken, "snapshot_id", "left")
+    states = named.unionByName(states.where("snapshot_id is null"), allowMissingColumns=True)
+    out = pairs.drop("kind", "target_kind").join(states, ["doc_id", "target_id"], "left")
     return out.select(
         "doc_id", "target_id", F.coalesce("status", F.lit(NEVER)).alias("status"),
-        F.coalesce(F.col("content_hash") != F.col("__hash"), F.lit(True)).alias("dirty"), "published_at", "snapshot_id",
+        F.coalesce((F.col("now0") != F.col("was0")) | (F.col("now1") != F.col("was1")), F.lit(True)).alias("dirty"), "published_at", "snapshot_id",
     )
 
 
+def _mark(column: str, name: str) -> list[Column]:
+    """A text as two numbers that stand for it where it is only compared; null of a null."""
+    text = F.col(column)
+    return [F.when(text.isNotNull(), F.xxhash64(F.lit(i), text)).alias(f"{name}{i}") for i in range(2)]
+
+
 def target_url(states: DataFrame, docs: DataFrame, targets: DataFrame, log: DataFrame, recent: int = 20) -> DataFrame:
     """Public address per published document and target (J-18)."""
     publishes = log.where(F.col("kind") == "publish").select("doc_id", "change_id", "target_name", "file_id")

@@ -97,19 +97,38 @@ def publish_all(dirty: DataFrame, render: DataFrame, folder: str, spark, now: Co
     dirty whatever was published before. A dirty home page is refreshed, marked
     and logged once anything but a drive copy went out to its target.
     """
-    dirty = written(dirty, "dirty")
+    dirty = by_document(dirty)
     own = f"{folder}/run={run}"
-    pages = render.join(dirty.select("doc_id", "target_id").distinct(), "doc_id")
+    pages = render.join(asked_pages(dirty), "doc_id")
     pages.write.mode("overwrite").partitionBy("target_id").parquet(own)
     schema = f"{pages.drop('target_id').schema.simpleString()[7:-1]}, target_id: bigint".replace(":", " ")
     return publish_state(dirty, spark.read.schema(schema).parquet(own).select("doc_id", "target_id").distinct(), now)
 
 
+def by_document(dirty: DataFrame) -> DataFrame:
+    """Dirty rows, written once: a row for each document, kind and hash with its targets, so that a hash moves once for all of them."""
+    wanted = F.collect_list(F.struct("target_id", "target_kind"))
+    return written(dirty.groupBy("doc_id", "kind", "content_hash").agg(wanted.alias("targets")), "dirty")
+
+
+def asked_pages(dirty: DataFrame) -> DataFrame:
+    """Each (doc_id, target_id) once; they lie by document."""
+    each = dirty.select("doc_id", F.explode("targets.target_id").alias("target_id"))
+    return each.repartition("doc_id").distinct()
+
+
 def publish_state(dirty: DataFrame, found: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """State and log rows for the (doc_id, target_id) found written, and for the home pages refreshed with them (V-07)."""
-    done = written(dirty.join(found, ["doc_id", "target_id"], "left_semi"), "done")
+    """State and log rows for the (doc_id, target_id) found written, and for the home pages refreshed with them (V-07).
+
+    ``dirty`` as of ``by_document``: both are read off one join by document.
+    """
+    there = found.groupBy("doc_id").agg(F.collect_set("target_id").alias("found"))
+    out = lambda t: F.coalesce(F.array_contains("found", t["target_id"]), F.lit(False))
+    met = dirty.join(there, "doc_id", "left")
+    rows = written(met.select("doc_id", "kind", "content_hash", F.explode(F.transform("targets", lambda t: F.struct(t["target_id"].alias("target_id"), t["target_kind"].alias("target_kind"), out(t).alias("done")))).alias("t")).select("doc_id", "kind", "content_hash", "t.*").where((F.col("kind") == "homepage") | F.col("done")), "done")
+    done = rows.where("done")
     other = done.where((F.col("target_kind") != "drive") & (F.col("kind") != "homepage")).select("target_id").distinct()
-    home = dirty.where(F.col("kind") == "homepage").join(other, "target_id", "left_semi").join(done, ["doc_id", "target_id"], "left_anti")
+    home = rows.where(~F.col("done")).join(other, "target_id", "left_semi")
     row = lambda d, what: d.select("doc_id", F.lit("publish").alias("kind"), "target_id", F.lit(what).alias("summary"), now.alias("created_at"))
     log = row(done, "published").unionByName(row(home, "refreshed with its target"))
     return {"marked": done.unionByName(home.select(*done.columns)).select("doc_id", "target_id", "content_hash"), "log": log}

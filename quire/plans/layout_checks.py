@@ -13,7 +13,7 @@ from quire.plans.inputs import SQL_LINES, lines, table
 from quire.plans.library_checks import SQL_LOG, _MATRIX, change_log, dirty, job_results, library, states, targets
 from quire.plans.page_checks import _INDEX, _REPLY, _bm25, _one, doc_tracks
 from quire.plans.registry import check
-from quire.session import cut_lineage
+from quire.session import cut_lineage, written
 from quire.session import fresh_folder as _fresh
 from quire.sources import files as fl
 from quire.sources import page_sink as ps
@@ -288,7 +288,7 @@ def _(spark, sf):
     """Two runs: even documents, then all of them, of which only the odd ones render; status P never renders."""
     docs, folder = library(spark, sf), _fresh(spark, "site")
     dirty_rows = dirty(spark, sf).where("dirty").select("doc_id", "target_id").join(docs.select("doc_id", "kind", "content_hash"), "doc_id")
-    rows = dirty_rows.join(targets(spark, sf).select("target_id", "target_kind"), "target_id")
+    rows = written(dirty_rows.join(targets(spark, sf).select("target_id", "target_kind"), "target_id"), "asked")  # read by both runs
     even = F.col("doc_id") % 2 == 0
     out = []
     for run, asked, fine in ((1, even, even), (2, F.lit(True), ~even)):
@@ -316,7 +316,7 @@ def _(spark, sf):
     """Two runs: even documents, then all of them, of which only the odd ones render; status P never renders; pages count once committed."""
     docs, folder = library(spark, sf), _fresh(spark, "site")
     dirty_rows = dirty(spark, sf).where("dirty").select("doc_id", "target_id").join(docs.select("doc_id", "kind", "content_hash"), "doc_id")
-    rows = dirty_rows.join(targets(spark, sf).select("target_id", "target_kind"), "target_id")
+    rows = written(dirty_rows.join(targets(spark, sf).select("target_id", "target_kind"), "target_id"), "asked")  # read by both runs
     even = F.col("doc_id") % 2 == 0
     out = []
     for run, asked, fine in ((1, even, even), (2, F.lit(True), ~even)):
@@ -482,7 +482,7 @@ def _(spark, sf):
         F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderpriority") == "5-LOW", "homepage").otherwise("memoir").alias("kind"),
         F.sha2(F.col("o_orderkey").cast("string"), 256).alias("content_hash"), F.lit(1).alias("version"),
     )
-    sync, snaps = states(spark, sf)
+    sync, snaps = states(spark, sf, once=True)
     out = inc.BatchTable(spark, _fresh(spark, "dirty"))
     inc.stream_dirty(changes, "version", targets(spark, sf), sync, snaps, out, _fresh(spark, "cp"))
     return inc.current(out).select("doc_id", "target_id", "status", "dirty")

@@ -10,6 +10,7 @@ from quire.operators import library as lb
 from quire.operators import versions as vs
 from quire.plans.inputs import SQL_LINES, SQL_TYPED, lines, sql_norm_key, table, typed
 from quire.plans.registry import check
+from quire.session import written
 from quire.plans.text_checks import _time_sql
 from quire.sources import sinks as sk
 
@@ -64,12 +65,16 @@ def targets(spark, sf):
 SQL_TARGETS = """tgt AS (SELECT CAST(r_regionkey AS BIGINT) AS target_id, r_name AS target_name, CASE r_regionkey WHEN 0 THEN 'drive' WHEN 1 THEN 'local' ELSE 'pages' END AS target_kind FROM region)"""
 
 
-def states(spark, sf):
-    """(sync, snapshots): every line item is a publish of its order to one of five targets; returned ones have an old hash."""
+def states(spark, sf, once=False):
+    """(sync, snapshots): every line item is a publish of its order to one of five targets; returned ones have an old hash.
+
+    ``once`` writes the line items of a slot out, for jobs that read both tables several times.
+    """
     slot = (F.col("l_linenumber") - 1) % 5
     li = table(spark, sf, "lineitem").groupBy("l_orderkey", slot.alias("slot")).agg(
         *[F.max(c).alias(c) for c in ("l_linestatus", "l_returnflag", "l_shipdate")]
     )
+    li = written(li, "states") if once else li
     ident = F.col("l_orderkey") * 10 + F.col("slot") + 1
     key = F.col("l_orderkey").cast("string")
     rows = li.select(

@@ -21,8 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from quire.operators.versions import publish_state
-from quire.session import written
+from quire.operators.versions import asked_pages, by_document, publish_state
 from quire.sources.files import open_folder
 
 KEYS = ("doc_id", "target_id")
@@ -106,8 +105,8 @@ def publish_run(dirty: DataFrame, render: DataFrame, folder: str, spark: SparkSe
     Arguments as for ``publish_all``. A run whose writing fails raises, and leaves no page, no state and no log.
     """
     spark.dataSource.register(PageSink)
-    dirty = written(dirty, "dirty")
-    pages = render.join(dirty.select(*KEYS).distinct(), "doc_id").select(*KEYS, "html")
+    dirty = by_document(dirty)
+    pages = render.join(asked_pages(dirty), "doc_id").select(*KEYS, "html")
     pages.write.format("quire_pages").option("folder", folder).option("run", run).mode("append").save()
     found = committed(spark, folder, "keys", "doc_id long, target_id long", run).select(*KEYS).distinct()
     return publish_state(dirty, found, now)
