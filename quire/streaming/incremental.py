@@ -115,7 +115,7 @@ def stream_dirty(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         changed = newest_per_doc(batch, version)
-        touched = sync.join(changed.select("doc_id"), "doc_id", "left_semi")
+        touched = sync.join(batch.select("doc_id"), "doc_id", "left_semi")
         table.write(batch_id, lb.dirty_matrix(changed, targets, touched, snapshots))
 
     return run_available(changes, on_batch, checkpoint)
