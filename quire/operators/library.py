@@ -406,17 +406,18 @@ def unique_slugs(docs: DataFrame, existing: DataFrame) -> DataFrame:
     """
     slug = tx.slugify(F.col("title"))
     base = F.when(F.coalesce(F.col("date_stem"), F.lit("")) != "", F.concat_ws("_", "date_stem", slug)).otherwise(slug)
-    # names are made once and then read by every step
-    named = written(docs.select("doc_id", base.alias("base")).withColumn("root", F.regexp_replace("base", ROOT, "")), "named")
+    # names are made once and then read by every step; where they are only compared, digests move instead
+    made = docs.select("doc_id", base.alias("base")).withColumn("root", F.regexp_replace("base", ROOT, ""))
+    named = written(made.select("doc_id", "base", _digest("base").alias("key"), _digest("root").alias("root")), "named")
     names = written(existing.select("slug").distinct(), "names")
     # where every base of a root is new and asked for once, each simply takes its own name
-    per_base = named.groupBy("root", "base").agg(F.count("*").alias("n")).join(names.select(F.col("slug").alias("base"), F.lit(1).alias("old")), "base", "left")
+    per_base = named.groupBy("root", "key").agg(F.count("*").alias("n")).join(names.select(_digest("slug").alias("key"), F.lit(1).alias("old")), "key", "left")
     per_root = per_base.groupBy("root").agg(F.count("*").alias("k"), F.max((F.col("n") > 1) | F.col("old").isNotNull()).alias("meets"))
     mixed = written(per_root.where((F.col("k") > 1) & F.col("meets")).select("root"), "mixed")
-    plain = _numbered_slugs(named.join(mixed, "root", "left_anti").select("doc_id", "base"), names)
+    plain = _spelled(_numbers(named.select("doc_id", "key", "root").join(mixed, "root", "left_anti").select("doc_id", "key"), names), named)
     tail = F.regexp_extract("base", r"((?:-(?:[2-9]|[1-9]\d{1,17}))*)$", 1)
     hard = cut_lineage(named.join(mixed, "root", "left_semi").select("doc_id", "base", (F.length(tail) - F.length(F.replace(tail, F.lit("-"), F.lit("")))).alias("depth")))
-    old = names.withColumn("root", F.regexp_replace("slug", ROOT, "")).join(mixed, "root", "left_semi").select("slug")
+    old = names.withColumn("root", _digest(F.regexp_replace("slug", ROOT, ""))).join(mixed, "root", "left_semi").select("slug")
     out, above = plain, None
     for (depth,) in sorted(hard.select("depth").distinct().collect()):
         mine = hard.where(F.col("depth") == depth).select("doc_id", "base")
@@ -439,26 +440,45 @@ def _held(rows: DataFrame, name: Column) -> DataFrame:
     return rows.select(F.regexp_extract(name, NUMBERED, 1).alias("base"), number.alias("k"), F.col("since").cast("long").alias("since")).where("k is not null")
 
 
+def _digest(text) -> Column:
+    """128 bits that stand for a text where it is only compared."""
+    return F.unhex(F.md5(text))
+
+
 def _numbered_slugs(named: DataFrame, names: DataFrame) -> DataFrame:
+    named = named.withColumn("key", _digest("base"))
+    return _spelled(_numbers(named.select("doc_id", "key"), names), named)
+
+
+def _spelled(numbers: DataFrame, named: DataFrame) -> DataFrame:
+    """Slugs of numbered keys: texts move once, to the rows of their document and key."""
+    at = F.struct("doc_id", "key")
+    texts = named.groupBy(at.alias("at")).agg(F.min("base").alias("base"))
+    n = F.col("n")
+    whole = numbers.select(at.alias("__at"), "doc_id", "n").join(texts, F.col("__at") == F.col("at"))
+    return whole.select("doc_id", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n.cast("string"))).alias("slug"))
+
+
+def _numbers(named: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, key and the number of the name, from (doc_id, key) of newcomers."""
     named = written(named, "newcomers")
-    nth = number_rows(named, ["base"], [F.col("doc_id")], [segment("doc_id")], "nth")
+    nth = number_rows(named, ["key"], [F.col("doc_id")], [segment("doc_id")], "nth")
     # numbers taken per base: the bare base is 1, base-k is k
     number = F.nullif(F.regexp_extract("slug", NUMBERED, 2), F.lit("")).cast("long")
-    split = names.select(F.col("slug").alias("base"), F.lit(1).cast("long").alias("k")).unionByName(
-        names.select(F.regexp_extract("slug", NUMBERED, 1).alias("base"), number.alias("k")).where(F.col("k").isNotNull())
+    split = names.select(_digest("slug").alias("key"), F.lit(1).cast("long").alias("k")).unionByName(
+        names.select(_digest(F.regexp_extract("slug", NUMBERED, 1)).alias("key"), number.alias("k")).where(F.col("k").isNotNull())
     )
-    taken = split.join(named.select("base").distinct(), "base", "left_semi")
+    taken = split.join(named.select("key").distinct(), "key", "left_semi")
     # below the j-th smallest taken number k there are k - j free ones; newcomer n
     # passes every taken number that has fewer than n free ones below it
-    order = number_rows(written(taken, "taken"), ["base"], [F.col("k")], [segment("k")], "j")
-    steps = order.groupBy("base", (F.col("k") - F.col("j") + 1).alias("at")).agg(F.max("j").alias("past"))
-    marks = nth.select("base", F.col("nth").alias("at"), "doc_id", F.lit(None).cast("long").alias("past")).unionByName(
-        steps.select("base", "at", F.lit(None).cast("long").alias("doc_id"), "past")
+    order = number_rows(written(taken, "taken"), ["key"], [F.col("k")], [segment("k")], "j")
+    steps = order.groupBy("key", (F.col("k") - F.col("j") + 1).alias("at")).agg(F.max("j").alias("past"))
+    marks = nth.select("key", F.col("nth").alias("at"), "doc_id", F.lit(None).cast("long").alias("past")).unionByName(
+        steps.select("key", "at", F.lit(None).cast("long").alias("doc_id"), "past")
     )
-    lined = number_rows(written(marks, "marks"), ["base"], [F.col("at"), F.col("doc_id").asc_nulls_first()], [segment("at")], "line")
-    passed = scan(cut_lineage(lined), keys=["base"], pos="line", passed=latest(F.col("past"))).where(F.col("doc_id").isNotNull())
-    n = F.col("at") + F.coalesce("passed", F.lit(0))
-    return passed.select("doc_id", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n.cast("string"))).alias("slug"))
+    lined = number_rows(written(marks, "marks"), ["key"], [F.col("at"), F.col("doc_id").asc_nulls_first()], [segment("at")], "line")
+    passed = scan(cut_lineage(lined), keys=["key"], pos="line", passed=latest(F.col("past"))).where(F.col("doc_id").isNotNull())
+    return passed.select("doc_id", "key", (F.col("at") + F.coalesce("passed", F.lit(0))).alias("n"))
 
 
 # ---------------------------------------------------------------- change log
