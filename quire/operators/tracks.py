@@ -15,22 +15,23 @@ def keep_first(
 ) -> DataFrame:
     """First row per (group, normalised key); blank keys go, exempt rows all stay (A-06).
 
-    A grouped minimum keeps one row per key map-side, so a key repeated a
-    billion times still shuffles one row per task; long keys travel as digests.
-    ``seq`` is the kept order. The rows kept are written once, so that numbering
-    them does not work them out a second time.
+    A grouped minimum of keys and places alone tells which rows stay and gives them their number; then the rows move
+    once, to it. Keys travel as digests. ``seq`` is the kept order. The rows are written once, so that none of this works
+    them out again, and who asks for the numbers only moves no row.
     """
     cols = rows.columns
     free = F.lit(False) if exempt is None else exempt
     # an exempt row is keyed by its own place, so it never meets another
-    place = F.concat_ws("\x1f", *[F.col(o).cast("string") for o in order])
-    keyed = rows.withColumns({"__own": F.when(free, place), "__k": F.when(free, "").otherwise(tx.key_digest(key))})
-    keyed = keyed.where(F.col("__own").isNotNull() | (F.col("__k") != ""))
+    place = F.concat_ws("\x1f", F.lit(""), *[F.col(o).cast("string") for o in order])
+    own = F.when(free, place).otherwise(F.nullif(tx.norm_key(key), F.lit("")))  # a key does not begin with a blank
+    keyed = written(rows.withColumn("__k", F.unhex(F.md5(own))).where("__k is not null"), "keyed")
+    at = F.struct(*[F.col(c) for c in [*group, "__k", *order]])
+    first = keyed.groupBy(*group, "__k").agg(F.min(F.struct(*order)).alias("__o")).select(*group, "__k", "__o.*")
+    numbered = number_rows(written(first, "first"), group, [F.col(o) for o in order], bucket, "seq")
     rest = [c for c in cols if c not in group and c not in order]
-    first = F.min_by(F.struct(*[F.col(c) for c in [*order, *rest]]), F.struct(*order))
-    kept = written(keyed.groupBy(*group, "__k", "__own").agg(first.alias("__r")).select(*group, "__r.*"), "first")
-    numbered = number_rows(kept, group, [F.col(o) for o in order], bucket, "seq")
-    return numbered.withColumn("seq", F.col("seq") - 1)
+    whole = keyed.groupBy(at.alias("__at")).agg(*[F.any_value(c).alias(c) for c in rest])
+    seq = numbered.select(at.alias("__of"), (F.col("seq") - 1).alias("seq"))
+    return whole.join(seq, F.col("__at") == F.col("__of")).select("__at.*", *rest, "seq").select(*cols, "seq")
 
 
 def keep_first_lines(rows: DataFrame) -> DataFrame:
@@ -54,8 +55,8 @@ SLICE = 4096
 
 def _reply(raw: Column, whole, inner) -> Column:
     """``whole`` of a reply that is an object, else ``inner`` of the object inside its prose; both take (text, variant)."""
-    t = tx.strip(F.regexp_replace(tx.strip(raw), r"\A```(?:json)?", ""))
-    t = tx.strip(F.regexp_replace(t, r"```\z", ""))
+    unopened = lambda t: F.when(t.startswith("```"), tx.strip(F.regexp_replace(t, r"\A```(?:json)?", ""))).otherwise(t)
+    unclosed = lambda t: F.when(t.endswith("```"), tx.strip(F.left(t, F.length(t) - 3))).otherwise(t)
 
     def settle(text):
         # What parses and begins with a brace is an object, so no schema is derived.
@@ -63,7 +64,7 @@ def _reply(raw: Column, whole, inner) -> Column:
         found = tx.bound(cut, lambda c: tx.bound(F.try_parse_json(c), lambda v: F.when(v.isNotNull(), inner(c, v))))
         return tx.bound(F.try_parse_json(text), lambda v: F.when(v.isNotNull(), F.when(text.startswith("{"), whole(text, v))).otherwise(found))
 
-    return tx.bound(t, settle)
+    return tx.bound(tx.strip(raw), lambda t: tx.bound(unopened(t), lambda t: tx.bound(unclosed(t), settle)))
 
 
 def reply_json(raw: Column) -> Column:
@@ -108,15 +109,17 @@ def replies_to_tracks(replies: DataFrame) -> dict[str, DataFrame]:
     def listed(v, track):
         return F.transform(track_rows(v, track), lambda d, i: F.struct(F.lit(track).alias("track_type"), i.alias("row_idx"), d.alias("data")))
 
-    # Rows of all tracks come from one reading of the reply, which is also where a reply without a digest drops out.
-    read = tx.bound(reply_object(F.col("raw")), lambda v: F.when(has_digest(v), F.concat(*[listed(v, t) for t in TRACK_KEYS])))
-    rows = replies.select(*key, F.inline(read)).where(F.col("data").isNotNull()).select(*key, "row_idx", "data", "track_type")
-    strings = lambda k: F.transform(
-        _list(F.col("__v"), k), lambda e: F.struct(F.lit(k).alias("kind"), F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string")).alias("text"))
+    # Rows of a table come from one reading of the reply, which is also where a reply without a digest drops out.
+    def read(made):
+        return tx.bound(reply_object(F.col("raw")), lambda v: F.when(has_digest(v), made(v)))
+
+    rows = replies.select(*key, F.inline(read(lambda v: F.concat(*[listed(v, t) for t in TRACK_KEYS])))).where(F.col("data").isNotNull()).select(*key, "row_idx", "data", "track_type")
+    strings = lambda v, k: F.transform(
+        _list(v, k), lambda e: F.struct(F.lit(k).alias("kind"), F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string")).alias("text"))
     )
-    lines = ok.select(*key, F.posexplode(F.concat(*[strings(k) for k in LINE_KEYS])).alias("row_idx", "l")).select(*key, "row_idx", "l.kind", "l.text")
+    lines = replies.select(*key, F.posexplode(read(lambda v: F.concat(*[strings(v, k) for k in LINE_KEYS]))).alias("row_idx", "l")).select(*key, "row_idx", "l.kind", "l.text")
     anchor = lambda e: F.struct(*[F.coalesce(F.try_variant_get(e, f"$.{f}", "string"), F.lit("")).alias(f) for f in ("section", "attribution", "quote")])
-    anchors = ok.select(*key, F.posexplode(F.transform(_list(F.col("__v"), "anchors"), anchor)).alias("row_idx", "a")).select(*key, "row_idx", "a.*")
+    anchors = replies.select(*key, F.posexplode(read(lambda v: F.transform(_list(v, "anchors"), anchor))).alias("row_idx", "a")).select(*key, "row_idx", "a.*")
     return {
         "digests": ok.select(*key, digest.alias("digest_md")),
         "tracks": rows,
