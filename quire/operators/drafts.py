@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import runs as rn
 from quire.functions import text as tx
-from quire.operators.ordered import following, islands, latest, number_rows, prev, running, scan, segment
-from quire.session import cut_lineage
+from quire.operators.membership import sifted
+from quire.operators.ordered import SEG, following, islands, latest, number_rows, prev, running, scan, segment
+from quire.session import cut_lineage, written
 
 # How a paragraph end is judged.
 BREAK_END = r"[.?!…:\"'’”)\]}]\z"
@@ -21,6 +22,18 @@ LOWER_START = r"\A[\"“‘'(\[]*\p{Ll}"
 MARKER = r"\[\^(\d+)\]"
 
 
+def _at(rows: DataFrame, places: DataFrame, by: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """(rows that may lie at one of the places (doc_id, ``by``), the others): what a step leaves alone does not move."""
+    key = F.xxhash64("doc_id", by)
+    may, rest = sifted(rows.withColumn("__at", key), "__at", places.select(key.alias("__at")), "__at")
+    return may.select(*rows.columns), (rows.limit(0) if rest is None else rest.select(*rows.columns))
+
+
+def _digest(text: Column) -> Column:
+    """128 bits that stand for a text where it is only compared."""
+    return F.unhex(F.md5(text))
+
+
 # ---------------------------------------------------------------- Markdown source
 
 
@@ -229,14 +242,16 @@ def relocate_figures(rows: DataFrame, short: int = 100) -> DataFrame:
     at_start = scan(chained, first=latest(F.when(F.col("pos") == F.col("chain"), F.col("nth"))))
     fired = at_start.where((F.col("nth") - F.col("first")) % 2 == 0).select("doc_id", "into", "moved")
     fired = cut_lineage(fired)
-    tails = rows.join(fired.withColumnRenamed("moved", "pos"), ["doc_id", "pos"]).select(
+    touched, rest = _at(rows, fired.select("doc_id", F.explode(F.array("into", "moved")).alias("pos")))
+    tails = touched.join(fired.withColumnRenamed("moved", "pos"), ["doc_id", "pos"]).select(
         "doc_id", F.col("into").alias("pos"), tx.lstrip(F.col("text")).alias("__tail")
     )
-    joined = rows.join(tails, ["doc_id", "pos"], "left").withColumn(
+    joined = touched.join(tails, ["doc_id", "pos"], "left").withColumn(
         "text",
         F.when(F.col("__tail").isNotNull(), tx.strip(F.concat(tx.rstrip(t), F.lit(" "), F.col("__tail")))).otherwise(F.col("text")),
     )
-    return joined.select(*rows.columns).join(fired.select("doc_id", F.col("moved").alias("pos")), ["doc_id", "pos"], "left_anti").select(*rows.columns)
+    kept = joined.select(*rows.columns).join(fired.select("doc_id", F.col("moved").alias("pos")), ["doc_id", "pos"], "left_anti")
+    return kept.select(*rows.columns).unionByName(rest)
 
 
 def drop_caption_duplicates(rows: DataFrame, captions: DataFrame) -> DataFrame:
@@ -246,10 +261,12 @@ def drop_caption_duplicates(rows: DataFrame, captions: DataFrame) -> DataFrame:
     when the earlier one did not; that settled-or-inherited choice is carried
     along the images.
     """
-    caps = captions.select("doc_id", "image", tx.strip(F.col("caption")).alias("__cap")).where(F.col("__cap") != "")
-    with_cap = rows.join(caps, ["doc_id", "image"], "left")
-    can_go = F.when(F.col("kind").isin("h2", "h3", "p"), _trimmed())
-    side = F.struct(F.col("pos").alias("pos"), can_go.alias("text"))
+    caption = tx.strip(F.col("caption"))
+    caps = captions.where(caption != "").select("doc_id", "image", _digest(caption).alias("__cap"))
+    can_go = F.when(F.col("kind").isin("h2", "h3", "p"), _digest(_trimmed()))
+    narrow = rows.select("doc_id", "pos", "kind", "image", can_go.alias("__text"))
+    with_cap = narrow.where("image is not null").join(caps, ["doc_id", "image"], "left").unionByName(narrow.where("image is null"), allowMissingColumns=True)
+    side = F.struct(F.col("pos").alias("pos"), F.col("__text").alias("text"))
     near = scan(with_cap, __up=prev(side), __down=following(side)).where(F.col("kind") == "image")
     same = lambda s: F.coalesce(F.col(s)["text"] == F.col("__cap"), F.lit(False))
     picks = near.select(
@@ -264,7 +281,9 @@ def drop_caption_duplicates(rows: DataFrame, captions: DataFrame) -> DataFrame:
     gone = before.select(
         "doc_id", F.when(taken, F.col("up")).when(F.col("takes_down"), F.col("down")).alias("pos")
     ).where(F.col("pos").isNotNull())
-    return rows.join(gone.distinct(), ["doc_id", "pos"], "left_anti").select(*rows.columns)
+    gone = cut_lineage(gone.distinct())
+    touched, rest = _at(rows, gone)
+    return touched.join(gone, ["doc_id", "pos"], "left_anti").select(*rows.columns).unionByName(rest)
 
 
 def rejoin_paragraphs(rows: DataFrame) -> DataFrame:
@@ -275,15 +294,24 @@ def rejoin_paragraphs(rows: DataFrame) -> DataFrame:
     para = F.col("kind") == "p"
     tail = F.when(para & (end != "") & ~end.rlike(BREAK_END), F.lit(1))
     head = F.when(para & (start != ""), F.lit(1))
-    grouped = islands(rows, tail, head, "__lead")
     rest = [c for c in rows.columns if c not in ("doc_id", "pos", "text")]
     seam = f"{tx.BLANK}*\x00{tx.BLANK}*"
-    parts = F.sort_array(F.collect_list(F.struct("pos", t.alias("t"))))["t"]
-    out = grouped.groupBy("doc_id", F.col("__lead").alias("pos")).agg(
-        F.when(F.count("text") > 0, F.regexp_replace(F.array_join(parts, "\x00"), seam, " ")).alias("text"),
-        *[F.min_by(c, "pos").alias(c) for c in rest],
+    # Groups are put together where their segment lies; only those that go on into another segment are moved for it.
+    grouped = islands(rows, tail, head, "__lead", seg_out="__sg")
+    parts = grouped.groupBy("doc_id", "__sg", "__lead").agg(
+        F.collect_list(F.struct("pos", t.alias("t"))).alias("__parts"), F.count("text").alias("__n"), F.min("pos").alias("__first"), *[F.min_by(c, "pos").alias(c) for c in rest]
+    )
+    parts = parts.drop("__sg")
+    text = F.when(F.col("__n") > 0, F.regexp_replace(F.array_join(F.sort_array("__parts")["t"], "\x00"), seam, " "))
+    done = lambda d: d.withColumn("text", text).withColumn("pos", F.col("__lead")).select(*rows.columns)
+    if rows.where((F.col("pos") >= SEG) | (F.col("pos") < 0)).isEmpty():
+        return done(parts)
+    across = cut_lineage(grouped.where(segment("__lead") != F.col("__sg")).select("doc_id", "__lead").distinct())
+    split, whole = _at(parts, across, "__lead")
+    met = split.groupBy("doc_id", "__lead").agg(
+        F.flatten(F.collect_list("__parts")).alias("__parts"), F.sum("__n").alias("__n"), F.min("__first").alias("__first"), *[F.min_by(c, "__first").alias(c) for c in rest]
     )
-    return out.select(*rows.columns)
+    return done(whole.unionByName(met))
 
 
 def clean_text(rows: DataFrame) -> DataFrame:
@@ -324,9 +352,10 @@ def renumber_footnotes(rows: DataFrame, notes: DataFrame) -> dict[str, DataFrame
     pieces, marks = F.split("text", MARKER, -1), F.regexp_extract_all("text", F.lit(r"(\[\^\d+\])"), 1)
     fresh = F.zip_with(marks, "__new", lambda m, n: F.coalesce(F.concat(F.lit("[^"), n.cast("string"), F.lit("]")), m))
     woven = F.array_join(F.flatten(F.zip_with(pieces, fresh, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
-    new_rows = rows.join(numbered, ["doc_id", "pos"], "left").withColumn(
+    refers = F.coalesce(F.col("text").contains("[^"), F.lit(False))
+    new_rows = rows.where(refers).join(numbered, ["doc_id", "pos"], "left").withColumn(
         "text", F.when(F.col("__new").isNotNull(), woven).otherwise(F.col("text"))
-    )
+    ).select(*rows.columns).unionByName(rows.where(~refers))
     return {
         "rows": new_rows.select(*rows.columns),
         "notes": new_notes.select(*notes.columns),
@@ -425,10 +454,10 @@ def normalise(rows: DataFrame, captions: DataFrame, notes: DataFrame) -> dict[st
     Each step reads its input more than once, so the rows are written out
     between steps instead of growing one plan.
     """
-    rows = cut_lineage(demote_extra_h1(strip_front_matter(rows)))
-    rows = cut_lineage(relocate_figures(rows))
-    rows = cut_lineage(drop_caption_duplicates(rows, captions))
-    rows = cut_lineage(clean_text(rows))
+    rows = written(demote_extra_h1(strip_front_matter(rows)), "draft")
+    rows = written(relocate_figures(rows), "draft")
+    rows = written(drop_caption_duplicates(rows, captions), "draft")
+    rows = written(clean_text(rows), "draft")
     return renumber_footnotes(rows, notes)
 
 
