@@ -43,8 +43,8 @@ def ordered(pieces, cuts):
     rows.sort(key=lambda r: (r["slice"], r["term"], low(r["first_doc"]), low(r["last_doc"])))
     names = ("bucket", "slice", "term", "first_doc", "ids", "batches", "infos", "places")
     kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * 4)
-    for a in range(0, len(rows), 3):
-        yield pa.RecordBatch.from_arrays([pa.array([{**r, "bucket": 1}[n] for r in rows[a : a + 3]], k) for n, k in zip(names, kinds)], names=list(names))
+    for a in range(0, len(rows), 7):
+        yield pa.RecordBatch.from_arrays([pa.array([{**r, "bucket": 1}[n] for r in rows[a : a + 7]], k) for n, k in zip(names, kinds)], names=list(names))
 
 
 @pytest.mark.parametrize("cuts", [[], [10, 25]])
@@ -52,6 +52,7 @@ def ordered(pieces, cuts):
 def test_blocks_hold_every_hit_of_the_tokens(monkeypatch, cuts, in_order):
     rng = random.Random(7)
     monkeypatch.setattr(li, "PIECE_TOKENS", 40)
+    monkeypatch.setattr(li, "OPEN_BYTES", 100)
     word = lambda: rng.choice(["a", "a", "b", "c", f"r{rng.randrange(30)}"])
     ids = [*range(-3, 40), 7, 7, None, None]
     docs = [(d, *[rng.choice([None, [word() for _ in range(rng.randrange(n))]]) for n in (2, 3, 12)]) for d in ids]
