@@ -1,11 +1,14 @@
 """Postings that move packed: pieces of terms from tokens, put together to blocks without unpacking them."""
 
 import random
+import threading
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
+from quire.functions import text as tx
 from quire.operators import live_index as li
 from quire.operators import search as se
 
@@ -100,3 +103,10 @@ def test_postings_move_as_pieces_and_are_not_grouped_row_by_row(spark):
     assert sorted((r["term"], r["n"]) for r in made.collect()) == sorted((t, n) for t in "abst" for n in (128, 128, 44))
     flat = li.hits(li.blocks(se.index_rows(docs), 0, 1)).select("term", "doc_id", "field", "positions")
     assert sorted(map(repr, flat.collect())) == sorted(map(repr, li.hits(made).select("term", "doc_id", "field", "positions").collect()))
+
+
+def test_functions_travel_without_the_modules_around_them(spark, monkeypatch):
+    """A text function that was used holds a lock, which does not travel."""
+    monkeypatch.setattr(tx, "held", threading.RLock(), raising=False)
+    for f in (li._token_pieces([]), li._row_pieces([]), li._blocked(4, 0, None), li._hits, se._entries):
+        assert cloudpickle.dumps(f)
